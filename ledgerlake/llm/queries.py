@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op5_prefix_bpe
 from .sharding import op8_virtual_slots
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_prefix_bpe": op5_prefix_bpe,
         "op8_virtual_slots": op8_virtual_slots,
     }
 
