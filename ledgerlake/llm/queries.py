@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_prefix_bpe
+from .packing import op7_best_fit
 from .sharding import op8_virtual_slots
+from .sstable import op3_sstable
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_sstable": op3_sstable,
         "op5_prefix_bpe": op5_prefix_bpe,
+        "op7_best_fit": op7_best_fit,
         "op8_virtual_slots": op8_virtual_slots,
     }
 
