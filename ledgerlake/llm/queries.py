@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op5_prefix_bpe
 from .packing import op7_best_fit
 from .sharding import op8_virtual_slots
+from .simhash import op4_simhash
 from .sstable import op3_sstable
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sstable": op3_sstable,
+        "op4_simhash": op4_simhash,
         "op5_prefix_bpe": op5_prefix_bpe,
         "op7_best_fit": op7_best_fit,
         "op8_virtual_slots": op8_virtual_slots,
