@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_prefix_bpe
+from .line_crf import op2_line_crf
 from .packing import op7_best_fit
 from .sharding import op8_virtual_slots
 from .simhash import op4_simhash
@@ -15,6 +16,7 @@ from .sstable import op3_sstable
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_line_crf": op2_line_crf,
         "op3_sstable": op3_sstable,
         "op4_simhash": op4_simhash,
         "op5_prefix_bpe": op5_prefix_bpe,
