@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_prefix_bpe
 from .line_crf import op2_line_crf
+from .ordinal import op9_ordinal_toxicity
 from .packing import op7_best_fit
+from .quality_eb import op1_empirical_bayes
 from .sharding import op8_virtual_slots
 from .simhash import op4_simhash
 from .sstable import op3_sstable
@@ -16,12 +18,14 @@ from .sstable import op3_sstable
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_empirical_bayes": op1_empirical_bayes,
         "op2_line_crf": op2_line_crf,
         "op3_sstable": op3_sstable,
         "op4_simhash": op4_simhash,
         "op5_prefix_bpe": op5_prefix_bpe,
         "op7_best_fit": op7_best_fit,
         "op8_virtual_slots": op8_virtual_slots,
+        "op9_ordinal_toxicity": op9_ordinal_toxicity,
     }
 
 
