@@ -14,6 +14,7 @@ from .quality_eb import op1_empirical_bayes
 from .sharding import op8_virtual_slots
 from .simhash import op4_simhash
 from .sstable import op3_sstable
+from .substring import op6_doubling
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sstable": op3_sstable,
         "op4_simhash": op4_simhash,
         "op5_prefix_bpe": op5_prefix_bpe,
+        "op6_doubling": op6_doubling,
         "op7_best_fit": op7_best_fit,
         "op8_virtual_slots": op8_virtual_slots,
         "op9_ordinal_toxicity": op9_ordinal_toxicity,
