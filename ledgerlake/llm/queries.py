@@ -15,6 +15,7 @@ from .sharding import op8_virtual_slots
 from .simhash import op4_simhash
 from .sstable import op3_sstable
 from .substring import op6_doubling
+from .topk import op10_impact_ordered
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_best_fit": op7_best_fit,
         "op8_virtual_slots": op8_virtual_slots,
         "op9_ordinal_toxicity": op9_ordinal_toxicity,
+        "op10_impact_ordered": op10_impact_ordered,
     }
 
 
