@@ -31,7 +31,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import ids_and_texts, ids_back, table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Entries in each of the two generations of a worker's tables of known words, chunks and token pairs.
@@ -239,7 +239,7 @@ def loaded(path: str) -> WordTokenizer:
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit), decoded, or where keep_ids is false only n_tokens and digests."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if keep_ids else "")
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if keep_ids else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = loaded(path)
@@ -253,7 +253,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInPandas(run, schema)
+    return ids_back(ids_and_texts(docs, id_col, text_col).mapInPandas(run, schema))
 
 
 def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

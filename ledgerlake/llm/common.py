@@ -7,6 +7,7 @@ import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space that separates words: space and the controls 09-0D, nothing else of Unicode.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -38,6 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id as a string and text: pandas has no null among longs, but strings pass it whole. ids_back() turns it back."""
+    return docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def ids_back(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words `[^\\x20\\x09-\\x0D]+` as UTF-8: bytes.split() parts at exactly those six characters."""
     return text.encode().split() if text else []

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ids_and_texts, ids_back, table
 from .labelled import SAMPLE, labelled_sample
 from .lines import FEATURES, base_counts, bits, line_masks
 
@@ -139,19 +139,19 @@ def judged(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_col:
         for batch in batches:
             out = pd.DataFrame([judge(t, field) for t in batch["text"]], columns=names)
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out.astype({"doc_id": "Int64"})
+            yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, " + JUDGED)
+    return ids_back(ids_and_texts(docs, id_col, text_col).mapInPandas(run, "doc_id string, " + JUDGED))
 
 
 def filtered(docs: DataFrame, field: LineField) -> DataFrame:
     """The documents that are kept, with all their columns and in one pass over the texts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[[judge(t, field)[-1] for t in batch["text"]]]
+    @F.pandas_udf("boolean")
+    def keep(texts: pd.Series) -> pd.Series:
+        return pd.Series([judge(t, field)[-1] for t in texts], dtype=bool)
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.filter(keep("text"))
 
 
 def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ids_and_texts, ids_back, table
 from .labelled import labelled_sample
 
 GRADES = 4
@@ -179,20 +179,20 @@ def scored(docs: DataFrame, model: Severity, id_col: str = "doc_id", text_col: s
                 rows.append((score, sum(over), grade, over[0], over[0] >= TOXIC_FROM))
             out = pd.DataFrame(rows, columns=["score", "expected_severity", "severity", "p_toxic", "toxic"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out.astype({"doc_id": "Int64"})
+            yield out
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, score double, expected_severity double, severity int, p_toxic double, toxic boolean")
+    schema = "doc_id string, score double, expected_severity double, severity int, p_toxic double, toxic boolean"
+    return ids_back(ids_and_texts(docs, id_col, text_col).mapInPandas(run, schema))
 
 
 def filtered(docs: DataFrame, model: Severity) -> DataFrame:
     """The documents that are not toxic, with all their columns, in one pass."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[[model.score(t)[1][0] < TOXIC_FROM for t in batch["text"]]]
+    @F.pandas_udf("boolean")
+    def keep(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t)[1][0] < TOXIC_FROM for t in texts], dtype=bool)
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.filter(keep("text"))
 
 
 def op9_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words_of, written
+from .common import ids_back, table, words_of, written
 from .labelled import SAMPLE, labelled_sample
 from .lines import FEATURES, line_masks, repeat_words
 
@@ -83,10 +83,10 @@ def evidence(docs: DataFrame, weights: np.ndarray, host: Column, path: Column, i
         for batch in batches:
             x = np.array([features(t) for t in batch["text"]]).reshape(len(batch), len(FEATURES) + 4)
             z = np.clip(x @ weights[:-1] + weights[-1], -30, 30)
-            yield batch[["doc_id", "host", "path"]].assign(p=1 / (1 + np.exp(-z))).astype({"doc_id": "Int64"})
+            yield batch[["doc_id", "host", "path"]].assign(p=1 / (1 + np.exp(-z)))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, host string, path string, p double")
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), F.col(text_col).alias("text"))
+    return ids_back(rows.mapInPandas(run, "doc_id string, host string, path string, p double"))
 
 
 def strength(groups: DataFrame) -> float:

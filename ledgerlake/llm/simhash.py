@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import ids_back, table, written
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -64,10 +64,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in batch["text"]], np.uint64).view(np.int64)
-            yield batch[["doc_id", "text_hash"]].assign(fp=fps).astype({"doc_id": "Int64"})
+            yield batch[["doc_id", "text_hash"]].assign(fp=fps)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, text_hash long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return ids_back(rows.mapInPandas(run, "doc_id string, text_hash long, fp long"))
 
 
 def block_masks(radius: int = RADIUS) -> list[int]:

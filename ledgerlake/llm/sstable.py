@@ -34,7 +34,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, table, written
+from .common import fresh_dir, ids_and_texts, ids_back, table, written
 from .tokens import loaded
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -251,7 +251,7 @@ def write_tables(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = EN
 
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
+                doc_id = None if doc_id is None else int(doc_id)
                 if writer is None:
                     temp = f"{base}/.{uuid.uuid4().hex}"
                     sink = store.open_output_stream(temp)
@@ -265,7 +265,7 @@ def write_tables(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = EN
         yield pd.DataFrame(made, columns=[c.split()[0] for c in MANIFEST.split(", ")]).astype({"first_id": "Int64", "last_id": "Int64"})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = ids_and_texts(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
     return written(ordered.mapInPandas(run, MANIFEST), "sst-manifest")
 
 
@@ -281,7 +281,7 @@ def read_tables(manifest: DataFrame, keep_ids: bool = True) -> DataFrame:
                 rows, held, start = [], 0, int(base)
                 with store.open_input_file(at) as source:
                     for doc_id, ids in TableReader(source).scan():
-                        rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), path, ids)[: 6 if keep_ids else 5])
+                        rows.append((None if doc_id is None else str(doc_id), start, len(ids) // 4, zlib.crc32(ids), path, ids)[: 6 if keep_ids else 5])
                         start += len(ids) // 4
                         held += len(ids) if keep_ids else 100
                         if held >= 16 << 20:
@@ -292,10 +292,10 @@ def read_tables(manifest: DataFrame, keep_ids: bool = True) -> DataFrame:
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         names = ["doc_id", "start", "n_tokens", "ids_crc32", "path", "ids"]
-        return pd.DataFrame(rows, columns=names[: 6 if keep_ids else 5]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=names[: 6 if keep_ids else 5])
 
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, path string" + (", ids binary" if keep_ids else "")
-    return based.repartition("path").mapInPandas(run, schema)
+    schema = "doc_id string, start long, n_tokens long, ids_crc32 long, path string" + (", ids binary" if keep_ids else "")
+    return ids_back(based.repartition("path").mapInPandas(run, schema))
 
 
 def lookup(manifest: DataFrame, keys: DataFrame, id_col: str = "doc_id") -> DataFrame:

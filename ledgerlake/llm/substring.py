@@ -253,11 +253,12 @@ def removal_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             out = []
             for doc_id, text, starts, every in zip(batch["id"], batch["text"], batch["starts"], batch["every"]):
                 n, gone, kept = cut(text, starts, every is True or every == 1, window)
-                out.append((None if doc_id == NO_ID else doc_id, n, gone, hashlib.sha256(kept).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"]).astype({"doc_id": "Int64"})
+                out.append((doc_id, n, gone, hashlib.sha256(kept).hexdigest()))
+            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     joined = rows.join(told, ["id", "key"], "left").select("id", "text", "starts", "every")
-    return joined.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    out = joined.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -265,19 +266,15 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     told = decisions(keyed(docs), window).withColumnRenamed("id", "_id").withColumnRenamed("key", "_key")
     own = docs.withColumn("_own_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_own_key", low32(F.xxhash64(F.coalesce("text", F.lit("")))))
     joined = own.join(told, (F.col("_own_id") == F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left")
-    names = docs.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, sizes = [], []
-            for text, size, starts, every in zip(batch["text"], batch["n_chars"], batch["starts"], batch["every"]):
-                _, gone, kept = cut(text, starts, every is True or every == 1, window)
-                text = kept.decode() if gone else text
-                texts.append(text)
-                sizes.append(len(text) if gone else None if pd.isna(size) else int(size))
-            yield batch[names].assign(text=texts, n_chars=pd.array(sizes, dtype="Int64"))
-
-    return joined.select(*names, "starts", "every").mapInPandas(run, docs.schema)
+    @F.pandas_udf("string")
+    def left(texts: pd.Series, starts: pd.Series, every: pd.Series) -> pd.Series:
+        cuts = [cut(t, s, e is True or e == 1, window) for t, s, e in zip(texts, starts, every)]
+        return pd.Series([kept.decode() if gone else None for _, gone, kept in cuts], dtype=object)
+
+    judged = joined.withColumn("_left", F.when(F.col("starts").isNotNull(), left("text", "starts", "every")))
+    changed = {"text": F.coalesce("_left", "text"), "n_chars": F.when(F.col("_left").isNotNull(), F.length("_left").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
+    return judged.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
 def op6_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
