@@ -3,7 +3,8 @@
 A byte-level tokenizer cuts a text into pieces that it encodes one by one, and a single space always opens a new
 piece. Where each space stands alone, the parts between spaces can so be encoded apart; each distinct part goes to
 the library once and is remembered in a bounded per-worker table. A part of letters with punctuation behind it is
-two pieces (one without it), which go straight to the library's model. Any other text goes to the library whole: one
+two pieces (one without it), and one new line before more of the same is a piece too; they go straight to the
+library's model. Any other text goes to the library whole: one
 with two white-space characters in a row of which the first is a space, with a space at its end, or with the string
 of a special token.
 """
@@ -19,8 +20,11 @@ from .bpe import Known, byte_symbols
 
 #: Spaces that don't open a piece by themselves.
 UNSAFE = re.compile(r" (?:[\s\x1c-\x1f\x85]|$)")
-#: Letters, then punctuation that no contraction has: two pieces of a byte-level tokenizer.
-SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([-.,;:!?*$%&#()]*)").fullmatch
+_WORD = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([-.,;:!?*$%&#()]*)"
+#: Letters, then punctuation that no contraction has, perhaps the same again on a new line: pieces of a byte-level tokenizer.
+SIMPLE = re.compile(rf"{_WORD}(?:\n{_WORD})?").fullmatch
+#: Distinct parts that a worker remembers in each generation.
+REMEMBERED = 500_000
 
 
 class ByteTokenizer:
@@ -35,19 +39,31 @@ class ByteTokenizer:
         self.special = re.compile("|".join(special)) if special else None
         if type(self.tokenizer.pre_tokenizer).__name__ != "ByteLevel" or self.tokenizer.normalizer is not None:
             raise ValueError(f"{path} is not a byte-level tokenizer without normal form")
-        self.symbol = byte_symbols()
-        self.pieces = Known(self._piece)
-        self.after = Known(self._after)
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.pieces = Known(self._piece, REMEMBERED)
+        self.after = Known(self._after, REMEMBERED)
 
     def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.tokenizer.model.tokenize("".join([self.symbol[b] for b in piece.encode()]))]
+        if piece.isascii() and piece != "\n":
+            shown = piece.replace(" ", self.symbols[32])
+        else:  # bytes as characters of the same number, then as the vocabulary's symbols
+            shown = piece.encode().decode("latin-1").translate(self.symbols)
+        ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _after(self, part: str) -> bytes:
         if not (m := SIMPLE(part)):
             return self.direct(" " + part)
-        word, marks = m.groups()
-        return self.pieces[" " + word] + self.pieces[marks] if marks else self.pieces[" " + word]
+        word, marks, next_word, next_marks = m.groups()
+        pieces = self.pieces
+        out = pieces[" " + word]
+        if marks:
+            out += pieces[marks]
+        if next_word:
+            out += pieces["\n"] + pieces[next_word]
+            if next_marks:
+                out += pieces[next_marks]
+        return out
 
     def direct(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
