@@ -39,10 +39,14 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
-@F.pandas_udf("string")
-def nfkc_casefold(texts: pd.Series) -> pd.Series:
+def nfkc_casefold(c: Column) -> Column:
     """Unicode compatibility form and case folding have no built-in expression."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+    @F.pandas_udf("string")
+    def fold(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+    return fold(c)
 
 
 def question_key(c: Column, unicode_form: bool = True) -> Column:
