@@ -81,4 +81,4 @@ def html_text(c: Column) -> Column:
     plain = F.regexp_replace(lines, r"<[^>]*>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"[ \t]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")

@@ -38,9 +38,8 @@ def _relations(plan) -> set[str]:
         walk = [expressions.apply(i) for i in range(expressions.size())] if expressions is not None else []
         while walk:
             e = walk.pop()
-            if e.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery"):
-                if hasattr(e, "plan"):
-                    stack.append(e.plan())
+            if e.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+                stack.append(e.plan())
             walk += [e.children().apply(i) for i in range(e.children().size())]
     return {n for n in found if n not in names}
 
