@@ -11,21 +11,26 @@ from ledgerlake.operators.core import rolled_up, salted_sum, top_per_group
 
 from .registry import Tables, query
 
-N = F.count(F.lit(1))
-VALUE = amount(F.col("value"))
+
+def row_count():
+    return F.count(F.lit(1))
+
+
+def value_amount():
+    return amount(F.col("value"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def group_count(t: Tables):
     """G01, M19."""
-    return t.events.groupBy("event_type").agg(N.alias("n"))
+    return t.events.groupBy("event_type").agg(row_count().alias("n"))
 
 
 @query("""SELECT o_orderstatus, count(*) AS n, strftime(min(o_orderdate), '%Y-%m-%d') AS oldest, CAST(date_diff('day', CAST(min(o_orderdate) AS DATE), DATE '2000-01-01') AS BIGINT) AS age_days FROM orders GROUP BY 1""")
 def queue_depth_age(t: Tables):
     """Depth and age of the oldest, at a given time."""
     oldest = F.min("o_orderdate")
-    return t.orders.groupBy("o_orderstatus").agg(N.alias("n"), F.date_format(oldest, "yyyy-MM-dd").alias("oldest"), F.datediff(F.lit("2000-01-01").cast("date"), oldest).cast("long").alias("age_days"))
+    return t.orders.groupBy("o_orderstatus").agg(row_count().alias("n"), F.date_format(oldest, "yyyy-MM-dd").alias("oldest"), F.datediff(F.lit("2000-01-01").cast("date"), oldest).cast("long").alias("age_days"))
 
 
 @query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
@@ -37,7 +42,7 @@ def count_distinct(t: Tables):
 @query("""SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day, CAST(coalesce(sum(CASE WHEN value > 20 THEN CAST(value AS DECIMAL(18,4)) END), 0) AS DOUBLE) AS total FROM events GROUP BY 1, 2, 3""")
 def sum_coalesce(t: Tables):
     """Sum with a filter, zero where nothing is left."""
-    total = F.coalesce(F.sum(F.when(F.col("value") > 20, VALUE)), F.lit(0)).cast("double")
+    total = F.coalesce(F.sum(F.when(F.col("value") > 20, value_amount())), F.lit(0)).cast("double")
     return t.events.groupBy("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(total.alias("total"))
 
 
@@ -51,13 +56,13 @@ def pivot_wide(t: Tables):
 def wide_metrics(t: Tables):
     """Several conditional sums of one pass."""
     total = lambda test, c: F.sum(F.when(test, amount(F.col(c)))).cast("double")
-    return t.lineitem.groupBy("l_suppkey").agg(total(F.col("l_linestatus") == "F", "l_quantity").alias("done"), total(F.col("l_linestatus") == "O", "l_quantity").alias("open"), total(F.col("l_discount") > 0.05, "l_extendedprice").alias("discounted"), N.alias("n"))
+    return t.lineitem.groupBy("l_suppkey").agg(total(F.col("l_linestatus") == "F", "l_quantity").alias("done"), total(F.col("l_linestatus") == "O", "l_quantity").alias("open"), total(F.col("l_discount") > 0.05, "l_extendedprice").alias("discounted"), row_count().alias("n"))
 
 
 def question_groups(rows, key, id_col: str, most: int = 20):
     """Questions by normal form: count, and at most `most` of the newest ids, kept bounded while aggregating."""
     keyed = rows.withColumn("question", key).filter("question != ''")
-    counts = keyed.groupBy("question").agg(N.alias("n"), F.max(id_col).alias("last_id"))
+    counts = keyed.groupBy("question").agg(row_count().alias("n"), F.max(id_col).alias("last_id"))
     newest = top_per_group(keyed.select("question", id_col), ["question"], [F.col(id_col).desc()], most)
     ids = newest.groupBy("question").agg(F.array_join(F.transform(F.sort_array(F.collect_list(id_col), False), lambda x: x.cast("string")), ",").alias("ids"))
     return counts.join(ids, "question").withColumn("complete", F.col("n") <= most)
@@ -76,7 +81,7 @@ SELECT s_suppkey, n, CAST(mean AS DOUBLE) AS mean, med, low, high, round(pr, 6)
 def peer_stats(t: Tables):
     """A company among its peers; the percentile counts values up to its own."""
     s = t.supplier
-    peers = s.groupBy("s_nationkey").agg(N.alias("n"), F.round(F.avg(amount(F.col("s_acctbal"))), 2).cast("double").alias("mean"), F.median("s_acctbal").alias("med"), F.min("s_acctbal").alias("low"), F.max("s_acctbal").alias("high"))
+    peers = s.groupBy("s_nationkey").agg(row_count().alias("n"), F.round(F.avg(amount(F.col("s_acctbal"))), 2).cast("double").alias("mean"), F.median("s_acctbal").alias("med"), F.min("s_acctbal").alias("low"), F.max("s_acctbal").alias("high"))
     rank = s.select("s_suppkey", "s_nationkey", F.round(F.cume_dist().over(Window.partitionBy("s_nationkey").orderBy("s_acctbal")), 6).alias("percentile"))
     return rank.join(F.broadcast(peers), "s_nationkey").drop("s_nationkey")
 
@@ -86,7 +91,7 @@ SELECT user_id, pos, neg, neutral, CAST(score AS DOUBLE) AS score, CASE WHEN sco
 def sentiment_rollup(t: Tables):
     """Share of good minus bad, labelled at 0.3."""
     s = F.when(F.col("event_type").isin("purchase", "signup"), 1).when(F.col("event_type") == "error", -1).otherwise(0)
-    a = t.events.select("user_id", s.alias("s")).groupBy("user_id").agg(F.count_if(F.col("s") == 1).alias("pos"), F.count_if(F.col("s") == -1).alias("neg"), F.count_if(F.col("s") == 0).alias("neutral"), ratio(F.sum("s"), N).alias("score"))
+    a = t.events.select("user_id", s.alias("s")).groupBy("user_id").agg(F.count_if(F.col("s") == 1).alias("pos"), F.count_if(F.col("s") == -1).alias("neg"), F.count_if(F.col("s") == 0).alias("neutral"), ratio(F.sum("s"), row_count()).alias("score"))
     label = F.when(F.col("score") >= 0.3, "positive").when(F.col("score") <= -0.3, "negative").otherwise("neutral")
     return a.select("user_id", "pos", "neg", "neutral", F.col("score").cast("double").alias("score"), label.alias("label"))
 
@@ -135,7 +140,7 @@ def p95_nearest_rank(t: Tables):
 def p50_p90_profile(t: Tables):
     """Nearest rank of round((n - 1) p), half to even."""
     w = Window.partitionBy("event_type")
-    r = t.events.withColumn("i", F.row_number().over(w.orderBy("value", "event_id")) - 1).withColumn("n", N.over(w))
+    r = t.events.withColumn("i", F.row_number().over(w.orderBy("value", "event_id")) - 1).withColumn("n", row_count().over(w))
     pick = lambda p: F.max(F.when(F.col("i") == F.bround((F.col("n") - 1) * F.lit(p), 0).cast("long"), F.col("value")))
     return r.groupBy("event_type").agg(pick(0.5).alias("p50"), pick(0.9).alias("p90"))
 
@@ -149,7 +154,7 @@ def regr_slope(t: Tables):
 @query("""SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) GROUP BY 1 ORDER BY n DESC, token LIMIT 25""")
 def top_terms(t: Tables):
     """The 25 most frequent terms."""
-    return t.documents.select(F.explode(tokens(F.col("text"))).alias("token")).groupBy("token").agg(N.alias("n")).orderBy(F.col("n").desc(), "token").limit(25)
+    return t.documents.select(F.explode(tokens(F.col("text"))).alias("token")).groupBy("token").agg(row_count().alias("n")).orderBy(F.col("n").desc(), "token").limit(25)
 
 
 @query("""SELECT user_id, event_type AS most FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS rn FROM events GROUP BY 1, 2) WHERE rn = 1""")
@@ -162,7 +167,7 @@ def mode_value(t: Tables):
 def grouping_sets(t: Tables):
     """Grand total and totals by each dimension in one pass."""
     s, p = F.col("o_orderstatus"), F.col("o_orderpriority")
-    g = t.orders.groupingSets([[], [s], [p]], s, p).agg(N.alias("n"), F.sum(amount(F.col("o_totalprice"))).cast("double").alias("total"))
+    g = t.orders.groupingSets([[], [s], [p]], s, p).agg(row_count().alias("n"), F.sum(amount(F.col("o_totalprice"))).cast("double").alias("total"))
     return g.select(F.coalesce(s, F.lit("all")).alias("status"), F.coalesce(p, F.lit("all")).alias("priority"), "n", "total")
 
 
@@ -171,7 +176,7 @@ def coverage_ratio(t: Tables):
     """How much has its evidence."""
     found = t.labels.select(F.col("doc_id").alias("found"))
     rows = t.documents.join(found, F.col("doc_id") == F.col("found"), "left")
-    return rows.groupBy("lang").agg(N.alias("n"), F.count("found").alias("resolved"), ratio(F.count("found"), N).cast("double").alias("coverage"))
+    return rows.groupBy("lang").agg(row_count().alias("n"), F.count("found").alias("resolved"), ratio(F.count("found"), row_count()).cast("double").alias("coverage"))
 
 
 @query("""SELECT p_brand, CAST(sum(levenshtein(p_name, p_type)) AS BIGINT) AS edits, CAST(sum(length(p_name)) AS BIGINT) AS chars, CAST(round(CAST(sum(levenshtein(p_name, p_type)) AS DECIMAL(38,12)) / sum(length(p_name)), 4) AS DOUBLE) AS rate FROM part GROUP BY 1""")
@@ -188,20 +193,20 @@ def recall_by_category(t: Tables):
     pairs = F.array(*[F.struct(F.lit(k).alias("category"), F.lit(v).alias("term")) for k, vs in terms.items() for v in vs])
     rows = t.part.select("p_type", F.explode(pairs).alias("e"))
     hits = F.count_if(F.contains(F.col("p_type"), F.col("e.term")))
-    return rows.groupBy(F.col("e.category").alias("category")).agg(N.alias("n"), ratio(hits, N).cast("double").alias("recall"))
+    return rows.groupBy(F.col("e.category").alias("category")).agg(row_count().alias("n"), ratio(hits, row_count()).cast("double").alias("recall"))
 
 
 @query("""SELECT count(*) AS n, count(*) FILTER (WHERE toxic = 1 AND quality = 1) AS false_accepts, CAST(round(CAST(count(*) FILTER (WHERE toxic = 1 AND quality = 1) AS DECIMAL(38,12)) / NULLIF(count(*) FILTER (WHERE toxic = 1), 0), 4) AS DOUBLE) AS far, CAST(round(CAST(count(*) FILTER (WHERE toxic = 0 AND quality = 0) AS DECIMAL(38,12)) / NULLIF(count(*) FILTER (WHERE toxic = 0), 0), 4) AS DOUBLE) AS frr FROM labels""")
 def rate_gates(t: Tables):
     """False accept and reject rates."""
     x, q = F.col("toxic"), F.col("quality")
-    return t.labels.agg(N.alias("n"), F.count_if((x == 1) & (q == 1)).alias("false_accepts"), ratio(F.count_if((x == 1) & (q == 1)), F.count_if(x == 1)).cast("double").alias("far"), ratio(F.count_if((x == 0) & (q == 0)), F.count_if(x == 0)).cast("double").alias("frr"))
+    return t.labels.agg(row_count().alias("n"), F.count_if((x == 1) & (q == 1)).alias("false_accepts"), ratio(F.count_if((x == 1) & (q == 1)), F.count_if(x == 1)).cast("double").alias("far"), ratio(F.count_if((x == 0) & (q == 0)), F.count_if(x == 0)).cast("double").alias("frr"))
 
 
 @query("""SELECT o_orderpriority, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS ready, count(*) FILTER (WHERE o_totalprice < 10000) AS small FROM orders GROUP BY 1""")
 def conditional_counts(t: Tables):
     """G24, M09."""
-    return t.orders.groupBy("o_orderpriority").agg(N.alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("ready"), F.count_if(F.col("o_totalprice") < 10000).alias("small"))
+    return t.orders.groupBy("o_orderpriority").agg(row_count().alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("ready"), F.count_if(F.col("o_totalprice") < 10000).alias("small"))
 
 
 @query("""SELECT r_name, count(*) AS n, sha256(string_agg(n_nationkey || ':' || n_name, '|' ORDER BY n_nationkey)) AS fingerprint FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
@@ -209,19 +214,19 @@ def table_fingerprint(t: Tables):
     """Content hash that no order of rows changes (for groups of bounded size)."""
     rows = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
     items = F.sort_array(F.collect_list(F.struct("n_nationkey", F.concat_ws(":", "n_nationkey", "n_name").alias("x"))))
-    return rows.groupBy("r_name").agg(N.alias("n"), F.sha2(F.array_join(F.transform(items, lambda i: i["x"]), "|"), 256).alias("fingerprint"))
+    return rows.groupBy("r_name").agg(row_count().alias("n"), F.sha2(F.array_join(F.transform(items, lambda i: i["x"]), "|"), 256).alias("fingerprint"))
 
 
 def scalable_fingerprint(rows, *keys: str):
     """Order-free hash of groups of any size: sums of row hashes combine before the shuffle."""
     h = F.xxhash64(*rows.columns)
-    return rows.groupBy(*keys).agg(N.alias("n"), F.bit_xor(h).alias("xor"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("sum"))
+    return rows.groupBy(*keys).agg(row_count().alias("n"), F.bit_xor(h).alias("xor"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("sum"))
 
 
 @query("""SELECT o_custkey, strftime(o_orderdate, '%Y') AS year, count(*) AS n, max(o_orderkey) AS latest_key, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN 'same' ELSE 'changed' END AS reason FROM orders GROUP BY 1, 2 HAVING count(*) >= 2""")
 def duplicate_groups(t: Tables):
     """Groups of several versions, with the latest and whether they differ."""
-    g = t.orders.groupBy("o_custkey", F.date_format("o_orderdate", "yyyy").alias("year")).agg(N.alias("n"), F.max("o_orderkey").alias("latest_key"), F.min("o_orderstatus").alias("a"), F.max("o_orderstatus").alias("b"))
+    g = t.orders.groupBy("o_custkey", F.date_format("o_orderdate", "yyyy").alias("year")).agg(row_count().alias("n"), F.max("o_orderkey").alias("latest_key"), F.min("o_orderstatus").alias("a"), F.max("o_orderstatus").alias("b"))
     return g.filter("n >= 2").select("o_custkey", "year", "n", "latest_key", F.when(F.col("a") == F.col("b"), "same").otherwise("changed").alias("reason"))
 
 
@@ -229,7 +234,7 @@ def duplicate_groups(t: Tables):
 def dedupe_documents(t: Tables):
     """Copies by exact text, the row that stays and whether sources differ."""
     hashed = t.documents.select(F.sha2("text", 256).alias("text_hash"), "doc_id", "source")
-    g = hashed.groupBy("text_hash").agg(N.alias("n"), F.min("doc_id").alias("keep"), (F.min("source") != F.max("source")).alias("cross_source"))
+    g = hashed.groupBy("text_hash").agg(row_count().alias("n"), F.min("doc_id").alias("keep"), (F.min("source") != F.max("source")).alias("cross_source"))
     return g.filter("n > 1")
 
 
@@ -239,7 +244,7 @@ def count_expectations(t: Tables):
     expected = {"region": 5, "nation": 25, "customer": 1500}
     out = None
     for name, want in expected.items():
-        row = getattr(t, name).agg(N.alias("n")).select(F.lit(name).alias("name"), "n", (F.col("n") == want).alias("ok"))
+        row = getattr(t, name).agg(row_count().alias("n")).select(F.lit(name).alias("name"), "n", (F.col("n") == want).alias("ok"))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -247,7 +252,7 @@ def count_expectations(t: Tables):
 @query("""SELECT event_type, min(value) AS low, median(value) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS high, CAST(round(avg(CAST(value AS DECIMAL(18,4))), 4) AS DOUBLE) AS mean FROM events GROUP BY 1""")
 def elapsed_stats(t: Tables):
     """G29, G30."""
-    return t.events.groupBy("event_type").agg(F.min("value").alias("low"), F.median("value").alias("p50"), nearest_rank("value", 0.95).alias("p95"), nearest_rank("value", 0.99).alias("p99"), F.max("value").alias("high"), F.round(F.avg(VALUE), 4).cast("double").alias("mean"))
+    return t.events.groupBy("event_type").agg(F.min("value").alias("low"), F.median("value").alias("p50"), nearest_rank("value", 0.95).alias("p95"), nearest_rank("value", 0.99).alias("p99"), F.max("value").alias("high"), F.round(F.avg(value_amount()), 4).cast("double").alias("mean"))
 
 
 @query("""SELECT l_orderkey, l_returnflag, string_agg(l_linenumber || ':' || l_partkey, ';' ORDER BY l_linenumber, l_partkey) AS items, min(l_linenumber) AS first_line FROM lineitem GROUP BY 1, 2""")
@@ -267,13 +272,13 @@ def lateral_count(t: Tables):
 @query("""SELECT source, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1""")
 def source_order(t: Tables):
     """Tally of sources and their order of appearance."""
-    return t.documents.groupBy("source").agg(N.alias("n"), F.min("doc_id").alias("first_doc"))
+    return t.documents.groupBy("source").agg(row_count().alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 @query("""SELECT user_id, CAST(sum(CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(18,4)) ELSE 0 END) AS DOUBLE) AS used, count(*) FILTER (WHERE event_type = 'click') AS reserved, sum(CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(18,4)) ELSE 0 END) + count(*) FILTER (WHERE event_type = 'click') + 10 <= 1000 AS fits FROM events GROUP BY 1""")
 def ledger_balance(t: Tables):
     """Used, reserved and one more against a limit."""
-    used = F.sum(F.when(F.col("event_type") == "purchase", VALUE).otherwise(F.lit(0)))
+    used = F.sum(F.when(F.col("event_type") == "purchase", value_amount()).otherwise(F.lit(0)))
     reserved = F.count_if(F.col("event_type") == "click")
     return t.events.groupBy("user_id").agg(used.cast("double").alias("used"), reserved.alias("reserved"), (used + reserved + 10 <= 1000).alias("fits"))
 

@@ -10,7 +10,9 @@ from ledgerlake.operators.core import interval_overlap, latest, top_per_group
 
 from .registry import Tables, query
 
-PRICE = amount(F.col("l_extendedprice"))
+
+def line_price():
+    return amount(F.col("l_extendedprice"))
 
 
 @query("""SELECT n_name, o_orderstatus, count(*) AS n_lines, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, o_orderstatus""")
@@ -18,7 +20,7 @@ def fact_dim_chain(t: Tables):
     """Facts to their filing, company and country."""
     dims = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     rows = t.lineitem.join(dims, F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.groupBy("n_name", "o_orderstatus").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(PRICE).cast("double").alias("revenue"))
+    return rows.groupBy("n_name", "o_orderstatus").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(line_price()).cast("double").alias("revenue"))
 
 
 @query("""SELECT c_custkey, coalesce(o_orderpriority, 'none') AS priority, coalesce(o_totalprice, 0) AS total FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P'""")

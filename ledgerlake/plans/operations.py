@@ -10,14 +10,16 @@ from ledgerlake.operators.core import latest, top_per_group
 
 from .registry import Tables, query
 
-N = F.count(F.lit(1))
+
+def row_count():
+    return F.count(F.lit(1))
 
 
 @query("""SELECT p_brand, r_name, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""")
 def two_lookup_join(t: Tables):
     """Facts with their contexts and units. Facts are counted per pair of references before they
     meet the look-up tables, so those need not be broadcast whatever their size."""
-    facts = t.lineitem.groupBy("l_partkey", "l_suppkey").agg(N.alias("c"))
+    facts = t.lineitem.groupBy("l_partkey", "l_suppkey").agg(row_count().alias("c"))
     places = F.broadcast(t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name"))
     rows = facts.join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(places, F.col("s_nationkey") == F.col("n_nationkey"))
     return rows.groupBy("p_brand", "r_name").agg(F.sum("c").alias("n"))
@@ -26,7 +28,7 @@ def two_lookup_join(t: Tables):
 @query("""SELECT split_part(p_brand, '#', 1) AS prefix, count(*) AS n, count(DISTINCT p_brand) AS names FROM part GROUP BY 1""")
 def prefix_counts(t: Tables):
     """Counts by taxonomy prefix."""
-    return t.part.groupBy(F.split_part("p_brand", F.lit("#"), F.lit(1)).alias("prefix")).agg(N.alias("n"), F.countDistinct("p_brand").alias("names"))
+    return t.part.groupBy(F.split_part("p_brand", F.lit("#"), F.lit(1)).alias("prefix")).agg(row_count().alias("n"), F.countDistinct("p_brand").alias("names"))
 
 
 @query("""WITH a AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN text || ' ' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0) SELECT CASE WHEN b.h IS NULL THEN 'missing' WHEN a.h = b.h THEN 'ok' ELSE 'mismatch' END AS status, count(*) AS n FROM a LEFT JOIN b ON a.doc_id = b.doc_id GROUP BY 1""")
@@ -36,20 +38,20 @@ def mirror_check(t: Tables):
     a = t.documents.filter(k % 7 != 0).select(k, F.md5("text").alias("h"))
     b = t.documents.filter(k % 11 != 0).select(k, F.md5(F.when(k % 5 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))).alias("g"))
     status = F.when(F.col("g").isNull(), "missing").when(F.col("h") == F.col("g"), "ok").otherwise("mismatch")
-    return a.join(b, "doc_id", "left").groupBy(status.alias("status")).agg(N.alias("n"))
+    return a.join(b, "doc_id", "left").groupBy(status.alias("status")).agg(row_count().alias("n"))
 
 
 @query("""SELECT p_brand, count(*) AS candidates, count(l.k) AS recognised FROM part LEFT JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 48) l ON p_partkey = l.k GROUP BY 1""")
 def recognition_audit(t: Tables):
     """Candidates against recognised facts."""
     seen = t.lineitem.filter("l_quantity > 48").select(F.col("l_partkey").alias("k")).distinct()
-    return t.part.join(seen, F.col("p_partkey") == F.col("k"), "left").groupBy("p_brand").agg(N.alias("candidates"), F.count("k").alias("recognised"))
+    return t.part.join(seen, F.col("p_partkey") == F.col("k"), "left").groupBy("p_brand").agg(row_count().alias("candidates"), F.count("k").alias("recognised"))
 
 
 @query("""WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'only_new' WHEN b.k IS NULL THEN 'only_old' WHEN a.n = b.n THEN 'same' WHEN a.n > 1 AND b.n > 1 THEN 'duplicates' ELSE 'differs' END AS status FROM a FULL JOIN b ON a.k = b.k""")
 def identity_reconcile(t: Tables):
     """Two key sets by a ladder of states."""
-    side = lambda s, n: t.orders.filter(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("k")).agg(N.alias(n))
+    side = lambda s, n: t.orders.filter(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("k")).agg(row_count().alias(n))
     a, b = F.col("a"), F.col("b")
     status = F.when(a.isNull(), "only_new").when(b.isNull(), "only_old").when(a == b, "same").when((a > 1) & (b > 1), "duplicates").otherwise("differs")
     return side("F", "a").join(side("O", "b"), "k", "full").select("k", status.alias("status"))
@@ -116,7 +118,7 @@ def keyword_coverage(t: Tables):
     """Share of documents with a keyword."""
     low = F.lower("text")
     hit = low.contains("license") | low.contains("copyright")
-    share = F.round(F.try_divide(F.count_if(hit).cast("decimal(38,12)"), N.cast("decimal(38,12)")), 4)
+    share = F.round(F.try_divide(F.count_if(hit).cast("decimal(38,12)"), row_count().cast("decimal(38,12)")), 4)
     return t.documents.groupBy("lang").agg(share.cast("double").alias("coverage"))
 
 
@@ -149,7 +151,7 @@ def search_list(t: Tables):
 @query("""SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total, max(value) AS longest FROM events GROUP BY 1""")
 def latency_metrics(t: Tables):
     """M29, K16."""
-    return t.events.groupBy("event_type").agg(N.alias("n"), F.sum(amount(F.col("value"))).cast("double").alias("total"), F.max("value").alias("longest"))
+    return t.events.groupBy("event_type").agg(row_count().alias("n"), F.sum(amount(F.col("value"))).cast("double").alias("total"), F.max("value").alias("longest"))
 
 
 @query("""WITH y AS (SELECT o_orderpriority AS p, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1, 2) SELECT coalesce(a.p, b.p) AS priority, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM (SELECT * FROM y WHERE y = 1995) a FULL JOIN (SELECT * FROM y WHERE y = 1996) b ON a.p = b.p""")
@@ -165,13 +167,13 @@ def verify_by_group(t: Tables):
     """A verifier's results by market."""
     s = t.lineitem.groupBy("l_orderkey").agg(F.sum(amount(F.col("l_extendedprice"))).alias("s"))
     rows = t.orders.join(s, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return rows.groupBy("o_orderstatus").agg(N.alias("n"), F.count_if(F.abs(F.col("o_totalprice") - F.col("s")) <= 1).alias("verified"))
+    return rows.groupBy("o_orderstatus").agg(row_count().alias("n"), F.count_if(F.abs(F.col("o_totalprice") - F.col("s")) <= 1).alias("verified"))
 
 
 @query("""SELECT source, count(*) FILTER (WHERE regexp_matches(lower(text), 'test|example|fixture')) AS hits, count(*) AS n FROM documents GROUP BY 1""")
 def pattern_audit(t: Tables):
     """Rows that look like fixtures."""
-    return t.documents.groupBy("source").agg(F.count_if(F.lower("text").rlike("test|example|fixture")).alias("hits"), N.alias("n"))
+    return t.documents.groupBy("source").agg(F.count_if(F.lower("text").rlike("test|example|fixture")).alias("hits"), row_count().alias("n"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem l WHERE NOT (l_returnflag = 'N' AND EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey = l.l_orderkey AND x.l_returnflag = 'A'))""")

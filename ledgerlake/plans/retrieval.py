@@ -11,7 +11,11 @@ from ledgerlake.operators.retrieval import bm25 as bm25_scores, chunked, fused,
 
 from .registry import Tables, query
 
-N = F.count(F.lit(1))
+
+def row_count():
+    return F.count(F.lit(1))
+
+
 DOT = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))"
 
 
@@ -26,7 +30,7 @@ def vectors(t: Tables, *more: str):
 @query()
 def paragraph_packing(t: Tables):
     """Chunks of packed paragraphs with overlap."""
-    return chunked(t.documents).groupBy("doc_id").agg(N.alias("chunks"), F.max(F.length("chunk")).alias("longest"))
+    return chunked(t.documents).groupBy("doc_id").agg(row_count().alias("chunks"), F.max(F.length("chunk")).alias("longest"))
 
 
 @query("""SELECT doc_id, i AS chunk, substr(text, i * 800 + 1, 900) AS text FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(CAST(ceil((length(text) - 100) / 800.0) AS BIGINT), 1) - 1)) AS i FROM documents WHERE length(text) > 20)""")

@@ -28,19 +28,22 @@ def normalize_label(t: Tables):
 
 UNITS = ["HK$ million", "RMB thousand", "KRW 100 million", "US$ billion", "plain"]
 UNIT_SQL = "['HK$ million', 'RMB thousand', 'KRW 100 million', 'US$ billion', 'plain'][CAST(p_partkey % 5 AS INT) + 1]"
-UNIT = F.element_at(F.array(*[F.lit(u) for u in UNITS]), (F.col("p_partkey") % 5 + 1).cast("int"))
+
+
+def unit_text():
+    return F.element_at(F.array(*[F.lit(u) for u in UNITS]), (F.col("p_partkey") % 5 + 1).cast("int"))
 
 
 @query(f"""WITH u AS (SELECT p_partkey, lower({UNIT_SQL}) AS u FROM part) SELECT p_partkey, CASE WHEN contains(u, '100 million') THEN 1e8 WHEN contains(u, 'billion') THEN 1e9 WHEN contains(u, 'million') THEN 1e6 WHEN contains(u, 'thousand') THEN 1e3 ELSE 1 END::DOUBLE AS scale FROM u""")
 def infer_scale(t: Tables):
     """scale of a unit text, longest wording first."""
-    return t.part.select("p_partkey", scale_of(UNIT).alias("scale"))
+    return t.part.select("p_partkey", scale_of(unit_text()).alias("scale"))
 
 
 @query(f"""WITH u AS (SELECT p_partkey, lower({UNIT_SQL}) AS u FROM part) SELECT p_partkey, CASE WHEN contains(u, 'hk$') THEN 'HKD' WHEN contains(u, 'us$') THEN 'USD' WHEN contains(u, 'rmb') THEN 'CNY' WHEN contains(u, 'krw') THEN 'KRW' END AS currency FROM u""")
 def infer_currency(t: Tables):
     """F06."""
-    return t.part.select("p_partkey", currency_of(UNIT).alias("currency"))
+    return t.part.select("p_partkey", currency_of(unit_text()).alias("currency"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_retailprice WHEN 1 THEN p_retailprice * 1000 ELSE NULL END AS standardized, CASE p_partkey % 3 WHEN 2 THEN 'per_share' ELSE 'amount' END AS kind FROM part""")

@@ -10,7 +10,9 @@ from ledgerlake.sources.html import page_tables
 
 from .registry import Tables, query
 
-N = F.count(F.lit(1))
+
+def row_count():
+    return F.count(F.lit(1))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
@@ -52,7 +54,7 @@ def unpivot_lineitem(t: Tables):
 @query()
 def html_tables(t: Tables):
     """Number of tables and cells of each page."""
-    cells = page_tables(t.pages).groupBy("page_id").agg(F.countDistinct("table_index").alias("tables"), N.alias("cells"))
+    cells = page_tables(t.pages).groupBy("page_id").agg(F.countDistinct("table_index").alias("tables"), row_count().alias("cells"))
     return t.pages.select("page_id").join(cells, "page_id", "left").na.fill(0, ["tables", "cells"])
 
 
@@ -95,7 +97,7 @@ def rebind_keys(t: Tables):
     """Identities mapped to others by a small table."""
     mapped = t.spark.createDataFrame([(1, 101), (2, 101), (7, 107)], "old int, new int")
     rows = t.customer.join(F.broadcast(mapped), F.col("c_nationkey") == F.col("old"), "left")
-    return rows.groupBy(F.coalesce("new", "c_nationkey").alias("nation")).agg(N.alias("n"))
+    return rows.groupBy(F.coalesce("new", "c_nationkey").alias("nation")).agg(row_count().alias("n"))
 
 
 def retention(rows, cutoff: str | None, time: str, ids: list | None = None, id_col: str = "event_id"):
@@ -112,7 +114,7 @@ def retention(rows, cutoff: str | None, time: str, ids: list | None = None, id_c
 def retention_candidates(t: Tables):
     """K08, ST12."""
     first = t.events.agg(F.date_format(F.date_trunc("day", F.min("ts")) + F.expr("INTERVAL 10 DAYS"), "yyyy-MM-dd HH:mm:ss")).first()[0]
-    return retention(t.events, first, "ts", [9999, 9998]).groupBy("event_type").agg(N.alias("n"))
+    return retention(t.events, first, "ts", [9999, 9998]).groupBy("event_type").agg(row_count().alias("n"))
 
 
 @query("""SELECT s_suppkey, s_acctbal >= 0 AS allowed FROM supplier""")

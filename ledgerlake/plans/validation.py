@@ -12,15 +12,20 @@ from ledgerlake.operators.rules import alerts, checked, first_formula
 
 from .registry import Tables, query
 
-N = F.count(F.lit(1))
-PRICE = amount(F.col("l_extendedprice"))
+
+def row_count():
+    return F.count(F.lit(1))
+
+
+def line_price():
+    return amount(F.col("l_extendedprice"))
 
 
 def bridge_rows(t: Tables):
     """The latest order of each customer and the sum of its lines, beside its stated total."""
     last = latest(t.orders, ["o_custkey"], [F.col("o_orderdate").desc_nulls_last(), F.col("o_orderkey").desc()]).select("o_custkey", "o_orderkey", "o_totalprice")
     dims = last.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
-    lines = t.lineitem.groupBy("l_orderkey").agg(F.sum(PRICE).alias("lines"))
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.sum(line_price()).alias("lines"))
     rows = dims.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return rows.select("n_name", "o_orderkey", bridge(amount(F.col("o_totalprice")), F.col("lines")).alias("status"))
 
@@ -32,7 +37,7 @@ c AS (SELECT n_name, o_orderkey, CASE WHEN lines IS NULL THEN 'warning' WHEN abs
 @query(f"{BRIDGE} SELECT n_name, status, count(*) AS n FROM c GROUP BY 1, 2")
 def bridge_status_by_nation(t: Tables):
     """The flagship: latest version, its dimensions, the accounting bridge, counts by country."""
-    return bridge_rows(t).groupBy("n_name", "status").agg(N.alias("n"))
+    return bridge_rows(t).groupBy("n_name", "status").agg(row_count().alias("n"))
 
 
 @query(f"{BRIDGE} SELECT o_orderkey, status FROM c")
@@ -43,8 +48,8 @@ def order_bridge(t: Tables):
 
 def statements(t: Tables):
     """A stand-in for filings: each order's lines as the items of a balance."""
-    item = lambda flag: F.sum(F.when(F.col("l_returnflag") == flag, PRICE))
-    g = t.lineitem.groupBy("l_orderkey").agg(item("A").alias("total_liabilities"), item("R").alias("total_equity"), item("N").alias("temporary_equity"), F.sum(PRICE).alias("sum"))
+    item = lambda flag: F.sum(F.when(F.col("l_returnflag") == flag, line_price()))
+    g = t.lineitem.groupBy("l_orderkey").agg(item("A").alias("total_liabilities"), item("R").alias("total_equity"), item("N").alias("temporary_equity"), F.sum(line_price()).alias("sum"))
     k = F.col("l_orderkey")
     return g.select("l_orderkey", "total_liabilities", "total_equity", "temporary_equity", F.when(k % 3 == 0, F.col("sum") * 2).otherwise(F.col("sum")).alias("total_assets"), F.when(k % 5 == 0, F.col("sum")).otherwise(F.col("sum") * 2).alias("liabilities_and_equity"))
 
@@ -61,14 +66,14 @@ def bridge_check(t: Tables):
 def bridge_signed(t: Tables):
     """Signed parts; here gross profit. Rules whose items are missing are skipped."""
     d = amount(F.col("l_discount"))
-    g = t.lineitem.groupBy("l_orderkey").agg(F.sum(PRICE).alias("revenue"), F.sum(PRICE * d).alias("cost_of_sales"), F.sum(PRICE * (1 - d)).alias("gross_profit"))
+    g = t.lineitem.groupBy("l_orderkey").agg(F.sum(line_price()).alias("revenue"), F.sum(line_price() * d).alias("cost_of_sales"), F.sum(line_price() * (1 - d)).alias("gross_profit"))
     return checked(g, ["l_orderkey"]).filter("rule_id = 'gross_profit'").select("l_orderkey", "status")
 
 
 @query("""WITH g AS (SELECT l_orderkey, l_returnflag AS source, count(*) AS n, sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS s FROM lineitem GROUP BY 1, 2), b AS (SELECT l_orderkey, source, row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(s - CAST(o_totalprice AS DECIMAL(18,4))), source) AS rn FROM g JOIN orders ON l_orderkey = o_orderkey) SELECT l_orderkey, source FROM b WHERE rn = 1""")
 def best_source_group(t: Tables):
     """The source whose own figures fit best."""
-    g = t.lineitem.groupBy("l_orderkey", F.col("l_returnflag").alias("source")).agg(F.sum(PRICE).alias("s"))
+    g = t.lineitem.groupBy("l_orderkey", F.col("l_returnflag").alias("source")).agg(F.sum(line_price()).alias("s"))
     rows = g.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     gap = F.abs(F.col("s") - amount(F.col("o_totalprice")))
     return rows.groupBy("l_orderkey").agg(F.min_by("source", F.struct(gap, "source")).alias("source"))
@@ -115,8 +120,8 @@ def alert_rules(t: Tables):
 @query("""SELECT lang, count(*) AS n, CAST(round(CAST(count(*) FILTER (WHERE n_chars > 500) AS DECIMAL(38,12)) / count(*), 4) AS DOUBLE) AS long_share, CAST(round(CAST(count(*) FILTER (WHERE contains(text, '!!')) AS DECIMAL(38,12)) / count(*), 4) AS DOUBLE) AS loud_share FROM documents GROUP BY 1""")
 def doc_quality(t: Tables):
     """V29."""
-    share = lambda test: ratio(F.count_if(test), N).cast("double")
-    return t.documents.groupBy("lang").agg(N.alias("n"), share(F.col("n_chars") > 500).alias("long_share"), share(F.col("text").contains("!!")).alias("loud_share"))
+    share = lambda test: ratio(F.count_if(test), row_count()).cast("double")
+    return t.documents.groupBy("lang").agg(row_count().alias("n"), share(F.col("n_chars") > 500).alias("long_share"), share(F.col("text").contains("!!")).alias("loud_share"))
 
 
 @query("""WITH a AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM benchmark), d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) SELECT item_id, count(*) AS n, count(d.w) AS found, CAST(round(CAST(count(d.w) AS DECIMAL(38,12)) / count(*), 4) AS DOUBLE) AS recall FROM a LEFT JOIN d ON a.w = d.w GROUP BY 1""")
@@ -124,21 +129,21 @@ def text_recall(t: Tables):
     """Share of the golden words that the parsed texts have."""
     gold = t.benchmark.select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
     seen = t.documents.select(F.explode(tokens(F.col("text"))).alias("w")).distinct().withColumn("found", F.lit(1))
-    return gold.join(seen, "w", "left").groupBy("item_id").agg(N.alias("n"), F.count("found").alias("found"), ratio(F.count("found"), N).cast("double").alias("recall"))
+    return gold.join(seen, "w", "left").groupBy("item_id").agg(row_count().alias("n"), F.count("found").alias("found"), ratio(F.count("found"), row_count()).cast("double").alias("recall"))
 
 
 @query("""SELECT conv_id, string_agg(role || ':' || length(text), '|' ORDER BY turn) AS whole, count(*) AS fragments FROM conversations GROUP BY 1""")
 def logical_tables(t: Tables):
     """Fragments assembled in order."""
     parts = F.sort_array(F.collect_list(F.struct("turn", F.concat_ws(":", "role", F.length("text")).alias("x"))))
-    return t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["x"]), "|").alias("whole"), N.alias("fragments"))
+    return t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["x"]), "|").alias("whole"), row_count().alias("fragments"))
 
 
 @query("""SELECT user_id, event_type, count(*) AS n, CASE WHEN count(*) > 1 + (SELECT count(*) FROM events) / 750.0 THEN 'high' ELSE 'usual' END AS level FROM events GROUP BY 1, 2""")
 def scope_separated(t: Tables):
     """Groups by scope against the mean of all."""
-    total = t.events.agg(N.alias("all"))
-    g = t.events.groupBy("user_id", "event_type").agg(N.alias("n")).join(F.broadcast(total))
+    total = t.events.agg(row_count().alias("all"))
+    g = t.events.groupBy("user_id", "event_type").agg(row_count().alias("n")).join(F.broadcast(total))
     return g.select("user_id", "event_type", "n", F.when(F.col("n") > 1 + F.col("all") / 750.0, "high").otherwise("usual").alias("level"))
 
 

@@ -10,7 +10,9 @@ from ledgerlake.operators.core import latest, top_per_group, upsert
 
 from .registry import Tables, query
 
-N = F.count(F.lit(1))
+
+def row_count():
+    return F.count(F.lit(1))
 
 
 @query("""SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC) AS rn FROM orders WHERE o_orderstatus <> 'P') WHERE rn = 1""")
@@ -31,7 +33,7 @@ def latest_per_two_keys(t: Tables):
 def count_over_limit(t: Tables):
     """A page beside the count of all; the count combines on the map side instead of a window over everything."""
     rows = t.orders.filter("o_orderstatus = 'P'")
-    total = rows.agg(N.alias("total"))
+    total = rows.agg(row_count().alias("total"))
     return rows.orderBy("o_orderkey").limit(20).select("o_orderkey").join(F.broadcast(total))
 
 
@@ -41,13 +43,16 @@ def yearly(t: Tables):
 
 
 YEARLY = "WITH y AS (SELECT c_nationkey, year(o_orderdate) AS year, sum(CAST(o_totalprice AS DECIMAL(18,4))) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
-BY_YEAR = Window.partitionBy("c_nationkey").orderBy("year")
+
+
+def by_year():
+    return Window.partitionBy("c_nationkey").orderBy("year")
 
 
 @query(f"""{YEARLY}, l AS (SELECT *, lag(revenue) OVER (PARTITION BY c_nationkey ORDER BY year) AS prev FROM y) SELECT c_nationkey, year, CAST(revenue AS DOUBLE) AS revenue, CASE WHEN prev = 0 THEN NULL ELSE CAST(revenue - prev AS DOUBLE) / CAST(abs(prev) AS DOUBLE) END AS growth FROM l""")
 def yoy_growth(t: Tables):
     """Change over the year before by its size."""
-    y = yearly(t).withColumn("prev", F.lag("revenue").over(BY_YEAR))
+    y = yearly(t).withColumn("prev", F.lag("revenue").over(by_year()))
     return y.select("c_nationkey", "year", F.col("revenue").cast("double").alias("revenue"), yoy(F.col("revenue"), F.col("prev"), negative_base=True).alias("growth"))
 
 
@@ -88,8 +93,8 @@ def topk_per_group(t: Tables):
 @query(f"""{YEARLY}, l AS (SELECT *, revenue < lag(revenue) OVER (PARTITION BY c_nationkey ORDER BY year) AS down FROM y), m AS (SELECT *, lag(down) OVER (PARTITION BY c_nationkey ORDER BY year) AS before FROM l) SELECT c_nationkey, year FROM m WHERE down AND before""")
 def consecutive_decline(t: Tables):
     """Two bad periods in a row."""
-    down = yearly(t).withColumn("down", F.col("revenue") < F.lag("revenue").over(BY_YEAR))
-    return down.withColumn("before", F.lag("down").over(BY_YEAR)).filter("down AND before").select("c_nationkey", "year")
+    down = yearly(t).withColumn("down", F.col("revenue") < F.lag("revenue").over(by_year()))
+    return down.withColumn("before", F.lag("down").over(by_year())).filter("down AND before").select("c_nationkey", "year")
 
 
 @query("""SELECT o_custkey, o_orderkey FROM (SELECT *, dense_rank() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate) DESC) AS dr FROM orders) WHERE dr = 1""")
@@ -130,7 +135,7 @@ def interpolate_gaps(t: Tables):
 @query(f"""{YEARLY}, l AS (SELECT *, lag(revenue) OVER (PARTITION BY c_nationkey ORDER BY year) AS prev, row_number() OVER (PARTITION BY c_nationkey ORDER BY year DESC) AS rn FROM y) SELECT c_nationkey, CASE WHEN prev IS NULL OR prev = 0 THEN 'unknown' WHEN CAST(revenue - prev AS DOUBLE) / CAST(abs(prev) AS DOUBLE) > 0.05 THEN 'up' WHEN CAST(revenue - prev AS DOUBLE) / CAST(abs(prev) AS DOUBLE) < -0.05 THEN 'down' ELSE 'flat' END AS trend FROM l WHERE rn = 1""")
 def trend_label(t: Tables):
     """Direction of the latest change."""
-    y = yearly(t).withColumn("prev", F.lag("revenue").over(BY_YEAR)).withColumn("rn", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.col("year").desc())))
+    y = yearly(t).withColumn("prev", F.lag("revenue").over(by_year())).withColumn("rn", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.col("year").desc())))
     g = F.try_divide((F.col("revenue") - F.col("prev")).cast("double"), F.abs("prev").cast("double"))
     return y.filter("rn = 1").select("c_nationkey", F.when(g.isNull(), "unknown").when(g > 0.05, "up").when(g < -0.05, "down").otherwise("flat").alias("trend"))
 
@@ -144,7 +149,7 @@ def sort_nulls_last(t: Tables):
 @query("""SELECT user_id, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY 1 ORDER BY n DESC, last_event DESC, user_id LIMIT 30""")
 def stable_multi_sort(t: Tables):
     """The order of several stable sorts in one."""
-    g = t.events.groupBy("user_id").agg(N.alias("n"), F.max("event_id").alias("last_event"))
+    g = t.events.groupBy("user_id").agg(row_count().alias("n"), F.max("event_id").alias("last_event"))
     return g.orderBy(F.col("n").desc(), F.col("last_event").desc(), "user_id").limit(30)
 
 
@@ -158,7 +163,7 @@ def next_eligible(t: Tables):
 @query("""SELECT text_hash, n FROM (SELECT md5(text) AS text_hash, count(*) AS n FROM documents GROUP BY 1) WHERE n > 1 ORDER BY n DESC, text_hash LIMIT 10""")
 def top_groups(t: Tables):
     """The largest groups of duplicates."""
-    return t.documents.groupBy(F.md5("text").alias("text_hash")).agg(N.alias("n")).filter("n > 1").orderBy(F.col("n").desc(), "text_hash").limit(10)
+    return t.documents.groupBy(F.md5("text").alias("text_hash")).agg(row_count().alias("n")).filter("n > 1").orderBy(F.col("n").desc(), "text_hash").limit(10)
 
 
 @query("""SELECT 'balance' AS kind, s_suppkey AS k, s_acctbal AS v FROM supplier UNION ALL SELECT 'account', c_custkey, c_acctbal FROM customer UNION ALL SELECT 'price', p_partkey, p_retailprice FROM part""")
