@@ -81,3 +81,30 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "chunk"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL").mapInPandas(run, "doc_id long, chunk_index int, chunk string")
+
+
+def embedded(rows: DataFrame, client, dimension: int, text_col: str = "text") -> DataFrame:
+    """An `embedding` column at length one from any client: a function of a list of texts that gives as many vectors.
+    It is called a batch at a time in the tasks; a vector of another length is an error."""
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        vectors = client([t or "" for t in texts])
+        if len(vectors) != len(texts) or any(len(v) != dimension for v in vectors):
+            raise ValueError(f"the client must give one vector of {dimension} numbers for each text")
+        return pd.Series([list(map(float, v)) for v in vectors])
+
+    return rows.withColumn("embedding", embed(F.col(text_col))).withColumn("embedding", unit(F.col("embedding")))
+
+
+def reranked(hits: DataFrame, query: str, client, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """Scores by an outside model: a function of (query, texts). Where it fails, the scores stay as they were."""
+
+    @F.pandas_udf("double")
+    def judge(texts: pd.Series, scores: pd.Series) -> pd.Series:
+        try:
+            return pd.Series(client(query, list(texts)), dtype=float)
+        except Exception:
+            return scores
+
+    return hits.withColumn(score_col, judge(F.col(text_col), F.col(score_col)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
+
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +64,24 @@ def check(spark: SparkSession, sql: str, allowed: set[str]) -> None:
         raise PolicyError("relation_not_allowed", ", ".join(outside))
 
 
+def rows_within(df: DataFrame, milliseconds: int | None = None) -> list:
+    """Collect a limited result; its jobs are cancelled when the time is over."""
+    context = df.sparkSession.sparkContext
+    tag = f"governed-{uuid.uuid4().hex}"
+    timer = threading.Timer(clamp(milliseconds, 1, MOST_MS, MOST_MS) / 1000, context.cancelJobsWithTag, [tag])
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        return df.collect()
+    except Exception as e:
+        if not timer.is_alive():
+            raise PolicyError("timeout") from e
+        raise
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)
+
+
 def governed_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame], limit: int | None = None) -> DataFrame:
     """The query's rows, limited; `tables` are all it may read."""
     check(spark, sql, set(tables))
