@@ -73,6 +73,7 @@ def vocabulary(sample: DataFrame, most: int = VOCABULARY) -> list[tuple[str, int
     """The words that tell, with 1 for those of toxic documents and 0 for those of others."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["word", "before", "toxic", "first"]
         for batch in batches:
             rows = []
             for text, label in zip(batch["text"], batch["label"]):
@@ -81,7 +82,10 @@ def vocabulary(sample: DataFrame, most: int = VOCABULARY) -> list[tuple[str, int
                 for w, before in dict.fromkeys(zip(words, ["", *words])):
                     rows.append((w, before, int(label > 0), int(w not in seen)))
                     seen.add(w)
-            yield pd.DataFrame(rows, columns=["word", "before", "toxic", "first"])
+                if len(rows) > 50_000:  # a text gives a row a word: not all of a batch's at once
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     sizes = {int(r["toxic"]): r["n"] for r in sample.groupBy((F.col("label") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:

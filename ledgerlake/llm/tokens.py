@@ -23,8 +23,8 @@ UNSAFE = re.compile(r" (?:[\s\x1c-\x1f\x85]|$)")
 _WORD = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([-.,;:!?*$%&#()]*)"
 #: Letters, then punctuation that no contraction has, perhaps the same again on a new line: pieces of a byte-level tokenizer.
 SIMPLE = re.compile(rf"{_WORD}(?:\n{_WORD})?").fullmatch
-#: Distinct parts that a worker remembers in each generation.
-REMEMBERED = 500_000
+#: Distinct parts, and pieces, that a worker remembers in each generation.
+PARTS, PIECES = 300_000, 200_000
 
 
 class ByteTokenizer:
@@ -40,8 +40,8 @@ class ByteTokenizer:
         if type(self.tokenizer.pre_tokenizer).__name__ != "ByteLevel" or self.tokenizer.normalizer is not None:
             raise ValueError(f"{path} is not a byte-level tokenizer without normal form")
         self.symbols = dict(enumerate(byte_symbols()))
-        self.pieces = Known(self._piece, REMEMBERED)
-        self.after = Known(self._after, REMEMBERED)
+        self.pieces = Known(self._piece, PIECES)
+        self.after = Known(self._after, PARTS)
 
     def _piece(self, piece: str) -> bytes:
         if piece.isascii() and piece != "\n":

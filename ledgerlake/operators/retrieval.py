@@ -35,13 +35,13 @@ def bm25(docs: DataFrame, terms: list[str], id_col: str, text_col: str, k1: floa
     """Scores over the pool `docs` for the query's terms, repeated terms counted again. Only postings of those terms
     leave the scan; the pool's size and mean length are one row."""
     words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("w"))
-    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean"))
+    stats = words.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean")).alias("s"))
     asked = {t: terms.count(t) for t in dict.fromkeys(terms)}
     found = lambda term: F.size(F.filter("w", lambda x: x == term))
     hits = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(n).alias("times"), found(t).alias("tf")) for t, n in asked.items()])
     tf = words.select("doc_id", F.size("w").alias("len"), F.explode(F.filter(hits, lambda h: h["tf"] > 0)).alias("h")).select("doc_id", "len", "h.*")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(F.broadcast(df), "term").join(F.broadcast(stats))  # one row a query term, and one row
+    scored = tf.join(F.broadcast(df), "term").withColumn("s", stats.scalar()).select("*", "s.n", "s.mean")  # one row a query term
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     return scored.groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score"))

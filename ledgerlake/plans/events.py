@@ -71,7 +71,7 @@ def tumbling_count(t: Tables):
 def expired_leases(t: Tables):
     """ST09: jobs whose heartbeat is too old, and those out of attempts."""
     now = t.events.agg(F.max(at_second()).alias("now"))
-    l = t.events.groupBy("user_id").agg(F.max("event_id").alias("job"), F.max(at_second()).alias("beat"), row_count().alias("attempts")).join(F.broadcast(now))
+    l = t.events.groupBy("user_id").agg(F.max("event_id").alias("job"), F.max(at_second()).alias("beat"), row_count().alias("attempts")).withColumn("now", now.scalar())
     return l.select("job", (F.col("now") - F.col("beat") > 3600).alias("expired"), (F.col("attempts") >= 70).alias("exhausted"))
 
 

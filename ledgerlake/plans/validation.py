@@ -143,7 +143,7 @@ def logical_tables(t: Tables):
 def scope_separated(t: Tables):
     """Groups by scope against the mean of all."""
     total = t.events.agg(row_count().alias("all"))
-    g = t.events.groupBy("user_id", "event_type").agg(row_count().alias("n")).join(F.broadcast(total))
+    g = t.events.groupBy("user_id", "event_type").agg(row_count().alias("n")).withColumn("all", total.scalar())
     return g.select("user_id", "event_type", "n", F.when(F.col("n") > 1 + F.col("all") / 750.0, "high").otherwise("usual").alias("level"))
 
 

@@ -31,10 +31,10 @@ def latest_per_two_keys(t: Tables):
 
 @query("SELECT o_orderkey, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS total FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 20")
 def count_over_limit(t: Tables):
-    """A page beside the count of all; the count combines on the map side instead of a window over everything."""
+    """A page beside the count of all, a scalar sub-query that combines on the map side, not a window over everything."""
     rows = t.orders.filter("o_orderstatus = 'P'")
     total = rows.agg(row_count().alias("total"))
-    return rows.orderBy("o_orderkey").limit(20).select("o_orderkey").join(F.broadcast(total))
+    return rows.orderBy("o_orderkey").limit(20).select("o_orderkey", total.scalar().alias("total"))
 
 
 def yearly(t: Tables):
