@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlake.llm import line_crf, ordinal, packing, simhash, substring
+from ledgerlake.llm import line_crf, ordinal, packing, similar, substring
 from ledgerlake.llm.common import table, written
 
 
@@ -24,8 +24,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.deduplicated(docs)
+    """One document of each group stays; linked are texts of a similarity of 0.8 or more in five-word shingles."""
+    return similar.deduplicated(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,23 +39,34 @@ RUN = 4096
 TILE = RUN // 2
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def normal_words(text: str | None) -> list[bytes]:
     """bytes.lower() lowers A-Z alone, and bytes.split() parts at the six separators."""
+    return text.encode().lower().split() if text else []
+
+
+def shingle_hashes(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of every shingle, repeats included."""
     from xxhash import xxh64_intdigest
 
-    words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(words))
-    set_bits, n = np.zeros(64, np.int64), len(words) - k + 1
-    for at in range(0, n, 65536):
-        a, b = starts[at : min(at + 65536, n)].tolist(), ends[at + k - 1 : min(at + 65536, n) + k - 1].tolist()
-        h = np.array([xxh64_intdigest(joined[i:j], SEED) for i, j in zip(a, b)], np.uint64)
-        set_bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(set_bits * 2 > n, bitorder="little").view("<u8")[0])
+    n = len(words) - k + 1
+    return np.array([xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts[:n].tolist(), ends[k - 1 :].tolist())], np.uint64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    set_bits = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        set_bits += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(set_bits * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return fingerprint_of(shingle_hashes(normal_words(text), shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,8 +92,8 @@ def _long(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, int]]:
-    """Index pairs of one run, sorted by group, that are of one group and within the radius."""
+def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, indexes i): the pairs (i, i + k) of one run, sorted by group, that are of one group and within the radius."""
     n = len(fps)
     bits = np.unpackbits(fps.view(np.uint64).astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
     planes = [int.from_bytes(row.tobytes(), "little") for row in np.packbits(bits.T, axis=1, bitorder="little")]
@@ -106,45 +117,70 @@ def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> Ite
             alive &= ~over
             if not alive:
                 break
-        while alive:
-            low = alive & -alive
-            i = low.bit_length() - 1
-            yield i, i + k
-            alive ^= low
-
-
-def _spanning(pairs: Iterator[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    parent, kept = list(range(n)), []
-    for a, b in pairs:
-        x, y = a, b
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        while parent[y] != y:
-            parent[y] = parent[parent[y]]
-            y = parent[y]
-        if x != y:
-            parent[x] = y
-            kept.append((a, b))
-    return kept
+        if alive:
+            raw = np.frombuffer(alive.to_bytes((n + 7) // 8, "little"), np.uint8)
+            yield k, np.flatnonzero(np.unpackbits(raw, bitorder="little"))
+
+
+def forests(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, roots: np.ndarray | None = None, known: set[tuple[int, int]] = frozenset(), count: int = 1) -> list[tuple[int, int]]:
+    """Pairs within the radius that make `count` spanning forests, no pair twice, in nearness of place.
+
+    roots: what is joined already, within each group; known: pairs that are not to be told again.
+    """
+    label = np.arange(len(fps)) if roots is None else pd.factorize(pd.MultiIndex.from_arrays([group, roots]))[0]
+    told: list[tuple[int, int]] = []
+    if count == 1 and not known:
+        apart = len(np.unique(label)) - len(np.unique(group))
+        for k, at in close_pairs(fps, group, radius):
+            for i in at[label[at] != label[at + k]].tolist():
+                if label[i] != label[i + k]:
+                    label[label == label[i + k]] = label[i]
+                    told.append((i, i + k))
+                    apart -= 1
+            if not apart:
+                break
+        return told
+    rest = [(i, i + k) for k, at in close_pairs(fps, group, radius) for i in at[label[at] != label[at + k]].tolist() if (i, i + k) not in known]
+    first = label
+    for _ in range(count):
+        label, left = first.copy(), []
+        for i, j in rest:
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                told.append((i, j))
+            else:
+                left.append((i, j))
+        rest = left
+        if not rest:
+            break
+    return told
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """distinct: fp, each once. Returns u, v: links whose components are those of all pairs within the radius."""
     masks = block_masks(radius)
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_long(m))) for m in masks])).alias("mask", "key"))
+    return links_within(distinct.select(F.col("fp").alias("node"), "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_long(m))) for m in masks])).alias("mask", "key")), radius)
+
+
+def links_within(keyed: DataFrame, radius: int, count: int = 1) -> DataFrame:
+    """keyed: node, fp, mask and key (both one: those that are compared); perhaps root and known, as in forests().
+
+    Returns u, v: nodes of `count` spanning forests of the pairs within the radius under each key.
+    """
+    more = [c for c in ("root", "known") if c in keyed.columns]
+    columns = ["node", "fp", "mask", "key", *more]
     crowded = written(keyed.groupBy("mask", "key").count().filter(F.col("count") > RUN).select("mask", "key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "crowded")
     one = F.lit(0).cast("int")
     if crowded.isEmpty():
-        tiled = keyed.select("fp", "mask", "key", one.alias("i"), one.alias("j"))
+        tiled = keyed.select(*columns, one.alias("i"), one.alias("j"))
     else:
         met = keyed.join(crowded, ["mask", "key"], "left")
-        tile = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+        tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
         others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 2), lambda x: x + F.when(x >= tile, 1).otherwise(0))
         pairs = F.when(F.col("tiles").isNull(), F.array(one)).otherwise(others)
         own = F.when(F.col("tiles").isNull(), one).otherwise(tile)
-        spread = met.select("fp", "mask", "key", own.alias("a"), F.explode(pairs).alias("b"))
-        tiled = spread.select("fp", "mask", "key", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
+        spread = met.select(*columns, own.alias("a"), F.explode(pairs).alias("b"))
+        tiled = spread.select(*columns, F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -157,7 +193,9 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             group, fps = np.cumsum(change), rows["fp"].to_numpy()
             # Fingerprints alone under their key have nobody to be compared with.
             crowd = np.bincount(group)[group] > 1
-            group, fps = group[crowd], fps[crowd]
+            group, fps, nodes = group[crowd], fps[crowd], rows["node"].to_numpy()[crowd]
+            roots = rows["root"].to_numpy()[crowd] if "root" in more else None
+            known = rows["known"].to_numpy()[crowd] if "known" in more else None
             found: list[tuple[int, int]] = []
             starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
             at = 0
@@ -167,8 +205,16 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
                     inside = starts[(starts > at) & (starts <= at + RUN)]
                     after = starts[starts > at]
                     end = int(inside[-1]) if len(inside) else int(after[0]) if len(after) else end
-                some = _spanning(close_pairs(fps[at:end], group[at:end], radius), end - at)
-                found += [(int(fps[at + a]), int(fps[at + b])) for a, b in some]
+                told: set[tuple[int, int]] = set()
+                if known is not None:
+                    place = {(g, node): i for i, (g, node) in enumerate(zip(group[at:end].tolist(), nodes[at:end].tolist()))}
+                    for i, (g, others) in enumerate(zip(group[at:end].tolist(), known[at:end])):
+                        for other in others if others is not None else ():
+                            j = place.get((g, int(other)), -1)
+                            if j > i:
+                                told.add((i, j))
+                some = forests(fps[at:end], group[at:end], radius, None if roots is None else roots[at:end], told, count)
+                found += [(int(nodes[at + a]), int(nodes[at + b])) for a, b in some]
                 at = end
             return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
@@ -183,7 +229,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         if held:
             yield compared(pd.concat(held))
 
-    sorted_rows = tiled.repartition("mask", "key", "i", "j").sortWithinPartitions("mask", "key", "i", "j", "fp")
+    sorted_rows = tiled.repartition("mask", "key", "i", "j").sortWithinPartitions("mask", "key", "i", "j", "fp", "node")
     return sorted_rows.mapInPandas(run, "u long, v long")
 
 
@@ -203,8 +249,13 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     found = written(groups(docs, shingle, radius), "groups")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     keep = found.groupBy("root").agg(F.min(key).alias("k")).select(F.col("k.id").alias("keep_id"), F.col("k.hash").alias("keep_hash"))
+    return only(docs, written(keep, "kept"))
+
+
+def only(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """keep: keep_id, keep_hash. The rows of docs with such an id and hash of the text, one each."""
     rows = docs.withColumn("_hash", F.xxhash64("text"))
-    kept = rows.join(written(keep, "kept"), rows["doc_id"].eqNullSafe(F.col("keep_id")) & (rows["_hash"] == F.col("keep_hash")), "left_semi")
+    kept = rows.join(keep, rows["doc_id"].eqNullSafe(F.col("keep_id")) & (rows["_hash"] == F.col("keep_hash")), "left_semi")
     once = Window.partitionBy("doc_id", "_hash").orderBy("_hash")
     return kept.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select(*docs.columns)
 

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerlake.llm import bpe, components, labelled, line_crf, ordinal, packing, quality_eb, sharding, simhash, sstable, substring, tokens, topk
+from ledgerlake.llm import bpe, components, labelled, line_crf, ordinal, packing, quality_eb, sharding, simhash, similar, sstable, substring, tokens, topk
 from ledgerlake.llm.common import fresh_dir, table
 from ledgerlake.llm.queries import oracle_sql, queries
 
@@ -259,6 +259,63 @@ def test_links_of_crowded_keys(spark, monkeypatch, run):
         assert got.get(simhash._long(f), simhash._long(f)) == min(own)
 
 
+def near_copies(seed, groups=6, copies=9):
+    """Texts and copies with more and more words changed: similarities on both sides of the threshold."""
+    r = np.random.default_rng(seed)
+    texts = []
+    for _ in range(groups):
+        base = [f"w{x}" for x in r.integers(0, 4000, size=int(r.integers(60, 260)))]
+        for c in range(copies):
+            words = list(base)
+            for at in r.integers(0, len(words), size=c * len(words) // 150):
+                words[at] = f"x{r.integers(0, 10**6)}"
+            texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("run", [4096, 8])
+def test_similar_against_brute_force(spark, monkeypatch, run):
+    monkeypatch.setattr(simhash, "RUN", run)
+    monkeypatch.setattr(simhash, "TILE", run // 2)
+    texts = near_copies(5)
+    docs = spark.createDataFrame([(i, t.upper() if i % 7 == 0 else t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    near = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            share = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            near += 0.6 < share < 0.8
+            if share >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert near > 20
+    assert sorted(r["doc_id"] for r in similar.deduplicated(docs).collect()) == sorted({find(i) for i in range(len(texts))})
+
+
+def test_forests_tell_every_pair_once():
+    fps = np.array([0, 1, 3, 7, 15, 1 << 40], np.int64)
+    group = np.zeros(6, np.int64)
+    close = {(i, j) for i in range(6) for j in range(i + 1, 6) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 3}
+    assert len(simhash.forests(fps, group, 3)) == 5
+    told = simhash.forests(fps, group, 3, count=10)
+    assert len(told) == len(set(told)) and set(told) == close
+    assert set(simhash.forests(fps, group, 3, roots=np.array([0, 0, 0, 0, 0, 5]), known={(0, 5)}, count=10)) == {p for p in close if p[1] == 5} - {(0, 5)}
+
+
+def test_similar_on_odd_and_empty_tables(odd_docs, no_docs):
+    kept = similar.deduplicated(odd_docs)
+    nodes = {tuple(WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))) for _, t in texts_of(odd_docs)}
+    assert kept.columns == odd_docs.columns and kept.count() == len(nodes)
+    assert similar.deduplicated(no_docs).collect() == []
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(40)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
