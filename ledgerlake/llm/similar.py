@@ -11,7 +11,7 @@ comparison of simhash abandons what is beyond the radius, and proposes a spannin
 
 Decision. Proposed pairs are checked on the whole sets of shingles. A pair that fails, and whose ends no other links
 have joined, could have hidden a pair that holds; so keys with such pairs are compared again, without the pairs that
-are known, for four times as many forests, until they propose nothing new. A key without such pairs has all its nodes
+are known, for sixteen times as many forests, until they propose nothing new. A key without such pairs has all its nodes
 within the radius joined, so nothing is left out, and no group is expanded into all its pairs unless all must be checked.
 
 Edge cases. Null, empty and wordless texts are one node. A text with fewer words than a shingle has one shingle, the
@@ -37,6 +37,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Two fingerprints at the similarity differ in 10 bits of 64 on average, with a deviation of 3.
 RADIUS = 20
+#: How many times as many forests each round proposes.
+MORE = 16
 #: Odd multipliers, one a minimum, and those that make one key of a band's minima.
 FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 FOLD = mixed(np.arange(1001, 1001 + ROWS, dtype=np.uint64)) | np.uint64(1)
@@ -112,6 +114,15 @@ def decided(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInPandas(run, "u long, v long, holds boolean")
 
 
+def joined(linked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """linked: node, root, smallest of their groups; the same after the links of pairs (u, v), of which roots alone take part."""
+    root = lambda end: linked.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    ends = pairs.join(root("u"), "u", "left").join(root("v"), "v", "left")
+    merged = written(components(ends.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))), "merged")
+    moved = linked.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return written(moved.unionByName(merged.join(linked, "node", "left_anti").select("node", "root")), "similar")
+
+
 def links(docs: DataFrame, found: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """found: nodes(). Returns node, root for every node that is linked to another; written."""
     keyed = found.select("node", "fp", F.posexplode("keys").alias("mask", "key"))
@@ -119,9 +130,9 @@ def links(docs: DataFrame, found: DataFrame, least: float = SIMILARITY, shingle:
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     sets = written(shingle_sets(docs, found.join(ends, "node").select("node", "first"), shingle), "shingle-sets")
     told = written(decided(pairs, sets, least), "decided")
+    linked = written(components(told.filter("holds").select("u", "v")), "similar")
     forests = 1
     while True:
-        linked = written(components(told.filter("holds").select("u", "v")), "similar")
         root = lambda end: linked.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
         failed = told.filter("not holds").join(root("u"), "u", "left").join(root("v"), "v", "left")
         apart = failed.filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
@@ -130,7 +141,7 @@ def links(docs: DataFrame, found: DataFrame, least: float = SIMILARITY, shingle:
         hidden = written(shared.distinct(), "open-keys")
         if hidden.isEmpty():
             return linked
-        forests *= 4
+        forests *= MORE
         known = told.filter("not holds").select(F.col("u").alias("node"), F.col("v").alias("other"))
         known = known.union(known.select("other", "node")).groupBy("node").agg(F.collect_set("other").alias("known"))
         again = keyed.join(hidden, "key", "left_semi").join(linked, "node", "left").join(known, "node", "left")
@@ -139,7 +150,9 @@ def links(docs: DataFrame, found: DataFrame, least: float = SIMILARITY, shingle:
         new = written(new.join(told, ["u", "v"], "left_anti"), "proposed")
         if new.isEmpty():
             return linked
-        told = written(told.unionByName(decided(new, sets, least)), "decided")
+        new = written(decided(new, sets, least), "decided")
+        told = told.unionByName(new)
+        linked = joined(linked, new.filter("holds"))
 
 
 def representatives(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
