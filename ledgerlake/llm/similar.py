@@ -7,12 +7,13 @@ links are closed to groups, of which one document stays.
 Candidates. At this similarity fingerprints lie up to RADIUS bits apart, too far for keys made of fingerprint blocks. So
 nodes meet under BANDS keys of ROWS minima each (of the shingles' hashes under one multiplier each): at a similarity of
 0.8 two nodes share a key with a chance of 0.9996, at 0.5 of 0.47, at 0.2 of under 0.01. Under each key the bit-sliced
-comparison of simhash abandons what is beyond the radius, and proposes a spanning forest of the rest.
+comparison of simhash abandons what is beyond the radius, and proposes a spanning forest of the rest. Fingerprints and
+keys are both over the set of shingles, which decides. Proposed pairs are checked on the whole sets.
 
-Decision. Proposed pairs are checked on the whole sets of shingles. A pair that fails, and whose ends no other links
-have joined, could have hidden a pair that holds; so keys with such pairs are compared again, without the pairs that
-are known, for sixteen times as many forests, until they propose nothing new. A key without such pairs has all its nodes
-within the radius joined, so nothing is left out, and no group is expanded into all its pairs unless all must be checked.
+Rest. What the radius, the keys or a forest can miss is found exactly. Two sets of the similarity share one of each one's
+first shingles (prefix_size() of them) in any order that is the same for all; here rare ones come first. Nodes that
+share such a shingle and are not yet of one group are compared on their whole sets, in one task a shingle (crowded ones
+in pairs of tiles), and only links that hold leave the task. Shingles that stand in the same nodes are compared once.
 
 Edge cases. Null, empty and wordless texts are one node. A text with fewer words than a shingle has one shingle, the
 whole sequence. The row of the smallest id stays (null last), of equal ids that of the smallest text hash; of rows that
@@ -37,8 +38,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Two fingerprints at the similarity differ in 10 bits of 64 on average, with a deviation of 3.
 RADIUS = 20
-#: How many times as many forests each round proposes.
-MORE = 16
+#: Shingles counted as common: of one text in SAMPLED, those most often seen. They set the order alone, not the result.
+COMMON, SAMPLED = 100_000, 8
+#: Bytes of sets that a tile of a crowded shingle holds, about.
+TILE_BYTES = 4 << 20
 #: Odd multipliers, one a minimum, and those that make one key of a band's minima.
 FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 FOLD = mixed(np.arange(1001, 1001 + ROWS, dtype=np.uint64)) | np.uint64(1)
@@ -54,19 +57,23 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return mixed((least.reshape(BANDS, ROWS) * FOLD).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
+def text_key(words: list[bytes]) -> tuple[int, int]:
+    from xxhash import xxh128_intdigest
+
+    high, low = divmod(xxh128_intdigest(b" ".join(words)), 1 << 64)
+    return high - (1 << 63), low - (1 << 63)
+
+
 def nodes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One row a distinct word sequence: node, fp, keys, first (the row that stands for it); written."""
+    """One row a distinct word sequence: node, high and low (its hash), fp, keys, first (the row that stands for it); written."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from xxhash import xxh128_intdigest
-
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 words = normal_words(text)
-                h = shingle_hashes(words, shingle)
-                high, low = divmod(xxh128_intdigest(b" ".join(words)), 1 << 64)
-                rows.append((high - (1 << 63), low - (1 << 63), fingerprint_of(h), band_keys(np.unique(h))))
+                h = np.unique(shingle_hashes(words, shingle))
+                rows.append((*text_key(words), fingerprint_of(h), band_keys(h)))
             out = pd.DataFrame(rows, columns=["high", "low", "fp", "keys"])
             out["fp"] = np.array([r[2] for r in rows], np.uint64).view(np.int64)
             out.insert(0, "text_hash", batch["text_hash"].to_numpy())
@@ -78,7 +85,7 @@ def nodes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col("text_hash").alias("hash"))
     distinct = signed.groupBy("high", "low").agg(F.min(first).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     # Numbers are written with the rows, once: what reads the table agrees on them.
-    return written(distinct.select(F.monotonically_increasing_id().alias("node"), "fp", "keys", "first"), "nodes")
+    return written(distinct.select(F.monotonically_increasing_id().alias("node"), "high", "low", "fp", "keys", "first"), "nodes")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -123,36 +130,122 @@ def joined(linked: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(moved.unionByName(merged.join(linked, "node", "left_anti").select("node", "root")), "similar")
 
 
+def prefix_size(n: int, least: float) -> int:
+    """So many of the first of a set of n: sets of the similarity `least` share `least` * n or more of them."""
+    return n - int(np.ceil(least * n - 1e-9)) + 1 if n else 0
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The COMMON shingles most often met in a sample of texts, sorted, and how often: of a fixed size at most."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                sets = [np.unique(shingle_hashes(normal_words(t), shingle)) for t in batch["text"].iloc[at : at + 200]]
+                yield pd.DataFrame({"h": np.concatenate(sets).view(np.int64)})
+
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").distinct()
+    met = some.mapInPandas(run, "h long").groupBy("h").count().filter("count > 1").orderBy(F.col("count").desc(), "h").limit(COMMON).toPandas()
+    h = met["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], met["count"].to_numpy(np.int64)[order]
+
+
+def prefixes(docs: DataFrame, found: DataFrame, least: float, shingle: int) -> DataFrame:
+    """node, size (of its set), token: each of the first shingles of every node; written."""
+    common, often = common_shingles(docs, shingle)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text in batch["text"]:
+                words = normal_words(text)
+                h = np.unique(shingle_hashes(words, shingle))
+                times = np.zeros(len(h), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    times = np.where(common[at] == h, often[at], 0)
+                rows.append((*text_key(words), len(h), h[np.lexsort((h, times))][: prefix_size(len(h), least)].view(np.int64)))
+            yield pd.DataFrame(rows, columns=["high", "low", "size", "tokens"])
+
+    signed = docs.select("text").mapInPandas(run, "high long, low long, size long, tokens array<long>").dropDuplicates(["high", "low"])
+    return written(signed.join(found.select("node", "high", "low"), ["high", "low"]).select("node", "size", F.explode("tokens").alias("token")), "prefixes")
+
+
+def links_that_hold(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links that join what pairs of the similarity `least` join among the nodes, of which those of one root are joined."""
+    label = pd.factorize(roots)[0]
+    sizes = np.array([len(s) for s in sets])
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    shingles = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner, mark = np.repeat(np.arange(len(sets)), sizes), np.zeros(int(shingles.max(initial=0)) + 1, bool)
+    told = []
+    # Of the pairs of two groups one end at least is outside the largest.
+    for i in np.flatnonzero(label != np.bincount(label).argmax()):
+        others = label != label[i]
+        if not others.any():
+            break
+        own = shingles[starts[i] : starts[i + 1]]
+        mark[own] = True
+        both = np.bincount(owner[mark[shingles]], minlength=len(sets))
+        mark[own] = False
+        for j in np.flatnonzero(others & (both / np.maximum(sizes[i] + sizes - both, 1) >= least)):
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                told.append((int(nodes[i]), int(nodes[j])))
+    return told
+
+
+def missed(docs: DataFrame, found: DataFrame, linked: DataFrame, least: float, shingle: int) -> DataFrame:
+    """u, v: links that hold and join groups of linked (node, root), enough to join all that pairs of `least` join."""
+    first = prefixes(docs, found, least, shingle)
+    ways = [F.bit_xor(F.xxhash64(F.lit(k), F.col("node"))).alias(f"x{k}") for k in (1, 2)]
+    met = first.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *ways).filter("n > 1").groupBy("n", "x1", "x2").agg(F.min("token").alias("token"))
+    posts = first.join(met.select("token"), "token").join(linked, "node", "left")
+    posts = written(posts.select("token", "node", "size", F.coalesce("root", "node").alias("root")), "postings")
+    tokens = posts.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.sum("size").alias("size")).filter("a < b")
+    tiles = F.ceil(F.col("size") * 8 / TILE_BYTES).cast("int")
+    open_posts = written(posts.drop("size").join(tokens.select("token", F.when(tiles > 2, tiles).otherwise(1).alias("tiles")), "token"), "open-postings")
+    sets = shingle_sets(docs, found.join(open_posts.select("node").distinct(), "node").select("node", "first"), shingle)
+    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: (x != tile) | (F.col("tiles") == 1))
+    spread = open_posts.select("token", "node", "root", tile.alias("a"), F.explode(others).alias("b"))
+    spread = spread.select("token", "node", "root", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def compared() -> list[tuple[int, int]]:
+            rows = pd.concat(held)
+            if rows["root"].nunique() < 2:
+                return []
+            return links_that_hold(rows["node"].to_numpy(), rows["root"].to_numpy(), [np.frombuffer(s, np.uint64) for s in rows["shingles"]], least)
+
+        for batch in batches:
+            told: list[tuple[int, int]] = []
+            place = batch[["token", "i", "j"]].to_numpy()
+            edges = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
+            for at, end in zip([0, *edges.tolist()], [*edges.tolist(), len(batch)]):
+                if held and tuple(held[-1][["token", "i", "j"]].iloc[-1]) != tuple(place[at]):
+                    told += compared()
+                    held = []
+                held.append(batch.iloc[at:end])
+            yield pd.DataFrame(told, columns=["u", "v"], dtype="int64")
+        if held:
+            yield pd.DataFrame(compared(), columns=["u", "v"], dtype="int64")
+
+    rows = spread.join(sets, "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return rows.mapInPandas(run, "u long, v long").distinct()
+
+
 def links(docs: DataFrame, found: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """found: nodes(). Returns node, root for every node that is linked to another; written."""
     keyed = found.select("node", "fp", F.posexplode("keys").alias("mask", "key"))
     pairs = written(links_within(keyed, RADIUS).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "proposed")
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     sets = written(shingle_sets(docs, found.join(ends, "node").select("node", "first"), shingle), "shingle-sets")
-    told = written(decided(pairs, sets, least), "decided")
-    linked = written(components(told.filter("holds").select("u", "v")), "similar")
-    forests = 1
-    while True:
-        root = lambda end: linked.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-        failed = told.filter("not holds").join(root("u"), "u", "left").join(root("v"), "v", "left")
-        apart = failed.filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
-        keys = lambda end: found.select(F.col("node").alias(end), F.col("keys").alias(f"keys_{end}"))
-        shared = apart.join(keys("u"), "u").join(keys("v"), "v").select(F.explode(F.array_intersect("keys_u", "keys_v")).alias("key"))
-        hidden = written(shared.distinct(), "open-keys")
-        if hidden.isEmpty():
-            return linked
-        forests *= MORE
-        known = told.filter("not holds").select(F.col("u").alias("node"), F.col("v").alias("other"))
-        known = known.union(known.select("other", "node")).groupBy("node").agg(F.collect_set("other").alias("known"))
-        again = keyed.join(hidden, "key", "left_semi").join(linked, "node", "left").join(known, "node", "left")
-        again = again.select("node", "fp", "mask", "key", F.coalesce("root", "node").alias("root"), "known")
-        new = links_within(again, RADIUS, forests).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        new = written(new.join(told, ["u", "v"], "left_anti"), "proposed")
-        if new.isEmpty():
-            return linked
-        new = written(decided(new, sets, least), "decided")
-        told = told.unionByName(new)
-        linked = joined(linked, new.filter("holds"))
+    linked = written(components(decided(pairs, sets, least).filter("holds").select("u", "v")), "similar")
+    return joined(linked, written(missed(docs, found, linked, least, shingle), "missed"))
 
 
 def representatives(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:

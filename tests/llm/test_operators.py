@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on odd rows, on repeated and crowded ones, and on empty tables."""
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -309,6 +310,50 @@ def test_forests_tell_every_pair_once():
     assert set(simhash.forests(fps, group, 3, roots=np.array([0, 0, 0, 0, 0, 5]), known={(0, 5)}, count=10)) == {p for p in close if p[1] == 5} - {(0, 5)}
 
 
+def repeated_and_short_texts():
+    """Texts and copies with a line repeated in one of them only, and short texts with a copy of a word more or less."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    texts = []
+    for n, line, times in [(1000, 20, 20), (1000, 30, 50), (300, 12, 10)] * 8:
+        base = [word() for _ in range(n)]
+        texts += [" ".join(base), " ".join(base + [word() for _ in range(line)] * times)]
+    for shingles in list(range(5, 16)) * 6:
+        base = [word() for _ in range(shingles + 4)]
+        texts += [" ".join(base), " ".join([*base, word()]), " ".join([*base[:-1], word(), word()])]
+    return texts
+
+
+def test_similar_with_repeated_lines_and_few_shingles(spark):
+    from test_pipeline import smallest_of_similar
+
+    rows = [{"doc_id": i, "text": t} for i, t in enumerate(repeated_and_short_texts())]
+    docs = spark.createDataFrame([(x["doc_id"], x["text"]) for x in rows], "doc_id long, text string")
+    assert {x["doc_id"] for x in similar.deduplicated(docs).collect()} == smallest_of_similar(rows)
+
+
+@pytest.mark.parametrize("tile_bytes", [similar.TILE_BYTES, 2000])
+def test_what_the_proposals_miss_is_found(spark, monkeypatch, tile_bytes):
+    """Without any proposal the exact path alone finds every group, in one tile or in many."""
+    from test_pipeline import smallest_of_similar
+
+    monkeypatch.setattr(similar, "TILE_BYTES", tile_bytes)
+    r = random.Random(12)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(r.randrange(8)):
+            words[r.randrange(120)] = f"x{i}"
+        rows.append({"doc_id": i, "text": " ".join(words)})
+    docs = spark.createDataFrame([(x["doc_id"], x["text"]) for x in rows], "doc_id long, text string")
+    found = similar.nodes(docs)
+    nobody = spark.createDataFrame([], "node long, root long")
+    linked = similar.joined(nobody, similar.missed(docs, found, nobody, similar.SIMILARITY, similar.SHINGLE))
+    groups = found.join(linked, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first.id").alias("id"))
+    assert {x["id"] for x in groups.collect()} == smallest_of_similar(rows)
+
+
 def test_similar_on_odd_and_empty_tables(odd_docs, no_docs):
     kept = similar.deduplicated(odd_docs)
     nodes = {tuple(WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))) for _, t in texts_of(odd_docs)}
