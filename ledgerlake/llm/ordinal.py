@@ -5,7 +5,9 @@ a weighted sum over a vocabulary of log(1 + occurrences) of each word, and of th
 together: their number, and their number per word of text. The whole text is read; the output is the expected severity, the sum of P(grade >= k).
 
 The vocabulary is chosen by grouped aggregation over a bounded sample of labelled documents (SAMPLE): words whose
-presence tells toxic from other documents beyond chance (a likelihood ratio of EVIDENCE), VOCABULARY at most. A word must
+presence tells toxic from other documents beyond chance, VOCABULARY at most. What counts as chance follows the number of
+labels and words: a share of FALSE of the chosen words is expected to be there by chance (Benjamini and Hochberg's bound
+on the likelihood ratios' tail probabilities, over all words that are tested). A word must
 also stand behind about as many different words as it has documents: the words of one much copied document don't.
 Where labels have only two grades, those of toxic documents are parted in GRADES - 1 grades by how densely the words
 of the vocabulary stand in them. Weights are fitted on that sample by gradient ascent.
@@ -17,6 +19,7 @@ one; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,13 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, ids_back, table
+from .common import ids_and_texts, ids_back, table, written
 from .labelled import labelled_sample
 
 GRADES = 4
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 20_000
-VOCABULARY, EVIDENCE = 500, 30.0
+VOCABULARY, FALSE = 500, 0.05
 STEPS, RATE, NORM = 400, 0.1, 1e-3
 TOXIC_FROM = 0.5
 
@@ -69,6 +72,15 @@ def likelihood_ratio(a: np.ndarray, n: float, b: np.ndarray, m: float) -> np.nda
     return 2 * (part(a, n, a / n) + part(b, m, b / m) - part(a, n, both) - part(b, m, both))
 
 
+def beyond_chance(ratios: np.ndarray, tested: int, false: float = FALSE) -> float:
+    """The least ratio that counts: of the words from there on a share of `false` is expected by chance. ratios: the
+    largest of those of `tested` words."""
+    ratios = np.sort(ratios)[::-1]
+    chance = np.array([math.erfc(math.sqrt(max(r, 0.0) / 2)) for r in ratios])  # of chi-square with one degree of freedom
+    held = np.flatnonzero(chance <= false * np.arange(1, len(ratios) + 1) / tested)
+    return float(ratios[held[-1]]) if len(held) else math.inf
+
+
 def vocabulary(sample: DataFrame, most: int = VOCABULARY) -> list[tuple[str, int]]:
     """The words that tell, with 1 for those of toxic documents and 0 for those of others."""
 
@@ -97,12 +109,13 @@ def vocabulary(sample: DataFrame, most: int = VOCABULARY) -> list[tuple[str, int
     words = seen.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("a", "b", "in_a", "in_b")]).filter("2 * in_a >= a and 2 * in_b >= b")
     # A word that most tells ranks by how far its share of documents differs; only the best come to the driver.
     gap = F.abs(F.col("a") / n - F.col("b") / m) / F.sqrt((F.col("a") + F.col("b")) / (n + m))
-    found = words.filter("a + b >= 3").orderBy(gap.desc(), "word").limit(10 * most).toPandas()
+    words = written(words.filter("a + b >= 3"), "tested-words")
+    found = words.orderBy(gap.desc(), "word").limit(10 * most).toPandas()
     if found.empty:
         return []
     a, b = found["a"].to_numpy(float), found["b"].to_numpy(float)
     found["ratio"], found["toxic"] = likelihood_ratio(a, n, b, m), (a / n > b / m).astype(int)
-    found = found[found["ratio"] >= EVIDENCE].sort_values(["ratio", "word"], ascending=[False, True]).head(most)
+    found = found[found["ratio"] >= beyond_chance(found["ratio"].to_numpy(), words.count())].sort_values(["ratio", "word"], ascending=[False, True]).head(most)
     return list(zip(found["word"], found["toxic"].tolist()))
 
 

@@ -483,6 +483,24 @@ def test_ordinal_orders_grades_and_finds_held_out_labels(spark):
     assert toxic["expected_severity"].mean() > 1 > 5 * clean["expected_severity"].mean()
 
 
+@pytest.mark.parametrize("sf, least", [("sf0.001", 0.25), ("sf0.01", 0.6)])
+def test_ordinal_finds_held_out_labels_of_few(spark, sf, least):
+    docs, known = table(spark, f"/root/testdata/{sf}", "documents"), table(spark, f"/root/testdata/{sf}", "labels")
+    part, outs = F.pmod(F.xxhash64("doc_id"), F.lit(4)), []
+    for k in range(4):
+        model = ordinal.trained(docs, known.filter(part != k))
+        held = known.filter(part == k).select("doc_id", F.col("toxic").alias("label"))
+        outs.append(ordinal.scored(docs.join(held.select("doc_id"), "doc_id", "left_semi"), model).join(held, "doc_id").toPandas())
+    out = pd.concat(outs)
+    assert out[out["label"] == 0]["toxic"].mean() < 0.015 and out[out["label"] == 1]["toxic"].mean() > least
+
+
+def test_evidence_follows_the_number_of_words():
+    assert ordinal.beyond_chance(np.array([23.0, 13.0, 9.0]), 3) == 9.0
+    assert ordinal.beyond_chance(np.array([23.0, 13.0, 9.0]), 1600) == 23.0
+    assert ordinal.beyond_chance(np.array([3.0, 2.0]), 1600) == np.inf
+
+
 def test_ordinal_on_odd_and_empty_tables(odd_docs, no_docs, labels, no_labels):
     model = ordinal.trained(odd_docs, labels)
     assert ordinal.scored(odd_docs, model).count() == odd_docs.count()
