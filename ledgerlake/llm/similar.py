@@ -12,8 +12,9 @@ keys are both over the set of shingles, which decides. Proposed pairs are checke
 
 Rest. What the radius, the keys or a forest can miss is found exactly. Two sets of the similarity share one of each one's
 first shingles (prefix_size() of them) in any order that is the same for all; here rare ones come first. Nodes that
-share such a shingle and are not yet of one group are compared on their whole sets, in one task a shingle (crowded ones
-in pairs of tiles), and only links that hold leave the task. Shingles that stand in the same nodes are compared once.
+share such a shingle, are not yet of one group and are near enough in size are compared on their whole sets: those of a
+shingle of few nodes as pairs, each once; of more in one task a shingle (crowded ones in pairs of tiles), which only links
+that hold leave. Shingles that stand in the same nodes are compared once.
 
 Edge cases. Null, empty and wordless texts are one node. A text with fewer words than a shingle has one shingle, the
 whole sequence. The row of the smallest id stays (null last), of equal ids that of the smallest text hash; of rows that
@@ -42,6 +43,8 @@ RADIUS = 20
 COMMON, SAMPLED = 100_000, 8
 #: Bytes of sets that a tile of a crowded shingle holds, about.
 TILE_BYTES = 4 << 20
+#: A shingle of as many nodes gives its pairs as rows (each pair once, whatever it shares); those of more are compared in a task.
+FEW = 32
 #: Odd multipliers, one a minimum, and those that make one key of a band's minima.
 FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 FOLD = mixed(np.arange(1001, 1001 + ROWS, dtype=np.uint64)) | np.uint64(1)
@@ -203,13 +206,19 @@ def missed(docs: DataFrame, found: DataFrame, linked: DataFrame, least: float, s
     met = first.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *ways).filter("n > 1").groupBy("n", "x1", "x2").agg(F.min("token").alias("token"))
     posts = first.join(met.select("token"), "token").join(linked, "node", "left")
     posts = written(posts.select("token", "node", "size", F.coalesce("root", "node").alias("root")), "postings")
-    tokens = posts.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.sum("size").alias("size")).filter("a < b")
-    tiles = F.ceil(F.col("size") * 8 / TILE_BYTES).cast("int")
-    open_posts = written(posts.drop("size").join(tokens.select("token", F.when(tiles > 2, tiles).otherwise(1).alias("tiles")), "token"), "open-postings")
-    sets = shingle_sets(docs, found.join(open_posts.select("node").distinct(), "node").select("node", "first"), shingle)
+    tokens = posts.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("sizes")).filter("a < b")
+    tiles = F.ceil(F.col("sizes") * 8 / TILE_BYTES).cast("int")
+    open_posts = written(posts.join(tokens.select("token", "n", F.when(tiles > 2, tiles).otherwise(1).alias("tiles")), "token"), "open-postings")
+    few, many = open_posts.filter(F.col("n") <= FEW), open_posts.filter(F.col("n") > FEW)
+    end = lambda x: few.select("token", F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("size").alias(f"size_{x}"))
+    near = F.least("size_u", "size_v") >= F.greatest("size_u", "size_v") * least - 1e-9
+    pairs = end("u").join(end("v"), "token").filter((F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & near)
+    pairs = written(pairs.select("u", "v").distinct(), "few-pairs")
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).union(many.select("node")).distinct()
+    sets = written(shingle_sets(docs, found.join(ends, "node").select("node", "first"), shingle), "open-sets")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: (x != tile) | (F.col("tiles") == 1))
-    spread = open_posts.select("token", "node", "root", tile.alias("a"), F.explode(others).alias("b"))
+    spread = many.select("token", "node", "root", tile.alias("a"), F.explode(others).alias("b"))
     spread = spread.select("token", "node", "root", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,7 +244,8 @@ def missed(docs: DataFrame, found: DataFrame, linked: DataFrame, least: float, s
             yield pd.DataFrame(compared(), columns=["u", "v"], dtype="int64")
 
     rows = spread.join(sets, "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return rows.mapInPandas(run, "u long, v long").distinct()
+    held = decided(pairs, sets, least).filter("holds").select("u", "v")
+    return held.unionByName(rows.mapInPandas(run, "u long, v long")).distinct()
 
 
 def links(docs: DataFrame, found: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:

@@ -332,11 +332,12 @@ def test_similar_with_repeated_lines_and_few_shingles(spark):
     assert {x["doc_id"] for x in similar.deduplicated(docs).collect()} == smallest_of_similar(rows)
 
 
-@pytest.mark.parametrize("tile_bytes", [similar.TILE_BYTES, 2000])
-def test_what_the_proposals_miss_is_found(spark, monkeypatch, tile_bytes):
-    """Without any proposal the exact path alone finds every group, in one tile or in many."""
+@pytest.mark.parametrize("few, tile_bytes", [(similar.FEW, 2000), (1, 2000), (1, similar.TILE_BYTES), (100, 2000)])
+def test_what_the_proposals_miss_is_found(spark, monkeypatch, few, tile_bytes):
+    """Without any proposal the exact path alone finds every group: by pairs, in one tile or in many."""
     from test_pipeline import smallest_of_similar
 
+    monkeypatch.setattr(similar, "FEW", few)
     monkeypatch.setattr(similar, "TILE_BYTES", tile_bytes)
     r = random.Random(12)
     base = [f"w{r.randrange(10**6)}" for _ in range(120)]
