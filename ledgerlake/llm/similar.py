@@ -101,7 +101,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) ->
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
     met = wanted.join(texts, F.col("first.id").eqNullSafe(F.col("_id")) & (F.col("first.hash") == F.col("_hash")))
-    return met.select("node", "text").mapInPandas(run, "node long, shingles binary").dropDuplicates(["node"])
+    return met.select("node", "text").dropDuplicates(["node"]).mapInPandas(run, "node long, shingles binary")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
