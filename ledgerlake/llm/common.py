@@ -13,24 +13,38 @@ from pyspark.sql import functions as F
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
 
+#: Narrow rows that a file of an intermediate table of known size holds.
+FILE_ROWS = 200_000
+
+
 @cache
 def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="ledgerlake-")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset a local master (as in tests) gets one
+    of our own; on a cluster other executors could not read it, so it is an error there."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(base or 'file://' + _own_dir()).rstrip('/')}/ledgerlake"
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + _own_dir()
+    return f"{base.rstrip('/')}/ledgerlake"
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: later steps start from files that outlive any executor."""
+def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back: later steps start from files that outlive any executor.
+
+    rows: a known bound of its rows, narrow ones: as few tasks and files are made as have FILE_ROWS of them.
+    """
     path = fresh_dir(df.sparkSession, label)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

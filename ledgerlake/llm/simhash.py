@@ -122,36 +122,17 @@ def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> Ite
             yield k, np.flatnonzero(np.unpackbits(raw, bitorder="little"))
 
 
-def forests(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, roots: np.ndarray | None = None, known: set[tuple[int, int]] = frozenset(), count: int = 1) -> list[tuple[int, int]]:
-    """Pairs within the radius that make `count` spanning forests, no pair twice, in nearness of place.
-
-    roots: what is joined already, within each group; known: pairs that are not to be told again.
-    """
-    label = np.arange(len(fps)) if roots is None else pd.factorize(pd.MultiIndex.from_arrays([group, roots]))[0]
-    told: list[tuple[int, int]] = []
-    if count == 1 and not known:
-        apart = len(np.unique(label)) - len(np.unique(group))
-        for k, at in close_pairs(fps, group, radius):
-            for i in at[label[at] != label[at + k]].tolist():
-                if label[i] != label[i + k]:
-                    label[label == label[i + k]] = label[i]
-                    told.append((i, i + k))
-                    apart -= 1
-            if not apart:
-                break
-        return told
-    rest = [(i, i + k) for k, at in close_pairs(fps, group, radius) for i in at[label[at] != label[at + k]].tolist() if (i, i + k) not in known]
-    first = label
-    for _ in range(count):
-        label, left = first.copy(), []
-        for i, j in rest:
-            if label[i] != label[j]:
-                label[label == label[j]] = label[i]
-                told.append((i, j))
-            else:
-                left.append((i, j))
-        rest = left
-        if not rest:
+def forest(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Pairs within the radius that make a spanning forest of each group's links. Memory follows the run, not its pairs."""
+    label, told = np.arange(len(fps)), []
+    apart = len(fps) - len(np.unique(group))
+    for k, at in close_pairs(fps, group, radius):
+        for i in at[label[at] != label[at + k]].tolist():
+            if label[i] != label[i + k]:
+                label[label == label[i + k]] = label[i]
+                told.append((i, i + k))
+                apart -= 1
+        if not apart:
             break
     return told
 
@@ -162,13 +143,12 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return links_within(distinct.select(F.col("fp").alias("node"), "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_long(m))) for m in masks])).alias("mask", "key")), radius)
 
 
-def links_within(keyed: DataFrame, radius: int, count: int = 1) -> DataFrame:
-    """keyed: node, fp, mask and key (both one: those that are compared); perhaps root and known, as in forests().
+def links_within(keyed: DataFrame, radius: int) -> DataFrame:
+    """keyed: node, fp, mask and key (both one: those that are compared).
 
-    Returns u, v: nodes of `count` spanning forests of the pairs within the radius under each key.
+    Returns u, v: nodes of a spanning forest of the pairs within the radius under each key.
     """
-    more = [c for c in ("root", "known") if c in keyed.columns]
-    columns = ["node", "fp", "mask", "key", *more]
+    columns = ["node", "fp", "mask", "key"]
     crowded = written(keyed.groupBy("mask", "key").count().filter(F.col("count") > RUN).select("mask", "key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "crowded")
     one = F.lit(0).cast("int")
     if crowded.isEmpty():
@@ -194,8 +174,6 @@ def links_within(keyed: DataFrame, radius: int, count: int = 1) -> DataFrame:
             # Fingerprints alone under their key have nobody to be compared with.
             crowd = np.bincount(group)[group] > 1
             group, fps, nodes = group[crowd], fps[crowd], rows["node"].to_numpy()[crowd]
-            roots = rows["root"].to_numpy()[crowd] if "root" in more else None
-            known = rows["known"].to_numpy()[crowd] if "known" in more else None
             found: list[tuple[int, int]] = []
             starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
             at = 0
@@ -205,15 +183,7 @@ def links_within(keyed: DataFrame, radius: int, count: int = 1) -> DataFrame:
                     inside = starts[(starts > at) & (starts <= at + RUN)]
                     after = starts[starts > at]
                     end = int(inside[-1]) if len(inside) else int(after[0]) if len(after) else end
-                told: set[tuple[int, int]] = set()
-                if known is not None:
-                    place = {(g, node): i for i, (g, node) in enumerate(zip(group[at:end].tolist(), nodes[at:end].tolist()))}
-                    for i, (g, others) in enumerate(zip(group[at:end].tolist(), known[at:end])):
-                        for other in others if others is not None else ():
-                            j = place.get((g, int(other)), -1)
-                            if j > i:
-                                told.add((i, j))
-                some = forests(fps[at:end], group[at:end], radius, None if roots is None else roots[at:end], told, count)
+                some = forest(fps[at:end], group[at:end], radius)
                 found += [(int(nodes[at + a]), int(nodes[at + b])) for a, b in some]
                 at = end
             return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
@@ -234,13 +204,14 @@ def links_within(keyed: DataFrame, radius: int, count: int = 1) -> DataFrame:
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, fp, component_id for each document: a written table's join."""
+    """doc_id, text_hash, fp, root (of the component's fingerprints), component_id for each document."""
     fps = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    first = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    linked = written(components(links(first.select("fp"), radius)), "components").withColumnRenamed("node", "fp")
-    smallest = linked.join(first, "fp").groupBy("root").agg(F.min("first_id").alias("smallest"))
-    of_fp = first.join(linked.join(smallest, "root").select("fp", "root", "smallest"), "fp", "left")
-    known = written(of_fp.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("smallest")).alias("component_id")), "fingerprint-components")
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    linked = components(links(fps.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
+    known = first.join(linked, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    smallest = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # One row a fingerprint, whatever the number of its texts: the documents' side of this join may be split where it is hot.
+    known = known.join(smallest, "root").select("fp", "root", "component_id")
     return fps.join(known, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 

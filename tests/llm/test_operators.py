@@ -300,14 +300,25 @@ def test_similar_against_brute_force(spark, monkeypatch, run):
     assert sorted(r["doc_id"] for r in similar.deduplicated(docs).collect()) == sorted({find(i) for i in range(len(texts))})
 
 
-def test_forests_tell_every_pair_once():
+def test_forest_spans_what_is_close():
     fps = np.array([0, 1, 3, 7, 15, 1 << 40], np.int64)
-    group = np.zeros(6, np.int64)
-    close = {(i, j) for i in range(6) for j in range(i + 1, 6) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 3}
-    assert len(simhash.forests(fps, group, 3)) == 5
-    told = simhash.forests(fps, group, 3, count=10)
-    assert len(told) == len(set(told)) and set(told) == close
-    assert set(simhash.forests(fps, group, 3, roots=np.array([0, 0, 0, 0, 0, 5]), known={(0, 5)}, count=10)) == {p for p in close if p[1] == 5} - {(0, 5)}
+    told = simhash.forest(fps, np.zeros(6, np.int64), 3)
+    assert len(told) == 5 and all((int(fps[i]) ^ int(fps[j])).bit_count() <= 3 for i, j in told)
+    assert simhash.forest(fps, np.arange(6), 3) == []
+
+
+def test_forest_of_a_full_run_is_bounded():
+    """A run of RUN fingerprints, nearly all within the radius: a link each, and little memory."""
+    import tracemalloc
+
+    r = random.Random(3)
+    fps = np.unique(np.array([sum(1 << b for b in r.sample(range(40), r.randint(0, 4))) for _ in range(20_000)], np.int64))[: simhash.RUN]
+    assert len(fps) == simhash.RUN
+    tracemalloc.start()
+    told = simhash.forest(fps, np.zeros(len(fps), np.int64), 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(told) == len(fps) - 1 and peak < 64 << 20
 
 
 def repeated_and_short_texts():
