@@ -220,14 +220,19 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     found = written(groups(docs, shingle, radius), "groups")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     keep = found.groupBy("root").agg(F.min(key).alias("k")).select(F.col("k.id").alias("keep_id"), F.col("k.hash").alias("keep_hash"))
-    return only(docs, written(keep, "kept"))
+    return only(docs, keep)
 
 
 def only(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """keep: keep_id, keep_hash. The rows of docs with such an id and hash of the text, one each."""
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    kept = rows.join(keep, rows["doc_id"].eqNullSafe(F.col("keep_id")) & (rows["_hash"] == F.col("keep_hash")), "left_semi")
-    once = Window.partitionBy("doc_id", "_hash").orderBy("_hash")
+    """keep: keep_id, keep_hash. The rows of docs with such an id and hash of the text, one each.
+
+    Join and window share their keys, so texts are shuffled once.
+    """
+    keys = ["_sid", "_hash"]
+    sid = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit(""))
+    rows = docs.withColumns({"_sid": sid("doc_id"), "_hash": F.xxhash64("text")})
+    kept = rows.join(keep.select(sid("keep_id").alias("_sid"), F.col("keep_hash").alias("_hash")), keys, "left_semi")
+    once = Window.partitionBy(*keys).orderBy("_hash")
     return kept.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select(*docs.columns)
 
 

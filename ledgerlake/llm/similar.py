@@ -128,9 +128,9 @@ def joined(linked: DataFrame, pairs: DataFrame) -> DataFrame:
     """linked: node, root, smallest of their groups; the same after the links of pairs (u, v), of which roots alone take part."""
     root = lambda end: linked.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
     ends = pairs.join(root("u"), "u", "left").join(root("v"), "v", "left")
-    merged = written(components(ends.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))), "merged")
+    merged = components(ends.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v")))
     moved = linked.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return written(moved.unionByName(merged.join(linked, "node", "left_anti").select("node", "root")), "similar")
+    return moved.unionByName(merged.join(linked, "node", "left_anti").select("node", "root"))
 
 
 def prefix_size(n: int, least: float) -> int:
@@ -154,8 +154,8 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
     return h[order], met["count"].to_numpy(np.int64)[order]
 
 
-def prefixes(docs: DataFrame, found: DataFrame, least: float, shingle: int) -> DataFrame:
-    """node, size (of its set), token: each of the first shingles of every node; written."""
+def prefixes(docs: DataFrame, found: DataFrame, linked: DataFrame, least: float, shingle: int) -> DataFrame:
+    """node, root (of its group so far), size (of its set), token: each of the first shingles of every node; written."""
     common, often = common_shingles(docs, shingle)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,7 +172,8 @@ def prefixes(docs: DataFrame, found: DataFrame, least: float, shingle: int) -> D
             yield pd.DataFrame(rows, columns=["high", "low", "size", "tokens"])
 
     signed = docs.select("text").mapInPandas(run, "high long, low long, size long, tokens array<long>").dropDuplicates(["high", "low"])
-    return written(signed.join(found.select("node", "high", "low"), ["high", "low"]).select("node", "size", F.explode("tokens").alias("token")), "prefixes")
+    rooted = found.select("node", "high", "low").join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "high", "low")
+    return written(signed.join(rooted, ["high", "low"]).select("node", "root", "size", F.explode("tokens").alias("token")), "prefixes")
 
 
 def links_that_hold(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -201,14 +202,12 @@ def links_that_hold(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray]
 
 def missed(docs: DataFrame, found: DataFrame, linked: DataFrame, least: float, shingle: int) -> DataFrame:
     """u, v: links that hold and join groups of linked (node, root), enough to join all that pairs of `least` join."""
-    first = prefixes(docs, found, least, shingle)
+    first = prefixes(docs, found, linked, least, shingle)
     ways = [F.bit_xor(F.xxhash64(F.lit(k), F.col("node"))).alias(f"x{k}") for k in (1, 2)]
-    met = first.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *ways).filter("n > 1").groupBy("n", "x1", "x2").agg(F.min("token").alias("token"))
-    posts = first.join(met.select("token"), "token").join(linked, "node", "left")
-    posts = written(posts.select("token", "node", "size", F.coalesce("root", "node").alias("root")), "postings")
-    tokens = posts.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("sizes")).filter("a < b")
+    tokens = first.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b"), F.sum("size").alias("sizes"), *ways).filter("n > 1 AND a < b")
+    met = tokens.groupBy("n", "x1", "x2").agg(F.min("token").alias("token"), F.first("sizes").alias("sizes"))
     tiles = F.ceil(F.col("sizes") * 8 / TILE_BYTES).cast("int")
-    open_posts = written(posts.join(tokens.select("token", "n", F.when(tiles > 2, tiles).otherwise(1).alias("tiles")), "token"), "open-postings")
+    open_posts = written(first.join(met.select("token", "n", F.when(tiles > 2, tiles).otherwise(1).alias("tiles")), "token"), "open-postings")
     few, many = open_posts.filter(F.col("n") <= FEW), open_posts.filter(F.col("n") > FEW)
     end = lambda x: few.select("token", F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("size").alias(f"size_{x}"))
     near = F.least("size_u", "size_v") >= F.greatest("size_u", "size_v") * least - 1e-9
@@ -249,13 +248,13 @@ def missed(docs: DataFrame, found: DataFrame, linked: DataFrame, least: float, s
 
 
 def links(docs: DataFrame, found: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """found: nodes(). Returns node, root for every node that is linked to another; written."""
+    """found: nodes(). Returns node, root for every node that is linked to another."""
     keyed = found.select("node", "fp", F.posexplode("keys").alias("mask", "key"))
     pairs = written(links_within(keyed, RADIUS).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "proposed")
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     sets = written(shingle_sets(docs, found.join(ends, "node").select("node", "first"), shingle), "shingle-sets")
-    linked = written(components(decided(pairs, sets, least).filter("holds").select("u", "v")), "similar")
-    return joined(linked, written(missed(docs, found, linked, least, shingle), "missed"))
+    linked = components(decided(pairs, sets, least).filter("holds").select("u", "v"))
+    return joined(linked, missed(docs, found, linked, least, shingle))
 
 
 def representatives(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -268,4 +267,4 @@ def representatives(docs: DataFrame, least: float = SIMILARITY, shingle: int = S
 
 def deduplicated(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """One document of each group stays, with all its columns."""
-    return only(docs, written(representatives(docs, least, shingle), "kept"))
+    return only(docs, representatives(docs, least, shingle))
