@@ -34,8 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import ids_and_texts, ids_back, table
 
 TOKENIZER = "word_bpe_49k.json"
-#: Entries in each of the two generations of a worker's tables of known words, chunks and token pairs.
-REMEMBERED = 250_000
+#: Entries in each of the two generations of a worker's tables of known words, chunks and token pairs, and the longest
+#: key that is remembered, in characters.
+REMEMBERED, LONGEST = 150_000, 48
 #: Stands for the end of a word inside the automaton; a private-use character that byte symbols never use.
 END = ""
 #: White space to str.split() that is none to the tokenizer's pattern.
@@ -50,12 +51,17 @@ def byte_symbols() -> list[str]:
 
 
 class Known(dict):
-    """A bounded table: when the young generation is full it becomes the old one, and entries still in use move on."""
+    """A bounded table: when the young generation is full it becomes the old one, and entries still in use move on.
 
-    def __init__(self, make, most: int = REMEMBERED):
-        self.make, self.most, self.old = make, most, {}
+    Keys of more than `longest` characters are made anew each time, so bytes are bounded and not only entries.
+    """
+
+    def __init__(self, make, most: int = REMEMBERED, longest: int | None = LONGEST):
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, key):
+        if self.longest and len(key) > self.longest:
+            return self.make(key)
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
@@ -85,7 +91,7 @@ class PrefixBpe:
             halves.setdefault(made, (*pair, rank))
         self.halves = halves
         self.spines: dict[int, tuple] = {}
-        self.fits = Known(lambda key: self._apart(key >> 24, key & 0xFFFFFF))
+        self.fits = Known(lambda key: self._apart(key >> 24, key & 0xFFFFFF), longest=None)
         whole: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         self.size: dict[int, int] = {}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
 
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 #: Narrow rows that a file of an intermediate table of known size holds.
 FILE_ROWS = 200_000
 
@@ -42,6 +43,7 @@ def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
 
     rows: a known bound of its rows, narrow ones: as few tasks and files are made as have FILE_ROWS of them.
     """
+    small_batches(df.sparkSession)
     path = fresh_dir(df.sparkSession, label)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
@@ -49,7 +51,15 @@ def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few bytes for whole texts: what a Python worker and the executor beside it hold at a time. A value
+    that is set already stays."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,12 +1,9 @@
 """Token ids of the tokenizers library for whole texts, at the speed of a table look-up.
 
-A byte-level tokenizer cuts a text into pieces that it encodes one by one, and a single space always opens a new
-piece. Where each space stands alone, the parts between spaces can so be encoded apart; each distinct part goes to
-the library once and is remembered in a bounded per-worker table. A part of letters with punctuation behind it is
-two pieces (one without it), and one new line before more of the same is a piece too; they go straight to the
-library's model. Any other text goes to the library whole: one
-with two white-space characters in a row of which the first is a space, with a space at its end, or with the string
-of a special token.
+A byte-level tokenizer cuts a text into pieces that it encodes one by one. Texts of ordinary characters (PLAIN) are cut
+here by the same rule, said for those characters alone; each distinct piece goes to the library's model once and is
+remembered in a bounded per-worker table. Any other text, and one with the string of a special token, goes to the library
+whole.
 """
 
 from __future__ import annotations
@@ -18,13 +15,13 @@ from functools import lru_cache
 
 from .bpe import Known, byte_symbols
 
-#: Spaces that don't open a piece by themselves.
-UNSAFE = re.compile(r" (?:[\s\x1c-\x1f\x85]|$)")
-_WORD = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([-.,;:!?*$%&#()]*)"
-#: Letters, then punctuation that no contraction has, perhaps the same again on a new line: pieces of a byte-level tokenizer.
-SIMPLE = re.compile(rf"{_WORD}(?:\n{_WORD})?").fullmatch
-#: Distinct parts, and pieces, that a worker remembers in each generation.
-PARTS, PIECES = 300_000, 200_000
+#: Pieces that a worker remembers in each generation.
+PIECES = 150_000
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_SPACES = "\\t-\\r "
+#: ASCII without the separators 1C-1F, Latin letters, and signs that are neither letters, numbers nor white space.
+PLAIN = re.compile("[\x00-\x1b\x20-\x7e\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf-\u024f\u2010-\u2027\u2030-\u205e\u20ac]*").fullmatch
+CUT = re.compile(f" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^{_SPACES}{_LETTERS}0-9]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+").findall
 
 
 class ByteTokenizer:
@@ -37,34 +34,20 @@ class ByteTokenizer:
         self.tokenizer.no_truncation()
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special)) if special else None
-        if type(self.tokenizer.pre_tokenizer).__name__ != "ByteLevel" or self.tokenizer.normalizer is not None:
-            raise ValueError(f"{path} is not a byte-level tokenizer without normal form")
-        self.symbols = dict(enumerate(byte_symbols()))
+        cutter = self.tokenizer.pre_tokenizer
+        if type(cutter).__name__ != "ByteLevel" or not cutter.use_regex or cutter.add_prefix_space or self.tokenizer.normalizer is not None:
+            raise ValueError(f"{path} is not a byte-level tokenizer without normal form and prefix space")
+        self.model, self.symbols = self.tokenizer.model, dict(enumerate(byte_symbols()))
         self.pieces = Known(self._piece, PIECES)
-        self.after = Known(self._after, PARTS)
 
     def _piece(self, piece: str) -> bytes:
-        if piece.isascii() and piece != "\n":
-            shown = piece.replace(" ", self.symbols[32])
+        if piece.isascii() and piece[0] == " " and piece[1:].isalpha():
+            shown = self.symbols[32] + piece[1:]
         else:  # bytes as characters of the same number, then as the vocabulary's symbols
             shown = piece.encode().decode("latin-1").translate(self.symbols)
-        ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        ids = [t.id for t in self.model.tokenize(shown)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _after(self, part: str) -> bytes:
-        if not (m := SIMPLE(part)):
-            return self.direct(" " + part)
-        word, marks, next_word, next_marks = m.groups()
-        pieces = self.pieces
-        out = pieces[" " + word]
-        if marks:
-            out += pieces[marks]
-        if next_word:
-            out += pieces["\n"] + pieces[next_word]
-            if next_marks:
-                out += pieces[next_marks]
-        return out
-
     def direct(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -73,11 +56,10 @@ class ByteTokenizer:
         """ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if UNSAFE.search(text) or self.special is not None and self.special.search(text):
+        if not PLAIN(text) or self.special is not None and self.special.search(text):
             return self.direct(text)
-        first, *rest = text.split(" ")
-        after = self.after
-        return self.direct(first) + b"".join([after[part] for part in rest])
+        pieces = self.pieces
+        return b"".join([pieces[q] for q in CUT(text)])
 
 
 @lru_cache(2)
