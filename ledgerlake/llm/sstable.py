@@ -17,7 +17,7 @@ A key is a byte 1 and the id as big-endian 64 bits with the sign bit turned, or
 Look-ups test the Bloom filter, search the index for the block and the block's restarts for the key.
 
 Edge cases. Null text: only the end id. Null ids come first. Rows that repeat an id are entries of their own, in the
-order of their texts; a look-up returns all. Empty and very long texts are entries like any other. An empty table
+order of their texts' hashes, and may stand in several files; a look-up returns all. Empty and very long texts are entries like any other. An empty table
 gives no files and no rows. Extra columns are ignored.
 """
 
@@ -265,14 +265,17 @@ def write_tables(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = EN
         yield pd.DataFrame(made, columns=[c.split()[0] for c in MANIFEST.split(", ")]).astype({"first_id": "Int64", "last_id": "Int64"})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = ids_and_texts(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
+    # An id of any number of rows is split: ranges go by the text's hash and the row's place beside the id.
+    order = ["doc_id", "_hash", "_place"]
+    rows = rows.withColumns({"_hash": F.xxhash64("text"), "_place": F.monotonically_increasing_id()})
+    ordered = ids_and_texts(rows.repartitionByRange(*order).sortWithinPartitions(*order))
     return written(ordered.mapInPandas(run, MANIFEST), "sst-manifest")
 
 
 def read_tables(manifest: DataFrame, keep_ids: bool = True) -> DataFrame:
     """Every document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, path, ids."""
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # over files, not documents
-    based = manifest.select("part", "path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    based = manifest.select("part", "seq", "path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -295,25 +298,35 @@ def read_tables(manifest: DataFrame, keep_ids: bool = True) -> DataFrame:
         return pd.DataFrame(rows, columns=names[: 6 if keep_ids else 5])
 
     schema = "doc_id string, start long, n_tokens long, ids_crc32 long, path string" + (", ids binary" if keep_ids else "")
-    return ids_back(based.repartition("path").mapInPandas(run, schema))
+    # The manifest is small but the files are not: a task for each, which adaptive execution leaves alone.
+    return ids_back(based.repartitionByRange(max(1, manifest.count()), "part", "seq").select("path", "base").mapInPandas(run, schema))
 
 
 def lookup(manifest: DataFrame, keys: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """doc_id and ids of the asked documents: keys meet the files whose range holds them, each file is opened once a task."""
-    asked = keys.select(F.col(id_col).cast("long").alias("doc_id")).dropna().distinct()
-    paired = asked.join(manifest.select("path", "first_id", "last_id"), F.col("doc_id").between(F.coalesce("first_id", F.lit(-(1 << 63))), F.col("last_id")))
+    """doc_id and ids of the asked documents: a search in the files' ranges (one row a file) tells which files may hold a
+    key, and each file is opened once a task."""
+    files = manifest.select("part", "seq", "path", F.coalesce("first_id", F.lit(-(1 << 63))).alias("first"), F.coalesce("last_id", F.lit(-(1 << 63))).alias("last")).orderBy("part", "seq").toPandas()
+    paths, firsts, lasts = files["path"].tolist(), files["first"].to_numpy("int64"), files["last"].to_numpy("int64")
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = batch["doc_id"].to_numpy("int64")
+            spans = zip(keys.tolist(), lasts.searchsorted(keys, "left").tolist(), firsts.searchsorted(keys, "right").tolist())
+            yield pd.DataFrame([(k, i) for k, a, b in spans for i in range(a, b)], columns=["doc_id", "file"], dtype="int64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, part in batch.groupby("path"):
-                store, at = open_store(path)
+            for i, part in batch.groupby("file"):
+                store, at = open_store(paths[i])
                 with store.open_input_file(at) as source:
                     reader = TableReader(source)
                     rows = [(int(k), ids) for k in part["doc_id"] for ids in reader.get(int(k))]
                 if rows:
                     yield pd.DataFrame(rows, columns=["doc_id", "ids"])
 
-    return paired.repartition("path").sortWithinPartitions("path", "doc_id").select("path", "doc_id").mapInPandas(run, "doc_id long, ids binary")
+    asked = keys.select(F.col(id_col).cast("long").alias("doc_id")).dropna().distinct()
+    paired = asked.mapInPandas(dealt, "doc_id long, file int")
+    return paired.repartition(max(1, len(paths)), "file").sortWithinPartitions("file", "doc_id").mapInPandas(run, "doc_id long, ids binary")
 
 
 def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
