@@ -2,13 +2,13 @@
 
 Documents become pieces: one of at most a sequence's length is one piece, a longer one is cut so that every piece but
 the first fills a sequence by itself. Full pieces need no packing. The others are dealt by hash into groups of a
-few thousand, and each group is packed in one task: best fit, longest first, then local search. A second round takes
-the bins that are still underfull out of many groups and packs their pieces again together, so that a group's
-last bins are not lost.
+few thousand, and each group is packed in one task: best fit, longest first, then local search. Each further round takes
+the bins that are still underfull out of MERGED groups and packs their pieces again together, until one group is left.
 
 Local search works on the emptiest bin. It looks for the move of a document, the exchange of one for one, of two for
 one or of one for two with another underfull bin that raises the sum of squared fills most, makes it, and goes on
-until nothing raises the sum or the bin is empty and is gone. Every step raises the sum, so it ends.
+until nothing raises the sum or the bin is empty and is gone. Every step raises the sum, so it ends. No exchange of these
+kinds is left out: pairs are looked at by their sums, of which a bin has fewer than the length of a sequence.
 
 Edge cases. Null and empty texts are documents of the end id alone. Rows that repeat an id are packed as documents of
 their own. A text of any length is cut into as many pieces as it needs. Equal lengths go by id and start. An empty
@@ -32,10 +32,12 @@ from .tokens import loaded
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 LENGTH = 1024
-#: Pieces packed together, and groups whose underfull bins are packed together in the second round.
+#: Pieces packed together, and groups whose underfull bins are packed together in the next round.
 GROUP, MERGED = 4096, 32
-#: A bin with less room than this share of a sequence is left as it is by the second round.
+#: A bin with less room than this share of a sequence is left as it is by the later rounds.
 SLACK = 1 / 64
+#: Exchanges that are weighed at a time.
+CELLS = 1 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -85,62 +87,80 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     return bins
 
 
+def pair_sums(items: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int]]:
+    """(sum, item, item) for every sum of two of a bin's items, each sum once: of equal sizes the first two speak for all."""
+    order = np.argsort(sizes, kind="stable")
+    ends = np.flatnonzero(np.r_[True, sizes[order][1:] != sizes[order][:-1]]).tolist() + [len(order)]
+    firsts = [(int(sizes[order[i]]), int(items[order[i]]), int(items[order[i + 1]]) if j - i > 1 else -1) for i, j in zip(ends, ends[1:])]
+    found: dict[int, tuple[int, int]] = {}
+    for x, (size, item, again) in enumerate(firsts):
+        if again >= 0:
+            found.setdefault(2 * size, (item, again))
+        for other_size, other, _ in firsts[x + 1 :]:
+            found.setdefault(size + other_size, (item, other))
+    return [(total, *pair) for total, pair in found.items()]
+
+
+def best_exchange(amounts: np.ndarray, sums: np.ndarray, room: np.ndarray, ahead: np.ndarray) -> tuple[int, int, int]:
+    """The gain, and which of the amounts given for which of the sums taken: an exchange must fit into the room of the
+    sum's bin. ahead: how much fuller that bin is."""
+    best = (0, -1, -1)
+    step = max(1, CELLS // max(1, len(amounts)))
+    for at in range(0, len(sums), step):
+        more = amounts[:, None] - sums[None, at : at + step]
+        gain = np.where((more > 0) & (more <= room[at : at + step]), 2 * more * ahead[at : at + step] + 2 * more * more, 0)
+        k = int(gain.argmax()) if gain.size else 0
+        if gain.size and gain.flat[k] > best[0]:
+            best = (int(gain.flat[k]), k // gain.shape[1], at + k % gain.shape[1])
+    return best
+
+
 def local_search(bins: list[list[int]], sizes: list[int], length: int) -> list[list[int]]:
     """Empty the emptiest bins by moves and exchanges that raise the sum of squared fills."""
     fill = [sum(sizes[i] for i in b) for b in bins]
     full = [b for b, f in zip(bins, fill) if f == length]
     bins = [list(b) for b, f in zip(bins, fill) if f < length]
     fills = np.array([f for f in fill if f < length], dtype=np.int64)
-    stuck: set[int] = set()
     where = np.array([b for b, items in enumerate(bins) for _ in items], dtype=np.int64)
     item = np.array([i for items in bins for i in items], dtype=np.int64)
     size = np.array([sizes[i] for i in item], dtype=np.int64)
-    gone = np.zeros(len(bins), dtype=bool)
-    while True:
-        left = [b for b in np.flatnonzero(~gone) if b not in stuck]
-        if len(left) < 1 or (~gone).sum() < 2:
-            break
-        low = min(left, key=lambda b: (fills[b], b))
-        other = ~gone
-        other[low] = False
+    gone, stuck = np.zeros(len(bins), dtype=bool), np.zeros(len(bins), dtype=bool)
+    pairs: dict[int, list[tuple[int, int, int]]] = {}
+    table = None
+    while (~gone).sum() > 1 and (~gone & ~stuck).any():
+        if table is None:  # something has moved: pairs of the bins that changed are made anew
+            for b in np.flatnonzero(~gone).tolist():
+                if b not in pairs:
+                    own = np.flatnonzero(where == b)
+                    pairs[b] = pair_sums(own, size[own])
+            table = np.array([(total, x, y, b) for b in np.flatnonzero(~gone).tolist() for total, x, y in pairs[b]], dtype=np.int64).reshape(-1, 4)
+        low = int(np.where(gone | stuck, length + 1, fills).argmin())
+        room, ahead = length - fills, fills - fills[low]
+        room[gone] = -1
+        room[low] = -1
         mine = np.flatnonzero(where == low)
-        room = np.where(other, length - fills, -1)
+        singles, first = np.unique(size[mine], return_index=True)
+        gives = [(int(s), (int(mine[i]),)) for s, i in zip(singles, first)] + [(t, (x, y)) for t, x, y in pairs[low]]
+        amounts = np.array([a for a, _ in gives], dtype=np.int64)
         best, move = 0, None
-        gives = [(int(size[m]), (m,)) for m in mine]
-        gives += [(int(size[a] + size[b]), (a, b)) for x, a in enumerate(mine[:12]) for b in mine[x + 1 : 12]]
-        theirs = room[where] > 0
-        for amount, given in gives:
-            # Moves: the fullest bin with room gains most.
-            fits = np.flatnonzero(room >= amount)
-            if len(fits):
-                b = fits[np.argmax(fills[fits])]
-                gain = 2 * amount * int(fills[b] - fills[low]) + 2 * amount * amount
+        # Moves: a document, or two, to the fullest bin with room.
+        order = np.argsort(room, kind="stable")
+        at = np.searchsorted(room[order], amounts)
+        for (amount, given), k in zip(gives, at.tolist()):
+            if k < len(order):
+                b = int(order[k])
+                gain = 2 * amount * int(ahead[b]) + 2 * amount * amount
                 if gain > best:
                     best, move = gain, (given, (), b)
-            # Exchanges for one of theirs that is shorter by no more than their room.
-            more = amount - size
-            able = np.flatnonzero(theirs & (more > 0) & (more <= room[where]))
-            if len(able):
-                gains = 2 * more[able] * (fills[where[able]] - fills[low]) + 2 * more[able] ** 2
-                k = int(np.argmax(gains))
-                if gains[k] > best:
-                    best, move = int(gains[k]), (given, (able[k],), where[able[k]])
-        for m in mine:  # one of mine for two of theirs
-            more = int(size[m]) - size
-            able = np.flatnonzero(theirs & (more > 0))
-            able = able[np.lexsort((able, size[able], where[able]))]
-            same = where[able][1:] == where[able][:-1]
-            a, b = able[:-1][same], able[1:][same]
-            more = int(size[m]) - size[a] - size[b]
-            ok = (more > 0) & (more <= room[where[a]])
-            if ok.any():
-                a, b, more = a[ok], b[ok], more[ok]
-                gains = 2 * more * (fills[where[a]] - fills[low]) + 2 * more**2
-                k = int(np.argmax(gains))
-                if gains[k] > best:
-                    best, move = int(gains[k]), ((m,), (a[k], b[k]), where[a[k]])
+        # One or two of mine for one of theirs, and one of mine for two of theirs.
+        gain, g, t = best_exchange(amounts, size, room[where], ahead[where])
+        if gain > best:
+            best, move = gain, (gives[g][1], (t,), int(where[t]))
+        gain, g, t = best_exchange(singles, table[:, 0], room[table[:, 3]], ahead[table[:, 3]])
+        if gain > best:
+            best, move = gain, (gives[g][1], (int(table[t, 1]), int(table[t, 2])), int(table[t, 3]))
         if move is None:
-            stuck.add(low)
+            stuck[low] = True
             continue
         given, taken, to = move
         change = int(size[list(given)].sum() - (size[list(taken)].sum() if taken else 0))
@@ -150,7 +170,10 @@ def local_search(bins: list[list[int]], sizes: list[int], length: int) -> list[l
         fills[to] += change
         fills[low] -= change
         gone[low] |= fills[low] == 0
-        stuck.discard(to)
+        stuck[to] = False
+        table = None
+        for b in (low, to):
+            pairs.pop(b, None)
     kept: dict[int, list[int]] = {}
     for b, i in zip(where, item):
         kept.setdefault(int(b), []).append(int(i))
@@ -177,7 +200,8 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP, merged: in
     full = pieces.filter(F.col("length") >= length).select(*names, (F.monotonically_increasing_id() + (1 << 60)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     part = pieces.filter(F.col("length") < length).select(*names).withColumn("doc_id", F.col("doc_id").cast("string"))
     groups = max(1, -(-part.count() // group))
-    dealt = part.withColumn("group", F.pmod(F.xxhash64("doc_id", "ids_crc32", "length"), F.lit(groups)))
+    # Pieces are dealt by where they stand in the written table too, so that rows repeated any number of times spread out.
+    rows = part.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(round_id: int):
         def packed(rows: pd.DataFrame) -> pd.DataFrame:
@@ -188,13 +212,18 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP, merged: in
         return packed
 
     schema = PLACED.replace("doc_id long", "doc_id string") + ", group long, room long"
-    first = written(dealt.groupBy("group").applyInPandas(run(0), schema), "packed")
-    if groups == 1:
-        return full.unionByName(ids_back(first.drop("group", "room")))
-    loose = F.col("room") > int(length * SLACK)
-    again = first.filter(loose).select(*names, F.floor(F.col("group") / merged).alias("group"))
-    second = again.groupBy("group").applyInPandas(run(1), schema)
-    return full.unionByName(ids_back(first.filter(~loose).unionByName(second).drop("group", "room")))
+    most_tasks = max(200, 32 * pieces.sparkSession.sparkContext.defaultParallelism)
+    placed, round_id = full, 0
+    while True:
+        # The work follows the number of groups, not their bytes.
+        done = rows.repartition(min(groups, most_tasks), "group").groupBy("group").applyInPandas(run(round_id), schema)
+        if groups == 1:
+            return placed.unionByName(ids_back(done.drop("group", "room")))
+        done = written(done, "packed")
+        loose = F.col("room") > int(length * SLACK)
+        placed = placed.unionByName(ids_back(done.filter(~loose).drop("group", "room")))
+        rows = done.filter(loose).select(*names, F.floor(F.col("group") / merged).alias("group"))
+        groups, round_id = -(-groups // merged), round_id + 1
 
 
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

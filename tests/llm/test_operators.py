@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerlake.llm import bpe, components, labelled, line_crf, ordinal, packing, quality_eb, sharding, simhash, similar, sstable, substring, tokens, topk
-from ledgerlake.llm.common import fresh_dir, table
+from ledgerlake.llm.common import fresh_dir, table, written
 from ledgerlake.llm.queries import oracle_sql, queries
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -432,6 +432,78 @@ def test_packing_is_whole_and_tight(spark, odd_docs, no_docs, byte_tokenizer):
     assert packing.packed_documents(no_docs).collect() == []
 
 
+def test_pair_sums_name_every_sum_once():
+    sizes = np.array([5, 5, 3, 9, 3, 1], np.int64)
+    told = packing.pair_sums(np.arange(6), sizes)
+    assert sorted(t for t, _, _ in told) == sorted({int(sizes[i] + sizes[j]) for i in range(6) for j in range(i)})
+    assert all(x != y and sizes[x] + sizes[y] == t for t, x, y in told)
+
+
+def test_local_search_looks_beyond_the_first_documents():
+    """The emptiest bin has 20 documents; only two of the last ones together fit where the other bin has room."""
+    sizes = [40] * 18 + [7, 8] + [500, 509]
+    end = packing.local_search([list(range(20)), [20, 21]], sizes, 1024)
+    assert sorted(map(len, end)) == [4, 18] and max(sum(sizes[i] for i in b) for b in end) == 1024
+
+
+def test_packing_deals_equal_rows_out(spark):
+    """20,000 equal rows: no group gets more than its share, and the sequences are as few as can be."""
+    docs = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one two three four").alias("text"))
+    pieces = written(packing.pieces_of(docs, public_tokenizers.path(packing.TOKENIZER)), "pieces")
+    out = packing.pack(pieces, 1024, group=1000).toPandas()
+    n = int(out["length"].iloc[0])
+    assert len(out) == 20_000 and out.groupby("sequence_id")["length"].sum().max() <= 1024
+    assert out["sequence_id"].nunique() == -(-20_000 // (1024 // n))
+
+
+def test_packing_matches_the_optimum_of_small_cases():
+    """Every way to pack up to seven pieces is tried: never better than one sequence fewer."""
+    from functools import cache as memo
+
+    r = random.Random(8)
+
+    def optimum(sizes: tuple[int, ...]) -> int:
+        @memo
+        def least(rest: tuple[int, ...], room: int) -> int:
+            if not rest:
+                return 0
+            best = 99
+            for i, s in enumerate(rest):
+                left = rest[:i] + rest[i + 1 :]
+                best = min(best, least(left, room - s) if s <= room else 1 + least(left, 20 - s))
+            return best
+
+        return least(sizes, 0)
+
+    off = 0
+    for _ in range(60):
+        sizes = [r.randint(1, 20) for _ in range(r.randint(1, 7))]
+        bins = packing.local_search(packing.best_fit(sizes, 20), sizes, 20)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and max(sum(sizes[i] for i in b) for b in bins) <= 20
+        off += len(bins) - optimum(tuple(sorted(sizes)))
+    assert off <= 2
+
+
+def test_tables_split_a_hot_id(spark):
+    """Two thirds of the rows share an id, or have none: several files hold them, starts are gapless, look-ups find all."""
+    docs = spark.range(300).select(F.when(F.col("id") % 3 == 0, F.lit(5)).when(F.col("id") % 3 == 1, F.col("id") + 1000).alias("doc_id"), F.repeat(F.concat(F.lit(" text "), F.col("id").cast("string")), 500).alias("text")).repartition(6)
+    manifest = sstable.write_tables(docs, fresh_dir(spark, "sst-hot"), public_tokenizers.path(sstable.TOKENIZER), file_bytes=65_000)
+    rows = sstable.read_tables(manifest).orderBy("start").toPandas()
+    assert len(rows) == 300 and manifest.count() > 3 and (rows["start"].to_numpy()[1:] == rows["n_tokens"].cumsum().to_numpy()[:-1]).all()
+    ids = rows["doc_id"].dropna()
+    assert rows["doc_id"].isna().to_numpy()[:100].all() and ids.is_monotonic_increasing
+    found = sstable.lookup(manifest, spark.createDataFrame([(5,), (1001,), (4,), (None,)], "doc_id long")).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in found} == {5: 100, 1001: 1}
+
+
+def test_known_forgets_long_keys_and_stays_small():
+    known = bpe.Known(len, most=10, longest=4)
+    assert [known["x" * n] for n in (1, 2, 5, 500)] == [1, 2, 5, 500] and set(known) == {"x", "xx"}
+    for i in range(100):
+        known[str(i)]
+    assert len(known) <= 10 and len(known.old) <= 10
+
+
 def test_local_search_keeps_items_and_helps():
     r = np.random.default_rng(5)
     better = 0
