@@ -1,25 +1,27 @@
 """Substring deduplication by level-wise doubling.
 
 A window of `window` words is removed wherever its words also start anywhere else. Windows are found from short to
-long: those of half the length that are repeated, and those alone, are extended to twice that length (at most the
-window's), until the full length is reached or nothing is left.
+long, at lengths that double from level to level (levels(): 9, 18 and 35 words for windows of 35): those repeated at one
+length, and those alone, are extended to twice that length (at most the window's), until the full length is reached or no
+candidates are left.
 
-Level 1 needs not all short windows: in every full window the short ones of smallest hash are its anchors, and equal
-windows have equal anchors in the same places. So only anchors are counted, about one in nine words. A full window
-goes on to level 2 if an anchor of it is repeated. At level 2 every such window counts by a 96-bit hash of its words.
+Level 1 needs not all short windows: the leftmost short window of smallest hash is a full window's anchor, and equal
+full windows have equal anchors in the same places. So only anchors are counted, about one word in fourteen. At each
+further level the short window that stands for a full one grows to the right where that stays inside the full window, else
+to the left, again in the same way in equal windows; there are two extensions of a survivor at most. At the last level
+every full window whose stand-in was repeated counts by a 96-bit hash of its words.
 
-Counting is the same at both levels. Each batch of documents first counts within itself: what is repeated there is
-known, and one row for each distinct hash goes into the shuffle. So a passage that a third of all documents share is a
-row a batch, not a row a document, and no task gets more of it. After the shuffle, equal hashes lie side by side.
+Counting is the same at all levels. Each task first counts within what it has read (ROWS rows at a time): what is
+repeated there is known and leaves as runs of neighbouring places, and one row for each distinct hash goes into the
+shuffle. So a passage that a third of all documents share is a row a task, not a row a document, and no task gets more of
+it. After the shuffle, equal hashes lie side by side.
 
-Equal texts are not compared word by word: all windows of a text that occurs twice are repeated, and one copy, which
-counts double, stands for all at level 2.
-
-Places are (id, 32 bits of the text's hash, word number): rows that repeat an id stay apart by their texts.
+Equal texts are one text (by a 128-bit hash) with a count. All windows of a text that occurs twice are repeated, and one
+copy, which counts double, stands for all from level 2 on.
 
 Edge cases. Null, empty and short texts (under `window` words) lose nothing and count for nothing. Copies of one text
 of at least `window` words lose every word, also where the rows repeat an id. Windows may overlap themselves. A text of
-any length counts whole. An empty table gives no rows; extra columns are ignored.
+any length counts whole. Ids may be null or any long. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,13 +36,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Known
-from .common import table, words_of, written
+from .common import ids_back, table, words_of, written
 
 WINDOW = 35
-NO_ID = -(1 << 63)
+#: No level has shorter windows.
+SHORTEST = 8
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-ROW = "k long, h long, chk int, n int, id long, loc long"
-LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: n: 1 or 2 (or more) windows of this hash; below zero, a run of that many known places (h is of no meaning then).
+ROW = "h long, chk int, n int, th long, th2 long, at int"
+#: Rows that a task counts within itself at a time.
+ROWS = 500_000
 
 
 @lru_cache(1)
@@ -78,59 +83,78 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sliding(x: np.ndarray, width: int, least=np.minimum) -> np.ndarray:
-    """Minimum (or maximum) of every `width` neighbours."""
-    size = 1
+def levels(window: int) -> list[int]:
+    """Lengths from short to long, each at most twice the one before."""
+    lengths = [window]
+    while (lengths[0] + 1) // 2 >= SHORTEST:
+        lengths.insert(0, (lengths[0] + 1) // 2)
+    return lengths
+
+
+def least_places(g: np.ndarray, width: int) -> np.ndarray:
+    """The place of the leftmost smallest of every `width` neighbours."""
+
+    def lesser(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(g[b] < g[a], b, a)
+
+    at, size = np.arange(len(g)), 1
     while 2 * size <= width:
-        x, size = least(x[:-size], x[size:]), 2 * size
+        at, size = lesser(at[:-size], at[size:]), 2 * size
     rest = width - size
-    return least(x[: len(x) - rest], x[rest:]) if rest else x
+    return lesser(at[: len(at) - rest], at[rest:]) if rest else at
 
 
-def anchors(h: np.ndarray, window: int, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Short windows' hashes, the smallest one of every full window, and the places of anchors."""
-    g = mixed(grams(h, half, BASES[0]))
-    width = window - half + 1
-    least = sliding(g, width)
-    pad = np.zeros(width - 1, np.uint64)
-    reach = sliding(np.concatenate([pad, least, pad]), width, np.maximum)
-    return g, least, np.flatnonzero(reach == g)
+def stand_ins(h: np.ndarray, window: int, level: int) -> Iterator[np.ndarray]:
+    """For levels 0 to `level`: the place of the window of that level's length that stands for each full window."""
+    lengths = levels(window)
+    at = least_places(mixed(grams(h, lengths[0], BASES[0])), window - lengths[0] + 1)
+    starts = np.arange(len(at))
+    yield at
+    for short, long in zip(lengths, lengths[1 : level + 1]):
+        at = starts if long == window else np.where(at + long <= starts + window, at, at + short - long)
+        yield at
 
 
-def counted(h: np.ndarray, chk: np.ndarray, weight: np.ndarray, ids: np.ndarray, loc: np.ndarray) -> pd.DataFrame:
-    """Rows of one batch: one a distinct hash with its count (2 stands for more), the others known (n = 0)."""
-    if not len(h):
-        return pd.DataFrame({"k": h.view(np.int64), "h": h.view(np.int64), "chk": chk, "n": weight, "id": ids, "loc": loc})
+def counted(h: np.ndarray, chk: np.ndarray, weight: np.ndarray, doc: np.ndarray, at: np.ndarray, texts: np.ndarray) -> pd.DataFrame:
+    """ROWs of what a task has read: one a distinct hash with its count (2 stands for more), and runs of known places.
+    doc: rows of texts (th, th2)."""
     order = np.lexsort((chk, h))
-    h, chk, weight, ids, loc = h[order], chk[order], weight[order], ids[order], loc[order]
-    first = np.r_[True, (h[1:] != h[:-1]) | (chk[1:] != chk[:-1])]
-    starts = np.flatnonzero(first)
-    totals = np.minimum(np.add.reduceat(weight, starts), 2)
-    n = np.zeros(len(h), np.int32)
-    n[starts] = totals
-    # Rows that are known need no meeting place: they are dealt by where they stand.
-    k = np.where(n > 0, h.view(np.int64), mixed(loc.view(np.uint64) ^ ids.view(np.uint64)).view(np.int64))
-    return pd.DataFrame({"k": k, "h": h.view(np.int64), "chk": chk, "n": n, "id": ids, "loc": loc})
+    h, chk, weight, doc, at = h[order], chk[order], weight[order], doc[order], at[order]
+    starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (chk[1:] != chk[:-1])])
+    totals = np.minimum(np.add.reduceat(weight, starts), 2).astype(np.int32)
+    one = pd.DataFrame({"h": h[starts].view(np.int64), "chk": chk[starts], "n": totals, "th": texts[doc[starts], 0], "th2": texts[doc[starts], 1], "at": at[starts]})
+    known = np.repeat(totals, np.diff(np.r_[starts, len(h)])) > 1
+    doc, at = doc[known], at[known]
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    if not len(doc):
+        return one
+    starts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)])
+    ends = np.r_[starts[1:], len(doc)] - 1
+    doc, length = doc[starts], (at[ends] - at[starts] + 1).astype(np.int32)
+    # Runs need no meeting place: they are dealt by where they stand.
+    spread = mixed(texts[doc, 0].view(np.uint64) ^ at[starts].astype(np.uint64)).view(np.int64)
+    runs = pd.DataFrame({"h": spread, "chk": np.zeros(len(doc), np.int32), "n": -length, "th": texts[doc, 0], "th2": texts[doc, 1], "at": at[starts]})
+    return pd.concat([one, runs])
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """rows: ROW. Returns id, loc of all that are repeated."""
+    """rows: ROW. Returns th, th2, run (place << 32 | length) of all that are repeated."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
 
         def told(part: pd.DataFrame) -> pd.DataFrame:
             h, chk, n = part["h"].to_numpy(), part["chk"].to_numpy(), part["n"].to_numpy()
-            first = np.r_[True, (h[1:] != h[:-1]) | (chk[1:] != chk[:-1])]
-            group = np.cumsum(first) - 1
-            total = np.bincount(group, weights=n)
-            return part.loc[((n == 0) | (total[group] > 1)), ["id", "loc"]]
+            group = np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (chk[1:] != chk[:-1])]) - 1
+            total = np.bincount(group, weights=np.maximum(n, 0))[group]
+            some = part[(n < 0) | ((n == 1) & (total > 1))]
+            return some[["th", "th2"]].assign(run=some["at"].to_numpy(np.int64) << 32 | np.abs(some["n"].to_numpy(np.int64)))
 
         for batch in batches:
             if held is not None:
                 batch = pd.concat([held, batch])
-            last = batch.iloc[-1]
-            opened = (batch["k"] == last["k"]).to_numpy()
+            opened = (batch["h"] == batch["h"].iloc[-1]).to_numpy()
             at = int(opened.argmax())
             if at:
                 yield told(batch.iloc[:at])
@@ -138,93 +162,95 @@ def repeated(rows: DataFrame) -> DataFrame:
         if held is not None and len(held):
             yield told(held)
 
-    return rows.repartition("k").sortWithinPartitions("k", "h", "chk").mapInPandas(run, "id long, loc long")
+    return rows.repartition("h").sortWithinPartitions("h", "chk").mapInPandas(run, "th long, th2 long, run long")
 
 
-def _place(hash64: int, at: np.ndarray) -> np.ndarray:
-    return (np.int64((hash64 & 0xFFFFFFFF) - (1 << 32 if hash64 & 0x80000000 else 0)) << np.int64(32)) | at.astype(np.int64)
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text (empty for null), th and th2 (hashes that stand for it)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.withColumns(text_hashes(F.col("text")))
 
 
-def low32(x: Column) -> Column:
-    """The low 32 bits, with sign."""
-    return F.shiftright(F.shiftleft(x, 32), 32).cast("int")
+def text_hashes(text: Column) -> dict[str, Column]:
+    return {"th": F.xxhash64(text), "th2": F.xxhash64(text, F.lit("2"))}
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id (a set number for null), text, th (its hash) and key (32 bits of it)."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.withColumn("th", F.xxhash64("text")).withColumn("key", low32(F.col("th")))
+def window_rows(texts: DataFrame, window: int, level: int) -> DataFrame:
+    """ROWs of one level. texts: text, th, th2; from level 1 on also alive (runs of repeated places of the level before)
+    and weight."""
+    lengths = levels(window)
+    last = level == len(lengths) - 1
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        size = 0
 
-def short_rows(docs: DataFrame, window: int) -> DataFrame:
-    """Level 1: the anchors of every document."""
-    half = (window + 1) // 2
+        def told() -> pd.DataFrame:
+            n = np.array([len(x[0]) for x in held])
+            h, chk, at = (np.concatenate([x[i] for x in held]) for i in range(3))
+            weight = np.repeat(np.array([x[3] for x in held], np.int32), n)
+            return counted(h, chk, weight, np.repeat(np.arange(len(held)), n), at.astype(np.int32), np.array([x[4] for x in held], np.int64))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hs, ids, locs = [], [], []
-            for doc_id, text, th in zip(batch["id"], batch["text"], batch["th"]):
+            alive, weights = (batch["alive"], batch["weight"]) if level else ([None] * len(batch), [1] * len(batch))
+            for text, th, th2, runs, weight in zip(batch["text"], batch["th"], batch["th2"], alive, weights):
                 words = words_of(text)
                 if len(words) < window:
                     continue
-                g, _, at = anchors(word_hashes(words), window, half)
-                hs.append(g[at])
-                ids.append(np.full(len(at), doc_id, np.int64))
-                locs.append(_place(int(th), at))
-            h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
-            one = np.ones(len(h), np.int32)
-            yield counted(h, np.zeros(len(h), np.int32), one, np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(locs) if locs else np.zeros(0, np.int64))
-
-    return docs.select("id", "text", "th").mapInPandas(run, ROW)
+                hashes = word_hashes(words)
+                *_, before, at = [None, *stand_ins(hashes, window, level)]
+                if level:
+                    at = at[covered(runs, len(words))[before]]
+                at = np.unique(at)
+                if not len(at):
+                    continue
+                h = mixed(grams(hashes, lengths[level], BASES[0])[at])
+                chk = (mixed(grams(mixed(hashes), window, BASES[1])[at]) >> np.uint64(32)).astype(np.uint32).view(np.int32) if last else np.zeros(len(at), np.int32)
+                held.append((h, chk, at, weight, (th, th2)))
+                size += len(at)
+                if size >= ROWS:
+                    yield told()
+                    held, size = [], 0
+        if held:
+            yield told()
+
+    return texts.select("text", "th", "th2", *["alive", "weight"][: 2 * bool(level)]).mapInPandas(run, ROW)
+
+
+def covered(runs, n: int, more: int = 0) -> np.ndarray:
+    """Which of n places the runs cover, each made longer by `more`."""
+    runs = np.asarray(runs, np.int64)
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, np.minimum(runs >> 32, n), 1)
+    np.add.at(edge, np.minimum((runs >> 32) + (runs & 0xFFFFFFFF) + more, n), -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
-def long_rows(docs: DataFrame, alive: DataFrame, window: int) -> DataFrame:
-    """Level 2: the full windows with a repeated anchor. alive: id, key, at (places of such anchors), weight."""
-    half = (window + 1) // 2
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            hs, chks, weights, ids, locs = [], [], [], [], []
-            for doc_id, text, th, at, weight in zip(batch["id"], batch["text"], batch["th"], batch["at"], batch["weight"]):
-                words = words_of(text)
-                if len(words) < window:
-                    continue
-                h = word_hashes(words)
-                g, least, _ = anchors(h, window, half)
-                kept = np.full(len(g), LAST)
-                at = np.asarray(at, np.int64)
-                at = at[at < len(g)]
-                kept[at] = g[at]
-                starts = np.flatnonzero(sliding(kept, window - half + 1) == least)
-                hs.append(mixed(grams(h, window, BASES[0])[starts]))
-                chks.append((mixed(grams(mixed(h), window, BASES[1])[starts]) >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                weights.append(np.full(len(starts), weight, np.int32))
-                ids.append(np.full(len(starts), doc_id, np.int64))
-                locs.append(_place(int(th), starts))
-            if hs:
-                yield counted(*(np.concatenate(x) for x in (hs, chks, weights, ids, locs)))
-
-    return docs.join(alive, ["id", "key"]).select("id", "text", "th", "at", "weight").mapInPandas(run, ROW)
-
-
-def by_document(places: DataFrame) -> DataFrame:
-    """id, key, at: the places of each document (as many as it has words, at most)."""
-    split = places.select("id", F.shiftright("loc", 32).cast("int").alias("key"), low32(F.col("loc")).alias("at"))
-    return split.groupBy("id", "key").agg(F.collect_set("at").alias("at"))
+def by_text(found: DataFrame, name: str) -> DataFrame:
+    """th, th2 and the runs of each text (as many as it has words, at most)."""
+    return found.groupBy("th", "th2").agg(F.collect_set("run").alias(name))
 
 
 def decisions(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs: keyed(). id, key, starts (of windows to be removed), every (the text has a copy); written."""
-    texts = written(docs.select("id", "key", "th", F.xxhash64("text", F.lit("2")).alias("th2")), "text-hashes")
-    copied = written(texts.groupBy("th", "th2").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id")).filter("copies > 1"), "copied")
-    copies = written(texts.join(copied, ["th", "th2"]).select("id", "key", (F.col("id") == F.col("first_id")).alias("stands")).distinct(), "copies")
-    found = by_document(repeated(short_rows(docs, window)))
-    alive = found.join(copies, ["id", "key"], "left").filter("stands IS NULL OR stands")
-    alive = written(alive.select("id", "key", "at", F.when(F.col("stands"), 2).otherwise(1).alias("weight")), "repeated-anchors")
-    starts = by_document(repeated(long_rows(docs, alive, window))).select("id", "key", F.col("at").alias("starts"), F.lit(False).alias("every"))
-    whole = copies.select("id", "key", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("every"))
-    told = starts.unionByName(whole).groupBy("id", "key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.max("every").alias("every"))
-    return written(told, "removals")
+    """docs: keyed(). th, th2, starts (runs of windows to be removed), every (the text has a copy); written."""
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    copies = docs.groupBy("th", "th2").agg(F.count(F.lit(1)).alias("copies"), F.min(own).alias("stands")).filter("copies > 1")
+    copies = written(copies.select("th", "th2", "stands"), "copies")
+    found = repeated(window_rows(docs, window, 0))
+    for level in range(1, len(levels(window))):
+        alive = by_text(found, "alive").join(copies, ["th", "th2"], "left").select("th", "th2", "alive", "stands", F.when(F.col("stands").isNotNull(), 2).otherwise(1).alias("weight"))
+        alive = written(alive, f"alive-{level}")
+        if alive.isEmpty():
+            found = None
+            break
+        # Of copies the row that stands for them goes on; texts that occur once always do.
+        some = docs.join(alive, ["th", "th2"]).filter(F.col("stands").isNull() | (own == F.col("stands")))
+        found = repeated(window_rows(some, window, level))
+    whole = copies.select("th", "th2", F.array().cast("array<long>").alias("starts"), F.lit(True).alias("every"))
+    if found is None:
+        return written(whole, "removals")
+    starts = by_text(found, "starts").join(copies.select("th", "th2"), ["th", "th2"], "left_anti").withColumn("every", F.lit(False))
+    return written(starts.unionByName(whole), "removals")
 
 
 def cut(text: str | None, starts, every, window: int) -> tuple[int, int, bytes]:
@@ -235,11 +261,7 @@ def cut(text: str | None, starts, every, window: int) -> tuple[int, int, bytes]:
         return n, 0, b" ".join(words)
     if every:
         return n, n, b""
-    edge = np.zeros(n + 1, np.int32)
-    at = np.asarray(starts, np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, np.minimum(at + window, n), -1)
-    gone = np.cumsum(edge[:-1]) > 0
+    gone = covered(starts, n, window - 1)
     return n, int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
 
 
@@ -251,28 +273,28 @@ def removal_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text, starts, every in zip(batch["id"], batch["text"], batch["starts"], batch["every"]):
+            for doc_id, text, starts, every in zip(batch["doc_id"], batch["text"], batch["starts"], batch["every"]):
                 n, gone, kept = cut(text, starts, every is True or every == 1, window)
                 out.append((doc_id, n, gone, hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    joined = rows.join(told, ["id", "key"], "left").select("id", "text", "starts", "every")
-    out = joined.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    joined = rows.join(told, ["th", "th2"], "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "starts", "every")
+    return ids_back(joined.mapInPandas(run, "doc_id string, n_words long, n_removed long, kept_sha256 string"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with their columns; a text that loses words becomes its kept words joined by one space."""
-    told = decisions(keyed(docs), window).withColumnRenamed("id", "_id").withColumnRenamed("key", "_key")
-    own = docs.withColumn("_own_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_own_key", low32(F.xxhash64(F.coalesce("text", F.lit("")))))
-    joined = own.join(told, (F.col("_own_id") == F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left")
+    told = decisions(keyed(docs), window).withColumnsRenamed({"th": "_t1", "th2": "_t2", "starts": "_starts", "every": "_every"})
+    hashes = text_hashes(F.coalesce("text", F.lit("")))
+    own = docs.withColumns({"_h1": hashes["th"], "_h2": hashes["th2"]})
+    joined = own.join(told, (F.col("_h1") == F.col("_t1")) & (F.col("_h2") == F.col("_t2")), "left")
 
     @F.pandas_udf("string")
     def left(texts: pd.Series, starts: pd.Series, every: pd.Series) -> pd.Series:
         cuts = [cut(t, s, e is True or e == 1, window) for t, s, e in zip(texts, starts, every)]
         return pd.Series([kept.decode() if gone else None for _, gone, kept in cuts], dtype=object)
 
-    judged = joined.withColumn("_left", F.when(F.col("starts").isNotNull(), left("text", "starts", "every")))
+    judged = joined.withColumn("_left", F.when(F.col("_starts").isNotNull(), left("text", "_starts", "_every")))
     changed = {"text": F.coalesce("_left", "text"), "n_chars": F.when(F.col("_left").isNotNull(), F.length("_left").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
     return judged.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 

@@ -399,6 +399,27 @@ def brute_removal(docs, window=35):
     return out
 
 
+def prose_like(r, n):
+    return " ".join(f"w{i}" for i in r.integers(0, 10_000, size=n))
+
+
+@pytest.mark.parametrize("window", [5, 20, 35, 64])
+def test_levels_find_windows_of_any_length(spark, window, monkeypatch):
+    """Passages a word shorter, as long as and longer than a window, at either end of texts, with counts in small parts."""
+    monkeypatch.setattr(substring, "ROWS", 50)
+    r = np.random.default_rng(window)
+    passages = [prose_like(r, window + d).split() for d in (-1, 0, 1, window)]
+    texts = [prose_like(r, int(n)).split() for n in r.integers(0, 3 * window, size=24)]
+    for i, t in enumerate(texts):
+        at = [0, len(t), int(r.integers(0, len(t) + 1))][i % 3]
+        t[at:at] = passages[i % 4]
+    docs = spark.createDataFrame([(-(1 << 63) if i == 0 else None if i == 1 else i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    expected = sorted(str((i, n, gone, hashlib.sha256(kept.encode()).hexdigest())) for i, n, gone, kept in brute_removal(texts_of(docs), window))
+    assert sorted(map(str, rows_of(substring.removal_digest(docs, window)))) == expected
+    lengths = substring.levels(window)
+    assert lengths[-1] == window and all(a < b <= 2 * a for a, b in zip(lengths, lengths[1:])) and substring.levels(35) == [9, 18, 35]
+
+
 def test_substrings_against_brute_force(spark, odd_docs, no_docs):
     r = np.random.default_rng(4)
     texts = [" ".join(r.choice(list("ab"), size=r.integers(20, 120))) for _ in range(30)] + ["x " * int(n) for n in r.integers(1, 100, size=15)]
@@ -407,6 +428,7 @@ def test_substrings_against_brute_force(spark, odd_docs, no_docs):
         expected = sorted(str((i, n, gone, hashlib.sha256(kept.encode()).hexdigest())) for i, n, gone, kept in brute_removal(texts_of(docs)))
         assert sorted(map(str, rows_of(substring.removal_digest(docs)))) == expected
     assert substring.removal_digest(no_docs).collect() == []
+    assert substring.decisions(substring.keyed(spark.createDataFrame([(1, prose_like(r, 200)), (2, prose_like(r, 200))], "doc_id long, text string"))).collect() == []
     left = substring.without_repeats(odd_docs)
     assert left.columns == odd_docs.columns
     changed = Counter(t if not gone else kept for (_, t), (_, _, gone, kept) in zip(texts_of(odd_docs), brute_removal(texts_of(odd_docs))))
