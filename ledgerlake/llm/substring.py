@@ -44,6 +44,8 @@ SHORTEST = 8
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: n: 1 or 2 (or more) windows of this hash; below zero, a run of that many known places (h is of no meaning then).
 ROW = "h long, chk int, n int, th long, th2 long, at int"
+#: An anchor's row also says whether it grows to the right (1) and left (2), and the hashes of both.
+ANCHOR = ROW + ", ways int, to_right long, to_left long"
 #: Rows that a task counts within itself at a time.
 ROWS = 500_000
 
@@ -115,54 +117,105 @@ def stand_ins(h: np.ndarray, window: int, level: int) -> Iterator[np.ndarray]:
         yield at
 
 
-def counted(h: np.ndarray, chk: np.ndarray, weight: np.ndarray, doc: np.ndarray, at: np.ndarray, texts: np.ndarray) -> pd.DataFrame:
-    """ROWs of what a task has read: one a distinct hash with its count (2 stands for more), and runs of known places.
-    doc: rows of texts (th, th2)."""
+def counted(h: np.ndarray, chk: np.ndarray, weight: np.ndarray, at: np.ndarray, th: np.ndarray, th2: np.ndarray, extra: dict[str, np.ndarray] | None = None) -> pd.DataFrame:
+    """ROWs of what a task has read: one a distinct hash with its count (2 stands for more), and runs of known places;
+    with `extra` columns, which belong to single places, no run is longer than one."""
     order = np.lexsort((chk, h))
-    h, chk, weight, doc, at = h[order], chk[order], weight[order], doc[order], at[order]
+    h, chk, weight, at, th, th2 = (x[order] for x in (h, chk, weight, at, th, th2))
+    extra = {k: x[order] for k, x in (extra or {}).items()}
     starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (chk[1:] != chk[:-1])])
     totals = np.minimum(np.add.reduceat(weight, starts), 2).astype(np.int32)
-    one = pd.DataFrame({"h": h[starts].view(np.int64), "chk": chk[starts], "n": totals, "th": texts[doc[starts], 0], "th2": texts[doc[starts], 1], "at": at[starts]})
-    known = np.repeat(totals, np.diff(np.r_[starts, len(h)])) > 1
-    doc, at = doc[known], at[known]
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    if not len(doc):
+    one = pd.DataFrame({"h": h[starts].view(np.int64), "chk": chk[starts], "n": totals, "th": th[starts], "th2": th2[starts], "at": at[starts]} | {k: x[starts] for k, x in extra.items()})
+    known = np.flatnonzero(np.repeat(totals, np.diff(np.r_[starts, len(h)])) > 1)
+    if not len(known):
         return one
-    starts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)])
-    ends = np.r_[starts[1:], len(doc)] - 1
-    doc, length = doc[starts], (at[ends] - at[starts] + 1).astype(np.int32)
+    if not extra:
+        known = known[np.lexsort((at[known], th2[known], th[known]))]
+    at, th, th2 = at[known], th[known], th2[known]
+    first = np.ones(len(known), bool)
+    if not extra:
+        first[1:] = (th[1:] != th[:-1]) | (th2[1:] != th2[:-1]) | (at[1:] > at[:-1] + 1)
+    starts = np.flatnonzero(first)
+    ends = np.r_[starts[1:], len(known)] - 1
+    length = (at[ends] - at[starts] + 1).astype(np.int32)
+    at, th, th2 = at[starts], th[starts], th2[starts]
     # Runs need no meeting place: they are dealt by where they stand.
-    spread = mixed(texts[doc, 0].view(np.uint64) ^ at[starts].astype(np.uint64)).view(np.int64)
-    runs = pd.DataFrame({"h": spread, "chk": np.zeros(len(doc), np.int32), "n": -length, "th": texts[doc, 0], "th2": texts[doc, 1], "at": at[starts]})
+    spread = mixed(th.view(np.uint64) ^ at.astype(np.uint64)).view(np.int64)
+    runs = pd.DataFrame({"h": spread, "chk": np.zeros(len(at), np.int32), "n": -length, "th": th, "th2": th2, "at": at} | {k: x[known] for k, x in extra.items()})
     return pd.concat([one, runs])
 
 
+class Counting:
+    """What a task has read and not yet counted: parts of counted()'s arrays."""
+
+    def __init__(self):
+        self.held: list[tuple] = []
+        self.size = 0
+
+    def add(self, h: np.ndarray, chk: np.ndarray, weight: np.ndarray, at: np.ndarray, th: np.ndarray, th2: np.ndarray, **extra: np.ndarray) -> Iterator[pd.DataFrame]:
+        if len(h):
+            self.held.append((h, chk, weight, at.astype(np.int32), th, th2, extra))
+            self.size += len(h)
+        if self.size >= ROWS:
+            yield from self.told()
+
+    def told(self) -> Iterator[pd.DataFrame]:
+        if self.held:
+            whole = [np.concatenate([x[i] for x in self.held]) for i in range(6)]
+            extra = {k: np.concatenate([x[6][k] for x in self.held]) for k in self.held[0][6]}
+            self.held, self.size = [], 0
+            yield counted(*whole, extra)
+
+
+def repeated_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order of their hashes: those that are repeated."""
+    held: pd.DataFrame | None = None
+
+    def told(part: pd.DataFrame) -> pd.DataFrame:
+        h, chk, n = part["h"].to_numpy(), part["chk"].to_numpy(), part["n"].to_numpy()
+        group = np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (chk[1:] != chk[:-1])]) - 1
+        total = np.bincount(group, weights=np.maximum(n, 0))[group]
+        return part[(n < 0) | ((n == 1) & (total > 1))]
+
+    for batch in batches:
+        if held is not None:
+            batch = pd.concat([held, batch])
+        opened = (batch["h"] == batch["h"].iloc[-1]).to_numpy()
+        at = int(opened.argmax())
+        if at:
+            yield told(batch.iloc[:at])
+        held = batch.iloc[at:]
+    if held is not None and len(held):
+        yield told(held)
+
+
+def by_hash(rows: DataFrame) -> DataFrame:
+    return rows.repartition("h").sortWithinPartitions("h", "chk")
+
+
 def repeated(rows: DataFrame) -> DataFrame:
     """rows: ROW. Returns th, th2, run (place << 32 | length) of all that are repeated."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+        for some in repeated_parts(batches):
+            yield some[["th", "th2"]].assign(run=some["at"].to_numpy(np.int64) << 32 | np.abs(some["n"].to_numpy(np.int64)))
 
-        def told(part: pd.DataFrame) -> pd.DataFrame:
-            h, chk, n = part["h"].to_numpy(), part["chk"].to_numpy(), part["n"].to_numpy()
-            group = np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (chk[1:] != chk[:-1])]) - 1
-            total = np.bincount(group, weights=np.maximum(n, 0))[group]
-            some = part[(n < 0) | ((n == 1) & (total > 1))]
-            return some[["th", "th2"]].assign(run=some["at"].to_numpy(np.int64) << 32 | np.abs(some["n"].to_numpy(np.int64)))
+    return by_hash(rows).mapInPandas(run, "th long, th2 long, run long")
 
-        for batch in batches:
-            if held is not None:
-                batch = pd.concat([held, batch])
-            opened = (batch["h"] == batch["h"].iloc[-1]).to_numpy()
-            at = int(opened.argmax())
-            if at:
-                yield told(batch.iloc[:at])
-            held = batch.iloc[at:]
-        if held is not None and len(held):
-            yield told(held)
 
-    return rows.repartition("h").sortWithinPartitions("h", "chk").mapInPandas(run, "th long, th2 long, run long")
+def extended(anchors: DataFrame, back: int) -> DataFrame:
+    """anchors: ANCHOR. ROWs of the next level: the repeated anchors, grown to the right or, by `back` words, to the left."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counting = Counting()
+        for some in repeated_parts(batches):
+            for way, column, move in ((1, "to_right", 0), (2, "to_left", back)):
+                x = some[(some["ways"].to_numpy() & way) > 0]
+                h = x[column].to_numpy().view(np.uint64)
+                yield from counting.add(h, np.zeros(len(h), np.int32), np.ones(len(h), np.int32), x["at"].to_numpy() - move, x["th"].to_numpy(), x["th2"].to_numpy())
+        yield from counting.told()
+
+    return by_hash(anchors).mapInPandas(run, ROW)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,6 +228,33 @@ def text_hashes(text: Column) -> dict[str, Column]:
     return {"th": F.xxhash64(text), "th2": F.xxhash64(text, F.lit("2"))}
 
 
+def anchor_rows(texts: DataFrame, window: int) -> DataFrame:
+    """ANCHORs: the first level of every text, with what the second needs."""
+    short, long = levels(window)[:2]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counting = Counting()
+        for batch in batches:
+            for text, th, th2 in zip(batch["text"], batch["th"], batch["th2"]):
+                words = words_of(text)
+                if len(words) < window:
+                    continue
+                hashes = word_hashes(words)
+                at, grown = stand_ins(hashes, window, 1)
+                at, owner = np.unique(at, return_inverse=True)
+                right = grown == at[owner]
+                ways = np.zeros(len(at), np.int32)
+                ways[owner[right]] = 1
+                ways[owner[~right]] |= 2
+                h, g, n = mixed(grams(hashes, short, BASES[0])[at]), mixed(grams(hashes, long, BASES[0])), len(at)
+                # Where a way is not gone the hash is of no meaning.
+                to_right, to_left = g[np.minimum(at, len(g) - 1)].view(np.int64), g[np.maximum(at + short - long, 0)].view(np.int64)
+                yield from counting.add(h, np.zeros(n, np.int32), np.ones(n, np.int32), at, np.full(n, th, np.int64), np.full(n, th2, np.int64), ways=ways, to_right=to_right, to_left=to_left)
+        yield from counting.told()
+
+    return texts.select("text", "th", "th2").mapInPandas(run, ANCHOR)
+
+
 def window_rows(texts: DataFrame, window: int, level: int) -> DataFrame:
     """ROWs of one level. texts: text, th, th2; from level 1 on also alive (runs of repeated places of the level before)
     and weight."""
@@ -182,15 +262,7 @@ def window_rows(texts: DataFrame, window: int, level: int) -> DataFrame:
     last = level == len(lengths) - 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-        size = 0
-
-        def told() -> pd.DataFrame:
-            n = np.array([len(x[0]) for x in held])
-            h, chk, at = (np.concatenate([x[i] for x in held]) for i in range(3))
-            weight = np.repeat(np.array([x[3] for x in held], np.int32), n)
-            return counted(h, chk, weight, np.repeat(np.arange(len(held)), n), at.astype(np.int32), np.array([x[4] for x in held], np.int64))
-
+        counting = Counting()
         for batch in batches:
             alive, weights = (batch["alive"], batch["weight"]) if level else ([None] * len(batch), [1] * len(batch))
             for text, th, th2, runs, weight in zip(batch["text"], batch["th"], batch["th2"], alive, weights):
@@ -202,17 +274,11 @@ def window_rows(texts: DataFrame, window: int, level: int) -> DataFrame:
                 if level:
                     at = at[covered(runs, len(words))[before]]
                 at = np.unique(at)
-                if not len(at):
-                    continue
+                n = len(at)
                 h = mixed(grams(hashes, lengths[level], BASES[0])[at])
-                chk = (mixed(grams(mixed(hashes), window, BASES[1])[at]) >> np.uint64(32)).astype(np.uint32).view(np.int32) if last else np.zeros(len(at), np.int32)
-                held.append((h, chk, at, weight, (th, th2)))
-                size += len(at)
-                if size >= ROWS:
-                    yield told()
-                    held, size = [], 0
-        if held:
-            yield told()
+                chk = (mixed(grams(mixed(hashes), window, BASES[1])[at]) >> np.uint64(32)).astype(np.uint32).view(np.int32) if last else np.zeros(n, np.int32)
+                yield from counting.add(h, chk, np.full(n, weight, np.int32), at, np.full(n, th, np.int64), np.full(n, th2, np.int64))
+        yield from counting.told()
 
     return texts.select("text", "th", "th2", *["alive", "weight"][: 2 * bool(level)]).mapInPandas(run, ROW)
 
@@ -236,8 +302,12 @@ def decisions(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
     copies = docs.groupBy("th", "th2").agg(F.count(F.lit(1)).alias("copies"), F.min(own).alias("stands")).filter("copies > 1")
     copies = written(copies.select("th", "th2", "stands"), "copies")
-    found = repeated(window_rows(docs, window, 0))
-    for level in range(1, len(levels(window))):
+    lengths = levels(window)
+    if len(lengths) > 2:
+        found, level = repeated(extended(anchor_rows(docs, window), lengths[1] - lengths[0])), 2
+    else:
+        found, level = repeated(window_rows(docs, window, 0)), 1
+    for level in range(level, len(lengths)):
         alive = by_text(found, "alive").join(copies, ["th", "th2"], "left").select("th", "th2", "alive", "stands", F.when(F.col("stands").isNotNull(), 2).otherwise(1).alias("weight"))
         alive = written(alive, f"alive-{level}")
         if alive.isEmpty():
