@@ -28,14 +28,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Known
 from .common import ids_back, table, words_of, written
 
 WINDOW = 35
@@ -50,16 +48,10 @@ ANCHOR = ROW + ", ways int, to_right long, to_left long"
 ROWS = 500_000
 
 
-@lru_cache(1)
-def _word_hashes() -> Known:
+def word_hashes(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    return Known(xxh64_intdigest)
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    known = _word_hashes()
-    return np.array([known[w] for w in words], np.uint64)
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
 
 def grams(h: np.ndarray, length: int, base: int) -> np.ndarray:
@@ -93,17 +85,26 @@ def levels(window: int) -> list[int]:
     return lengths
 
 
-def least_places(g: np.ndarray, width: int) -> np.ndarray:
-    """The place of the leftmost smallest of every `width` neighbours."""
-
-    def lesser(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.where(g[b] < g[a], b, a)
-
-    at, size = np.arange(len(g)), 1
+def sliding(x: np.ndarray, width: int, least=np.minimum) -> np.ndarray:
+    """Minimum (or maximum) of every `width` neighbours."""
+    size = 1
     while 2 * size <= width:
-        at, size = lesser(at[:-size], at[size:]), 2 * size
+        x, size = least(x[:-size], x[size:]), 2 * size
     rest = width - size
-    return lesser(at[: len(at) - rest], at[rest:]) if rest else at
+    return least(x[: len(x) - rest], x[rest:]) if rest else x
+
+
+def least_places(g: np.ndarray, width: int) -> np.ndarray:
+    """The place of the leftmost smallest of every `width` neighbours."""
+    least = sliding(g, width)
+    pad = np.zeros(width - 1, np.uint64)
+    some = np.flatnonzero(sliding(np.concatenate([pad, least, pad]), width, np.maximum) == g)  # smallest of a window
+    at = np.searchsorted(some, np.arange(len(least)))
+    off = np.flatnonzero(g[some[at]] != least)
+    while len(off):  # a smallest one of earlier windows alone
+        at[off] += 1
+        off = off[g[some[at[off]]] != least[off]]
+    return some[at]
 
 
 def stand_ins(h: np.ndarray, window: int, level: int) -> Iterator[np.ndarray]:
@@ -241,11 +242,10 @@ def anchor_rows(texts: DataFrame, window: int) -> DataFrame:
                     continue
                 hashes = word_hashes(words)
                 at, grown = stand_ins(hashes, window, 1)
-                at, owner = np.unique(at, return_inverse=True)
-                right = grown == at[owner]
-                ways = np.zeros(len(at), np.int32)
-                ways[owner[right]] = 1
-                ways[owner[~right]] |= 2
+                right = grown == at
+                # Places never fall from one full window to the next.
+                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                at, ways = at[first], np.logical_or.reduceat(right, first) + 2 * np.logical_or.reduceat(~right, first).astype(np.int32)
                 h, g, n = mixed(grams(hashes, short, BASES[0])[at]), mixed(grams(hashes, long, BASES[0])), len(at)
                 # Where a way is not gone the hash is of no meaning.
                 to_right, to_left = g[np.minimum(at, len(g) - 1)].view(np.int64), g[np.maximum(at + short - long, 0)].view(np.int64)
