@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 #: What a unit text multiplies by, longest wording first.
 SCALES = (
-    ("hundred million", 1e8), ("100 million", 1e8), ("억", 1e8), ("亿", 1e8), ("billion", 1e9), ("十億", 1e9), ("백만", 1e6), ("百万", 1e6), ("million", 1e6),
-    ("천", 1e3), ("千", 1e3), ("thousand", 1e3), ("万", 1e4),
+    ("100 million", 1e8), ("hundred million", 1e8), ("억원", 1e8), ("억 원", 1e8), ("億円", 1e8),
+    ("billion", 1e9), ("十亿", 1e9), ("十億", 1e9),
+    ("million", 1e6), ("백만", 1e6), ("百万", 1e6), ("百萬", 1e6),
+    ("亿", 1e8), ("億", 1e8), ("억", 1e8),
+    ("thousand", 1e3), ("천", 1e3), ("千", 1e3),
+    ("万", 1e4), ("萬", 1e4), ("만", 1e4),
 )
 #: What tells a currency in a unit text.
 CURRENCIES = (
-    ("hk$", "HKD"), ("hkd", "HKD"), ("港", "HKD"), ("us$", "USD"), ("usd", "USD"), ("美元", "USD"), ("rmb", "CNY"), ("cny", "CNY"), ("人民币", "CNY"), ("jpy", "JPY"), ("円", "JPY"),
-    ("krw", "KRW"), ("원", "KRW"), ("eur", "EUR"), ("€", "EUR"), ("元", "CNY"), ("¥", "CNY"), ("$", "USD"),
+    ("hk$", "HKD"), ("hkd", "HKD"), ("港", "HKD"), ("us$", "USD"), ("usd", "USD"), ("美元", "USD"), ("rmb", "CNY"), ("cny", "CNY"), ("人民币", "CNY"), ("人民幣", "CNY"),
+    ("eur", "EUR"), ("€", "EUR"), ("欧元", "EUR"), ("gbp", "GBP"), ("£", "GBP"), ("sterling", "GBP"), ("chf", "CHF"), ("swiss franc", "CHF"),
+    ("jpy", "JPY"), ("yen", "JPY"), ("日元", "JPY"), ("円", "JPY"), ("krw", "KRW"), ("won", "KRW"), ("韩元", "KRW"), ("韓元", "KRW"), ("원", "KRW"),
+    ("元", "CNY"), ("¥", "CNY"), ("$", "USD"),
 )
 
 

@@ -157,18 +157,29 @@ def adjacent_self_join(t: Tables):
     return latest(rows, ["l_orderkey", "line", "part", "supp"], [F.col("cost"), F.col("next_part"), F.col("next_supp")]).select("l_orderkey", "line", "part", "next_line", "next_part")
 
 
-@query("""WITH q AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN 'no such ' || c_mktsegment ELSE 'code ' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') END AS asked FROM customer WHERE c_custkey <= 300)
-SELECT q.c_custkey, coalesce(x.c_custkey, TRY_CAST(NULLIF(regexp_extract(asked, '\\d{6}', 0), '') AS BIGINT)) AS found, CASE WHEN x.c_custkey IS NOT NULL THEN 'exact' WHEN regexp_matches(asked, '\\d{6}') THEN 'code' ELSE 'none' END AS source FROM q LEFT JOIN customer x ON asked = x.c_name""")
+ASKED_SQL = "SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 1 THEN 'the ' || c_name || ' group' WHEN 2 THEN 'ext-' || c_custkey WHEN 3 THEN 'code ' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') ELSE 'no such ' || c_mktsegment END AS asked FROM customer"
+
+
+@query(f"""WITH q AS ({ASKED_SQL}), x AS (SELECT 'ext-' || c_custkey AS ext, c_custkey AS target FROM customer WHERE c_custkey % 10 = 2), w AS (SELECT k, unnest(string_split(asked, ' ')) AS word FROM q), s AS (SELECT w.k, min(c.c_custkey) AS target FROM w JOIN q USING (k) JOIN customer c ON c.c_name = w.word AND contains(q.asked, c.c_name) GROUP BY 1),
+m AS (SELECT q.k, e.c_custkey AS exact, s.target AS part, x.target AS map, TRY_CAST(NULLIF(regexp_extract(asked, '\\d{{6}}', 0), '') AS BIGINT) AS code FROM q LEFT JOIN customer e ON asked = e.c_name LEFT JOIN s ON s.k = q.k LEFT JOIN x ON asked = x.ext)
+SELECT k AS c_custkey, coalesce(exact, part, map, code) AS found, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN part IS NOT NULL THEN 'substring' WHEN map IS NOT NULL THEN 'external' WHEN code IS NOT NULL THEN 'code' ELSE 'none' END AS source FROM m""")
 def tiered_resolution(t: Tables):
-    """Exact name, else the code in the text; the tier is the source."""
+    """Exact name, else a name within the text, else a map of outside names, else the code in the text; the tier is
+    the source. Candidates of the substring tier share a word with the name, so no two tables are crossed."""
     k = F.col("c_custkey")
-    asked = F.when(k % 3 == 0, F.col("c_name")).when(k % 3 == 1, F.concat(F.lit("no such "), "c_mktsegment")).otherwise(F.concat(F.lit("code "), F.lpad(k.cast("string"), 6, "0")))
-    q = t.customer.filter(k <= 300).select(k, asked.alias("asked"))
-    names = t.customer.select(F.col("c_custkey").alias("exact"), F.col("c_name").alias("name"))
-    code = F.nullif(F.regexp_extract("asked", r"\d{6}", 0), F.lit("")).cast("long")
-    rows = q.join(names, F.col("asked") == F.col("name"), "left")
-    source = F.when(F.col("exact").isNotNull(), "exact").when(code.isNotNull(), "code").otherwise("none")
-    return rows.select("c_custkey", F.coalesce("exact", code).alias("found"), source.alias("source"))
+    kinds = [F.col("c_name"), F.concat(F.lit("the "), "c_name", F.lit(" group")), F.concat(F.lit("ext-"), k.cast("string")), F.concat(F.lit("code "), F.lpad(k.cast("string"), 6, "0"))]
+    asked = F.concat(F.lit("no such "), "c_mktsegment")
+    for i, kind in enumerate(kinds):
+        asked = F.when(k % 5 == i, kind).otherwise(asked)
+    q = t.customer.select(k, asked.alias("asked"))
+    names = t.customer.select(F.col("c_custkey").alias("target"), F.col("c_name").alias("name"))
+    words = q.select("c_custkey", "asked", F.explode(F.split("asked", " ")).alias("name"))
+    part = words.join(names, "name").filter(F.col("asked").contains(F.col("name"))).groupBy("c_custkey").agg(F.min("target").alias("part"))
+    outside = t.customer.filter(k % 10 == 2).select(F.concat(F.lit("ext-"), k.cast("string")).alias("ext"), k.alias("map"))
+    rows = q.join(names.select(F.col("target").alias("exact"), "name"), F.col("asked") == F.col("name"), "left").join(part, "c_custkey", "left").join(outside, F.col("asked") == F.col("ext"), "left")
+    rows = rows.withColumn("code", F.nullif(F.regexp_extract("asked", r"\d{6}", 0), F.lit("")).cast("long"))
+    source = F.when(F.col("exact").isNotNull(), "exact").when(F.col("part").isNotNull(), "substring").when(F.col("map").isNotNull(), "external").when(F.col("code").isNotNull(), "code").otherwise("none")
+    return rows.select("c_custkey", F.coalesce("exact", "part", "map", "code").alias("found"), source.alias("source"))
 
 
 @query("""SELECT n_name, count(s_suppkey) AS n_suppliers, CAST(coalesce(sum(CAST(s_acctbal AS DECIMAL(18,4))), 0) AS DOUBLE) AS balance FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_name""")
@@ -180,10 +191,13 @@ def left_group(t: Tables):
 
 @query("""SELECT a.o_custkey, count(*) AS pairs, count(*) FILTER (WHERE a.o_totalprice > b.o_totalprice) AS rises FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderstatus = 'O' AND b.o_orderstatus = 'F' GROUP BY 1""")
 def paired_self_join(t: Tables):
-    """On and off variants of a case side by side."""
-    a = t.orders.filter("o_orderstatus = 'O'").select("o_custkey", F.col("o_totalprice").alias("on_price"))
-    b = t.orders.filter("o_orderstatus = 'F'").select("o_custkey", F.col("o_totalprice").alias("off_price"))
-    return a.join(b, "o_custkey").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("on_price") > F.col("off_price")).alias("rises"))
+    """On and off variants of a case side by side; rises are counted by rank, without forming the pairs."""
+    rows = t.orders.filter("o_orderstatus IN ('O', 'F')").select("o_custkey", "o_totalprice", (F.col("o_orderstatus") == "O").cast("long").alias("on"))
+    # Of equal prices the on side stands first: what stands before it on the off side is lower.
+    below = Window.partitionBy("o_custkey").orderBy("o_totalprice", F.col("on").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("lower", F.sum(1 - F.col("on")).over(below))
+    counts = rows.groupBy("o_custkey").agg(F.sum("on").alias("n_on"), F.sum(1 - F.col("on")).alias("n_off"), F.sum(F.col("on") * F.col("lower")).alias("rises"))
+    return counts.filter("n_on > 0 AND n_off > 0").select("o_custkey", (F.col("n_on") * F.col("n_off")).alias("pairs"), "rises")
 
 
 @query("""WITH a AS (SELECT l_suppkey AS k, l_partkey AS p, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2), b AS (SELECT l_suppkey AS k, l_partkey AS p, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) SELECT a.k AS l_suppkey, CAST(sum(least(a.n, b.n)) AS BIGINT) AS common FROM a JOIN b ON a.k = b.k AND a.p = b.p GROUP BY 1""")
@@ -199,10 +213,10 @@ def peer_cascade(t: Tables):
     p = t.part
     n1 = p.groupBy("p_brand", "p_type").agg((F.count(F.lit(1)) - 1).alias("n1"))
     n2 = p.groupBy("p_brand").agg((F.count(F.lit(1)) - 1).alias("n2"))
-    total = p.count() - 1
+    total = p.agg((F.count(F.lit(1)) - 1).alias("n")).scalar()
     rows = p.join(n1, ["p_brand", "p_type"]).join(n2, "p_brand")
     level = F.when(F.col("n1") >= 3, "brand_type").when(F.col("n2") >= 3, "brand").otherwise("all")
-    return rows.select("p_partkey", level.alias("level"), F.when(F.col("n1") >= 3, F.col("n1")).when(F.col("n2") >= 3, F.col("n2")).otherwise(F.lit(total)).alias("peers"))
+    return rows.select("p_partkey", level.alias("level"), F.when(F.col("n1") >= 3, F.col("n1")).when(F.col("n2") >= 3, F.col("n2")).otherwise(total).alias("peers"))
 
 
 @query("""SELECT o_orderkey, l_orderkey IS NULL AS missing FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON o_orderkey = l_orderkey""")

@@ -71,12 +71,12 @@ def text_blocks(t: Tables):
     return lines.withColumn("level", F.when(F.col("line").startswith("# "), 1).when(F.col("line").startswith("## "), 2).otherwise(0))
 
 
-@query("""WITH a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS name, c_acctbal AS bal FROM customer WHERE c_custkey <= 1000), b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_mktsegment END AS name, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal + 1 END AS bal FROM customer WHERE c_custkey > 500) SELECT coalesce(b.k, a.k) AS k, coalesce(b.name, a.name) AS name, coalesce(b.bal, a.bal) AS bal FROM a FULL JOIN b ON a.k = b.k""")
+@query("""WITH a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS name, c_acctbal AS bal FROM customer WHERE c_custkey % 7 <> 0), b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_mktsegment END AS name, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal + 1 END AS bal FROM customer WHERE c_custkey % 11 <> 0) SELECT coalesce(b.k, a.k) AS k, coalesce(b.name, a.name) AS name, coalesce(b.bal, a.bal) AS bal FROM a FULL JOIN b ON a.k = b.k""")
 def coalesce_upsert(t: Tables):
     """New values where given, else the old ones."""
     k = F.col("c_custkey")
-    a = t.customer.filter(k <= 1000).select(k.alias("k"), F.when(k % 3 != 0, F.col("c_name")).alias("name"), F.col("c_acctbal").alias("bal")).alias("a")
-    b = t.customer.filter(k > 500).select(k.alias("k"), F.when(k % 2 != 0, F.col("c_mktsegment")).alias("name"), F.when(k % 5 != 0, F.col("c_acctbal") + 1).alias("bal")).alias("b")
+    a = t.customer.filter(k % 7 != 0).select(k.alias("k"), F.when(k % 3 != 0, F.col("c_name")).alias("name"), F.col("c_acctbal").alias("bal")).alias("a")
+    b = t.customer.filter(k % 11 != 0).select(k.alias("k"), F.when(k % 2 != 0, F.col("c_mktsegment")).alias("name"), F.when(k % 5 != 0, F.col("c_acctbal") + 1).alias("bal")).alias("b")
     return a.join(b, F.col("a.k") == F.col("b.k"), "full").select(*[F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in ("k", "name", "bal")])
 
 
@@ -100,12 +100,12 @@ def rebind_keys(t: Tables):
     return rows.groupBy(F.coalesce("new", "c_nationkey").alias("nation")).agg(row_count().alias("n"))
 
 
-def retention(rows, cutoff: str | None, time: str, ids: list | None = None, id_col: str = "event_id"):
+def retention(rows, cutoff, time: str, ids: list | None = None, id_col: str = "event_id"):
     """Rows a retention run takes: by ids or by age; without a selector none."""
     test = F.lit(False)
     if ids:
         test = test | F.col(id_col).isin(ids)
-    if cutoff:
+    if cutoff is not None:
         test = test | (F.col(time) < F.lit(cutoff).cast("timestamp"))
     return rows.filter(test)
 
@@ -113,7 +113,7 @@ def retention(rows, cutoff: str | None, time: str, ids: list | None = None, id_c
 @query("""SELECT event_type, count(*) AS n FROM events WHERE ts < (SELECT CAST(min(ts) AS DATE) FROM events) + INTERVAL 10 DAY OR event_id IN (9999, 9998) GROUP BY 1""")
 def retention_candidates(t: Tables):
     """K08, ST12."""
-    first = t.events.agg(F.date_format(F.date_trunc("day", F.min("ts")) + F.expr("INTERVAL 10 DAYS"), "yyyy-MM-dd HH:mm:ss")).first()[0]
+    first = t.events.agg((F.date_trunc("day", F.min("ts")) + F.expr("INTERVAL 10 DAYS")).cast("timestamp").alias("at")).scalar()
     return retention(t.events, first, "ts", [9999, 9998]).groupBy("event_type").agg(row_count().alias("n"))
 
 

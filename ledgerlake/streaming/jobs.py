@@ -1,5 +1,9 @@
 """Structured Streaming jobs. Windows, sessions and exact repeats are built-in operators; keyed state with rules of its
-own is kept by applyInPandasWithState. Every job takes and gives a streaming DataFrame."""
+own is kept by applyInPandasWithState. Every job takes and gives a streaming DataFrame.
+
+Rows of a key are judged in the order of their numbers or times within a trigger, and trigger after trigger; rows that
+come in a later trigger are judged by the state that the earlier ones have left. A key's state and its rows of a trigger
+are one task's work, as the rules ask for."""
 
 from __future__ import annotations
 
@@ -23,6 +27,12 @@ def _keep(state: GroupState, value) -> None:
     state.update((pickle.dumps(value),))
 
 
+def _in_order(batches: Iterator[pd.DataFrame], columns: list[str], by: list[str]) -> pd.DataFrame:
+    """All rows that a trigger has of one key, which come in several batches, in order. Only the columns that a rule
+    reads are held; files_per_trigger bounds how many rows there are."""
+    return pd.concat([b[list(dict.fromkeys(columns))] for b in batches], ignore_index=True).sort_values(by, kind="stable")
+
+
 def source(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """A folder of Parquet files (or one file) as a stream, with the schema of what is there; event times carry a zone."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
@@ -58,21 +68,21 @@ def reordered(frames: DataFrame, key: str, sequence: str, checksum: str, most_he
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         due, waiting, seen = _kept(state, (1, {}, {}))
         out = []
-        for batch in batches:
-            for n, c in sorted(zip(batch[sequence].astype(int), batch[checksum].astype(str))):
-                known = waiting.get(n, seen.get(n))
-                if known is not None or n < due:
-                    out.append((k[0], n, "duplicate" if known in (None, c) else "conflict"))
-                    continue
-                waiting[n] = c
-                while waiting and (due in waiting or len(waiting) > most_held):
-                    if due not in waiting:
-                        out.append((k[0], due, "gap"))
-                        due = min(waiting)
-                    seen[due] = waiting.pop(due)
-                    out.append((k[0], due, "released"))
-                    seen.pop(due - most_held, None)
-                    due += 1
+        rows = _in_order(batches, [sequence, checksum], [sequence, checksum])
+        for n, c in zip(rows[sequence].astype(int).tolist(), rows[checksum].astype(str).tolist()):
+            known = waiting.get(n, seen.get(n))
+            if known is not None or n < due:
+                out.append((k[0], n, "duplicate" if known in (None, c) else "conflict"))
+                continue
+            waiting[n] = c
+            while waiting and (due in waiting or len(waiting) > most_held):
+                if due not in waiting:
+                    out.append((k[0], due, "gap"))
+                    due = min(waiting)
+                seen[due] = waiting.pop(due)
+                out.append((k[0], due, "released"))
+                seen.pop(due - most_held, None)
+                due += 1
         _keep(state, (due, waiting, seen))
         yield pd.DataFrame(out, columns=[key, "sequence", "outcome"])
 
@@ -86,15 +96,14 @@ def rate_limited(events: DataFrame, key: str, id_col: str, rate: float, burst: f
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         left, last = _kept(state, (burst, None))
         out = []
-        for batch in batches:
-            for row in batch.sort_values(["ts", id_col]).itertuples():
-                at = row.ts.timestamp()
-                left = burst if last is None else min(burst, left + max(0.0, at - last) * rate)
-                last = at if last is None else max(last, at)
-                want = float(getattr(row, cost)) if cost else 1.0
-                passed = want <= left
-                left -= want * passed
-                out.append((k[0], getattr(row, id_col), passed))
+        for row in _in_order(batches, ["ts", id_col, *([cost] if cost else [])], ["ts", id_col]).itertuples():
+            at = row.ts.timestamp()
+            left = burst if last is None else min(burst, left + max(0.0, at - last) * rate)
+            last = at if last is None else max(last, at)
+            want = float(getattr(row, cost)) if cost else 1.0
+            passed = want <= left
+            left -= want * passed
+            out.append((k[0], getattr(row, id_col), passed))
         _keep(state, (left, last))
         yield pd.DataFrame(out, columns=[key, id_col, "passed"])
 
@@ -108,12 +117,11 @@ def first_of_repeats(events: DataFrame, key: str, id_col: str, value: str, secon
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, at = _kept(state, (None, 0))
         out = []
-        for batch in batches:
-            for row in batch.sort_values(["ts", id_col]).itertuples():
-                now = int(row.ts.timestamp() // 1)
-                if last is None or getattr(row, value) != last or now - at > seconds:
-                    out.append((k[0], getattr(row, id_col)))
-                last, at = getattr(row, value), now
+        for row in _in_order(batches, ["ts", id_col, value], ["ts", id_col]).itertuples():
+            now = int(row.ts.timestamp() // 1)
+            if last is None or getattr(row, value) != last or now - at > seconds:
+                out.append((k[0], getattr(row, id_col)))
+            last, at = getattr(row, value), now
         _keep(state, (last, at))
         yield pd.DataFrame(out, columns=[key, id_col])
 
@@ -127,18 +135,17 @@ def lockouts(failures: DataFrame, key: str, id_col: str, most: int = 5, window:
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, n, until = _kept(state, (None, 0, 0.0))
         out = []
-        for batch in batches:
-            for row in batch.sort_values(["ts", id_col]).itertuples():
-                at = row.ts.timestamp()
-                if at < until:
-                    out.append((k[0], getattr(row, id_col), True))
-                    continue
-                if start is None or at - start >= window:
-                    start, n = at, 0
-                n += 1
-                if n >= most:
-                    until, start, n = at + lock, None, 0
-                out.append((k[0], getattr(row, id_col), at < until))
+        for row in _in_order(batches, ["ts", id_col], ["ts", id_col]).itertuples():
+            at = row.ts.timestamp()
+            if at < until:
+                out.append((k[0], getattr(row, id_col), True))
+                continue
+            if start is None or at - start >= window:
+                start, n = at, 0
+            n += 1
+            if n >= most:
+                until, start, n = at + lock, None, 0
+            out.append((k[0], getattr(row, id_col), at < until))
         _keep(state, (start, n, until))
         yield pd.DataFrame(out, columns=[key, id_col, "locked"])
 

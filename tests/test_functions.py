@@ -31,7 +31,7 @@ def test_first_number(spark):
     assert one(spark, numeric.first_number(F.lit("about (1,016) 百万欧元"))) == Decimal(-1016)
 
 
-@pytest.mark.parametrize(("unit", "scale", "currency"), [("HK$ million", 1e6, "HKD"), ("RMB thousand", 1e3, "CNY"), ("KRW 100 million", 1e8, "KRW"), ("억원", 1e8, "KRW"), ("百万円", 1e6, "JPY"), ("plain", 1.0, None)])
+@pytest.mark.parametrize(("unit", "scale", "currency"), [("HK$ million", 1e6, "HKD"), ("RMB thousand", 1e3, "CNY"), ("KRW 100 million", 1e8, "KRW"), ("억원", 1e8, "KRW"), ("百万円", 1e6, "JPY"), ("plain", 1.0, None), ("億円", 1e8, "JPY"), ("十亿元", 1e9, "CNY"), ("億元", 1e8, "CNY"), ("萬元", 1e4, "CNY"), ("百萬港元", 1e6, "HKD"), ("人民幣千元", 1e3, "CNY"), ("GBP million", 1e6, "GBP"), ("Swiss franc thousand", 1e3, "CHF"), ("million yen", 1e6, "JPY"), ("billion won", 1e9, "KRW"), ("천원", 1e3, "KRW"), ("£", 1.0, "GBP")])
 def test_units(spark, unit, scale, currency):
     assert one(spark, money.scale_of(F.lit(unit))) == scale and one(spark, money.currency_of(F.lit(unit))) == currency
 
@@ -166,3 +166,12 @@ def test_governed_sql(spark):
         with pytest.raises(governed.PolicyError) as e:
             governed.governed_sql(spark, sql, t)
         assert e.value.code == code, sql
+    for sql in ("SELECT java_method('java.lang.System', 'getProperty', 'user.home') FROM facts", "SELECT reflect('java.lang.System', 'getenv') FROM facts", "SELECT try_reflect('java.lang.System', 'getenv')", "SELECT * FROM range(5)", "SELECT input_file_name() FROM facts", "SELECT * FROM facts WHERE id IN (SELECT explode(array(reflect('a', 'b'))))", "SELECT * FROM facts LATERAL VIEW stack(1, 2) AS x"):
+        with pytest.raises(governed.PolicyError) as e:
+            governed.governed_sql(spark, sql, t)
+        assert e.value.code == "function_not_allowed", sql
+    with pytest.raises(governed.PolicyError) as e:
+        governed.governed_sql(spark, "SELECT * FROM parquet.`/root`", t)
+    assert e.value.code == "relation_not_allowed" and not spark.catalog.tableExists("facts")
+    rows = governed.governed_sql(spark, "SELECT id % 2 AS k, count(*) AS n, row_number() OVER (ORDER BY id % 2) AS r FROM facts GROUP BY id % 2 HAVING count(*) > 1 ORDER BY k LIMIT 5", t)
+    assert [tuple(r) for r in rows.collect()] == [(0, 500, 1), (1, 500, 2)]

@@ -54,3 +54,19 @@ def test_tumbling(spark, tmp_path, width):
     rows = [("u", T0 + timedelta(minutes=i)) for i in range(10)] + [("u", T0 + timedelta(days=1))]
     got = fed(spark, tmp_path, "user_id string, ts timestamp", [rows, [("u", T0 + timedelta(days=2))]], lambda s: jobs.tumbling_counts(s, width, ["user_id"]), "tumble" + width[0])
     assert sum(r[2] for r in got) >= 10
+
+
+def test_a_key_of_more_rows_than_a_batch(spark, tmp_path):
+    """25,000 rows of one key in reverse order come in three Arrow batches, and are judged as one."""
+    n = 25_000
+    frames = [("s", i, str(i)) for i in range(n, 0, -1)]
+    got = fed(spark, tmp_path, "stream string, seq long, checksum string", [frames], lambda s: jobs.reordered(s, "stream", "seq", "checksum"), "many")
+    assert got == [("s", i, "released") for i in range(1, n + 1)]
+    events = [(i, "u", T0 + timedelta(seconds=i), "a" if i <= n // 2 else "b") for i in range(n, 0, -1)]
+    schema = "event_id long, user_id string, ts timestamp, kind string"
+    assert fed(spark, tmp_path, schema, [events], lambda s: jobs.first_of_repeats(s, "user_id", "event_id", "kind", 60), "many-repeats") == [("u", 1), ("u", n // 2 + 1)]
+    limited = fed(spark, tmp_path, schema, [events], lambda s: jobs.rate_limited(s, "user_id", "event_id", 0.5, 2.0), "many-rate")
+    assert [i for _, i, p in limited if p][:4] == [1, 2, 3, 5] and sum(p for *_, p in limited) == pytest.approx(n / 2, abs=3)
+    locked = fed(spark, tmp_path, schema, [events], lambda s: jobs.lockouts(s, "user_id", "event_id", 3, 300, 900), "many-lock")
+    open_ids = [i for _, i, x in locked if not x]
+    assert open_ids[:4] == [1, 2, 903, 904] and len(open_ids) == 2 * -(-n // 902)
