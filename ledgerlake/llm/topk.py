@@ -1,14 +1,17 @@
 """Exact top-k by inner product with an impact-ordered, score-at-a-time index.
 
-Components become integers, floor(256 * x). Candidates are dealt into blocks; a block's index holds its postings (the
-components) in segments of descending quantised impact: the first holds the largest components of all dimensions, and
-so on. A block of queries takes the segments in that order and adds up what they contribute. After each segment, what
-the rest can still add to a candidate is at most |query| * |rest of the candidate| (the rest's norms are in the
-index). A query stops only when this proves that few candidates can be among its k best; these are rescored exactly.
-If nothing is proven all segments are taken, which is exact too.
+Components become integers, floor(256 * x). Candidates are dealt into blocks; each block's index is built once and written.
+It holds postings (candidate, dimension, sign) in segments of descending quantised impact: a component's size in LEVELS
+equal steps of the block's largest. All postings of a segment count the same, the middle of their step. Components under
+one step have no posting.
 
-Each block of queries meets each block of candidates once, by a join on the pair of block numbers, and gives k rows a
-query; the k best of all blocks are ranked by a window over those.
+A block of queries takes the segments in that order and adds up what they contribute. What the sum after a segment lacks
+is at most |query| * |what the segments so far leave of the candidate|; these norms, quantisation and untaken components
+together, are in the index. A query stops only when this proves that few candidates can be among its k best, or after the
+last segment; whoever can still be among them is rescored exactly, from the stored integers.
+
+Blocks of candidates are the larger side and are moved once; the queries' blocks, of which every candidate block needs
+each, are copied. A block of queries gives k rows a query, and the k best of all blocks are ranked by a window over those.
 
 Edge cases. Null vectors, vectors with a null or non-finite component, and null ids take no part. Candidates of another
 length than the query take no part in its search. Rows that share the query's id count as its own; an id that is asked
@@ -29,8 +32,10 @@ from .common import table, written
 
 SCALE, K, EVERY = 256, 5, 50
 CANDIDATES, QUERIES = 4096, 512
-#: Shares of a block's components that are still untaken after each segment but the last.
-UNTAKEN = (0.5, 0.25, 0.125, 0.0625)
+#: Steps of the quantised impact, so many segments at most.
+LEVELS = 16
+#: Contributions that are added up at a time.
+CELLS = 1 << 20
 #: A query is rescored as soon as no more candidates than this are possible.
 POSSIBLE = 64
 
@@ -43,67 +48,98 @@ def integers(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     return rows.select("id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
 
 
-def blocks(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """Rows packed `size` or so together: dim, block, ids and values (binary); and the number of blocks."""
+def narrow(values: np.ndarray) -> tuple[int, bytes]:
+    """Bytes a number, and the numbers in as few as hold them all."""
+    most = max(int(values.max(initial=0)), -int(values.min(initial=0)))
+    width = 2 if most < 1 << 15 else 4 if most < 1 << 31 else 8
+    return width, values.astype(f"<i{width}").tobytes()
+
+
+def blocks(rows: DataFrame, size: int, indexed: bool) -> tuple[DataFrame, int]:
+    """Rows packed `size` or so together: dim, block, ids, width and vals (binary), with an index or null; and the number
+    of blocks."""
     count = max(1, -(-rows.count() // size))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id", kind="stable")
-        values = np.array(part["v"].tolist(), dtype=np.int64).reshape(len(part), int(part["dim"].iloc[0]))
-        return pd.DataFrame([(part["dim"].iloc[0], part["block"].iloc[0], part["id"].to_numpy(np.int64).tobytes(), values.tobytes())], columns=["dim", "block", "ids", "vals"])
+        dim, block = int(part["dim"].iloc[0]), int(part["block"].iloc[0])
+        values = np.array(part["v"].tolist(), dtype=np.int64).reshape(len(part), dim)
+        row = (dim, block, part["id"].to_numpy(np.int64).tobytes(), *narrow(values), *(built(values) if indexed else (None, None, None, None)))
+        return pd.DataFrame([row], columns=["dim", "block", "ids", "width", "vals", "ends", "docs", "dims", "rest"])
 
+    schema = "dim int, block int, ids binary, width int, vals binary, ends binary, docs binary, dims binary, rest binary"
     dealt = rows.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(count)).cast("int").alias("block"))
-    return written(dealt.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, ids binary, vals binary"), "vector-blocks"), count
+    return written(dealt.groupBy("dim", "block").applyInPandas(pack, schema), "vector-blocks"), count
+
+
+def built(values: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """The index of one block: where each segment ends, postings (candidate; dimension, or its complement for a negative
+    component) in segments of descending impact, and the norms of what is left of each candidate before the first segment
+    and after each."""
+    n, dim = values.shape
+    x = values.astype(np.float64)
+    step = step_of(values)
+    level = np.minimum(np.floor(np.abs(x) / step), LEVELS - 1).astype(np.int64)
+    left, rest, docs, dims, ends = x.copy(), [np.sqrt((x * x).sum(1))], [], [], []
+    for at in range(LEVELS - 1, 0, -1):
+        doc, d = np.nonzero(level == at)  # in order of the candidates
+        left[doc, d] -= np.sign(x[doc, d]) * (at + 0.5) * step
+        docs.append(doc.astype("<u4"))
+        dims.append(np.where(x[doc, d] < 0, ~d, d).astype("<i4"))
+        ends.append(sum(map(len, docs)))
+        rest.append(np.sqrt((left * left).sum(1)))
+    return np.array(ends, "<i8").tobytes(), np.concatenate(docs).tobytes(), np.concatenate(dims).tobytes(), np.array(rest).tobytes()
+
+
+def step_of(values: np.ndarray) -> float:
+    return max(1.0, float(np.abs(values.astype(np.float64)).max(initial=0)) / LEVELS)
 
 
 class ImpactIndex:
-    """One block: postings in segments of descending impact, and the norms of what is left after each."""
-
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
-        self.ids, self.values = ids, values
-        size = np.abs(values)
-        cuts = [np.quantile(size, share) for share in UNTAKEN] if size.size else []
-        self.segments, self.rest, left = [], [], np.ones(values.shape, bool)
-        for cut in cuts:
-            taken = left & (size > cut)
-            self.segments.append(np.where(taken, values, 0.0).T.copy())
-            left &= ~taken
-            self.rest.append(np.sqrt(np.where(left, values, 0.0) ** 2 @ np.ones(values.shape[1])) * (1 + 1e-9))
-        self.segments.append(np.where(left, values, 0.0).T.copy())
+    """One block as it is stored. taken: how many segments each query took."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray, index: tuple[bytes, bytes, bytes, bytes] | None = None):
+        ends, docs, dims, rest = index or built(values)
+        self.ids, self.values, self.step = ids, values, step_of(values)
+        self.ends, self.docs, self.dims = np.frombuffer(ends, "<i8"), np.frombuffer(docs, "<u4").astype(np.int64), np.frombuffer(dims, "<i4")
+        self.rest = np.frombuffer(rest, np.float64).reshape(LEVELS, len(ids))
+        self.taken: list[int] = []
+
+    def add(self, scores: np.ndarray, queries: np.ndarray, segment: int) -> None:
+        """What a segment contributes to the scores of some queries."""
+        at, end = int(self.ends[segment - 1]) if segment else 0, int(self.ends[segment])
+        many = max(1, CELLS // max(1, len(queries)))
+        while at < end:
+            stop = min(end, at + many)
+            docs, dims = self.docs[at:stop], self.dims[at:stop]
+            parts = np.where(dims < 0, -1.0, 1.0) * queries[:, np.where(dims < 0, ~dims, dims)]
+            starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+            scores[:, docs[starts]] += np.add.reduceat(parts, starts, axis=1) * ((LEVELS - 1 - segment + 0.5) * self.step)
+            at = stop
 
     def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
         """(query, id, score) of each query's k best here."""
-        n = len(self.ids)
-        exact_floats = max(1, self.values.shape[1]) * (np.abs(self.values).max(initial=0) + 1) * (np.abs(queries).max(initial=0) + 1) < 2**52
-        if not exact_floats:  # too large for the bounds' arithmetic: all segments, in integers
-            whole, asked = self.values.astype(np.int64), queries.astype(np.int64)
-            for q in range(len(query_ids)):
-                yield from self._ranked(query_ids[q], np.arange(n), whole @ asked[q], k)
-            return
-        norms = np.sqrt((queries**2).sum(1)) * (1 + 1e-9)
+        n, asked = len(self.ids), queries.astype(np.float64)
+        norms = np.sqrt((asked * asked).sum(1))
         own = self.ids[None, :] == query_ids[:, None]
         active, scores = np.arange(len(query_ids)), np.zeros((len(query_ids), n))
-        for segment, rest in zip(self.segments, [*self.rest, None]):
-            scores += queries[active] @ segment
-            if rest is None:
-                break
-            slack = norms[active, None] * rest[None, :] + 1e-6
+        for segment in range(LEVELS - 1):
+            self.add(scores, asked[active], segment)
+            # A little more than the bound, for the rounding of sums.
+            slack = norms[active, None] * (self.rest[segment + 1] + 1e-9 * self.rest[0])[None, :] + 1e-6
             low = np.where(own[active], -np.inf, scores - slack)
             bar = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(active), -np.inf)
             possible = (scores + slack >= bar[:, None]) & ~own[active]
-            proven = possible.sum(1) <= max(POSSIBLE, k)
-            for row in np.flatnonzero(proven):
-                at = np.flatnonzero(possible[row])
-                yield from self._ranked(query_ids[active[row]], at, self.values[at] @ queries[active[row]], k)
-            active, scores = active[~proven], scores[~proven]
+            done = (possible.sum(1) <= max(POSSIBLE, k)) | (segment == LEVELS - 2)
+            for row in np.flatnonzero(done):
+                self.taken.append(segment + 1)
+                yield from self._rescored(query_ids[active[row]], queries[active[row]], np.flatnonzero(possible[row]), k)
+            active, scores = active[~done], scores[~done]
             if not len(active):
                 return
-        for row, q in enumerate(active):
-            yield from self._ranked(query_ids[q], np.arange(n), scores[row], k)
 
-    def _ranked(self, query_id: int, at: np.ndarray, scores: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-        keep = self.ids[at] != query_id
-        at, scores = at[keep], scores[keep]
+    def _rescored(self, query_id: int, query: np.ndarray, at: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
+        scores = self.values[at].astype(np.int64) @ query.astype(np.int64)
         for i in np.lexsort((self.ids[at], -scores))[:k]:
             yield int(query_id), int(self.ids[at[i]]), int(scores[i])
 
@@ -111,22 +147,25 @@ class ImpactIndex:
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, candidate_block: int = CANDIDATES, query_block: int = QUERIES) -> DataFrame:
     """Both: id, v (integers()). Returns query_id, rank, vec_id, score."""
     asked = queries.groupBy("id").agg(F.min("v").alias("v"))
-    c, n_c = blocks(candidates, candidate_block)
-    q, n_q = blocks(asked, query_block)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = c.select("dim", F.col("block").alias("cb"), "ids", "vals", each(n_q).alias("qb"))
-    right = q.select("dim", F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals"), each(n_c).alias("cb"))
+    c, n_c = blocks(candidates, candidate_block, True)
+    q, _ = blocks(asked, query_block, False)
+    index = c.withColumns({"cb": F.col("block"), "kind": F.lit(0)})
+    copies = q.withColumns({"cb": F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))), "kind": F.lit(1)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, at = None, None
         for batch in batches:
-            for dim, ids, vals, q_ids, q_vals in zip(batch["dim"], batch["ids"], batch["vals"], batch["q_ids"], batch["q_vals"]):
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                index = ImpactIndex(ids, np.frombuffer(vals, np.int64).reshape(len(ids), dim).astype(np.float64))
-                found = list(index.best(q_ids, np.frombuffer(q_vals, np.int64).reshape(len(q_ids), dim).astype(np.float64), k))
-                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
-
-    pairs = left.join(right, ["dim", "qb", "cb"]).select("dim", "ids", "vals", "q_ids", "q_vals")
-    found = pairs.mapInPandas(run, "query_id long, vec_id long, score long")
+            for row in batch.itertuples():
+                ids = np.frombuffer(row.ids, np.int64)
+                values = np.frombuffer(row.vals, f"<i{row.width}").reshape(len(ids), row.dim)
+                if row.kind == 0:
+                    here, at = ImpactIndex(ids, values, (row.ends, row.docs, row.dims, row.rest)), (row.dim, row.cb)
+                elif at == (row.dim, row.cb):  # else no candidates of that length are in the block
+                    yield pd.DataFrame(list(here.best(ids, values, k)), columns=["query_id", "vec_id", "score"], dtype="int64")
+
+    # An index comes first, then the queries' blocks one by one: a task holds one of each.
+    met = index.unionByName(copies).repartition(n_c, "dim", "cb").sortWithinPartitions("dim", "cb", "kind", "block")
+    found = met.mapInPandas(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
