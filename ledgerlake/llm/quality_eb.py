@@ -3,14 +3,15 @@
 A logistic classifier, fitted on a bounded sample of labelled documents (labelled.SAMPLE), gives each document a
 probability from the look of its whole text. Sums of these per path, and of the paths per host, give posterior means
 in two levels: a host's mean is drawn to the corpus mean, a path's to its host's, each by a prior strength that is
-estimated from the data by the method of moments (between-group against within-group variance), so sparse sites
-stay near the prior. A document's own share is taken out of its path before the path speaks for it. The final log odds
+estimated from the data by the method of moments: the variance between hosts, and between the paths of one host, against
+that within them. So sparse sites stay near the prior. A document's own share is taken out of its host and path before
+they speak for it. The final log odds
 are the document's, plus how far its path's log odds lie from the corpus's, at a set weight.
 
 Sums are pre-aggregated before any shuffle, so a source of any size is one row a task. The site table goes back to the
 documents by a join on (host, path) of narrow rows, that adaptive execution can split where a site is hot.
 
-Edge cases. Null hosts or paths are sites of their own (the empty name). Null and empty texts have the features of an
+Edge cases. Null hosts or paths are sites of their own, beside those of an empty name. Null and empty texts have the features of an
 empty text. Without labels of both kinds every document has even odds. A single site has no variance between sites and
 gets the strongest prior. Rows that repeat an id are judged one by one; extra columns are ignored; an empty table gives
 no rows.
@@ -34,6 +35,8 @@ STEPS, RATE, NORM = 400, 0.2, 1e-3
 SITE_WEIGHT = 0.5
 STRENGTHS = (1.0, 1e6)
 KEEP_FROM = 0.5
+#: Stands for a null host or path.
+NONE = "\0none"
 BITS = np.arange(len(FEATURES))
 
 
@@ -85,21 +88,26 @@ def evidence(docs: DataFrame, weights: np.ndarray, host: Column, path: Column, i
             z = np.clip(x @ weights[:-1] + weights[-1], -30, 30)
             yield batch[["doc_id", "host", "path"]].assign(p=1 / (1 + np.exp(-z)))
 
-    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.coalesce(host, F.lit(NONE)).alias("host"), F.coalesce(path, F.lit(NONE)).alias("path"), F.col(text_col).alias("text"))
     return ids_back(rows.mapInPandas(run, "doc_id string, host string, path string, p double"))
 
 
-def strength(groups: DataFrame) -> float:
-    """Prior strength of groups with n, s (sum) and q (sum of squares), by the method of moments: one row comes back."""
-    row = groups.agg(
+def strength(groups: DataFrame, parent: str | None = None) -> float:
+    """Prior strength of groups with n, s (sum) and q (sum of squares), by the method of moments: how far groups of one
+    parent (None: of all) lie apart, against how far documents of one group do. One row comes back."""
+    parents = groups.groupBy(F.col(parent) if parent else F.lit("all")).agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"),
-        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"), F.sum(F.col("n") * F.col("n")).alias("squares"),
+        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("own"), F.sum(F.col("n") * F.col("n")).alias("squares"),
+    )
+    row = parents.agg(
+        F.sum("k").alias("k"), F.sum("n").alias("n"), F.sum(F.col("q") - F.col("own")).alias("within"), F.sum(F.col("k") - 1).alias("free"),
+        F.sum(F.col("own") - F.col("s") * F.col("s") / F.col("n")).alias("between"), F.sum(F.col("n") - F.col("squares") / F.col("n")).alias("size"),
     ).first()
     low, high = STRENGTHS
-    if not row["k"] or row["k"] < 2 or row["n"] <= row["k"]:
+    if not row["k"] or row["free"] < 1 or row["n"] <= row["k"]:
         return high
-    within = max(1e-9, (row["q"] - row["between"]) / (row["n"] - row["k"]))
-    spread = (row["between"] - row["s"] ** 2 / row["n"] - (row["k"] - 1) * within) / max(1e-9, row["n"] - row["squares"] / row["n"])
+    within = max(1e-9, row["within"] / (row["n"] - row["k"]))
+    spread = (row["between"] - row["free"] * within) / max(1e-9, row["size"])
     return float(min(high, max(low, within / spread))) if spread > 0 else high
 
 
@@ -114,14 +122,17 @@ def combined(scores: DataFrame, site_weight: float = SITE_WEIGHT) -> DataFrame:
     hosts = written(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = total["s"] / total["n"] if total["n"] else 0.5
-    by_host, by_path = strength(hosts), strength(paths)
-    hosts = hosts.select("host", ((F.col("s") + by_host * mean) / (F.col("n") + by_host)).alias("host_quality"))
-    sites = written(paths.join(hosts, "host").select("host", "path", "n", "s", "host_quality"), "sites")
+    by_host, by_path = strength(hosts), strength(paths, "host")
+    hosts = hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s"))
+    sites = paths.join(hosts, "host").select("host", "path", "n", "s", "host_n", "host_s")
+    # A document speaks for itself once: its share is out of its host's and its path's sums.
+    host = (F.col("host_s") - F.col("p") + by_host * mean) / (F.col("host_n") - 1 + by_host)
     own = (F.col("s") - F.col("p") + by_path * F.col("host_quality")) / (F.col("n") - 1 + by_path)
-    joined = scores.join(sites, ["host", "path"]).withColumn("path_quality", own)
+    joined = scores.join(sites, ["host", "path"]).withColumn("host_quality", host).withColumn("path_quality", own)
     odds = _odds(F.col("p")) + site_weight * (_odds(F.col("path_quality")) - _odds(F.lit(float(mean))))
     quality = 1 / (1 + F.exp(-odds))
-    return joined.select("doc_id", "host", "path", "p", "host_quality", "path_quality", quality.alias("quality"), (quality >= KEEP_FROM).alias("kept"))
+    known = lambda c: F.nullif(F.col(c), F.lit(NONE)).alias(c)
+    return joined.select("doc_id", known("host"), known("path"), "p", "host_quality", "path_quality", quality.alias("quality"), (quality >= KEEP_FROM).alias("kept"))
 
 
 def site_of(url: Column) -> tuple[Column, Column]:
