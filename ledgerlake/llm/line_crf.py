@@ -4,7 +4,7 @@ A linear-chain conditional random field marks each line as content or boilerplat
 labelling of the whole text, and the share of words in content lines decides whether the text is kept. Words are
 counted, and lines labelled, over the whole text.
 
-The field is fitted on a bounded sample of labelled documents (labelled.SAMPLE, and TRAIN_LINES of each): lines of good
+The field is fitted on all lines of a bounded sample of labelled documents (labelled.SAMPLE): lines of good
 documents stand for content, lines of bad ones for boilerplate, but a line that repeats an earlier one is boilerplate
 anywhere. The model is a few dozen numbers, fitted by gradient ascent on the conditional likelihood.
 
@@ -26,8 +26,9 @@ from .common import ids_and_texts, ids_back, table
 from .labelled import SAMPLE, labelled_sample
 from .lines import FEATURES, base_counts, bits, line_masks
 
-#: Lines of a document that are used in fitting.
-TRAIN_LINES = 50
+#: In fitting, texts are cut into stretches of so many lines, all of which are used: only the steps from one stretch to
+#: the next are not. Decoding runs over whole texts.
+STRETCH = 64
 CONTENT_SHARE = 0.5
 LEAST_WORDS = 50
 DUPLICATE = 1 << FEATURES.index("repeats an earlier line")
@@ -69,7 +70,7 @@ class LineField:
 def fit(sequences: list[list[int]], labels: list[int]) -> LineField:
     """sequences: the line masks of each document; labels: 1 for a good document, 0 for a bad one."""
     k = len(FEATURES)
-    kept = [(s[:TRAIN_LINES], good) for s, good in zip(sequences, labels) if s]
+    kept = [(s[at : at + STRETCH], good) for s, good in zip(sequences, labels) for at in range(0, len(s), STRETCH)]
     if len({good for _, good in kept}) < 2:
         return LineField(np.zeros(k), -1.0, np.zeros((2, 2)))
     n, t = len(kept), max(len(s) for s, _ in kept)
@@ -113,7 +114,7 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> LineField
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"_id": batch["_id"], "masks": [line_masks(t)[0][:TRAIN_LINES] for t in batch["text"]], "label": batch["label"]})
+            yield pd.DataFrame({"_id": batch["_id"], "masks": [line_masks(t)[0] for t in batch["text"]], "label": batch["label"]})
 
     rows = labelled_sample(docs, labels, "quality", most).mapInPandas(run, "_id long, masks array<int>, label int").toPandas()
     rows = rows.sort_values("_id", kind="stable")

@@ -47,6 +47,57 @@ def test_empirical_bayes_shrinks_sparse_sites(spark):
     assert 0.15 < out[5000]["host_quality"] < 0.5 and out[0]["kept"] and not out[1000]["kept"]
 
 
+def brute_quality(rows):
+    """rows: host, path, p. Posterior and final quality of each, by the definition in plain loops."""
+    mean = sum(p for *_, p in rows) / len(rows)
+    groups = lambda keys: {k: [p for h, q, p in rows if keys(h, q) == k] for k in {keys(h, q) for h, q, _ in rows}}
+    hosts, paths = groups(lambda h, q: h), groups(lambda h, q: (h, q))
+
+    def strength(own, parent_of):
+        n, k = len(rows), len(own)
+        parents = {parent_of(g) for g in own}
+        within = max(1e-9, sum(sum((p - sum(x) / len(x)) ** 2 for p in x) for x in own.values()) / (n - k))
+        between = size = free = 0.0
+        for parent in parents:
+            some = [x for g, x in own.items() if parent_of(g) == parent]
+            count = sum(map(len, some))
+            center = sum(map(sum, some)) / count
+            between += sum(len(x) * (sum(x) / len(x) - center) ** 2 for x in some)
+            size += count - sum(len(x) ** 2 for x in some) / count
+            free += len(some) - 1
+        if free < 1:
+            return 1e6
+        spread = (between - free * within) / max(1e-9, size)
+        return min(1e6, max(1.0, within / spread)) if spread > 0 else 1e6
+
+    by_host, by_path = strength(hosts, lambda g: 0), strength(paths, lambda g: g[0])
+    odds = lambda p: np.log(p / (1 - p))
+    out = []
+    for h, q, p in rows:
+        host = (sum(hosts[h]) - p + by_host * mean) / (len(hosts[h]) - 1 + by_host)
+        path = (sum(paths[h, q]) - p + by_path * host) / (len(paths[h, q]) - 1 + by_path)
+        out.append((host, path, 1 / (1 + np.exp(-(odds(p) + 0.5 * (odds(path) - odds(mean)))))))
+    return out, by_path
+
+
+@pytest.mark.parametrize("paths_differ", [False, True])
+def test_quality_against_brute_force(spark, paths_differ):
+    """Hosts that differ in any case, paths within a host only where asked: then alone they lose the pull to their host."""
+    r = np.random.default_rng(6)
+    rows = []
+    for h in range(12):
+        base = r.uniform(0.2, 0.8)
+        for q in range(4):
+            own = np.clip(base + (r.uniform(-0.18, 0.18) if paths_differ else 0), 0.05, 0.95)
+            rows += [(f"h{h}", f"q{q}", float(np.clip(own + r.normal(0, 0.03), 0.01, 0.99))) for _ in range(1 if q == 3 else 6)]
+    expected, by_path = brute_quality(rows)
+    scores = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, host string, path string, p double")
+    got = {x["doc_id"]: x for x in quality_eb.combined(scores).collect()}
+    for i, (host, path, quality) in enumerate(expected):
+        assert got[i]["host_quality"] == pytest.approx(host) and got[i]["path_quality"] == pytest.approx(path) and got[i]["quality"] == pytest.approx(quality)
+    assert by_path < 3 if paths_differ else by_path > 20
+
+
 def test_empirical_bayes_on_odd_and_empty_tables(odd_docs, no_docs, labels, no_labels):
     weights = quality_eb.trained(odd_docs, labels)
     out = quality_eb.combined(quality_eb.evidence(odd_docs, weights, F.col("source"), F.col("lang"))).collect()
@@ -649,3 +700,32 @@ def test_top_k_of_few_and_of_large_values(spark):
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_queries_run(spark, sf_dir, name):
     assert queries()[name](spark, sf_dir).count() > 0
+
+
+def test_impact_index_stops_early_and_is_exact():
+    """Candidates of which few are near a query: it stops before the last segment, with the right rows."""
+    r = np.random.default_rng(2)
+    values = r.integers(-20, 20, size=(500, 16))
+    values[7] = 250
+    values[8] = -250
+    index = topk.ImpactIndex(np.arange(500), values)
+    queries = np.array([[9] * 16, [-9] * 16, list(r.integers(-30, 30, size=16))])
+    got = list(index.best(np.array([-1, -2, -3]), queries, 5))
+    for q, asked in zip((-1, -2, -3), queries):
+        scores = values @ asked
+        assert [(i, s) for a, i, s in got if a == q] == [(int(i), int(scores[i])) for i in np.lexsort((np.arange(500), -scores))[:5]]
+    assert sorted(index.taken)[0] < topk.LEVELS - 1
+
+
+def test_field_is_fitted_on_all_lines():
+    """Boilerplate stands only behind the sixty-fourth line of long texts: a fit on first lines could not know it."""
+    plain, odd = 1 << 11, 1 << 2
+    sequences = [[plain] * 200 for _ in range(20)] + [[odd] * 3 for _ in range(0)] + [[plain] * 100 + [odd] * 100 for _ in range(20)]
+    field = line_crf.fit(sequences, [1] * 20 + [0] * 20)
+    assert field.labels([odd] * 5) == [1] * 5
+
+
+def test_sample_takes_one_row_of_a_repeated_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, None), (2, None)], "doc_id long, text string")
+    known = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert sorted(r["_id"] for r in labelled.labelled_sample(docs, known, "quality").collect()) == [1, 2]
