@@ -15,6 +15,11 @@ def _own_dir() -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, or where that is unset (tests) under one of our own."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_dir()}"
+    """A fresh folder under spark.checkpoint.dir. Where that is unset a local master (as in tests) gets one of our own; on
+    a cluster other executors could not read it, so it is an error there."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or f"file://{_own_dir()}"
     return f"{base.rstrip('/')}/ledgerlake/{label}-{uuid.uuid4().hex}"
