@@ -12,9 +12,11 @@ keys are both over the set of shingles, which decides. Proposed pairs are checke
 
 Rest. What the radius, the keys or a forest can miss is found exactly. Two sets of the similarity share one of each one's
 first shingles (prefix_size() of them) in any order that is the same for all; here rare ones come first. Nodes that
-share such a shingle, are not yet of one group and are near enough in size are compared on their whole sets: those of a
-shingle of few nodes as pairs, each once; of more in one task a shingle (crowded ones in pairs of tiles), which only links
-that hold leave. Shingles that stand in the same nodes are compared once.
+share such a shingle, are not yet of one group and are near enough in size are compared: those of a shingle of few nodes
+as pairs, each once; of more in one task a shingle (crowded ones in pairs of tiles), which only links that hold leave.
+Shingles that stand in the same nodes are compared once. Parity sketches of about a bit a shingle go first: the bits in
+which two of them differ are at most the shingles in which the sets differ, so none that hold are lost, and whole sets
+move only for nodes that sketches can't tell apart.
 
 Edge cases. Null, empty and wordless texts are one node. A text with fewer words than a shingle has one shingle, the
 whole sequence. The row of the smallest id stays (null last), of equal ids that of the smallest text hash; of rows that
@@ -154,8 +156,62 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
     return h[order], met["count"].to_numpy(np.int64)[order]
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """Parities of how many of a set fall to each bit, a power of two of bits, one a member or more."""
+    bits = max(64, 1 << int(len(hashes) - 1).bit_length()) if len(hashes) else 64
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(sketches: np.ndarray) -> np.ndarray:
+    """Sketches (last axis) of the same sets at half the size."""
+    half = sketches.shape[-1] // 2
+    return sketches[..., :half] ^ sketches[..., half:]
+
+
+def most_apart(sizes: np.ndarray | int, least: float) -> np.ndarray | float:
+    """Members in which two sets of `sizes` members together differ at most at the similarity `least`."""
+    return sizes * (1 - least) / (1 + least) + 1e-6
+
+
+def sketches_allow(a: bytes, b: bytes, sizes: int, least: float) -> bool:
+    """False only if the similarity of two sets is under `least`. Sizes that are near enough give sketches at most twofold."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(x) < len(y):
+        y = folded(y)
+    return int(np.bitwise_count(x ^ y).sum()) <= most_apart(sizes, least)
+
+
+def may_hold(roots: np.ndarray, sizes: np.ndarray, sketches: list[bytes], least: float) -> np.ndarray:
+    """A mask: nodes that may have the similarity `least` to a node of another root, as far as sketches tell."""
+    label = pd.factorize(roots)[0]
+    lengths = np.array([len(s) for s in sketches])
+    kinds = {n: np.flatnonzero(lengths == n) for n in np.unique(lengths).tolist()}
+    whole = {n: np.frombuffer(b"".join(sketches[i] for i in at), np.uint8).reshape(len(at), n) for n, at in kinds.items()}
+    halved = {n // 2: (kinds[n], folded(rows)) for n, rows in whole.items() if n > 8}
+    found = np.zeros(len(sketches), bool)
+
+    def meet(i: int, own: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+        other = label[at] != label[i]
+        if other.any():
+            at, rows = at[other], rows[other]
+            near = np.bitwise_count(rows ^ own).sum(axis=1, dtype=np.int64) <= most_apart(sizes[at] + sizes[i], least)
+            found[at[near]] = True
+            found[i] |= bool(near.any())
+
+    # Of the pairs of two groups one end at least is outside the largest.
+    for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
+        own = np.frombuffer(sketches[i], np.uint8)
+        meet(i, own, kinds[len(own)], whole[len(own)])
+        if len(own) in halved:
+            meet(i, own, *halved[len(own)])
+        if len(own) // 2 in kinds:
+            meet(i, folded(own), kinds[len(own) // 2], whole[len(own) // 2])
+    return found
+
+
 def prefixes(docs: DataFrame, found: DataFrame, linked: DataFrame, least: float, shingle: int) -> DataFrame:
-    """node, root (of its group so far), size (of its set), token: each of the first shingles of every node; written."""
+    """node, root (of its group so far), size (of its set), sketch, tokens: the first shingles of every node; written."""
     common, often = common_shingles(docs, shingle)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,12 +224,30 @@ def prefixes(docs: DataFrame, found: DataFrame, linked: DataFrame, least: float,
                 if len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     times = np.where(common[at] == h, often[at], 0)
-                rows.append((*text_key(words), len(h), h[np.lexsort((h, times))][: prefix_size(len(h), least)].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["high", "low", "size", "tokens"])
+                first = h[np.lexsort((h, times))][: prefix_size(len(h), least)]
+                rows.append((*text_key(words), len(h), sketch_of(h), first.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["high", "low", "size", "sketch", "tokens"])
 
-    signed = docs.select("text").mapInPandas(run, "high long, low long, size long, tokens array<long>").dropDuplicates(["high", "low"])
+    signed = docs.select("text").mapInPandas(run, "high long, low long, size long, sketch binary, tokens array<long>").dropDuplicates(["high", "low"])
     rooted = found.select("node", "high", "low").join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "high", "low")
-    return written(signed.join(rooted, ["high", "low"]).select("node", "root", "size", F.explode("tokens").alias("token")), "prefixes")
+    return written(signed.join(rooted, ["high", "low"]).select("node", "root", "size", "sketch", "tokens"), "prefixes")
+
+
+def by_place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each token, i, j together; the rows come sorted by these. One place is held at a time."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        place = batch[["token", "i", "j"]].to_numpy()
+        edges = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
+        for at, end in zip([0, *edges.tolist()], [*edges.tolist(), len(batch)]):
+            if at == end:
+                continue
+            if held and tuple(held[-1][["token", "i", "j"]].iloc[-1]) != tuple(place[at]):
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(batch.iloc[at:end])
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def links_that_hold(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -200,49 +274,65 @@ def links_that_hold(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray]
     return told
 
 
+def told_apart(spread: DataFrame, least: float) -> DataFrame:
+    """spread: token, i, j, node, root, size, sketch. The rows but for nodes that sketches tell from all others of their place."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in by_place(batches):
+            if rows["root"].nunique() > 1:
+                yield rows.loc[may_hold(rows["root"].to_numpy(), rows["size"].to_numpy(), list(rows["sketch"]), least), ["token", "i", "j", "node", "root"]]
+
+    placed = spread.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return placed.mapInPandas(run, "token long, i int, j int, node long, root long")
+
+
+def allowed(pairs: DataFrame, info: DataFrame, least: float) -> DataFrame:
+    """pairs: u, v. The pairs that sketches do not tell apart."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = [sketches_allow(a, b, n, least) for a, b, n in zip(batch["a"], batch["b"], batch["n"])]
+            yield batch.loc[np.array(keep, bool), ["u", "v"]]
+
+    left = info.select(F.col("node").alias("u"), F.col("sketch").alias("a"), F.col("size").alias("n_a"))
+    right = info.select(F.col("node").alias("v"), F.col("sketch").alias("b"), F.col("size").alias("n_b"))
+    met = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b", (F.col("n_a") + F.col("n_b")).alias("n"))
+    return met.mapInPandas(run, "u long, v long")
+
+
 def missed(docs: DataFrame, found: DataFrame, linked: DataFrame, least: float, shingle: int) -> DataFrame:
     """u, v: links that hold and join groups of linked (node, root), enough to join all that pairs of `least` join."""
     first = prefixes(docs, found, linked, least, shingle)
+    info = first.select("node", "root", "size", "sketch")
+    posts = first.select("node", "root", F.explode("tokens").alias("token"))
+    # Most shingles stand in one group: those go by the smallest of rows, before anything else of a node moves.
+    shared = posts.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("token")
+    shared_posts = written(posts.select("token", "node").join(shared, "token"), "shared-postings")
+    sized = shared_posts.join(info.drop("sketch"), "node")
     ways = [F.bit_xor(F.xxhash64(F.lit(k), F.col("node"))).alias(f"x{k}") for k in (1, 2)]
-    tokens = first.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b"), F.sum("size").alias("sizes"), *ways).filter("n > 1 AND a < b")
+    tokens = sized.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("sizes"), *ways)
     met = tokens.groupBy("n", "x1", "x2").agg(F.min("token").alias("token"), F.first("sizes").alias("sizes"))
     tiles = F.ceil(F.col("sizes") * 8 / TILE_BYTES).cast("int")
-    open_posts = written(first.join(met.select("token", "n", F.when(tiles > 2, tiles).otherwise(1).alias("tiles")), "token"), "open-postings")
+    open_posts = written(sized.join(met.select("token", "n", F.when(tiles > 2, tiles).otherwise(1).alias("tiles")), "token"), "open-postings")
     few, many = open_posts.filter(F.col("n") <= FEW), open_posts.filter(F.col("n") > FEW)
     end = lambda x: few.select("token", F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("size").alias(f"size_{x}"))
     near = F.least("size_u", "size_v") >= F.greatest("size_u", "size_v") * least - 1e-9
     pairs = end("u").join(end("v"), "token").filter((F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & near)
-    pairs = written(pairs.select("u", "v").distinct(), "few-pairs")
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).union(many.select("node")).distinct()
-    sets = written(shingle_sets(docs, found.join(ends, "node").select("node", "first"), shingle), "open-sets")
+    pairs = written(allowed(pairs.select("u", "v").distinct(), info, least), "few-pairs")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: (x != tile) | (F.col("tiles") == 1))
-    spread = many.select("token", "node", "root", tile.alias("a"), F.explode(others).alias("b"))
-    spread = spread.select("token", "node", "root", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
+    spread = many.join(info.select("node", "sketch"), "node").select("token", "node", "root", "size", "sketch", tile.alias("a"), F.explode(others).alias("b"))
+    spread = spread.select("token", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "node", "root", "size", "sketch")
+    places = written(told_apart(spread, least), "open-places")
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).union(places.select("node")).distinct()
+    sets = written(shingle_sets(docs, found.join(ends, "node").select("node", "first"), shingle), "open-sets")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def compared() -> list[tuple[int, int]]:
-            rows = pd.concat(held)
-            if rows["root"].nunique() < 2:
-                return []
-            return links_that_hold(rows["node"].to_numpy(), rows["root"].to_numpy(), [np.frombuffer(s, np.uint64) for s in rows["shingles"]], least)
-
-        for batch in batches:
-            told: list[tuple[int, int]] = []
-            place = batch[["token", "i", "j"]].to_numpy()
-            edges = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
-            for at, end in zip([0, *edges.tolist()], [*edges.tolist(), len(batch)]):
-                if held and tuple(held[-1][["token", "i", "j"]].iloc[-1]) != tuple(place[at]):
-                    told += compared()
-                    held = []
-                held.append(batch.iloc[at:end])
+        for rows in by_place(batches):
+            told = links_that_hold(rows["node"].to_numpy(), rows["root"].to_numpy(), [np.frombuffer(s, np.uint64) for s in rows["shingles"]], least)
             yield pd.DataFrame(told, columns=["u", "v"], dtype="int64")
-        if held:
-            yield pd.DataFrame(compared(), columns=["u", "v"], dtype="int64")
 
-    rows = spread.join(sets, "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    rows = places.join(sets, "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     held = decided(pairs, sets, least).filter("holds").select("u", "v")
     return held.unionByName(rows.mapInPandas(run, "u long, v long")).distinct()
 

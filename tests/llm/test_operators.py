@@ -417,6 +417,23 @@ def test_what_the_proposals_miss_is_found(spark, monkeypatch, few, tile_bytes):
     assert {x["id"] for x in groups.collect()} == smallest_of_similar(rows)
 
 
+def test_sketches_lose_no_pair_that_holds():
+    r = np.random.default_rng(5)
+    sets = []
+    for n in r.integers(1, 500, 120).tolist():
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        more = r.integers(0, 1 << 63, int(r.integers(0, max(2, n // 3))), dtype=np.uint64)
+        sets += [a, np.unique(np.concatenate([a[: len(a) - int(r.integers(0, max(1, len(a) // 4)))], more]))]
+    sizes, sketches = np.array([len(x) for x in sets]), [similar.sketch_of(x) for x in sets]
+    holds = [(i, j) for i in range(len(sets)) for j in range(i) if similar.similarity(sets[i], sets[j]) >= 0.8]
+    assert holds and all(similar.sketches_allow(sketches[i], sketches[j], sizes[i] + sizes[j], 0.8) for i, j in holds)
+    mask = similar.may_hold(np.arange(len(sets)), sizes, sketches, 0.8)
+    assert mask[np.unique(holds)].all()
+    apart = similar.may_hold(np.arange(0, len(sets), 2), sizes[::2], sketches[::2], 0.8)
+    assert apart[sizes[::2] > 64].sum() == 0
+    assert not similar.may_hold(np.zeros(len(sets), int), sizes, sketches, 0.8).any()
+
+
 def test_similar_on_odd_and_empty_tables(odd_docs, no_docs):
     kept = similar.deduplicated(odd_docs)
     nodes = {tuple(WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))) for _, t in texts_of(odd_docs)}
