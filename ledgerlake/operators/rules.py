@@ -23,11 +23,16 @@ class Bridge:
     least: float = 2.0
 
     def status(self) -> Column:
-        term = lambda sign, name: (F.coalesce(F.col(name), F.lit(0)) if name in self.zero_if_missing else F.col(name)) * sign
+        return self.status_of({name: F.col(name) for name in (self.total, *(p for _, p in self.parts))})
+
+    def status_of(self, items: dict[str, Column]) -> Column:
+        """The status by the items given; those left out are null."""
+        item = lambda name: items.get(name, F.lit(None).cast("decimal(38,6)"))
+        term = lambda sign, name: (F.coalesce(item(name), F.lit(0)) if name in self.zero_if_missing else item(name)) * sign
         total = None
         for sign, name in self.parts:
             total = term(sign, name) if total is None else total + term(sign, name)
-        return bridge(F.col(self.total), total, self.required, self.share, self.least)
+        return bridge(item(self.total), total, self.required, self.share, self.least)
 
 
 #: The accounting identities; one wide row holds a filing's canonical items.

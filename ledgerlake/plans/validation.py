@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.numeric import amount, ratio
 from ledgerlake.functions.text import tokens
+from ledgerlake.operators import markets
 from ledgerlake.operators.core import bridge, latest
-from ledgerlake.operators.rules import alerts, checked, first_formula
+from ledgerlake.operators.rules import BRIDGES, alerts, checked, first_formula
 
 from .registry import Tables, query
 
@@ -161,3 +162,45 @@ def state_changes(t: Tables):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     flag = F.col("o_orderstatus") != F.lag("o_orderstatus").over(w)
     return t.orders.select("o_orderkey", flag.alias("flag")).filter("flag")
+
+
+@query("""WITH g AS (SELECT l_orderkey AS k, sum(CASE WHEN l_returnflag = 'A' THEN CAST(l_extendedprice AS DECIMAL(18,4)) END) AS a, sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DECIMAL(18,4)) END) AS r, sum(CASE WHEN l_returnflag = 'N' THEN CAST(l_extendedprice AS DECIMAL(18,4)) END) AS n, sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS s FROM lineitem GROUP BY 1),
+w AS (SELECT k, a, r, n, CASE k % 4 WHEN 0 THEN s WHEN 1 THEN s * 1.004 WHEN 2 THEN s * 1.008 ELSE s * 1.2 END AS t FROM g),
+p AS (SELECT k, 'liabilities_split' AS rule_id, t, a + r AS x, 0.005 AS share, 2 AS least FROM w UNION ALL SELECT k, 'equity_split', t, r + n, 0.005, 2 FROM w UNION ALL SELECT k, 'net_profit', t, a - r, 0.005, 2 FROM w UNION ALL SELECT k, 'profit_split', t, a + n, 0.005, 2 FROM w UNION ALL SELECT k, 'cash_change', t, a + r + n, 0.005, 2 FROM w UNION ALL SELECT k, 'cash_end', t, a + r + coalesce(n, 0), 0.005, 2 FROM w UNION ALL SELECT k, 'cash_match', t, a, 0.01, 5 FROM w)
+SELECT k AS l_orderkey, rule_id, CASE WHEN x IS NULL THEN 'skipped' WHEN abs(t - x) <= greatest(greatest(abs(t), abs(x)) * share, least) THEN 'pass' ELSE 'fail' END AS status FROM p""")
+def accounting_rules(t: Tables):
+    """The optional identities, on each order's lines by flag as stand-ins for a filing's items."""
+    item = lambda flag: F.sum(F.when(F.col("l_returnflag") == flag, line_price()))
+    k = F.col("l_orderkey")
+    g = t.lineitem.groupBy("l_orderkey").agg(item("A").alias("a"), item("R").alias("r"), item("N").alias("n"), F.sum(line_price()).alias("s"))
+    total = F.when(k % 4 == 0, F.col("s")).when(k % 4 == 1, F.col("s") * F.lit(1.004).cast("decimal(4,3)")).when(k % 4 == 2, F.col("s") * F.lit(1.008).cast("decimal(4,3)")).otherwise(F.col("s") * F.lit(1.2).cast("decimal(2,1)"))
+    g = g.withColumn("t", total)
+    places = {
+        "liabilities_split": {"total_liabilities": "t", "current_liabilities": "a", "noncurrent_liabilities": "r"},
+        "equity_split": {"total_equity": "t", "parent_equity": "r", "minority_equity": "n"},
+        "net_profit": {"net_profit": "t", "profit_before_tax": "a", "income_tax": "r"},
+        "profit_split": {"net_profit": "t", "parent_profit": "a", "minority_profit": "n"},
+        "cash_change": {"cash_change": "t", "cfo": "a", "cfi": "r", "cff": "n"},
+        "cash_end": {"cash_end": "t", "cash_begin": "a", "cash_change": "r", "fx": "n"},
+        "cash_match": {"cash_balance": "t", "cash_end": "a"},
+    }
+    rules = {r.rule_id: r for r in BRIDGES}
+    judged = [F.struct(F.lit(name).alias("rule_id"), rules[name].status_of({item: F.col(c) for item, c in items.items()}).alias("status")) for name, items in places.items()]
+    return g.select("l_orderkey", F.explode(F.array(*judged)).alias("c")).select("l_orderkey", "c.rule_id", "c.status")
+
+
+@query("""WITH c AS (SELECT c_custkey, CASE c_nationkey % 5 WHEN 0 THEN 'HK' WHEN 1 THEN 'JP' WHEN 2 THEN 'KR' WHEN 3 THEN 'EU' ELSE 'US' END AS market FROM customer),
+f AS (SELECT o_orderkey, c_custkey, market, CASE market WHEN 'HK' THEN 'HK:' || CASE WHEN c_custkey < 100000 THEN lpad(CAST(c_custkey AS VARCHAR), 5, '0') ELSE CAST(c_custkey AS VARCHAR) END WHEN 'US' THEN 'US:CIK' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') WHEN 'EU' THEN 'EU:EU:' || c_custkey || ':' || c_custkey ELSE market || ':' || c_custkey END AS company_id,
+ coalesce(CASE o_orderkey % 3 WHEN 0 THEN 'GBP' WHEN 1 THEN 'EUR' END, CASE market WHEN 'JP' THEN 'JPY' WHEN 'KR' THEN 'KRW' WHEN 'US' THEN 'USD' END) AS fact_currency FROM orders JOIN c ON o_custkey = c_custkey)
+SELECT o_orderkey, company_id, fact_currency, market = 'EU' AND coalesce(min(fact_currency) OVER (PARTITION BY c_custkey) <> max(fact_currency) OVER (PARTITION BY c_custkey), false) AS multi_currency FROM f""")
+def market_annotations(t: Tables):
+    """Identity and currency by market, filings of several currencies."""
+    place = F.col("c_nationkey") % 5
+    market = F.when(place == 0, "HK").when(place == 1, "JP").when(place == 2, "KR").when(place == 3, "EU").otherwise("US")
+    c = t.customer.select("c_custkey", market.alias("market"))
+    unit = F.when(F.col("o_orderkey") % 3 == 0, "GBP million").when(F.col("o_orderkey") % 3 == 1, "in €").otherwise("units")
+    rows = t.orders.select("o_orderkey", "o_custkey", unit.alias("unit")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    none, m = F.lit(None).cast("string"), F.col("market")
+    rows = rows.withColumn("company_id", markets.company_id(m, none, F.col("c_custkey").cast("string")))
+    rows = rows.withColumn("fact_currency", markets.fact_currency(none, F.col("unit"), markets.reporting_currency(m, none)))
+    return markets.multi_currency(rows, ["c_custkey"]).select("o_orderkey", "company_id", "fact_currency", "multi_currency")

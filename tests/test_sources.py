@@ -5,9 +5,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlake.operators import retrieval
+from ledgerlake.operators import markets, retrieval
 from ledgerlake.plans import governed
-from ledgerlake.sources import layout, schema
+from ledgerlake.sources import layout, schema, sinks
 
 
 def test_bootstrap_and_latest_runs(spark, tmp_path):
@@ -51,3 +51,31 @@ def test_time_limit(spark):
     with pytest.raises(governed.PolicyError) as e:
         governed.rows_within(spark.range(5).mapInPandas(slow, "id long"), 500)
     assert e.value.code == "timeout"
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a b"), (2, None), (None, "ü")], "id int, text string")
+    sinks.write_json_lines(rows, str(tmp_path / "lines"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "lines")).collect()]
+    assert sorted(lines) == ['{"id":1,"text":"a b"}', '{"id":2,"text":null}', '{"id":null,"text":"ü"}']
+    got = sinks.embedded(spark.range(70).selectExpr("CAST(id AS STRING) AS text").coalesce(1), lambda texts: [[float(len(texts)), float(t)] for t in texts])
+    got = {int(r["embedding"][1]): int(r["embedding"][0]) for r in got.collect()}
+    assert got == {i: 32 if i < 64 else 6 for i in range(70)}
+    new = spark.createDataFrame([(2, "two"), (3, "three"), (None, "none")], "id int, text string")
+    assert {(r["id"], r["text"]) for r in sinks.upserted(rows, new, ["id"]).collect()} == {(1, "a b"), (2, "two"), (3, "three"), (None, "none")}
+
+
+def test_market_rules(spark):
+    cases = [
+        ("HK", None, "700.HK", "HK:00700"), ("HK", None, "HK0005", "HK:00005"), ("HK", "hk:fixture:1", "700", "hk:fixture:1"), ("HK", None, "abc", "HK:ABC"), ("HK", "kept", " ", "kept"),
+        ("JP", None, "E02144", "JP:E02144"), ("KR", "old", None, "old"), ("US", None, "320193", "US:CIK0000320193"), ("EU", None, "lei9", "EU:DE:SAP:lei9"), ("EU", "EU:FIXTURE:2", "lei9", "EU:FIXTURE:2"),
+    ]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, market string, current string, code string, expected string")
+    made = markets.company_id(F.col("market"), F.col("current"), F.col("code"), F.lit("de"), F.lit("sap"))
+    assert [r["made"] for r in rows.select("i", made.alias("made")).orderBy("i").collect()] == [c[3] for c in cases]
+    concepts = [("us-gaap:Assets", "balance_sheet"), ("GrossProfit", "income_statement"), ("NetCashProvidedByUsedInOperatingActivities", "cash_flow_statement"), ("EntityName", "as is"), (None, "as is")]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(concepts)], "i int, concept string, expected string")
+    assert [r["s"] for r in rows.select("i", markets.us_statement(F.col("concept"), F.lit("as is")).alias("s")).orderBy("i").collect()] == [c[1] for c in concepts]
+    one = spark.createDataFrame([("JP", None, None, None), ("EU", "chf", None, None), ("EU", None, "US$ million", "gbp"), ("EU", None, None, None)], "m string, stated string, unit string, own string")
+    reporting = markets.reporting_currency(F.col("m"), F.col("stated"))
+    assert [r[0] for r in one.select(markets.fact_currency(F.col("own"), F.col("unit"), reporting)).collect()] == ["JPY", "CHF", "gbp", None]
