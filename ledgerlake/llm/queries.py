@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_prefix_bpe
 from .line_crf import op2_line_crf
+from .merkle import op12_merkle_manifest
 from .ordinal import op9_ordinal_toxicity
 from .packing import op7_best_fit
 from .quality_eb import op1_empirical_bayes
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_virtual_slots": op8_virtual_slots,
         "op9_ordinal_toxicity": op9_ordinal_toxicity,
         "op10_impact_ordered": op10_impact_ordered,
+        "op12_merkle_manifest": op12_merkle_manifest,
     }
 
 
