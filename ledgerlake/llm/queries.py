@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_prefix_bpe
+from .language import op13_byte_cnn
 from .line_crf import op2_line_crf
 from .merkle import op12_merkle_manifest
 from .ordinal import op9_ordinal_toxicity
 from .packing import op7_best_fit
 from .quality_eb import op1_empirical_bayes
+from .resampling import op11_bracketed_resampling
 from .sharding import op8_virtual_slots
 from .simhash import op4_simhash
 from .sstable import op3_sstable
@@ -31,7 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_virtual_slots": op8_virtual_slots,
         "op9_ordinal_toxicity": op9_ordinal_toxicity,
         "op10_impact_ordered": op10_impact_ordered,
+        "op11_bracketed_resampling": op11_bracketed_resampling,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_byte_cnn": op13_byte_cnn,
     }
 
 
