@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,13 +22,44 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, group: str | None = None) -> DataFrame:
-    """query_id, vec_id, score, rn. queries (id, q and the group if given) is a small stated set, broadcast by Spark only
-    while under its size limit; every vector is scored once against it and each task keeps k before the shuffle."""
-    on = queries[group] == vectors[group] if group else F.lit(True)
-    scored = vectors.join(queries, on).filter(F.col("vec_id") != F.col("query_id"))
-    scored = scored.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), 4).alias("score"))
+#: Vectors and queries that are scored against each other at a time.
+VECTOR_BLOCK, QUERY_BLOCK = 4096, 1024
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, group: str | None = None, digits: int = 4, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, vec_id, score (inner product), rn: each query's k best vectors but its own, ties to the smaller id.
+
+    queries: query_id, q; vectors: vec_id, v; both with the column `group` where only vectors of the query's group count.
+    Both sides are dealt into blocks and meet block against block, as two matrices that are multiplied; of each block a
+    query keeps its k best (and what rounding to `digits` may tie with them). A task holds one block of each side at a
+    time, whatever the sizes of groups. Null vectors, and those of another length than the query, take no part."""
+    g = F.col(group) if group else F.lit(0)
+    # Place in the table parts rows that repeat an id, so that they spread too.
+    v = vectors.filter("v IS NOT NULL").select(g.alias("g"), F.size("v").alias("dim"), "vec_id", F.col("v").cast("array<double>").alias("v"), F.xxhash64("vec_id", F.monotonically_increasing_id()).alias("h"))
+    q = queries.filter("q IS NOT NULL").select(g.alias("g"), F.size("q").alias("dim"), "query_id", F.col("q").cast("array<double>").alias("q"), F.xxhash64("query_id", F.monotonically_increasing_id()).alias("h"))
+    blocks = lambda rows, size, name: rows.groupBy("g", "dim").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    sizes = blocks(v, vector_block, "vbs").join(blocks(q, query_block, "qbs"), ["g", "dim"])
+    keys = ["g", "dim", "vb", "qb"]
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.col("h"), F.col(n)).cast("int")
+    left = v.join(sizes, ["g", "dim"]).select("g", "dim", own("vbs").alias("vb"), each("qbs").alias("qb"), "vec_id", "v")
+    right = q.join(sizes, ["g", "dim"]).select("g", "dim", each("vbs").alias("vb"), own("qbs").alias("qb"), "query_id", "q")
+
+    def best(_, these: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(these) and len(asked):
+            scores = np.stack(asked["q"]) @ np.stack(these["v"]).T
+            ids, asking = these["vec_id"].to_numpy(), asked["query_id"].to_numpy()
+            scores[asking[:, None] == ids[None, :]] = -np.inf
+            bar = np.partition(scores, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))] - 2 * 10.0**-digits
+            row, at = np.nonzero((scores >= bar[:, None]) & (scores > -np.inf))
+            out = list(zip(asking[row].tolist(), ids[at].tolist(), scores[row, at].tolist()))
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+    id_type = lambda rows, c: rows.schema[c].dataType.simpleString()
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"query_id {id_type(queries, 'query_id')}, vec_id {id_type(vectors, 'vec_id')}, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    scored = met.withColumn("score", F.round("score", digits))
     return scored.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
 
 
@@ -97,14 +129,21 @@ def embedded(rows: DataFrame, client, dimension: int, text_col: str = "text") ->
     return rows.withColumn("embedding", embed(F.col(text_col))).withColumn("embedding", unit(F.col("embedding")))
 
 
-def reranked(hits: DataFrame, query: str, client, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """Scores by an outside model: a function of (query, texts). Where it fails, the scores stay as they were."""
+def reranked(hits: DataFrame, query: str, client, text_col: str = "text", score_col: str = "score", failures=None, errors: tuple[type[Exception], ...] = (OSError, TimeoutError, ValueError)) -> DataFrame:
+    """Scores by an outside model: a function of (query, texts). Where it fails with one of `errors` (what a client that is
+    unreachable or answers badly raises), the scores stay as they were and the texts are added to `failures`, an accumulator
+    of the caller's; any other exception is a fault of the code and ends the job."""
 
     @F.pandas_udf("double")
     def judge(texts: pd.Series, scores: pd.Series) -> pd.Series:
         try:
-            return pd.Series(client(query, list(texts)), dtype=float)
-        except Exception:
+            found = client(query, list(texts))
+            if len(found) != len(texts):
+                raise ValueError(f"{len(found)} scores for {len(texts)} texts")
+            return pd.Series(found, dtype=float)
+        except errors:
+            if failures is not None:
+                failures.add(len(texts))
             return scores
 
     return hits.withColumn(score_col, judge(F.col(text_col), F.col(score_col)))

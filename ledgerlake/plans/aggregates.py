@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.numeric import amount, ratio
 from ledgerlake.functions.text import question_key, tokens
 from ledgerlake.operators.core import rolled_up, salted_sum, top_per_group
+from ledgerlake.operators.ranks import Standing, median, middle_ranks, nearest_rank, rounded_rank
 
 from .registry import Tables, query
 
@@ -79,11 +79,16 @@ def question_frequency(t: Tables):
 @query("""WITH p AS (SELECT s_nationkey, count(*) AS n, round(avg(CAST(s_acctbal AS DECIMAL(18,4))), 2) AS mean, median(s_acctbal) AS med, min(s_acctbal) AS low, max(s_acctbal) AS high FROM supplier GROUP BY 1), r AS (SELECT s_suppkey, s_nationkey, s_acctbal, CAST(cume_dist() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal) AS DOUBLE) AS pr FROM supplier)
 SELECT s_suppkey, n, CAST(mean AS DOUBLE) AS mean, med, low, high, round(pr, 6) AS percentile FROM r JOIN p USING (s_nationkey)""")
 def peer_stats(t: Tables):
-    """A company among its peers; the percentile counts values up to its own."""
+    """A company among its peers; the percentile counts values up to its own. No task holds all peers: the counts of
+    values are dealt by ranges."""
     s = t.supplier
-    peers = s.groupBy("s_nationkey").agg(row_count().alias("n"), F.round(F.avg(amount(F.col("s_acctbal"))), 2).cast("double").alias("mean"), F.median("s_acctbal").alias("med"), F.min("s_acctbal").alias("low"), F.max("s_acctbal").alias("high"))
-    rank = s.select("s_suppkey", "s_nationkey", F.round(F.cume_dist().over(Window.partitionBy("s_nationkey").orderBy("s_acctbal")), 6).alias("percentile"))
-    return rank.join(F.broadcast(peers), "s_nationkey").drop("s_nationkey")
+    means = s.groupBy("s_nationkey").agg(row_count().alias("n"), F.round(F.avg(amount(F.col("s_acctbal"))), 2).cast("double").alias("mean"), F.min("s_acctbal").alias("low"), F.max("s_acctbal").alias("high"))
+    standing = Standing(s, ["s_nationkey"], "s_acctbal")
+    middles = standing.at(middle_ranks()).select("s_nationkey", median().alias("med"))
+    # One row a nation: 25.
+    peers = F.broadcast(means.join(middles, "s_nationkey"))
+    upto = standing.upto().select("s_nationkey", "s_acctbal", F.round(F.col("upto") / F.col("n"), 6).alias("percentile"))
+    return s.select("s_suppkey", "s_nationkey", "s_acctbal").join(upto, ["s_nationkey", "s_acctbal"]).join(peers, "s_nationkey").select("s_suppkey", "n", "mean", "med", "low", "high", "percentile")
 
 
 @query("""WITH m AS (SELECT user_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 1 WHEN event_type = 'error' THEN -1 ELSE 0 END AS s FROM events), a AS (SELECT user_id, count(*) FILTER (WHERE s = 1) AS pos, count(*) FILTER (WHERE s = -1) AS neg, count(*) FILTER (WHERE s = 0) AS neutral, round(CAST(sum(s) AS DECIMAL(38,12)) / count(*), 4) AS score FROM m GROUP BY 1)
@@ -125,24 +130,16 @@ def weighted_mean(t: Tables):
     return t.lineitem.groupBy("l_partkey").agg(mean.alias("mean"))
 
 
-def nearest_rank(value: str, q: float):
-    """The ceil(q n)-th smallest, by counts of equal values: no group's values are collected."""
-    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
-
-
 @query("SELECT event_type, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
 def p95_nearest_rank(t: Tables):
     """Nearest rank, ceil form."""
-    return t.events.groupBy("event_type").agg(nearest_rank("value", 0.95).alias("p95"))
+    return Standing(t.events, ["event_type"], "value").at({"p95": nearest_rank(0.95)})
 
 
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(value) FILTER (WHERE i = CAST(round_even((n - 1) * 0.5, 0) AS BIGINT)) AS p50, max(value) FILTER (WHERE i = CAST(round_even((n - 1) * 0.9, 0) AS BIGINT)) AS p90 FROM r GROUP BY 1""")
 def p50_p90_profile(t: Tables):
     """Nearest rank of round((n - 1) p), half to even."""
-    w = Window.partitionBy("event_type")
-    r = t.events.withColumn("i", F.row_number().over(w.orderBy("value", "event_id")) - 1).withColumn("n", row_count().over(w))
-    pick = lambda p: F.max(F.when(F.col("i") == F.bround((F.col("n") - 1) * F.lit(p), 0).cast("long"), F.col("value")))
-    return r.groupBy("event_type").agg(pick(0.5).alias("p50"), pick(0.9).alias("p90"))
+    return Standing(t.events, ["event_type"], "value").at({"p50": rounded_rank(0.5), "p90": rounded_rank(0.9)})
 
 
 @query("""SELECT user_id, round(regr_slope(value, floor(epoch(ts))) * 3600, 6) AS slope FROM events GROUP BY 1""")
@@ -251,8 +248,10 @@ def count_expectations(t: Tables):
 
 @query("""SELECT event_type, min(value) AS low, median(value) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS high, CAST(round(avg(CAST(value AS DECIMAL(18,4))), 4) AS DOUBLE) AS mean FROM events GROUP BY 1""")
 def elapsed_stats(t: Tables):
-    """G29, G30."""
-    return t.events.groupBy("event_type").agg(F.min("value").alias("low"), F.median("value").alias("p50"), nearest_rank("value", 0.95).alias("p95"), nearest_rank("value", 0.99).alias("p99"), F.max("value").alias("high"), F.round(F.avg(value_amount()), 4).cast("double").alias("mean"))
+    """Ranks by distributed selection beside plain aggregates."""
+    ranks = Standing(t.events, ["event_type"], "value").at(middle_ranks() | {"p95": nearest_rank(0.95), "p99": nearest_rank(0.99)})
+    plain = t.events.groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg(value_amount()), 4).cast("double").alias("mean"))
+    return plain.join(ranks, "event_type").select("event_type", "low", median().alias("p50"), "p95", "p99", "high", "mean")
 
 
 @query("""SELECT l_orderkey, l_returnflag, string_agg(l_linenumber || ':' || l_partkey, ';' ORDER BY l_linenumber, l_partkey) AS items, min(l_linenumber) AS first_line FROM lineitem GROUP BY 1, 2""")

@@ -1,4 +1,11 @@
-"""Read-only SQL under a policy: Spark's own parser reads the text, and the policy judges the plan it gives."""
+"""Read-only SQL under a policy: Spark's own parser reads the text, and the policy judges the plan it gives.
+
+Names are judged by scope. A WITH gives its names to its own query and to the definitions that come after each; a definition
+does not see itself (recursion aside) or those after it, and sub-queries see what holds where they stand. A name that no
+definition gives in its scope is a table, and must be allowed. The allowed tables are registered under names that no one
+else has, and reach the query as definitions around it: the caller's own views stay as they are, and whatever else the session
+holds can't be meant.
+"""
 
 from __future__ import annotations
 
@@ -44,38 +51,79 @@ FUNCTIONS = frozenset(
 )
 
 
+#: Functions whose result is as long as an argument says: the argument that says it (from 0), a whole number in the text.
+SIZED = {"repeat": 1, "lpad": 1, "rpad": 1}
+LONGEST = 10_000
+
+
 def _items(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())] if seq is not None else []
 
 
-def _parts(plan) -> tuple[set[str], set[str], set[str]]:
-    """Of a parsed plan, sub-queries and CTE bodies included: names of its tables that no CTE gives, kinds of its nodes,
-    and names of its functions."""
-    found, names, kinds, functions = set(), set(), set(), set()
-    stack = [plan]
-    while stack:
-        node = stack.pop()
-        kind = node.getClass().getSimpleName()
-        kinds.add(kind)
-        if kind == "UnresolvedRelation":
-            found.add(node.multipartIdentifier().mkString("."))
-        if kind == "UnresolvedWith":
-            for pair in _items(node.cteRelations()):
-                names.add(pair._1())
-                stack.append(pair._2())
-        for children in (node.children(), node.innerChildren()):
-            stack += [c for c in _items(children) if hasattr(c, "nodeName")]
-        walk = _items(node.expressions()) if hasattr(node, "expressions") else []
-        while walk:
-            e = walk.pop()
-            name = e.getClass().getSimpleName()
-            if name in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
-                stack.append(e.plan())
-            if name in ("UnresolvedFunction", "UnresolvedGenerator"):
-                parts = [p.lower() for p in _items(e.nameParts() if name == "UnresolvedFunction" else e.name().nameParts())]
-                functions.add(".".join(parts))
-            walk += _items(e.children())
-    return {n for n in found if n not in names}, kinds, functions
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _whole(e) -> int | None:
+    """A whole number written in the text."""
+    if _kind(e) == "UnaryMinus":
+        n = _whole(e.child())
+        return None if n is None else -n
+    if _kind(e) != "Literal":
+        return None
+    text = str(e.toString())
+    return int(text) if text.lstrip("-").isdigit() else None
+
+
+def _oversized(name: str, arguments: list) -> bool:
+    if name in SIZED:
+        n = _whole(arguments[SIZED[name]]) if len(arguments) > SIZED[name] else None
+        return n is None or n > LONGEST
+    if name == "sequence":
+        ends = [_whole(a) for a in arguments]
+        return None in ends or len(ends) < 2 or abs(ends[1] - ends[0]) / max(1, abs(ends[2]) if len(ends) > 2 else 1) >= LONGEST
+    return False
+
+
+class _Parts:
+    """Of a parsed query: names of the tables it reads, kinds of its nodes, names of its functions, and those of its
+    functions whose results may be of any size."""
+
+    def __init__(self, plan, case_sensitive: bool = False):
+        self.tables, self.kinds, self.functions, self.oversized = set(), set(), set(), set()
+        self.key = (lambda name: name) if case_sensitive else str.lower
+        self._visit(plan, frozenset())
+
+    def _visit(self, plan, scope: frozenset[str]) -> None:
+        stack = [(plan, scope)]
+        while stack:
+            node, names = stack.pop()
+            kind = _kind(node)
+            self.kinds.add(kind)
+            if kind == "UnresolvedRelation":
+                parts = _items(node.multipartIdentifier())
+                if len(parts) > 1 or self.key(parts[0]) not in names:
+                    self.tables.add(".".join(parts))
+            if kind == "UnresolvedWith":
+                for definition in _items(node.cteRelations()):
+                    own = self.key(definition._1())
+                    stack.append((definition._2(), names | {own} if node.allowRecursion() else names))
+                    names = names | {own}
+            # The definitions of a WITH are inner children too: they have been seen, each in its scope.
+            inner = [] if kind == "UnresolvedWith" else _items(node.innerChildren())
+            stack += [(c, names) for c in [*_items(node.children()), *inner] if hasattr(c, "nodeName")]
+            walk = _items(node.expressions()) if hasattr(node, "expressions") else []
+            while walk:
+                e = walk.pop()
+                name = _kind(e)
+                if name in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+                    stack.append((e.plan(), names))
+                if name in ("UnresolvedFunction", "UnresolvedGenerator"):
+                    full = ".".join(p.lower() for p in _items(e.nameParts() if name == "UnresolvedFunction" else e.name().nameParts()))
+                    self.functions.add(full)
+                    if _oversized(full, _items(e.arguments() if name == "UnresolvedFunction" else e.children())):
+                        self.oversized.add(full)
+                walk += _items(e.children())
 
 
 def check(spark: SparkSession, sql: str, allowed: set[str]) -> None:
@@ -86,14 +134,17 @@ def check(spark: SparkSession, sql: str, allowed: set[str]) -> None:
         raise PolicyError("invalid_sql", str(e).split("\n")[0]) from None
     except Exception as e:
         raise PolicyError("invalid_sql", str(e).split("\n")[0]) from None
-    relations, kinds, functions = _parts(plan)
-    if any(k.endswith("TableValuedFunction") for k in kinds):
+    parts = _Parts(plan, spark.conf.get("spark.sql.caseSensitive", "false") == "true")
+    if any(k.endswith("TableValuedFunction") for k in parts.kinds):
         raise PolicyError("function_not_allowed", "table function")
-    if odd := sorted(kinds - NODES):
+    if odd := sorted(parts.kinds - NODES):
         raise PolicyError("not_read_only", ", ".join(odd))
-    if odd := sorted(functions - FUNCTIONS):
+    if odd := sorted(parts.functions - FUNCTIONS):
         raise PolicyError("function_not_allowed", ", ".join(odd))
-    if outside := sorted(relations - allowed):
+    if parts.oversized:
+        raise PolicyError("unbounded_function", ", ".join(sorted(parts.oversized)))
+    known = {parts.key(name) for name in allowed}
+    if outside := sorted(t for t in parts.tables if parts.key(t) not in known):
         raise PolicyError("relation_not_allowed", ", ".join(outside))
 
 
@@ -116,12 +167,19 @@ def rows_within(df: DataFrame, milliseconds: int | None = None) -> list:
 
 
 def governed_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame], limit: int | None = None) -> DataFrame:
-    """The query's rows, limited; `tables` are all it may read."""
+    """The query's rows, limited; `tables` are all it may read, by names of one part. A query without rows of its own order
+    may give any `limit` of its rows."""
     check(spark, sql, set(tables))
+    views = {name: f"governed_{uuid.uuid4().hex}" for name in tables}
     for name, rows in tables.items():
-        rows.createOrReplaceTempView(name)
-    try:  # the plan is made here: the names are not needed after it
-        return spark.sql(sql).limit(clamp(limit, 1, MOST_ROWS, 100))
+        rows.createOrReplaceTempView(views[name])
+    around = ", ".join(f"`{name.replace('`', '``')}` AS (SELECT * FROM {view})" for name, view in views.items())
+    # The text has been parsed alone, so its brackets and comments end within it; a comment to the line's end stops there.
+    wrapped = f"WITH {around} SELECT * FROM (\n{sql.strip().rstrip(';')}\n)" if views else sql
+    try:  # the plan is made here: the views are not needed after it
+        return spark.sql(wrapped).limit(clamp(limit, 1, MOST_ROWS, 100))
+    except ParseException as e:
+        raise PolicyError("invalid_sql", str(e).split("\n")[0]) from None
     finally:
-        for name in tables:
-            spark.catalog.dropTempView(name)
+        for view in views.values():
+            spark.catalog.dropTempView(view)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import tokens
 from ledgerlake.operators.core import top_per_group
+from ledgerlake.operators.hybrid import Spec, Weights, hybrid_search
 from ledgerlake.operators.retrieval import bm25 as bm25_scores, chunked, fused, nearest, unit
 
 from .registry import Tables, query
@@ -150,3 +153,59 @@ def neighbor_join(t: Tables):
     hits = t.conversations.filter("role = 'user'").select("conv_id", F.col("turn").alias("at"), F.explode(F.array(F.col("turn") - 1, F.col("turn") + 1)).alias("turn"))
     rows = hits.join(t.conversations.select("conv_id", "turn", "role"), ["conv_id", "turn"])
     return rows.select("conv_id", F.col("at").alias("turn"), F.col("turn").alias("neighbor"), "role")
+
+
+#: The question of legal_hybrid: three vectors, and words that stand for articles, topics and sources.
+ASKED = [tuple(round(math.sin((i + 1) * (j + 1)), 6) for i in range(64)) for j in range(3)]
+WORDS = ("nicht", "pour", "that")
+PREFERRED, KNOWN, PENALTY = ("src1", "src4"), ("src7",), 0.12
+LEGAL = Weights(vector=0.55, keyword=0.45, rrf=0.35)
+
+
+def legal_specs() -> list[Spec]:
+    specs = [Spec("vector", 8, vector=v) for v in ASKED]
+    specs += [Spec("exact", 6, f"article:{s}{w}", source_has=(s,), text_has=(w,), score=1.0) for s, w in (("src4", "nicht"), ("src12", "that"))]
+    specs += [Spec("source", 3, f"source_vector:{s}", vector=ASKED[0], source_has=(s,), boost=0.24) for s in PREFERRED]
+    specs += [Spec("source", 3, f"source_focus:{s}:{w}", source_has=(s,), text_has=(w,), score=0.92, boost=0.22) for s in PREFERRED for w in WORDS[:2]]
+    specs += [Spec("keyword", 5, f"keyword:{w}", text_has=(w,), score=0.7) for w in WORDS]
+    return [*specs, Spec("keyword", 5, "keyword:src9", source_has=("src9",), score=0.5)]
+
+
+def lexical_share(query: str, texts: list[str]) -> list[float]:
+    """Stands in for a re-ranking model: the share of the question's words that a text holds."""
+    words = query.split()
+    return [sum(w in (t or "") for w in words) / len(words) for t in texts]
+
+
+def _legal_sql() -> str:
+    hits = []
+    for n, s in enumerate(legal_specs()):
+        where = " AND ".join([f"source LIKE '%{x}%'" for x in s.source_has] + [f"text LIKE '%{x}%'" for x in s.text_has] + (["v IS NOT NULL"] if s.vector else [])) or "true"
+        near = f"round(list_dot_product(v, {list(s.vector)}::DOUBLE[]), 6)" if s.vector else "NULL::DOUBLE"
+        reason = f"'{s.reason}'" if s.reason else "NULL"
+        hits.append(f"(SELECT path, chunk_index, source, {n} AS spec, '{s.group}' AS grp, {near} AS vector_score, {'NULL' if s.vector else s.score}::DOUBLE AS keyword_score, {s.boost}::DOUBLE AS boost, {reason} AS reason, row_number() OVER (ORDER BY {near} DESC NULLS LAST, path, chunk_index) AS place FROM chunks WHERE {where} QUALIFY place <= {s.limit})")
+    named = lambda terms: " OR ".join(f"source LIKE '%{t}%'" for t in terms)
+    return f"""WITH chunks AS (SELECT 'p' || (doc_id // 8) AS path, doc_id % 8 + 1 AS chunk_index, source, text, embedding::DOUBLE[] AS v FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
+found AS ({" UNION ALL ".join(hits)}),
+keys AS (SELECT DISTINCT path, chunk_index + d AS chunk_index, chunk_index AS at_index, first_value(source) OVER (PARTITION BY path, chunk_index) AS of_source, max(greatest(keyword_score - 0.08, 0.55)) OVER (PARTITION BY path, chunk_index) AS ks FROM found, (VALUES (-1), (1)) o(d) WHERE grp = 'exact' AND chunk_index + d > 0),
+near AS (SELECT c.path, c.chunk_index, c.source, 1048576 AS spec, 'neighbor' AS grp, NULL::DOUBLE AS vector_score, ks AS keyword_score, 0.0::DOUBLE AS boost, 'neighbor:' || of_source || '#' || at_index AS reason, row_number() OVER (ORDER BY c.path, at_index, c.chunk_index) AS place FROM chunks c JOIN keys k ON c.path = k.path AND c.chunk_index = k.chunk_index),
+listed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY spec, place) AS at_place FROM (SELECT * FROM found UNION ALL SELECT * FROM near) QUALIFY grp <> 'keyword' OR at_place <= 12),
+whence AS (SELECT path, chunk_index, string_agg(grp || ':' || p, ',' ORDER BY grp) AS groups FROM (SELECT path, chunk_index, grp, min(at_place) AS p FROM listed GROUP BY 1, 2, 3) GROUP BY 1, 2),
+merged AS (SELECT path, chunk_index, source, max(vector_score) AS vector_score, max(keyword_score) AS keyword_score, max(boost) AS boost, round(sum(1.0::DOUBLE / (40 + at_place)), 9) AS rrf, arg_min(reason, spec * 1000 + place) FILTER (WHERE reason IS NOT NULL) AS reason FROM listed GROUP BY 1, 2, 3),
+boosted AS (SELECT *, greatest(boost, CASE WHEN {named(PREFERRED)} THEN 0.25 ELSE 0 END, CASE WHEN {named(KNOWN)} THEN 0.1 ELSE 0 END, CASE WHEN reason LIKE 'article:%' THEN 0.25 ELSE 0 END)::DOUBLE AS b, CASE WHEN reason LIKE 'article:%' THEN 1.0 ELSE 0.0 END::DOUBLE AS exact, CASE WHEN {named(PREFERRED)} THEN 0 ELSE {PENALTY} END::DOUBLE AS penalty FROM merged),
+scored AS (SELECT *, round(exact + 1.4::DOUBLE * b + {LEGAL.vector}::DOUBLE * coalesce(vector_score, 0) + {LEGAL.keyword}::DOUBLE * coalesce(keyword_score, 0) + {LEGAL.rrf}::DOUBLE * least(rrf * 10, 1) - penalty, 8) AS score FROM boosted),
+diverse AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, path, chunk_index) <= 2),
+pool AS (SELECT * FROM diverse ORDER BY score DESC, path, chunk_index LIMIT 20),
+judged AS (SELECT p.*, groups, ({" + ".join(f"(c.text LIKE '%{w}%')::INT" for w in WORDS)}) / {len(WORDS)}::DOUBLE AS rerank FROM pool p JOIN whence USING (path, chunk_index) JOIN chunks c USING (path, chunk_index))
+SELECT row_number() OVER (ORDER BY round(rerank + exact + 0.9::DOUBLE * b - penalty, 8) DESC, score DESC, path, chunk_index) AS rank, path, chunk_index, source, round(rerank + exact + 0.9::DOUBLE * b - penalty, 6) AS final, round(score, 6) AS score, reason, groups FROM judged QUALIFY rank <= 10"""
+
+
+@query(_legal_sql())
+def legal_hybrid(t: Tables):
+    """Five groups of candidates in one scan, neighbours of exact hits, fusion, boosts and penalties, two chunks a
+    source, a re-rank and the final order; each result names the groups it came from."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    path, index = F.concat(F.lit("p"), F.floor(F.col("doc_id") / 8).cast("string")), F.col("doc_id") % 8 + 1
+    chunks = t.documents.select("doc_id", "source", "text").join(vectors, "doc_id", "left").select(path.alias("path"), index.alias("chunk_index"), "source", "text", "v")
+    found = hybrid_search(chunks, legal_specs(), LEGAL, group_limits={"keyword": 12}, preferred=PREFERRED, known=KNOWN, penalty=PENALTY, pool=20, top=10, query=" ".join(WORDS), client=lexical_share)
+    return found.select("rank", "path", "chunk_index", "source", F.round("final", 6).alias("final"), F.round("score", 6).alias("score"), "reason", "groups")

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @cache
@@ -23,3 +23,10 @@ def scratch(spark: SparkSession, label: str) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     base = base or f"file://{_own_dir()}"
     return f"{base.rstrip('/')}/ledgerlake/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` to the shared folder and read it back: what reads it twice reads the same, and a lost executor costs one step."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -175,3 +175,48 @@ def test_governed_sql(spark):
     assert e.value.code == "relation_not_allowed" and not spark.catalog.tableExists("facts")
     rows = governed.governed_sql(spark, "SELECT id % 2 AS k, count(*) AS n, row_number() OVER (ORDER BY id % 2) AS r FROM facts GROUP BY id % 2 HAVING count(*) > 1 ORDER BY k LIMIT 5", t)
     assert [tuple(r) for r in rows.collect()] == [(0, 500, 1), (1, 500, 2)]
+
+
+def refused(spark, sql, tables):
+    with pytest.raises(governed.PolicyError) as e:
+        governed.governed_sql(spark, sql, tables)
+    return e.value.code
+
+
+def test_governed_names_have_scopes(spark):
+    t = {"d": spark.range(5), "e": spark.range(3)}
+    spark.range(7).createOrReplaceTempView("secret")
+    spark.range(70).createOrReplaceTempView("d")
+    try:
+        for sql in (
+            "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret",
+            "WITH a AS (SELECT * FROM secret), secret AS (SELECT 1 AS y) SELECT * FROM a",
+            "SELECT * FROM (WITH secret AS (SELECT 1 AS x) SELECT * FROM secret), secret",
+            "SELECT * FROM d WHERE id IN (WITH secret AS (SELECT 1 AS id) SELECT id FROM secret) AND id IN (SELECT id FROM secret)",
+            "WITH x AS (WITH secret AS (SELECT 1 AS id) SELECT * FROM secret) SELECT * FROM x JOIN secret USING (id)",
+            "SELECT * FROM SECRET",
+            "WITH secret AS (SELECT 1 AS id) SELECT * FROM default.secret",
+            "SELECT 1) UNION ALL (SELECT * FROM secret",
+        ):
+            assert refused(spark, sql, t) in ("relation_not_allowed", "invalid_sql"), sql
+        # A name of the query's own may hide one that exists outside, and one that is allowed.
+        ok = lambda sql: sorted(tuple(r) for r in governed.governed_sql(spark, sql, t).collect())
+        assert ok("WITH secret AS (SELECT id FROM d WHERE id > 3) SELECT * FROM secret") == [(4,)]
+        assert ok("WITH d AS (SELECT id FROM d WHERE id > 2) SELECT * FROM d") == [(3,), (4,)]
+        assert ok("WITH e AS (SELECT 9 AS id), f AS (SELECT * FROM e) SELECT * FROM f") == [(9,)]
+        assert ok("WITH x AS (SELECT 1 AS id) SELECT id FROM d WHERE id IN (SELECT id FROM X)") == [(1,)]
+        assert ok("SELECT max(id) FROM d -- the end") == [(4,)]
+        assert ok("SELECT max(id) FROM D ;") == [(4,)]
+        # The session's own views are as they were.
+        assert spark.table("d").count() == 70 and spark.table("secret").count() == 7
+        assert not [v.name for v in spark.catalog.listTables() if v.name.startswith("governed_")]
+    finally:
+        spark.catalog.dropTempView("secret")
+        spark.catalog.dropTempView("d")
+
+
+def test_governed_sizes(spark):
+    t = {"d": spark.range(5)}
+    for sql in ("SELECT repeat('x', 100000000) FROM d", "SELECT repeat('x', id) FROM d", "SELECT explode(sequence(1, 1000000000)) FROM d", "SELECT explode(sequence(0, id)) FROM d", "SELECT lpad('x', 1 + 1000000) FROM d", "SELECT * FROM d LATERAL VIEW explode(sequence(1, 1000000)) AS x"):
+        assert refused(spark, sql, t) == "unbounded_function", sql
+    assert governed.governed_sql(spark, "SELECT repeat('x', 3) AS x, size(sequence(-5, 5)) AS n, size(sequence(100000, 0, -1000)) AS m FROM d LIMIT 1", t).first() == ("xxx", 11, 101)
