@@ -8,10 +8,8 @@ counted by its letters (bytes of letters a to z and beyond ASCII), over the whol
 
 Training is plain numpy on the driver: Adam on cross entropy, where only the place that won a filter's pooling gets a
 gradient. It sees at most LANGUAGES languages (those with the most labelled texts), of each at most PER_LANGUAGE labelled
-texts (those of the smallest hash of their id), and of each text at most PER_TEXT windows, spread evenly over all of it:
-PER_LANGUAGE * PER_TEXT * WINDOW bytes a language, whatever the size of texts and tables. Ties and repeats of an id go by the text's hash.
-Spark keeps the smallest hashes of each language within each task before it shuffles, so a language of any size is as many
-rows a task as that.
+texts (those of the smallest hash of id and text), and of each text at most PER_TEXT windows, spread evenly over all of it:
+PER_LANGUAGE * PER_TEXT * WINDOW bytes a language, whatever the size of texts and tables.
 
 Edge cases. Null texts and texts without a letter (Unicode) are UNKNOWN with score 0, and so is every text if no language was
 learned; a single language learned is everyone's. Null ids have the text "" where their crc32 is asked for; labels that are
@@ -135,13 +133,19 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = EPOCHS
 
 
 def sample(docs: DataFrame, may_learn: Column | None = None, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """text and lang of the rows that are learned from."""
+    """text and lang of the rows that are learned from.
+
+    A row's hash, as a share of all hashes, is held against twice the share of its language's rows that is wanted. So tasks
+    send on as many rows of a language as twice the bound, whatever there are, and the smallest hashes of those are taken.
+    Rows that are equal in id and text count once."""
     rows = docs.filter(F.coalesce(may_learn, F.lit(False)) if may_learn is not None else F.lit(True))
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("_at"), F.xxhash64(text_col).alias("_tie"))
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).select("lang")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_at", "_tie"))
-    return rows.join(F.broadcast(sizes), "lang").withColumn("_nth", nth).filter(F.col("_nth") <= PER_LANGUAGE).select("lang", "text", "_at", "_tie")
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("_at")).filter("lang IS NOT NULL")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.col("_n").desc(), "lang").limit(LANGUAGES)
+    share = F.shiftrightunsigned("_at", 11) / float(1 << 53)
+    few = rows.filter("text IS NOT NULL").join(F.broadcast(sizes), "lang").filter(share * F.col("_n") < 2 * PER_LANGUAGE)
+    first = few.groupBy("lang", "_at").agg(F.min("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("_at", 11), "_at"))
+    return first.withColumn("_nth", nth).filter(F.col("_nth") <= PER_LANGUAGE).select("lang", "text", "_at")
 
 
 def trained(rows: DataFrame) -> ByteNetwork | None:
@@ -150,17 +154,17 @@ def trained(rows: DataFrame) -> ByteNetwork | None:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for lang, text, at, tie in batch.itertuples(index=False):
+            for lang, text, at in zip(batch["lang"], batch["text"], batch["_at"].tolist()):
                 x = windows(text)
                 for i in np.unique(np.linspace(0, len(x) - 1, PER_TEXT).round().astype(int)) if len(x) else ():
                     if IS_LETTER[x[i]].any():
-                        found.append((lang, at, tie, int(i), x[i].tobytes()))
-            yield pd.DataFrame(found, columns=["lang", "at", "tie", "i", "x"])
+                        found.append((lang, at, int(i), x[i].tobytes()))
+            yield pd.DataFrame(found, columns=["lang", "at", "i", "x"])
 
-    got = rows.select("lang", "text", "_at", "_tie").mapInPandas(run, "lang string, at long, tie long, i int, x binary").toPandas()
+    got = rows.mapInPandas(run, "lang string, at long, i int, x binary").toPandas()
     if not len(got):
         return None
-    got = got.sort_values(["lang", "at", "tie", "i"], kind="stable")
+    got = got.sort_values(["lang", "at", "i"], kind="stable")
     languages = sorted(set(got["lang"]))
     x = np.frombuffer(b"".join(got["x"]), np.uint8).reshape(len(got), WINDOW)
     return fit(x, got["lang"].map({lang: n for n, lang in enumerate(languages)}).to_numpy(), languages)
