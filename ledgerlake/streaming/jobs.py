@@ -1,20 +1,26 @@
-"""Structured Streaming jobs. Windows, sessions and exact repeats are built-in operators; keyed state with rules of its
-own is kept by applyInPandasWithState. Every job takes and gives a streaming DataFrame.
+"""Structured Streaming jobs. Windows and sessions are built-in operators; rules that judge a key's rows one after the other
+keep state of their own. Every job takes and gives a streaming DataFrame.
 
-Rows of a key are judged in the order of their numbers or times within a trigger, and trigger after trigger; rows that
-come in a later trigger are judged by the state that the earlier ones have left. A key's state and its rows of a trigger
-are one task's work, as the rules ask for."""
+Rules judge rows in event time: a row is held until the watermark has passed it, when no earlier one can come any more, and
+then judged after all that are before it. So neither the order of files nor where a trigger ends changes a result. Held rows
+are in the state store (RocksDB, on disk), by key and slice of time, and come back a slice at a time. The last rows of a
+stream wait for a later event or the end mark that its source sends. A key's rows are one task's work, as the rules ask for."""
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+PROVIDER, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Seconds of one slice of held rows.
+SLICE = 3600
 #: One state column for rules whose state is a small Python value.
 STATE = "held binary"
 
@@ -27,12 +33,6 @@ def _keep(state: GroupState, value) -> None:
     state.update((pickle.dumps(value),))
 
 
-def _in_order(batches: Iterator[pd.DataFrame], columns: list[str], by: list[str]) -> pd.DataFrame:
-    """All rows that a trigger has of one key, which come in several batches, in order. Only the columns that a rule
-    reads are held; files_per_trigger bounds how many rows there are."""
-    return pd.concat([b[list(dict.fromkeys(columns))] for b in batches], ignore_index=True).sort_values(by, kind="stable")
-
-
 def source(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """A folder of Parquet files (or one file) as a stream, with the schema of what is there; event times carry a zone."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
@@ -47,9 +47,17 @@ def run_to(stream: DataFrame, path: str, checkpoint: str, mode: str = "append")
     spark = stream.sparkSession
     writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
     if mode == "append":
-        writer.format("parquet").option("path", path).start().awaitTermination()
+        writer = writer.format("parquet").option("path", path)
     else:
-        writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start().awaitTermination()
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    # A query takes the settings of its start with it; the session's own come back.
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        running = writer.start()
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+    running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -61,96 +69,192 @@ def sessions(events: DataFrame, gap: str, keys: list[str], late: str = "1 hour")
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def reordered(frames: DataFrame, key: str, sequence: str, checksum: str, most_held: int = 1024) -> DataFrame:
+class Rule:
+    """Judges one key's rows in order. state: any small value that pickle takes, fresh() at first."""
+
+    def fresh(self):
+        raise NotImplementedError
+
+    def step(self, state, micros: int, row: tuple) -> tuple[object, list[tuple]]:
+        """The next state, and what the row gives."""
+        raise NotImplementedError
+
+
+class _InOrder(StatefulProcessor):
+    """Holds rows (micros, columns) in slices of time until the watermark has passed them."""
+
+    def __init__(self, rule: Rule, columns: Sequence[str], out: Sequence[str], slice_seconds: int):
+        self.rule, self.columns, self.out, self.width = rule, ["micros", *columns], list(out), slice_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "slice long", "rows binary")
+        self.state = handle.getValueState("state", "value binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            columns = [batch[c].astype(object).where(batch[c].notna(), None).tolist() for c in self.columns]
+            slices: dict[int, list[tuple]] = {}
+            for row in zip(*columns):
+                slices.setdefault(int(row[0]) // self.width, []).append((int(row[0]), *row[1:]))
+            for at, new in slices.items():
+                kept = pickle.loads(self.held.getValue((at,))[0]) if self.held.containsKey((at,)) else []
+                self.held.updateValue((at,), (pickle.dumps(kept + new),))
+                # When the watermark has passed the last row of a slice, it has passed all of them.
+                self.handle.registerTimer(max(r[0] for r in new) // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        state = pickle.loads(self.state.get()[0]) if self.state.exists() else self.rule.fresh()
+        changed = False
+        for (at,) in sorted(tuple(k) for k in self.held.keys()):
+            if at * self.width >= watermark:
+                break
+            rows = pickle.loads(self.held.getValue((at,))[0])
+            due, rest = [r for r in rows if r[0] < watermark], [r for r in rows if r[0] >= watermark]
+            given = []
+            for row in sorted(due, key=lambda r: tuple((x is not None, x) for x in r)):
+                state, found = self.rule.step(state, row[0], row[1:])
+                given += found
+            changed |= bool(due)
+            self.held.updateValue((at,), (pickle.dumps(rest),)) if rest else self.held.removeKey((at,))
+            if given:
+                yield pd.DataFrame([(key[0], *g) for g in given], columns=self.out)
+        if changed:
+            self.state.update((pickle.dumps(state),))
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(stream: DataFrame, key: str, columns: Sequence[str], rule: Rule, out: str, late: str = "1 hour", slice_seconds: int = SLICE) -> DataFrame:
+    """The rule's rows (`out`, after the key) for each key's rows in order of ts, then of `columns`. Rows that come `late`
+    after a newer one are dropped, as everywhere in streams; rows without a time or key take no part."""
+    rows = stream.withWatermark("ts", late).filter(F.col("ts").isNotNull() & F.col(key).isNotNull())
+    rows = rows.select(key, "ts", F.unix_micros("ts").alias("micros"), *[c for c in dict.fromkeys(columns) if c != key])
+    schema = f"{key} {stream.schema[key].dataType.simpleString()}, {out}"
+    names = [key, *[part.split()[0] for part in out.split(", ")]]
+    return rows.groupBy(key).transformWithStateInPandas(_InOrder(rule, columns, names, slice_seconds), schema, "Append", "EventTime")
+
+
+@dataclass
+class Reorder(Rule):
+    most_held: int
+
+    def fresh(self):
+        return 1, {}, {}
+
+    def step(self, state, micros, row):
+        (due, waiting, seen), (n, c), out = state, row, []
+        known = waiting.get(n, seen.get(n))
+        if known is not None or n < due:
+            return state, [(n, "duplicate" if known in (None, c) else "conflict")]
+        waiting[n] = c
+        while waiting and (due in waiting or len(waiting) > self.most_held):
+            if due not in waiting:
+                out.append((due, "gap"))
+                due = min(waiting)
+            seen[due] = waiting.pop(due)
+            out.append((due, "released"))
+            seen.pop(due - self.most_held, None)
+            due += 1
+        return (due, waiting, seen), out
+
+
+@dataclass
+class TokenBucket(Rule):
+    rate: float
+    burst: float
+    costed: bool
+
+    def fresh(self):
+        return self.burst, None
+
+    def step(self, state, micros, row):
+        left, last = state
+        left = self.burst if last is None else min(self.burst, left + (micros - last) / 1e6 * self.rate)
+        want = float(row[1]) if self.costed else 1.0
+        passed = want <= left
+        return (left - want * passed, micros), [(row[0], passed)]
+
+
+@dataclass
+class Repeats(Rule):
+    seconds: int
+
+    def fresh(self):
+        return None, 0
+
+    def step(self, state, micros, row):
+        (last, at), now = state, micros // 1_000_000
+        new = last is None or row[1] != last or now - at > self.seconds
+        return (row[1], now), [(row[0],)] if new else []
+
+
+@dataclass
+class Lockout(Rule):
+    most: int
+    window: int
+    lock: int
+
+    def fresh(self):
+        return None, 0, None
+
+    def step(self, state, micros, row):
+        start, n, until = state
+        if until is not None and micros < until:
+            return state, [(row[0], True)]
+        if start is None or micros - start >= self.window * 1_000_000:
+            start, n = micros, 0
+        n += 1
+        if n >= self.most:
+            return (None, 0, micros + self.lock * 1_000_000), [(row[0], self.lock > 0)]
+        return (start, n, until), [(row[0], False)]
+
+
+def reordered(frames: DataFrame, key: str, sequence: str, checksum: str, most_held: int = 1024, late: str = "1 hour") -> DataFrame:
     """Frames of each stream in order. A number seen before with the same checksum is a duplicate, with another a
     conflict; beyond `most_held` waiting frames the gap is given up and reported."""
+    stream = frames.withColumn(sequence, F.col(sequence).cast("long")).withColumn(checksum, F.col(checksum).cast("string"))
+    return in_order(stream, key, [sequence, checksum], Reorder(most_held), "sequence long, outcome string", late)
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        due, waiting, seen = _kept(state, (1, {}, {}))
-        out = []
-        rows = _in_order(batches, [sequence, checksum], [sequence, checksum])
-        for n, c in zip(rows[sequence].astype(int).tolist(), rows[checksum].astype(str).tolist()):
-            known = waiting.get(n, seen.get(n))
-            if known is not None or n < due:
-                out.append((k[0], n, "duplicate" if known in (None, c) else "conflict"))
-                continue
-            waiting[n] = c
-            while waiting and (due in waiting or len(waiting) > most_held):
-                if due not in waiting:
-                    out.append((k[0], due, "gap"))
-                    due = min(waiting)
-                seen[due] = waiting.pop(due)
-                out.append((k[0], due, "released"))
-                seen.pop(due - most_held, None)
-                due += 1
-        _keep(state, (due, waiting, seen))
-        yield pd.DataFrame(out, columns=[key, "sequence", "outcome"])
-
-    schema = f"{key} {frames.schema[key].dataType.simpleString()}, sequence long, outcome string"
-    return frames.groupBy(key).applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def rate_limited(events: DataFrame, key: str, id_col: str, rate: float, burst: float, cost: str | None = None) -> DataFrame:
-    """Token bucket: `rate` tokens a second up to `burst`; an event passes if its cost is there."""
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        left, last = _kept(state, (burst, None))
-        out = []
-        for row in _in_order(batches, ["ts", id_col, *([cost] if cost else [])], ["ts", id_col]).itertuples():
-            at = row.ts.timestamp()
-            left = burst if last is None else min(burst, left + max(0.0, at - last) * rate)
-            last = at if last is None else max(last, at)
-            want = float(getattr(row, cost)) if cost else 1.0
-            passed = want <= left
-            left -= want * passed
-            out.append((k[0], getattr(row, id_col), passed))
-        _keep(state, (left, last))
-        yield pd.DataFrame(out, columns=[key, id_col, "passed"])
-
-    kind = lambda c: events.schema[c].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind(key)}, {id_col} {kind(id_col)}, passed boolean", STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def first_of_repeats(events: DataFrame, key: str, id_col: str, value: str, seconds: int) -> DataFrame:
-    """Events whose value differs from the last one of the key, or comes more than `seconds` after it."""
+def _type(stream: DataFrame, c: str) -> str:
+    return f"{c} {stream.schema[c].dataType.simpleString()}"
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, at = _kept(state, (None, 0))
-        out = []
-        for row in _in_order(batches, ["ts", id_col, value], ["ts", id_col]).itertuples():
-            now = int(row.ts.timestamp() // 1)
-            if last is None or getattr(row, value) != last or now - at > seconds:
-                out.append((k[0], getattr(row, id_col)))
-            last, at = getattr(row, value), now
-        _keep(state, (last, at))
-        yield pd.DataFrame(out, columns=[key, id_col])
 
-    kind = lambda c: events.schema[c].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind(key)}, {id_col} {kind(id_col)}", STATE, "append", GroupStateTimeout.NoTimeout)
+def rate_limited(events: DataFrame, key: str, id_col: str, rate: float, burst: float, cost: str | None = None, late: str = "1 hour") -> DataFrame:
+    """Token bucket: `rate` tokens a second up to `burst`; an event passes if its cost is there."""
+    return in_order(events, key, [id_col, *([cost] if cost else [])], TokenBucket(rate, burst, bool(cost)), f"{_type(events, id_col)}, passed boolean", late)
 
 
-def lockouts(failures: DataFrame, key: str, id_col: str, most: int = 5, window: int = 300, lock: int = 900) -> DataFrame:
-    """Failures counted in windows that start with the first of them; at `most` the key is locked for a while."""
+def first_of_repeats(events: DataFrame, key: str, id_col: str, value: str, seconds: int, late: str = "1 hour") -> DataFrame:
+    """Events whose value differs from the last one of the key, or comes more than `seconds` after it."""
+    return in_order(events, key, [id_col, value], Repeats(seconds), _type(events, id_col), late)
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, n, until = _kept(state, (None, 0, 0.0))
-        out = []
-        for row in _in_order(batches, ["ts", id_col], ["ts", id_col]).itertuples():
-            at = row.ts.timestamp()
-            if at < until:
-                out.append((k[0], getattr(row, id_col), True))
-                continue
-            if start is None or at - start >= window:
-                start, n = at, 0
-            n += 1
-            if n >= most:
-                until, start, n = at + lock, None, 0
-            out.append((k[0], getattr(row, id_col), at < until))
-        _keep(state, (start, n, until))
-        yield pd.DataFrame(out, columns=[key, id_col, "locked"])
-
-    kind = lambda c: failures.schema[c].dataType.simpleString()
-    return failures.groupBy(key).applyInPandasWithState(step, f"{key} {kind(key)}, {id_col} {kind(id_col)}, locked boolean", STATE, "append", GroupStateTimeout.NoTimeout)
+
+def lockouts(failures: DataFrame, key: str, id_col: str, most: int = 5, window: int = 300, lock: int = 900, late: str = "1 hour") -> DataFrame:
+    """Failures counted in windows that start with the first of them; at `most` the key is locked for a while."""
+    return in_order(failures, key, [id_col], Lockout(most, window, lock), f"{_type(failures, id_col)}, locked boolean", late)
+
+
+def staged(rows: DataFrame, path: str, parts: int, jitter: int = 6 * 3600) -> str:
+    """Write `rows` as a stream would bring them: in `parts` steps of time, each row up to `jitter` seconds early, and an end
+    mark, a row so late that the watermark passes all others. Returns the delay that no row exceeds."""
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    if low is None:
+        rows.write.parquet(path)
+        return "1 hour"
+    span = (high - low) // 1_000_000 + 1
+    early = F.pmod(F.xxhash64(*rows.columns), F.lit(jitter + 1))
+    slot = F.least(F.greatest(F.floor(((F.unix_micros("ts") - low) / 1_000_000 - early) * parts / span), F.lit(0)), F.lit(parts - 1))
+    for part in range(parts):
+        rows.filter(slot == part).write.mode("append").parquet(path)
+    late = -(-span // parts) + jitter
+    rows.limit(1).withColumn("ts", F.timestamp_micros(F.lit(high + (late + 3600) * 1_000_000))).coalesce(1).write.mode("append").parquet(path)
+    return f"{late} seconds"
 
 
 def leases(beats: DataFrame, key: str, id_col: str, seconds: int = 3600, late: str = "1 hour") -> DataFrame:
