@@ -2,8 +2,11 @@
 
 Documents become pieces: one of at most a sequence's length is one piece, a longer one is cut so that every piece but
 the first fills a sequence by itself. Full pieces need no packing. The others are dealt by hash into groups of a
-few thousand, and each group is packed in one task: best fit, longest first, then local search. Each further round takes
-the bins that are still underfull out of MERGED groups and packs their pieces again together, until one group is left.
+few thousand, and each group is packed in one task: best fit, longest first, then local search. A bin that is full but for
+SLACK is closed. Each further round deals the bins that aren't into as many groups of that size as their pieces fill, and packs
+those again. A group never grows: rounds end with one group, or when the open bins are as few as a bound shows possible (pieces
+of more than half a sequence never share one), or when a round has saved less than GAIN of its bins. A round that saves none
+is thrown away.
 
 Local search works on the emptiest bin. It looks for the move of a document, the exchange of one for one, of two for
 one or of one for two with another underfull bin that raises the sum of squared fills most, makes it, and goes on
@@ -32,10 +35,12 @@ from .tokens import loaded
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 LENGTH = 1024
-#: Pieces packed together, and groups whose underfull bins are packed together in the next round.
-GROUP, MERGED = 4096, 32
-#: A bin with less room than this share of a sequence is left as it is by the later rounds.
+#: Pieces packed together.
+GROUP = 4096
+#: A bin with no more room than this share of a sequence is closed: all closed bins together waste less than that share.
 SLACK = 1 / 64
+#: Share of its bins that a round must save for another to follow.
+GAIN = 1 / 256
 #: Exchanges that are weighed at a time.
 CELLS = 1 << 20
 
@@ -194,7 +199,20 @@ def pack_group(rows: pd.DataFrame, length: int, first_id: int) -> pd.DataFrame:
     return rows.assign(sequence_id=sequence, offset=offset)
 
 
-def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP, merged: int = MERGED) -> DataFrame:
+def least_bins(counts: dict[int, int], length: int) -> int:
+    """No packing has fewer bins. counts: how many pieces of each size. For each k the pieces over length - k are alone or
+    with pieces under k, those of at most half a sequence share what those between leave, and those under k are left out."""
+    best = 0
+    for k in range(length // 2 + 1):
+        alone = sum(n for s, n in counts.items() if s > length - k)
+        large = sum(n for s, n in counts.items() if length - k >= s > length // 2)
+        left = large * length - sum(n * s for s, n in counts.items() if length - k >= s > length // 2)
+        small = sum(n * s for s, n in counts.items() if k <= s <= length // 2)
+        best = max(best, alone + large + max(0, -(-(small - left) // length)))
+    return best
+
+
+def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """pieces: PIECES, from a written table. Adds sequence_id and offset; other columns stay out."""
     names = [c.split()[0] for c in PIECES.split(", ")]
     full = pieces.filter(F.col("length") >= length).select(*names, (F.monotonically_increasing_id() + (1 << 60)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -213,17 +231,29 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP, merged: in
 
     schema = PLACED.replace("doc_id long", "doc_id string") + ", group long, room long"
     most_tasks = max(200, 32 * pieces.sparkSession.sparkContext.defaultParallelism)
-    placed, round_id = full, 0
+    ready = lambda rows: ids_back(rows.drop("group", "room"))
+    loose = F.col("room") > int(length * SLACK)
+    placed, before, bins_before, round_id = full, None, 0, 0
     while True:
         # The work follows the number of groups, not their bytes.
         done = rows.repartition(min(groups, most_tasks), "group").groupBy("group").applyInPandas(run(round_id), schema)
-        if groups == 1:
-            return placed.unionByName(ids_back(done.drop("group", "room")))
+        if groups == 1 and before is None:
+            return placed.unionByName(ready(done))
         done = written(done, "packed")
-        loose = F.col("room") > int(length * SLACK)
-        placed = placed.unionByName(ids_back(done.filter(~loose).drop("group", "room")))
-        rows = done.filter(loose).select(*names, F.floor(F.col("group") / merged).alias("group"))
-        groups, round_id = -(-groups // merged), round_id + 1
+        first = F.col("offset") == 0
+        # One row a size: fewer than a sequence has tokens.
+        found = done.groupBy("length").agg(F.count_if(first).alias("bins"), F.count_if(first & loose).alias("open"), F.count_if(loose).alias("n")).collect()
+        bins, still, count = (sum(r[c] for r in found) for c in ("bins", "open", "n"))
+        if before is not None and bins >= bins_before:
+            return placed.unionByName(ready(before))
+        saved = before is None or bins_before - bins >= GAIN * bins_before
+        if groups == 1 or not saved or still <= least_bins({r["length"]: r["n"] for r in found if r["n"]}, length):
+            return placed.unionByName(ready(done))
+        placed = placed.unionByName(ready(done.filter(~loose)))
+        before, bins_before, round_id = done.filter(loose), still, round_id + 1
+        groups = -(-count // group)
+        # Whole bins are dealt, other ones together each time.
+        rows = before.select(*names, F.pmod(F.xxhash64("sequence_id", F.lit(round_id)), F.lit(groups)).alias("group"))
 
 
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,13 +4,17 @@ Records hash into a fixed number of virtual slots (thousands). Bytes are summed
 table maps each slot to a shard; rebalancing edits that table and never rehashes a record. The map has as many
 rows as there are slots, whatever the data's size, so it is the one table that is broadcast.
 
+A record's slot comes from its id and text. Records that are equal in both would share a slot; where they are more than any
+slot should hold (CROWDED), their place in the table decides too, so no slot, and no sort of a slot's rows, is larger than
+others. Such records are interchangeable.
+
 Version 1 deals the slots round. Version 2 is version 1 edited for equal bytes: slots are gone through from the
 largest down; a slot stays where it is while its shard has room under the mean, else it goes to the shard that is
 least full. Equal sizes go by slot number, so the same input always gives the same map.
 
-Edge cases. Null or empty text: size 1, crc32 of no bytes. Null ids share a slot. Rows that repeat an id share its
-slot and get places of their own, in the order of size and crc. An empty table gives no rows. Extra columns are
-ignored.
+Edge cases. Null or empty text: size 1, crc32 of no bytes. Null ids and rows that repeat an id are dealt by their texts.
+Rows of a slot get their places in the order of id, size and crc; between equal rows any order is as good. An empty table
+gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,17 +26,25 @@ from .common import fresh_dir, table, written
 
 SLOTS = 4096
 SHARDS = 16
+#: Copies of a record are crowded if there are more of them than this share of what a slot holds on average, and than LEAST.
+CROWDED, LEAST = 1 / 4, 16
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32 and virtual slot; text goes no further than the scan."""
+    """doc_id, size, text_crc32 and virtual slot, as a written table; text goes no further than the scan."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
+    rows = written(docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(slots)).cast("int").alias("vslot"),
-    )
+        F.xxhash64(F.col(id_col), text).alias("key"),
+    ), "sized")
+    total = rows.count()
+    # At most slots / CROWDED keys, whatever the number of rows.
+    crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(LEAST, CROWDED * total / slots)).select("key", F.lit(True).alias("crowded"))
+    dealt = rows.withColumn("place", F.monotonically_increasing_id()).join(F.broadcast(crowded), "key", "left")
+    slot = F.when(F.col("crowded"), F.xxhash64("key", "place")).otherwise(F.col("key"))
+    return dealt.select("doc_id", "size", "text_crc32", F.pmod(slot, F.lit(slots)).cast("int").alias("vslot"))
 
 
 def slot_bytes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
