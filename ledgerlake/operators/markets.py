@@ -74,3 +74,25 @@ def multi_currency(facts: DataFrame, keys: list[str], market: str = "market", cu
     """Adds multi_currency: an EU filing (keys) whose facts name several currencies. The aggregate combines on the map side."""
     per = facts.filter(F.col(market) == "EU").groupBy(*keys).agg((F.min(currency) != F.max(currency)).alias("_several"))
     return facts.join(per, keys, "left").withColumn("multi_currency", F.coalesce("_several", F.lit(False))).drop("_several")
+
+
+def hk_currencies(filings: DataFrame, statements: DataFrame, items: DataFrame, order: str = "ordinal") -> DataFrame:
+    """items (filing_id, statement_id, unit, currency) with fact_currency and reporting_currency, by Hong Kong's precedence.
+
+    A statement's currency is what its unit, title and name say, else its own. A filing reports in the currency that its
+    statements say, if they say one and the same; else in the one it declares; else in that of its first item that has one.
+    An item's currency is what its unit says, else its own, else its statement's, else its filing's.
+
+    filings: filing_id, currency; statements: filing_id, statement_id, unit, title, name, currency. The aggregates combine on
+    the map side; only narrow rows of filings and statements are joined to items."""
+    own = lambda c: F.coalesce(currency_of(F.col(c)), F.upper(_present(F.col(c))))
+    said = currency_of(F.concat_ws(" ", "unit", "title", "name"))
+    s = statements.select("filing_id", "statement_id", said.alias("said"), F.coalesce(said, own("currency")).alias("of_statement"))
+    one = F.when(F.min("said") == F.max("said"), F.min("said"))
+    f = filings.select("filing_id", own("currency").alias("declared")).join(s.groupBy("filing_id").agg(one.alias("said")), "filing_id", "left")
+    f = f.select("filing_id", F.coalesce("said", "declared").alias("of_filing"))
+    met = items.join(s.groupBy("filing_id", "statement_id").agg(F.max("of_statement").alias("of_statement")), ["filing_id", "statement_id"], "left").join(f, "filing_id", "left")
+    met = met.withColumn("_own", F.coalesce(currency_of(F.col("unit")), own("currency"), "of_statement", "of_filing"))
+    first = met.groupBy("filing_id").agg(F.min_by("_own", F.when(F.col("_own").isNotNull(), F.col(order))).alias("_first"))
+    met = met.join(first, "filing_id", "left").withColumn("reporting_currency", F.coalesce("of_filing", "_first"))
+    return met.withColumn("fact_currency", F.coalesce("_own", "reporting_currency")).drop("_own", "_first", "of_statement", "of_filing")

@@ -207,18 +207,6 @@ def multiset_overlap(t: Tables):
     return side("A", "a").join(side("R", "b"), ["l_suppkey", "l_partkey"]).groupBy("l_suppkey").agg(F.sum(F.least("a", "b")).alias("common"))
 
 
-@query("""WITH c AS (SELECT p.p_partkey, (SELECT count(*) FROM part x WHERE x.p_brand = p.p_brand AND x.p_type = p.p_type AND x.p_partkey <> p.p_partkey) AS n1, (SELECT count(*) FROM part x WHERE x.p_brand = p.p_brand AND x.p_partkey <> p.p_partkey) AS n2 FROM part p) SELECT p_partkey, CASE WHEN n1 >= 3 THEN 'brand_type' WHEN n2 >= 3 THEN 'brand' ELSE 'all' END AS level, CASE WHEN n1 >= 3 THEN n1 WHEN n2 >= 3 THEN n2 ELSE (SELECT count(*) FROM part) - 1 END AS peers FROM c""")
-def peer_cascade(t: Tables):
-    """Peers of the narrowest level that has enough; counted by level, not paired."""
-    p = t.part
-    n1 = p.groupBy("p_brand", "p_type").agg((F.count(F.lit(1)) - 1).alias("n1"))
-    n2 = p.groupBy("p_brand").agg((F.count(F.lit(1)) - 1).alias("n2"))
-    total = p.agg((F.count(F.lit(1)) - 1).alias("n")).scalar()
-    rows = p.join(n1, ["p_brand", "p_type"]).join(n2, "p_brand")
-    level = F.when(F.col("n1") >= 3, "brand_type").when(F.col("n2") >= 3, "brand").otherwise("all")
-    return rows.select("p_partkey", level.alias("level"), F.when(F.col("n1") >= 3, F.col("n1")).when(F.col("n2") >= 3, F.col("n2")).otherwise(total).alias("peers"))
-
-
 @query("""SELECT o_orderkey, l_orderkey IS NULL AS missing FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON o_orderkey = l_orderkey""")
 def missing_reference(t: Tables):
     """Rows that lack their evidence."""

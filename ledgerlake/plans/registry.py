@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-SECTIONS = ("scans", "predicates", "joins", "aggregates", "windows", "events", "scalars", "retrieval", "validation", "operations", "streams")
+SECTIONS = ("scans", "predicates", "joins", "aggregates", "windows", "events", "scalars", "retrieval", "validation", "operations", "filings", "streams")
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 

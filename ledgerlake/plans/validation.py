@@ -166,16 +166,17 @@ def state_changes(t: Tables):
 
 @query("""WITH g AS (SELECT l_orderkey AS k, sum(CASE WHEN l_returnflag = 'A' THEN CAST(l_extendedprice AS DECIMAL(18,4)) END) AS a, sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DECIMAL(18,4)) END) AS r, sum(CASE WHEN l_returnflag = 'N' THEN CAST(l_extendedprice AS DECIMAL(18,4)) END) AS n, sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS s FROM lineitem GROUP BY 1),
 w AS (SELECT k, a, r, n, CASE k % 4 WHEN 0 THEN s WHEN 1 THEN s * 1.004 WHEN 2 THEN s * 1.008 ELSE s * 1.2 END AS t FROM g),
-p AS (SELECT k, 'liabilities_split' AS rule_id, t, a + r AS x, 0.005 AS share, 2 AS least FROM w UNION ALL SELECT k, 'equity_split', t, r + n, 0.005, 2 FROM w UNION ALL SELECT k, 'net_profit', t, a - r, 0.005, 2 FROM w UNION ALL SELECT k, 'profit_split', t, a + n, 0.005, 2 FROM w UNION ALL SELECT k, 'cash_change', t, a + r + n, 0.005, 2 FROM w UNION ALL SELECT k, 'cash_end', t, a + r + coalesce(n, 0), 0.005, 2 FROM w UNION ALL SELECT k, 'cash_match', t, a, 0.01, 5 FROM w)
+p AS (SELECT k, 'liabilities_split' AS rule_id, t, a + r AS x, 0.005 AS share, 2 AS least FROM w UNION ALL SELECT k, 'assets_split', t, a + n, 0.005, 2 FROM w UNION ALL SELECT k, 'equity_split', t, r + n, 0.005, 2 FROM w UNION ALL SELECT k, 'net_profit', t, a - r, 0.005, 2 FROM w UNION ALL SELECT k, 'profit_split', t, a + n, 0.005, 2 FROM w UNION ALL SELECT k, 'cash_change', t, a + r + n, 0.005, 2 FROM w UNION ALL SELECT k, 'cash_end', t, a + r + coalesce(n, 0), 0.005, 2 FROM w UNION ALL SELECT k, 'cash_match', t, a, 0.01, 5 FROM w)
 SELECT k AS l_orderkey, rule_id, CASE WHEN x IS NULL THEN 'skipped' WHEN abs(t - x) <= greatest(greatest(abs(t), abs(x)) * share, least) THEN 'pass' ELSE 'fail' END AS status FROM p""")
 def accounting_rules(t: Tables):
-    """The optional identities, on each order's lines by flag as stand-ins for a filing's items."""
+    """The optional identities, on each order's lines by flag as stand-ins for a filing's items."""
     item = lambda flag: F.sum(F.when(F.col("l_returnflag") == flag, line_price()))
     k = F.col("l_orderkey")
     g = t.lineitem.groupBy("l_orderkey").agg(item("A").alias("a"), item("R").alias("r"), item("N").alias("n"), F.sum(line_price()).alias("s"))
     total = F.when(k % 4 == 0, F.col("s")).when(k % 4 == 1, F.col("s") * F.lit(1.004).cast("decimal(4,3)")).when(k % 4 == 2, F.col("s") * F.lit(1.008).cast("decimal(4,3)")).otherwise(F.col("s") * F.lit(1.2).cast("decimal(2,1)"))
     g = g.withColumn("t", total)
     places = {
+        "assets_split": {"total_assets": "t", "current_assets": "a", "noncurrent_assets": "n"},
         "liabilities_split": {"total_liabilities": "t", "current_liabilities": "a", "noncurrent_liabilities": "r"},
         "equity_split": {"total_equity": "t", "parent_equity": "r", "minority_equity": "n"},
         "net_profit": {"net_profit": "t", "profit_before_tax": "a", "income_tax": "r"},
