@@ -4,8 +4,8 @@ A linear-chain conditional random field marks each line as content or boilerplat
 labelling of the whole text, and the share of words in content lines decides whether the text is kept. Words are
 counted, and lines labelled, over the whole text.
 
-The field is fitted on all lines of a bounded sample of labelled documents (labelled.SAMPLE): lines of good
-documents stand for content, lines of bad ones for boilerplate, but a line that repeats an earlier one is boilerplate
+The field is fitted on the lines of a bounded sample of labelled documents (labelled.SAMPLE), STRETCHES * STRETCH of them at
+most, drawn by hash from all over whole texts: a few very long ones don't decide the driver's memory. Lines of good documents stand for content, lines of bad ones for boilerplate, but a line that repeats an earlier one is boilerplate
 anywhere. The model is a few dozen numbers, fitted by gradient ascent on the conditional likelihood.
 
 Edge cases. Null, empty and wordless texts have no words and fail the base rule. A text of any length is labelled in
@@ -29,6 +29,8 @@ from .lines import FEATURES, base_counts, bits, line_masks
 #: In fitting, texts are cut into stretches of so many lines, all of which are used: only the steps from one stretch to
 #: the next are not. Decoding runs over whole texts.
 STRETCH = 64
+#: Stretches of the sample that the model is fitted on, at most: those of the smallest hash of document and place.
+STRETCHES = 8000
 CONTENT_SHARE = 0.5
 LEAST_WORDS = 50
 DUPLICATE = 1 << FEATURES.index("repeats an earlier line")
@@ -109,15 +111,19 @@ def fit(sequences: list[list[int]], labels: list[int]) -> LineField:
     return LineField(w, bias, steps)
 
 
-def trained(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> LineField:
+def trained(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, stretches: int = STRETCHES) -> LineField:
     """Features are taken on the executors; only masks of the bounded sample come to the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"_id": batch["_id"], "masks": [line_masks(t)[0] for t in batch["text"]], "label": batch["label"]})
-
-    rows = labelled_sample(docs, labels, "quality", most).mapInPandas(run, "_id long, masks array<int>, label int").toPandas()
-    rows = rows.sort_values("_id", kind="stable")
+            rows = []
+            for doc_id, text, label in zip(batch["_id"], batch["text"], batch["label"]):
+                masks = line_masks(text)[0]
+                rows += [(doc_id, at, masks[at : at + STRETCH], label) for at in range(0, len(masks), STRETCH)]
+            yield pd.DataFrame(rows, columns=["_id", "at", "masks", "label"])
+
+    rows = labelled_sample(docs, labels, "quality", most).mapInPandas(run, "_id long, at int, masks array<int>, label int")
+    rows = rows.orderBy(F.xxhash64("_id", "at"), "_id", "at").limit(stretches).toPandas().sort_values(["_id", "at"], kind="stable")
     return fit([list(m) for m in rows["masks"]], rows["label"].tolist())
 
 

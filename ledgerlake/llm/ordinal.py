@@ -4,13 +4,16 @@ P(grade >= k) = sigmoid(score - threshold_k) with one score for all k and thresh
 a weighted sum over a vocabulary of log(1 + occurrences) of each word, and of the vocabulary's toxic words taken
 together: their number, and their number per word of text. The whole text is read; the output is the expected severity, the sum of P(grade >= k).
 
-The vocabulary is chosen by grouped aggregation over a bounded sample of labelled documents (SAMPLE): words whose
-presence tells toxic from other documents beyond chance, VOCABULARY at most. What counts as chance follows the number of
-labels and words: a share of FALSE of the chosen words is expected to be there by chance (Benjamini and Hochberg's bound
-on the likelihood ratios' tail probabilities, over all words that are tested). A word must
-also stand behind about as many different words as it has documents: the words of one much copied document don't.
-Where labels have only two grades, those of toxic documents are parted in GRADES - 1 grades by how densely the words
-of the vocabulary stand in them. Weights are fitted on that sample by gradient ascent.
+The vocabulary is chosen by grouped aggregation over a bounded sample of labelled documents (SAMPLE): all words whose
+presence tells toxic from other documents beyond chance. What counts as chance follows the number of labels and words: a
+share of FALSE of the chosen words is expected to be there by chance (Benjamini and Hochberg's bound on the likelihood
+ratios' tail probabilities, over all words that are tested, those of SUPPORT documents or more). A word must also stand
+behind about as many different words as it has documents: the words of one much copied document don't. How many words have
+which counts is enough to find the bound; the chosen words alone come to the driver.
+
+Grades are those of the labels: of labels 0 and 1 there is one threshold, severity is 0 or 1 and the expected severity the
+probability of being toxic. The output's column grades says how many there were to learn from. Weights are fitted on that
+sample by gradient ascent.
 
 Edge cases. Null and wordless texts have no features and the grade that the thresholds give to a score of zero. Without
 labels of both kinds nothing is toxic. A text of any length counts whole. Rows that repeat an id are scored one by
@@ -32,10 +35,11 @@ from pyspark.sql import functions as F
 from .common import ids_and_texts, ids_back, table, written
 from .labelled import labelled_sample
 
-GRADES = 4
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 20_000
-VOCABULARY, FALSE = 500, 0.05
+FALSE = 0.05
+#: Documents that a word is in at least to be tested: fewer prove nothing.
+SUPPORT = 3
 STEPS, RATE, NORM = 400, 0.1, 1e-3
 TOXIC_FROM = 0.5
 
@@ -72,16 +76,17 @@ def likelihood_ratio(a: np.ndarray, n: float, b: np.ndarray, m: float) -> np.nda
     return 2 * (part(a, n, a / n) + part(b, m, b / m) - part(a, n, both) - part(b, m, both))
 
 
-def beyond_chance(ratios: np.ndarray, tested: int, false: float = FALSE) -> float:
-    """The least ratio that counts: of the words from there on a share of `false` is expected by chance. ratios: the
-    largest of those of `tested` words."""
-    ratios = np.sort(ratios)[::-1]
-    chance = np.array([math.erfc(math.sqrt(max(r, 0.0) / 2)) for r in ratios])  # of chi-square with one degree of freedom
-    held = np.flatnonzero(chance <= false * np.arange(1, len(ratios) + 1) / tested)
-    return float(ratios[held[-1]]) if len(held) else math.inf
+def beyond_chance(ratios: np.ndarray, counts: np.ndarray, false: float = FALSE) -> float:
+    """The least ratio that counts: of the words from there on a share of `false` is expected by chance. counts: how many
+    words have each ratio."""
+    order = np.argsort(-ratios, kind="stable")
+    chance = np.array([math.erfc(math.sqrt(max(r, 0.0) / 2)) for r in ratios[order]])  # of chi-square with one degree of freedom
+    so_far = np.cumsum(counts[order])
+    held = np.flatnonzero(chance <= false * so_far / counts.sum())
+    return float(ratios[order][held[-1]]) if len(held) else math.inf
 
 
-def vocabulary(sample: DataFrame, most: int = VOCABULARY) -> list[tuple[str, int]]:
+def vocabulary(sample: DataFrame, support: int = SUPPORT) -> list[tuple[str, int]]:
     """The words that tell, with 1 for those of toxic documents and 0 for those of others."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,16 +112,18 @@ def vocabulary(sample: DataFrame, most: int = VOCABULARY) -> list[tuple[str, int
     rows = sample.mapInPandas(run, "word string, before string, toxic int, first int")
     seen = rows.groupBy("word", "before").agg(F.sum(bad).alias("a"), F.sum(good).alias("b"), F.max("toxic").alias("in_a"), F.max(1 - F.col("toxic")).alias("in_b"))
     words = seen.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("a", "b", "in_a", "in_b")]).filter("2 * in_a >= a and 2 * in_b >= b")
-    # A word that most tells ranks by how far its share of documents differs; only the best come to the driver.
-    gap = F.abs(F.col("a") / n - F.col("b") / m) / F.sqrt((F.col("a") + F.col("b")) / (n + m))
-    words = written(words.filter("a + b >= 3"), "tested-words")
-    found = words.orderBy(gap.desc(), "word").limit(10 * most).toPandas()
-    if found.empty:
+    words = written(words.filter(F.col("a") + F.col("b") >= support).select("word", "a", "b"), "tested-words")
+    # How many words are in a toxic and b other documents: pairs of small numbers, at most one for each document of the sample and few more.
+    pairs = words.groupBy("a", "b").agg(F.count(F.lit(1)).alias("words")).toPandas()
+    if pairs.empty:
+        return []
+    ratios = likelihood_ratio(pairs["a"].to_numpy(float), n, pairs["b"].to_numpy(float), m)
+    told = pairs[ratios >= beyond_chance(ratios, pairs["words"].to_numpy())]
+    if told.empty:
         return []
-    a, b = found["a"].to_numpy(float), found["b"].to_numpy(float)
-    found["ratio"], found["toxic"] = likelihood_ratio(a, n, b, m), (a / n > b / m).astype(int)
-    found = found[found["ratio"] >= beyond_chance(found["ratio"].to_numpy(), words.count())].sort_values(["ratio", "word"], ascending=[False, True]).head(most)
-    return list(zip(found["word"], found["toxic"].tolist()))
+    chosen = sample.sparkSession.createDataFrame(told[["a", "b"]].astype("int64"))
+    found = words.join(F.broadcast(chosen), ["a", "b"]).toPandas().sort_values("word")
+    return list(zip(found["word"], (found["a"] / n > found["b"] / m).astype(int).tolist()))
 
 
 def fit(x: np.ndarray, grades: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,11 +156,11 @@ def fit(x: np.ndarray, grades: np.ndarray, levels: int) -> tuple[np.ndarray, np.
     return w, thresholds()
 
 
-def trained(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, levels: int = GRADES) -> Severity:
+def trained(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Severity:
     sample = labelled_sample(docs, labels, "toxic", most)
     words = vocabulary(sample)
     if not words:
-        return Severity({}, frozenset(), (0.0, 0.0), [50.0 + k for k in range(levels - 1)])
+        return Severity({}, frozenset(), (0.0, 0.0), [50.0])
     at = {w: i for i, (w, _) in enumerate(words)}
     toxic = frozenset(w for w, is_toxic in words if is_toxic)
 
@@ -173,18 +180,12 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, levels: int
         x[i, np.asarray(ids, int)] = np.log1p(np.asarray(counts, float))
         x[i, -2:] = density
     grades = rows["label"].to_numpy(int)
-    if grades.max() == 1 and levels > 2:
-        bad = grades > 0
-        cuts = np.quantile(x[bad, -1], np.arange(1, levels - 1) / (levels - 1))
-        grades = np.where(bad, 1 + np.searchsorted(cuts, x[:, -1], side="left"), 0)
-    else:
-        levels = int(grades.max()) + 1
-    w, thresholds = fit(x, np.clip(grades, 0, levels - 1), levels)
+    w, thresholds = fit(x, grades, int(grades.max()) + 1)
     return Severity({word: float(v) for (word, _), v in zip(words, w)}, toxic, (float(w[-2]), float(w[-1])), thresholds.tolist())
 
 
 def scored(docs: DataFrame, model: Severity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, expected_severity, severity (most likely grade), p_toxic, toxic."""
+    """doc_id, score, expected_severity, severity (most likely grade), p_toxic, toxic, grades."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -193,12 +194,12 @@ def scored(docs: DataFrame, model: Severity, id_col: str = "doc_id", text_col: s
                 score, over = model.score(text)
                 cum = [1.0, *over, 0.0]
                 grade = int(np.argmax([a - b for a, b in zip(cum, cum[1:])]))
-                rows.append((score, sum(over), grade, over[0], over[0] >= TOXIC_FROM))
-            out = pd.DataFrame(rows, columns=["score", "expected_severity", "severity", "p_toxic", "toxic"])
+                rows.append((score, sum(over), grade, over[0], over[0] >= TOXIC_FROM, len(over) + 1))
+            out = pd.DataFrame(rows, columns=["score", "expected_severity", "severity", "p_toxic", "toxic", "grades"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
-    schema = "doc_id string, score double, expected_severity double, severity int, p_toxic double, toxic boolean"
+    schema = "doc_id string, score double, expected_severity double, severity int, p_toxic double, toxic boolean, grades int"
     return ids_back(ids_and_texts(docs, id_col, text_col).mapInPandas(run, schema))
 
 

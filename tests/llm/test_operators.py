@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on odd rows, on repeated and crowded ones, and on empty tables."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -705,7 +706,7 @@ def test_ordinal_orders_grades_and_finds_held_out_labels(spark):
     out = ordinal.scored(docs, model).join(known.filter(~half).select("doc_id", F.col("toxic").alias("label")), "doc_id").toPandas()
     clean, toxic = out[out["label"] == 0], out[out["label"] == 1]
     assert clean["toxic"].mean() < 0.01 and toxic["toxic"].mean() > 0.75
-    assert toxic["expected_severity"].mean() > 1 > 5 * clean["expected_severity"].mean()
+    assert toxic["expected_severity"].mean() > 0.7 > 5 * clean["expected_severity"].mean() and set(out["grades"]) == {2}
 
 
 @pytest.mark.parametrize("sf, least", [("sf0.001", 0.25), ("sf0.01", 0.6)])
@@ -721,9 +722,61 @@ def test_ordinal_finds_held_out_labels_of_few(spark, sf, least):
 
 
 def test_evidence_follows_the_number_of_words():
-    assert ordinal.beyond_chance(np.array([23.0, 13.0, 9.0]), 3) == 9.0
-    assert ordinal.beyond_chance(np.array([23.0, 13.0, 9.0]), 1600) == 23.0
-    assert ordinal.beyond_chance(np.array([3.0, 2.0]), 1600) == np.inf
+    many = np.array([1, 1, 1, 1597])
+    assert ordinal.beyond_chance(np.array([23.0, 13.0, 9.0]), np.array([1, 1, 1])) == 9.0
+    assert ordinal.beyond_chance(np.array([9.0, 23.0, 0.0, 13.0]), many[[0, 1, 3, 2]]) == 23.0
+    assert ordinal.beyond_chance(np.array([3.0, 2.0, 0.0]), np.array([1, 1, 1598])) == np.inf
+
+
+def test_vocabulary_against_plain_loops(spark, sf_dir):
+    """Every word that tells is chosen, however many there are."""
+    docs, known = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    sample = labelled.labelled_sample(docs, known, "toxic", 20_000)
+    rows = [(set(ordinal.WORD((r["text"] or "").lower())), list(zip(w := ordinal.WORD((r["text"] or "").lower()), ["", *w])), r["label"]) for r in sample.collect()]
+    n, m = sum(label > 0 for *_, label in rows), sum(label == 0 for *_, label in rows)
+    a, b, before = Counter(), Counter(), ({}, {})
+    for words, pairs, label in rows:
+        (a if label else b).update(words)
+        for w, prev in pairs:
+            before[label].setdefault(w, set()).add(prev)
+    tested = [w for w in {*a, *b} if a[w] + b[w] >= 3 and 2 * len(before[1].get(w, ())) >= a[w] and 2 * len(before[0].get(w, ())) >= b[w]]
+    ratio = {w: float(ordinal.likelihood_ratio(np.array([a[w]], float), n, np.array([b[w]], float), m)[0]) for w in tested}
+    chance = sorted((math.erfc(math.sqrt(max(r, 0) / 2)), w) for w, r in ratio.items())
+    last = max(i for i, (p, _) in enumerate(chance) if p <= 0.05 * (i + 1) / len(chance))
+    expected = {w: int(a[w] / n > b[w] / m) for p, w in chance if p <= chance[last][0]}
+    assert dict(ordinal.vocabulary(sample)) == expected and 5 < len(expected)
+
+
+@pytest.mark.parametrize("levels", [2, 3, 5])
+def test_fit_is_an_optimum_and_severity_a_sum(levels):
+    """The penalised likelihood in plain loops, at the fitted point and around it; expected severity by its definition."""
+    r = np.random.default_rng(levels)
+    x = r.normal(size=(150, 2))
+    grades = np.clip(np.digitize(x @ [1.0, -0.5] + r.logistic(size=150), np.linspace(-1, 1, levels - 1)), 0, levels - 1)
+    w, thresholds = ordinal.fit(x, grades, levels)
+    over = lambda w, t, row: [1.0, *(1 / (1 + math.exp(-(float(row @ w) - c))) for c in t), 0.0]
+
+    def loss(w, t):
+        return -sum(math.log(max(1e-12, over(w, t, row)[g] - over(w, t, row)[g + 1])) for row, g in zip(x, grades)) / len(x) + ordinal.NORM / 2 * float(w @ w)
+
+    best = loss(w, thresholds)
+    for _ in range(40):
+        assert best <= loss(w + r.normal(0, 0.05, 2), np.sort(thresholds + r.normal(0, 0.05, levels - 1))) + 1e-4
+    model = ordinal.Severity({"bad": 0.7, "worse": 1.5}, frozenset(["bad"]), (0.3, 0.2), list(thresholds))
+    score, cum = model.score("Bad bad WORSE fine")
+    by_hand = 0.7 * math.log(3) + 1.5 * math.log(2) + 0.3 * math.log(3) + 0.2 * math.log(51)
+    assert score == pytest.approx(by_hand) and sum(cum) == pytest.approx(sum(1 / (1 + math.exp(t - by_hand)) for t in thresholds))
+
+
+def test_line_model_of_a_text_of_very_many_lines(spark):
+    """A labelled text of a million lines and a hundred short ones: as many stretches come to the driver as the bound says."""
+    rows = [(i, "\n".join(f"A sentence of some words, number {j} of text {i}." for j in range(30)) if i % 2 else "\n".join(["home | login | cart"] * 30)) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").union(spark.createDataFrame([(1000,)], "doc_id long").select("doc_id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1_000_000)), lambda i: F.concat(F.lit("Another sentence, longer than a menu is, of number "), i.cast("string"), F.lit("."))), "\n")))
+    known = spark.createDataFrame([(i, i % 2, 0) for i in range(100)] + [(1000, 1, 0)], "doc_id long, quality int, toxic int")
+    field = line_crf.trained(docs, known, stretches=500)
+    kept = line_crf.trained(docs.filter("doc_id < 1000"), known)
+    menu, prose_line = (line_crf.line_masks(t)[0] for t in ("home | login | cart", "A sentence of some words, number 3 of text 4."))
+    assert kept.labels(menu) == [1] and kept.labels(prose_line) == [0] and field.labels(prose_line) == [0]
 
 
 def test_ordinal_on_odd_and_empty_tables(odd_docs, no_docs, labels, no_labels):
