@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ledgerlake.operators import labels, markets
 from ledgerlake.operators.peers import peers
 from ledgerlake.plans.governed import governed_sql
-from ledgerlake.sources import dom, xbrl
-from ledgerlake.sources.shared import scratch
+from ledgerlake.sources import contract, dom, packages, xbrl
+from ledgerlake.sources.shared import scratch, stored
 from ledgerlake.sources.versions import VersionedRuns
 
 from .registry import Tables, query
@@ -166,3 +166,82 @@ def xbrl_facts(t: Tables):
     made = x.groupBy("l_orderkey", day.alias("day")).agg(F.array_join(F.collect_list(fact), "").alias("facts"))
     instances = made.select(F.col("l_orderkey").alias("filing_id"), F.concat(F.lit("<xbrl>"), context, units, "facts", F.lit("</xbrl>")).alias("xml"))
     return xbrl.facts(instances).select("filing_id", "concept", F.col("value").cast("double").alias("value"), "instant", F.element_at("dims", F.lit("flag")).alias("flag"), "unit")
+
+
+def written_packages(rows, root: str):
+    """Write each row's text as the file root/market/filing/name, in tasks; a task that runs again leaves the same files."""
+    from pyarrow import fs
+
+    def run(batches):
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for market, filing, name, text in zip(batch["market"], batch["filing"], batch["name"], batch["text"]):
+                folder = f"{base}/{market}/{filing}"
+                store.create_dir(folder)
+                with store.open_output_stream(f"{folder}/{name}") as f:
+                    f.write(text.encode())
+            yield batch[["filing"]]
+
+    rows.select("market", "filing", "name", "text").mapInPandas(run, "filing string").count()
+
+
+@query("""SELECT ['US', 'JP', 'KR', 'EU'][CAST(o_custkey % 4 AS INT) + 1] AS market, CAST(o_custkey AS VARCHAR) AS filing_id, CASE o_custkey % 4 WHEN 0 THEN 'us-gaap:Order' || o_orderkey WHEN 1 THEN 'jppfs:Order' || o_orderkey WHEN 2 THEN 'dart:Order' || o_orderkey ELSE 'ifrs-full:Order' || o_orderkey END AS concept,
+CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CASE WHEN o_custkey % 4 = 3 THEN -1000 ELSE 1 END AS DOUBLE) AS value, CASE o_custkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'iso4217:JPY' WHEN 2 THEN 'KRW' ELSE 'iso4217:EUR' END AS unit, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS period_end FROM orders""")
+def filing_imports(t: Tables):
+    """Filings of four markets in their own formats (JSON facts, an XBRL instance, account rows, inline XBRL with
+    scale and sign) through one reader, as one table. A filing a customer, of its orders."""
+    kind, key = F.col("o_custkey") % 4, F.col("o_orderkey").cast("string")
+    price, day = F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    us = F.to_json(F.struct(F.concat(F.lit("us-gaap:Order"), key).alias("concept"), price.alias("value"), F.lit("USD").alias("unit"), day.alias("period_end")))
+    kr = F.to_json(F.struct(F.concat(F.lit("Order"), key).alias("account_id"), F.lit("주문").alias("account_nm"), price.alias("thstrm_amount"), day.alias("thstrm_dt")))
+    context = F.concat(F.lit('<x:context id="c'), key, F.lit('"><x:period><x:startDate>1990-01-01</x:startDate><x:endDate>'), day, F.lit("</x:endDate></x:period></x:context>"))
+    jp = F.concat(context, F.lit("<j:Order"), key, F.lit(' contextRef="c'), key, F.lit('" unitRef="u">'), price, F.lit("</j:Order"), key, F.lit(">"))
+    eu = F.concat(context, F.lit('<p>total <ix:nonFraction name="ifrs-full:Order'), key, F.lit('" contextRef="c'), key, F.lit('" unitRef="u" scale="3" sign="-">'), price, F.lit("</ix:nonFraction></p>"))
+    part = F.when(kind == 0, us).when(kind == 1, jp).when(kind == 2, kr).otherwise(eu)
+    filings = t.orders.groupBy("o_custkey").agg(F.collect_list(part).alias("parts"))
+    unit = lambda currency: f'<x:unit id="u"><x:measure>iso4217:{currency}</x:measure></x:unit>'
+    spaces = 'xmlns:x="http://www.xbrl.org/2003/instance"'
+    listed, joined = F.array_join("parts", ","), F.array_join("parts", "")
+    text = (
+        F.when(kind == 0, F.concat(F.lit('{"facts": ['), listed, F.lit("]}")))
+        .when(kind == 1, F.concat(F.lit(f'<x:xbrl {spaces} xmlns:j="http://disclosure.edinet-fsa.go.jp/taxonomy/jppfs">{unit("JPY")}'), joined, F.lit("</x:xbrl>")))
+        .when(kind == 2, F.concat(F.lit('{"list": ['), listed, F.lit("]}")))
+        .otherwise(F.concat(F.lit(f'<html {spaces} xmlns:ix="http://www.xbrl.org/2013/inlineXBRL"><body>{unit("EUR")}'), joined, F.lit("</body></html>")))
+    )
+    name = F.when(kind == 1, "instance.xbrl").when(kind == 3, "report.xhtml").otherwise("facts.json")
+    market = F.element_at(F.array(*map(F.lit, ("US", "JP", "KR", "EU"))), (kind + 1).cast("int"))
+    root = scratch(t.spark, "filings")
+    written_packages(filings.select(market.alias("market"), F.col("o_custkey").cast("string").alias("filing"), name.alias("name"), text.alias("text")), root)
+    found = packages.filing_facts(t.spark, root, 1 << 20)
+    return found.select("market", "filing_id", "concept", F.col("value").cast("double").alias("value"), "unit", "period_end")
+
+
+@query("""WITH p AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS package, o_orderkey % 6 AS fault FROM orders), l AS (SELECT CAST(l_orderkey AS VARCHAR) AS package, l_linenumber AS n, l_orderkey % 6 AS fault FROM lineitem)
+SELECT package, 'artifact_hash_mismatch' AS code, 'error' AS severity, 'raw/filing.htm' AS detail FROM p WHERE fault = 1 UNION ALL SELECT package, 'file_missing', 'error', 'README.md' FROM p WHERE fault = 2 UNION ALL SELECT package, 'artifact_missing', 'error', 'README.md' FROM p WHERE fault = 2
+UNION ALL SELECT package, 'manifest_field_blank', 'error', 'ticker' FROM p WHERE fault = 3 UNION ALL SELECT package, 'market', 'error', 'XX' FROM p WHERE fault = 3 UNION ALL SELECT package, 'item_without_evidence', 'error', 'line' || n FROM l WHERE fault = 4 AND n % 2 = 0
+UNION ALL SELECT package, 'evidence_unresolved', 'error', 'line' || n || ':e' || n FROM l WHERE fault = 5 AND n = 1 UNION ALL SELECT package, 'evidence_without_target', 'error', 'e' || n FROM l WHERE fault = 4 AND n = 3 UNION ALL SELECT package, 'quality_field_missing', 'warning', 'rule_warnings' FROM p WHERE fault = 0""")
+def package_contract(t: Tables):
+    """Breaches of the packages' contract, by code. A package an order, an item a line; six kinds of packages, five of
+    them with faults of their own."""
+    fault = F.col("k") % 6
+    key = F.col("l_orderkey").alias("k")
+    n = F.col("l_linenumber").cast("string")
+    text_type = "map<string, map<string, string>>"
+    none = F.create_map().cast(text_type)
+    sources = F.when((F.col("l_orderkey") % 6 == 4) & (F.col("l_linenumber") % 2 == 0), none).otherwise(F.create_map(F.lit("FY"), F.create_map(F.lit("evidence_id"), F.concat(F.lit("e"), n))))
+    item = F.struct(F.concat(F.lit("line"), n).alias("canonical_name"), sources.alias("sources"))
+    target = F.when(~((F.col("l_orderkey") % 6 == 4) & (F.col("l_linenumber") == 3)), "raw/filing.htm#1")
+    entry = F.when(~((F.col("l_orderkey") % 6 == 5) & (F.col("l_linenumber") == 1)), F.struct(F.concat(F.lit("e"), n).alias("evidence_id"), target.alias("target")))
+    per = t.lineitem.groupBy(key).agg(F.to_json(F.struct(F.collect_list(item).alias("key_metrics"))).alias("data"), F.to_json(F.struct(F.collect_list(entry).alias("entries"))).alias("map"))
+    rows = t.orders.select(F.col("o_orderkey").alias("k")).join(per, "k", "left").na.fill("{}", ["data", "map"])
+    fields = {f: F.lit("x") for f in contract.MANIFEST_FIELDS if f != "artifact_hashes"}
+    fields |= {"schema_version": F.lit(contract.SCHEMA_VERSION), "market": F.when(fault == 3, "XX").otherwise("HK"), "ticker": F.when(fault == 3, "").otherwise("x"), "local_source_path": F.lit("raw/filing.htm")}
+    raw, readme = F.lit("<html></html>"), F.lit("read me")
+    hashes = F.struct(F.when(fault == 1, "other").otherwise(F.sha2(raw.cast("binary"), 256)).alias("raw/filing.htm"), F.sha2(readme.cast("binary"), 256).alias("README.md"))
+    manifest = F.to_json(F.struct(*[v.alias(f) for f, v in fields.items()], hashes.alias("artifact_hashes")))
+    quality = F.to_json(F.struct(*[F.when((F.lit(f) != "rule_warnings") | (fault != 0), "0").alias(f) for f in contract.QUALITY_FIELDS]))
+    file = lambda rel, text: F.struct(F.lit(rel).alias("rel"), text.alias("text"))
+    files = [file("manifest.json", manifest), file("raw/filing.htm", raw), file("metrics/financial_data.json", F.col("data")), file("metrics/financial_checks.json", F.lit("{}")), file("qa/quality_report.json", quality), file("qa/source_map.json", F.col("map"))]
+    files += [file(f"{d}/index.json", F.lit("[]")) for d in ("sections", "tables", "xbrl")] + [F.when(fault != 2, file("README.md", readme))]
+    artifacts = rows.select(F.col("k").cast("string").alias("package"), F.explode(F.array_compact(F.array(*files))).alias("a")).select("package", "a.rel", F.sha2(F.col("a.text").cast("binary"), 256).alias("sha256"), "a.text")
+    return contract.breaches(stored(artifacts, "packages"))
