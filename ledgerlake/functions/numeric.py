@@ -39,6 +39,52 @@ def first_number(text: Column) -> Column:
     return F.when(found.startswith("(") & found.endswith(")"), -value).otherwise(value)
 
 
+_DECIMAL = r"^[-+]?(\d+(\.\d*)?|\.\d+)$"
+#: Texts that stand for no value, by the importer and by the verifier.
+IMPORTER_EMPTY = ("", "-", "—", "–", "N/A", "n/a")
+VERIFIER_EMPTY = ("", "-", "--", "---", "n/a", "na", "null", "none")
+
+
+def _strict(text: Column) -> Column:
+    return F.when(text.rlike(_DECIMAL), F.regexp_replace(text, r"\.$", "").try_cast("decimal(38,6)"))
+
+
+def calculator_number(text: Column) -> Column:
+    """For calculations: the number in brackets anywhere, made negative, else the first number; signs in print count."""
+    plain = F.translate(F.trim(text), "−–", "--")
+    inside = F.regexp_extract(plain, r"[（(]\s*([-+]?\d[\d,，]*(?:\.\d+)?)\s*[）)]", 1)
+    source = F.regexp_replace(F.when(inside != "", inside).otherwise(plain), "[,， ]", "")
+    value = F.regexp_extract(source, r"[-+]?\d+(?:\.\d+)?", 0).try_cast("decimal(38,6)")
+    return F.when(inside != "", -F.abs(value)).otherwise(value)
+
+
+def importer_number(text: Column) -> Column:
+    """For imports: the whole text is one number, in brackets if negative, with commas, percent signs and spaces; else null."""
+    plain = F.trim(text)
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"^[()]+|[()]+$", ""), "[,，%]", ""), r"\s+", "")
+    value = _strict(bare)
+    return F.when(plain.isin(*IMPORTER_EMPTY), None).when(plain.startswith("(") & plain.endswith(")"), -value).otherwise(value)
+
+
+def verifier_number(text: Column) -> Column:
+    """For evidence: currency and scale words and signs beside the number go; other letters make it none. Only a positive
+    number in brackets is negative."""
+    plain = F.trim(text)
+    negative = plain.rlike(r"^\(.+\)$")
+    inner = F.translate(F.when(negative, F.regexp_replace(plain, r"^\((.*)\)$", "$1")).otherwise(plain), "−–—", "---")
+    bare = F.regexp_replace(F.regexp_replace(inner, r"(?i)(hk\$|us\$|rmb|cny|hkd|usd|eur|gbp|jpy|krw|\$)", ""), r"(?i)(million|billion|thousand|mn|bn|m|k)", "")
+    value = _strict(F.regexp_replace(bare, r"[^0-9.\-+]", ""))
+    return F.when(F.lower(plain).isin(*VERIFIER_EMPTY) | bare.rlike("[A-Za-z]"), None).when(negative & (value > 0), -value).otherwise(value)
+
+
+def lookup_number(text: Column) -> Column:
+    """For look-ups: a float, with ASCII commas, in brackets if negative."""
+    plain = F.trim(F.regexp_replace(text, ",", ""))
+    bare = F.regexp_replace(plain, r"^[()]+|[()]+$", "")
+    value = F.when(bare.rlike(r"^[-+]?(\d+(\.\d*)?|\.\d+)([eE][-+]?\d+)?$"), bare.try_cast("double"))
+    return F.when(plain.startswith("(") & plain.endswith(")"), -value).otherwise(value)
+
+
 def tolerance(a: Column, b: Column, share: float = 0.005, least: float = 2.0) -> Column:
     """A difference within this counts as equal: a share of the larger amount, `least` at least."""
     return F.greatest(F.greatest(F.abs(a), F.abs(b)) * F.lit(share), F.lit(least))

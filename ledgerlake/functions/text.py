@@ -82,3 +82,24 @@ def html_text(c: Column) -> Column:
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(entity), F.lit(char))
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"[ \t]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
+
+
+#: A literal of SQL, a comment to the end of the line, or one in marks.
+_LITERAL, _COMMENT = "'(?:[^']|'')*'", r"--[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
+
+
+def without_comments(sql: Column) -> Column:
+    """SQL text whose comments have become a space; what looks like one within a literal stays."""
+    marked = F.regexp_replace(sql, f"({_LITERAL})|({_COMMENT})", "$1\x01")  # after a literal, or for a comment
+    return F.replace(F.replace(marked, F.lit("'\x01"), F.lit("'")), F.lit("\x01"), F.lit(" "))
+
+
+def without_literals(sql: Column) -> Column:
+    """SQL text without comments, whose literals are empty ones."""
+    return F.regexp_replace(without_comments(sql), _LITERAL, "''")
+
+
+def statements(sql: Column) -> Column:
+    """The statements of a text, in order: parts at semicolons outside literals and comments, blank ones left out."""
+    parts = F.regexp_extract_all(without_comments(sql), F.lit(f"(?:[^;']|{_LITERAL})+"), 0)
+    return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import tokens
+from ledgerlake.sources.shared import stored
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,19 +66,28 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, group: str | None =
 
 
 def bm25(docs: DataFrame, terms: list[str], id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Scores over the pool `docs` for the query's terms, repeated terms counted again. Only postings of those terms
-    leave the scan; the pool's size and mean length are one row."""
+    """Scores over the pool `docs` for the query's terms, repeated terms counted again. Texts are cut into words once: lengths
+    and the asked words' counts are written as a narrow table, which the statistics and the scores come from."""
     words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("w"))
-    stats = words.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean")).alias("s"))
     asked = {t: terms.count(t) for t in dict.fromkeys(terms)}
-    found = lambda term: F.size(F.filter("w", lambda x: x == term))
-    hits = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(n).alias("times"), found(t).alias("tf")) for t, n in asked.items()])
-    tf = words.select("doc_id", F.size("w").alias("len"), F.explode(F.filter(hits, lambda h: h["tf"] > 0)).alias("h")).select("doc_id", "len", "h.*")
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(F.broadcast(df), "term").withColumn("s", stats.scalar()).select("*", "s.n", "s.mean")  # one row a query term
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return scored.groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    # One pass over the words: the number of each asked one.
+    start = F.array(*[F.lit(0)] * len(asked))
+    places = F.create_map(*[F.lit(x) for i, t in enumerate(asked) for x in (t, i)])
+    held = F.filter("w", lambda x: x.isin(*asked))
+    counts = F.aggregate(held, start, lambda s, x: F.transform(s, lambda n, i: n + F.when(i == F.element_at(places, x), 1).otherwise(0)))
+    counted = stored(words.select("doc_id", F.size("w").alias("len"), counts.alias("counts")), "bm25-counts")
+    n, mean, *df = counted.agg(F.count(F.lit(1)), F.avg("len"), *[F.count_if(F.get("counts", F.lit(i)) > 0) for i in range(len(asked))]).first()
+    score = F.lit(0.0)
+    for i, (times, d) in enumerate(zip(asked.values(), df)):
+        tf = F.get("counts", F.lit(i))
+        idf = math.log(1 + (n - d + 0.5) / (d + 0.5))
+        score = score + F.when(tf > 0, times * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / (mean or 1.0)))).otherwise(0.0)
+    return counted.filter(F.exists("counts", lambda c: c > 0)).select("doc_id", F.round(score, 6).alias("score"))
+
+
+def overfetch(limit: int, factor: int = 4, most: int = 50) -> int:
+    """How many candidates to ask for where some will be left out."""
+    return max(limit, min(most, limit * factor))
 
 
 def fused(dense: DataFrame, lexical: DataFrame, key: str, k: int = 40, dense_weight: float = 0.55, lexical_weight: float = 0.45) -> DataFrame:

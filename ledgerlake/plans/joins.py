@@ -214,10 +214,15 @@ def missing_reference(t: Tables):
     return t.orders.join(cited, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.col("l_orderkey").isNull().alias("missing"))
 
 
-@query("""WITH s AS (SELECT a.item_id, b.p_partkey, CASE WHEN a.item_id % 10 = b.p_size % 10 THEN 3 ELSE 0 END + CASE WHEN length(a.text) % 7 = b.p_partkey % 7 THEN 2 ELSE 0 END AS score FROM benchmark a JOIN part b ON a.item_id % 20 = b.p_partkey % 20) SELECT item_id, p_partkey, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, p_partkey) AS rn FROM s) WHERE rn <= 3""")
+@query("""WITH a AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_returnflag AS f FROM lineitem), m AS (SELECT a.k, a.n AS note, a.p AS note_part, b.n AS tbl, b.p AS part, round(0.4 + CASE WHEN a.f = b.f THEN 0.3 ELSE 0 END + CASE WHEN a.s % 5 = b.s % 5 THEN 0.2 ELSE 0 END + CASE WHEN abs(a.n - b.n) = 1 THEN 0.1 ELSE 0 END, 2)::DOUBLE AS score, a.s AS note_supp, b.s AS supp FROM a JOIN a b ON a.k = b.k WHERE a.n % 2 = 1 AND b.n % 2 = 0)
+SELECT k AS l_orderkey, note, note_part, tbl, part, score FROM m WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY k, note, note_part, note_supp ORDER BY score DESC, tbl, part, supp) <= 2""")
 def scored_links(t: Tables):
-    """Candidate links of one block, scored, and the best three kept."""
-    a, b = t.benchmark, t.part
-    met = a.join(b, F.col("item_id") % 20 == F.col("p_partkey") % 20)
-    score = F.when(F.col("item_id") % 10 == F.col("p_size") % 10, 3).otherwise(0) + F.when(F.length("text") % 7 == F.col("p_partkey") % 7, 2).otherwise(0)
-    return top_per_group(met.select("item_id", "p_partkey", score.alias("score")), ["item_id"], [F.col("score").desc(), F.col("p_partkey")], 3)
+    """Notes linked to tables of their own filing by base, intent, relation and closeness; the best two of each note
+    that are sure enough. Lines of an order stand for both."""
+    side = lambda odd, of: t.lineitem.filter(F.col("l_linenumber") % 2 == odd).select("l_orderkey", F.col("l_linenumber").alias(of), F.col("l_partkey").alias(f"{of}_part"), F.col("l_suppkey").alias(f"{of}_supp"), F.col("l_returnflag").alias(f"{of}_flag"))
+    met = side(1, "note").join(side(0, "tbl"), "l_orderkey")
+    same = lambda cond, worth: F.when(cond, worth).otherwise(0.0)
+    score = F.lit(0.4) + same(F.col("note_flag") == F.col("tbl_flag"), 0.3) + same(F.col("note_supp") % 5 == F.col("tbl_supp") % 5, 0.2) + same(F.abs(F.col("note") - F.col("tbl")) == 1, 0.1)
+    sure = met.withColumn("score", F.round(score, 2)).filter("score >= 0.5")
+    best = top_per_group(sure, ["l_orderkey", "note", "note_part", "note_supp"], [F.col("score").desc(), F.col("tbl"), F.col("tbl_part"), F.col("tbl_supp")], 2)
+    return best.select("l_orderkey", "note", "note_part", "tbl", F.col("tbl_part").alias("part"), "score")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlake.functions.text import tokens
 from ledgerlake.operators.core import top_per_group
 from ledgerlake.operators.hybrid import Spec, Weights, hybrid_search
-from ledgerlake.operators.retrieval import bm25 as bm25_scores, chunked, fused, nearest, unit
+from ledgerlake.operators.retrieval import bm25 as bm25_scores, chunked, fused, nearest, overfetch, unit
 
 from .registry import Tables, query
 
@@ -70,6 +70,14 @@ def filtered_knn(t: Tables):
     return nearest(asked(t, "label"), vectors(t, "label"), 5, "label")
 
 
+@query(f"""SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS fetched FROM (SELECT q.vec_id AS query_id, v.vec_id, q.label AS own, v.label, round({DOT}, 4) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)) WHERE fetched <= 24 AND own <> label QUALIFY rn <= 6""")
+def overfetched_knn(t: Tables):
+    """Four times as many candidates as wanted, 50 at most, as those of the query's own label are left out."""
+    own, other = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), t.embeddings.select("vec_id", "label")
+    found = nearest(asked(t), vectors(t), overfetch(6)).drop("rn").join(own, "query_id").join(other, "vec_id").filter("own <> label")
+    return top_per_group(found, ["query_id"], [F.col("score").desc(), F.col("vec_id")], 6).select("query_id", "vec_id", "score", "rn")
+
+
 BM25 = """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w), p AS (SELECT doc_id, len(w) AS len, term, len(list_filter(w, lambda x: x = term)) AS tf FROM w, (VALUES ('the'), ('and'), ('der')) q(term)), f AS (SELECT * FROM p WHERE tf > 0), d AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
 b AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 6) AS score FROM f JOIN d USING (term), s GROUP BY 1)"""
 

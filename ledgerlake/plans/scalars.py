@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.money import currency_of, duration_bucket as bucket_of, quarter_end, scale_of
-from ledgerlake.functions.numeric import amount, close, parse_accounting as parsed, ratio, yoy
-from ledgerlake.functions.text import compact, host, ngrams as runs_of, normal_label, path, redacted, stable_id, tokens
+from ledgerlake.functions.numeric import amount, calculator_number, close, importer_number, lookup_number, parse_accounting as parsed, parse_printed, ratio, verifier_number, yoy
+from ledgerlake.functions.text import compact, host, ngrams as runs_of, normal_label, path, redacted, stable_id, statements, tokens, without_comments, without_literals
 
 from .registry import Tables, query
 
@@ -265,3 +265,49 @@ def display_share(t: Tables):
     """shares to four places."""
     rows = t.nation.join(t.supplier, F.col("n_nationkey") == F.col("s_nationkey"), "left")
     return rows.groupBy("n_nationkey").agg(ratio(F.count("s_suppkey"), F.lit(100)).cast("double").alias("share"))
+
+
+#: Ways in which an amount is printed; {} is the amount.
+FORMS = ("{}", "({})", "HK$ {} million", "(RMB {})", "−{}", "note 3: ({}) of it", "{}%", "n/a", "about {}", "+{}", "- {}", "{} thousand")
+PRINTED_SQL = "replace([" + ", ".join(f"'{f}'" for f in FORMS) + f"][CAST(c_custkey % {len(FORMS)} AS INT) + 1], '{{}}', format('{{:,.2f}}', CAST(abs(c_acctbal) AS DOUBLE)))"
+STRICT_SQL = r"CASE WHEN regexp_matches({0}, '^[-+]?(\d+(\.\d*)?|\.\d+)$') THEN TRY_CAST({0} AS DOUBLE) END"
+
+
+@query(rf"""WITH p AS (SELECT c_custkey, {PRINTED_SQL} AS t FROM customer), c AS (SELECT *, replace(t, '−', '-') AS plain FROM p),
+x AS (SELECT *, regexp_extract(plain, '[（(]\s*([-+]?\d[\d,，]*(?:\.\d+)?)\s*[）)]', 1) AS inside, regexp_replace(regexp_replace(t, '^[()]+|[()]+$', '', 'g'), '[,%\s]', '', 'g') AS bare, regexp_matches(t, '^\(.+\)$') AS wrapped FROM c),
+v AS (SELECT *, regexp_replace(regexp_replace(replace(CASE WHEN wrapped THEN t[2:-2] ELSE t END, '−', '-'), '(?i)(hk\$|us\$|rmb|cny|hkd|usd|eur|gbp|jpy|krw|\$)', '', 'g'), '(?i)(million|billion|thousand|mn|bn|m|k)', '', 'g') AS words FROM x),
+n AS (SELECT *, TRY_CAST(NULLIF(regexp_extract(replace(replace(CASE WHEN inside <> '' THEN inside ELSE plain END, ',', ''), ' ', ''), '[-+]?\d+(?:\.\d+)?', 0), '') AS DOUBLE) AS calc, {STRICT_SQL.format("bare")} AS imp, regexp_replace(words, '[^0-9.\-+]', '', 'g') AS ver FROM v)
+SELECT c_custkey, t AS printed, CASE WHEN inside <> '' THEN -abs(calc) ELSE calc END AS calculator, CASE WHEN t = 'n/a' THEN NULL WHEN wrapped THEN -imp ELSE imp END AS importer,
+CASE WHEN t = 'n/a' OR regexp_matches(words, '[A-Za-z]') THEN NULL WHEN wrapped AND {STRICT_SQL.format("ver")} > 0 THEN -{STRICT_SQL.format("ver")} ELSE {STRICT_SQL.format("ver")} END AS verifier,
+CASE WHEN wrapped THEN -1 ELSE 1 END * {STRICT_SQL.format("regexp_replace(replace(t, ',', ''), '^[()]+|[()]+$', '', 'g')")} AS lookup FROM n""")
+def number_variants(t: Tables):
+    """the same printed amount by the four readers, which differ on words, percent signs and brackets."""
+    form = F.element_at(F.array(*map(F.lit, FORMS)), (F.col("c_custkey") % len(FORMS)).cast("int") + 1)
+    rows = t.customer.select("c_custkey", F.replace(form, F.lit("{}"), F.format_number(F.abs("c_acctbal"), 2)).alias("printed"))
+    p = F.col("printed")
+    return rows.select("c_custkey", "printed", calculator_number(p).cast("double").alias("calculator"), importer_number(p).cast("double").alias("importer"), verifier_number(p).cast("double").alias("verifier"), lookup_number(p).alias("lookup"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN -1 END * CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS value FROM orders""")
+def printed_amounts(t: Tables):
+    """amounts with currency and scale words, loss marks, note markers and brackets."""
+    price = F.format_number("o_totalprice", 2)
+    k = F.col("o_orderkey") % 4
+    text = F.when(k == 0, F.concat(F.lit("*5 "), price, F.lit(" million"))).when(k == 1, F.concat(F.lit("△"), price, F.lit("百万円"))).when(k == 2, F.concat(F.lit("("), price, F.lit(") US$"))).otherwise("-")
+    return t.orders.select("o_orderkey", parse_printed(text).cast("double").alias("value"))
+
+
+#: SQL as people send it; {} is a number of the row.
+SENT = ("select a from t{}; -- the ; end", "/* x ; {} */ select 1;; select ';--{}' as b", "select 'it''s {}' /* a */, \"q\" -- c\n from t ; delete from t", "-- only {}", "{}")
+SENT_SQL = "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in SENT) + "]"
+LITERAL_SQL, COMMENT_SQL = "''(?:[^'']|'''')*''", r"--[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
+
+
+@query(rf"""WITH q AS (SELECT o_orderkey, replace({SENT_SQL}[CAST(o_orderkey % {len(SENT)} AS INT) + 1], '{{}}', CAST(o_orderkey AS VARCHAR)) AS s FROM orders),
+c AS (SELECT o_orderkey, replace(replace(regexp_replace(s, '({LITERAL_SQL})|({COMMENT_SQL})', '\1' || chr(1), 'g'), '''' || chr(1), ''''), chr(1), ' ') AS bare FROM q)
+SELECT o_orderkey, bare, regexp_replace(bare, '{LITERAL_SQL}', '''''', 'g') AS blanked, list_filter(list_transform(regexp_extract_all(bare, '(?:[^;'']|{LITERAL_SQL})+'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS parts FROM c""")
+def sql_texts(t: Tables):
+    """comments and literals of SQL texts stripped, and their statements parted."""
+    form = F.element_at(F.array(*map(F.lit, SENT)), (F.col("o_orderkey") % len(SENT)).cast("int") + 1)
+    rows = t.orders.select("o_orderkey", F.replace(form, F.lit("{}"), F.col("o_orderkey").cast("string")).alias("s"))
+    return rows.select("o_orderkey", without_comments(F.col("s")).alias("bare"), without_literals(F.col("s")).alias("blanked"), statements(F.col("s")).alias("parts"))

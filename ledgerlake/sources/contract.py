@@ -30,11 +30,12 @@ _SOURCES = "entries array<struct<evidence_id: string, target: string, local_path
 
 
 def packages_of(spark: SparkSession, root: str) -> DataFrame:
-    """Artefacts of the packages that are the folders right under `root`. Texts of JSON files alone are kept."""
+    """Artefacts of the packages that are the folders right under `root`. Texts of JSON files alone are kept.
+    Spark doesn't list files without a byte: they count as missing."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://")[-1].lstrip("/")
     inside = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", ""), f"^{base}/", "")
-    text = F.when(F.col("path").endswith(".json"), F.decode("content", F.lit("UTF-8")))
+    text = F.when(F.col("path").endswith(".json"), F.decode("content", "UTF-8"))
     return files.select(F.substring_index(inside, "/", 1).alias("package"), F.regexp_replace(inside, "^[^/]*/", "").alias("rel"), F.sha2("content", 256).alias("sha256"), text.alias("text"))
 
 

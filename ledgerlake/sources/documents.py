@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,3 +49,17 @@ def load_plan(rows: DataFrame, gate: F.Column, path: str) -> None:
     judged = rows.withColumn("_allowed", gate)
     judged.filter("_allowed").drop("_allowed").write.mode("overwrite").parquet(f"{path}/canonical")
     judged.filter("_allowed IS NULL OR NOT _allowed").drop("_allowed").write.mode("overwrite").parquet(f"{path}/quarantine")
+
+
+def fact_projection(heads: DataFrame, items: DataFrame, kind: str, order: list[str], statements: list[str], operating: str) -> DataFrame:
+    """Rows of the tables that a load writes: target, artifact_id, market, statement, item_index, canonical_name, value.
+
+    heads: artifact_id, market; items: artifact_id, `kind`, canonical_name, value. A kind of `statements` gives a row of its
+    own a filing, and its items are numbered in it; items of kind `operating` go to their own table, all others are facts."""
+    placed = items.join(heads, "artifact_id")
+    is_statement, none = F.col(kind).isin(*statements), lambda c: F.lit(None).cast(c)
+    one = placed.filter(is_statement).select("artifact_id", "market", kind).distinct()
+    rows = one.select(F.lit("financial_statements").alias("target"), "artifact_id", "market", F.col(kind).alias("statement"), none("long").alias("item_index"), none("string").alias("canonical_name"), none("double").alias("value"))
+    number = F.row_number().over(Window.partitionBy("artifact_id", kind).orderBy(*order)).cast("long")
+    target = F.when(F.col(kind) == operating, "operating_metric_facts").otherwise("financial_facts")
+    return rows.unionByName(placed.select(target.alias("target"), "artifact_id", "market", F.when(is_statement, F.col(kind)).alias("statement"), number.alias("item_index"), "canonical_name", "value"))

@@ -220,3 +220,21 @@ def test_governed_sizes(spark):
     for sql in ("SELECT repeat('x', 100000000) FROM d", "SELECT repeat('x', id) FROM d", "SELECT explode(sequence(1, 1000000000)) FROM d", "SELECT explode(sequence(0, id)) FROM d", "SELECT lpad('x', 1 + 1000000) FROM d", "SELECT * FROM d LATERAL VIEW explode(sequence(1, 1000000)) AS x"):
         assert refused(spark, sql, t) == "unbounded_function", sql
     assert governed.governed_sql(spark, "SELECT repeat('x', 3) AS x, size(sequence(-5, 5)) AS n, size(sequence(100000, 0, -1000)) AS m FROM d LIMIT 1", t).first() == ("xxx", 11, 101)
+
+
+@pytest.mark.parametrize(("raw", "calculator", "importer", "verifier", "lookup"), [
+    ("1,234.5", "1234.5", "1234.5", "1234.5", 1234.5), ("(1,234)", "-1234", "-1234", "-1234", -1234.0), ("HK$ 20 million", "20", None, "20", None), ("−5", "-5", None, "-5", None), ("12%", "12", "12", "12", None), ("n/a", None, None, None, None),
+    ("see (7) there", "-7", None, None, None), ("1e3", "1", None, None, 1000.0), ("", None, None, None, None), ("--", None, None, None, None), (None, None, None, None, None), ("(-5)", "-5", "5", "-5", 5.0), ("5.", "5", "5", "5", 5.0),
+])
+def test_number_variants(spark, raw, calculator, importer, verifier, lookup):
+    df = spark.createDataFrame([(raw,)], "t string")
+    dec = lambda v: None if v is None else Decimal(v)
+    got = df.select(numeric.calculator_number(F.col("t")), numeric.importer_number(F.col("t")), numeric.verifier_number(F.col("t")), numeric.lookup_number(F.col("t"))).first()
+    assert tuple(got) == (dec(calculator), dec(importer), dec(verifier), lookup)
+
+
+def test_sql_texts(spark):
+    sql = F.lit("select ';' /* ; a */ from t -- x ; y\n; ; drop 'it''s; --'")
+    assert one(spark, text.statements(sql)) == ["select ';'   from t", "drop 'it''s; --'"]
+    assert one(spark, text.without_literals(sql)) == "select ''   from t  \n; ; drop ''"
+    assert one(spark, text.statements(F.lit(None).cast("string"))) is None

@@ -79,3 +79,86 @@ def test_market_rules(spark):
     one = spark.createDataFrame([("JP", None, None, None), ("EU", "chf", None, None), ("EU", None, "US$ million", "gbp"), ("EU", None, None, None)], "m string, stated string, unit string, own string")
     reporting = markets.reporting_currency(F.col("m"), F.col("stated"))
     assert [r[0] for r in one.select(markets.fact_currency(F.col("own"), F.col("unit"), reporting)).collect()] == ["JPY", "CHF", "gbp", None]
+
+
+XBRL = """<x:xbrl xmlns:x="http://www.xbrl.org/2003/instance" xmlns:j="http://disclosure.edinet-fsa.go.jp/taxonomy/jppfs">
+<x:context id="c"><x:entity><x:segment><d:explicitMember xmlns:d="d" dimension="axis">m</d:explicitMember></x:segment></x:entity><x:period><x:instant>2024-03-31</x:instant></x:period></x:context>
+<x:unit id="u"><x:measure>iso4217:JPY</x:measure></x:unit><j:Cash contextRef="c" unitRef="u">1,500</j:Cash><j:Name contextRef="c">text</j:Name><j:Lost contextRef="none" unitRef="none">(2)</j:Lost></x:xbrl>"""
+INLINE = """<html xmlns:ix="http://www.xbrl.org/2013/inlineXBRL"><p><ix:nonFraction name="ifrs-full:Revenue" contextRef="q" scale="6" sign="-" unitRef="e">1,2<b>34</b></ix:nonFraction></p></html>"""
+
+
+def test_filing_facts_of_every_format(spark, tmp_path):
+    import io
+    import zipfile
+
+    from ledgerlake.sources import packages
+
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("PublicDoc/a.xbrl", XBRL)
+        z.writestr("readme.txt", "none")
+    files = {"JP/f1/doc.zip": packed.getvalue(), "EU/f2/r.xhtml": INLINE.encode(), "KR/f3/api.json": b'{"list": [{"account_id": "Cash", "account_nm": "n", "thstrm_amount": "7"}, {"account_id": "No", "thstrm_amount": "-"}, {"thstrm_amount": "1"}]}', "US/f4/facts.json": b'{"facts": [{"concept": "us-gaap:Cash", "value": 5, "unit": "USD", "dimensions": {"a": 1}}]}'}
+    files |= {"US/bad/x.xml": b"<no", "US/bad/y.json": b"{", "US/bad/z.zip": b"PK", "US/_hidden/a.json": b'{"facts": [{"concept": "c", "value": 1}]}', "US/stray.json": b"{}", "US/f5/big.json": b'{"facts": [{"concept": "c", "value": "1e40"}, {"concept": "d", "value": "NaN"}]}'}
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    for split in (1, 1 << 20):
+        got = {(r["filing_id"], r["concept"]): r for r in packages.filing_facts(spark, str(tmp_path), split).collect()}
+        assert set(got) == {("f1", "jppfs:Cash"), ("f1", "jppfs:Lost"), ("f2", "ifrs-full:Revenue"), ("f3", "dart:Cash"), ("f4", "us-gaap:Cash")}
+        cash, lost, revenue, row, fact = (got[k] for k in sorted(got))
+        assert (cash["value"], cash["unit"], cash["instant"], cash["dims"], cash["source_file"], cash["market"]) == (1500, "iso4217:JPY", "2024-03-31", {"axis": "m"}, "PublicDoc/a.xbrl", "JP")
+        assert (lost["value"], lost["unit"], lost["instant"]) == (-2, "none", None) and (revenue["value"], revenue["source_type"], revenue["label"]) == (-1234000000, "inline_xbrl", "Revenue")
+        assert (row["value"], row["unit"], row["source_type"]) == (7, "KRW", "account_row") and (fact["value"], fact["dims"]) == (5, {"a": "1"})
+
+
+def test_contract_of_packages_in_files(spark, tmp_path):
+    import hashlib
+    import json
+
+    from ledgerlake.sources import contract
+
+    def write(package, drop=(), **changes):
+        files = {"README.md": "r", "raw/filing.htm": "<p>", "sections/s.json": "[]", "tables/t.json": "[]", "xbrl/x.json": "[]", "metrics/financial_checks.json": "{}", "qa/quality_report.json": json.dumps(dict.fromkeys(contract.QUALITY_FIELDS, 0))}
+        files["metrics/financial_data.json"] = json.dumps({"statements": [{"items": [{"canonical_name": "cash", "sources": {"FY": {"evidence_id": "e1"}}}]}], "key_metrics": [{"name": "eps", "sources": {"FY": {"evidence_id": "e2", "page": 3}}}]})
+        files["qa/source_map.json"] = json.dumps({"entries": [{"evidence_id": "e1", "target": "x"}, {"evidence_id": "e2", "source_url": "u"}]})
+        files |= {k: v for k, v in changes.items() if "/" in k}
+        manifest = dict.fromkeys(contract.MANIFEST_FIELDS, "x") | {"schema_version": contract.SCHEMA_VERSION, "market": "JP", "local_source_path": "raw/filing.htm", "artifact_hashes": {k: hashlib.sha256(v.encode()).hexdigest() for k, v in files.items()}}
+        files["manifest.json"] = json.dumps(manifest | changes.get("manifest", {}))
+        for rel, content in files.items():
+            if rel not in drop:
+                path = tmp_path / package / rel
+                path.parent.mkdir(parents=True, exist_ok=True)
+                path.write_text(content)
+
+    write("good")
+    write("holes", drop=("README.md", "xbrl/x.json", "raw/filing.htm"))
+    write("wrong", manifest={"schema_version": "v0", "market": "", "ticker": None, "artifact_hashes": {"README.md": "00"}})
+    write("cites", **{"metrics/financial_data.json": json.dumps({"operating_metrics": [{"name": "users", "sources": {"Q1": {}}}, {"sources": None}, {"name": "mau", "sources": {"Q1": {"evidence_id": "gone"}}}]}), "qa/source_map.json": json.dumps({"entries": [{"target": "t"}, {"evidence_id": "e"}]}), "qa/quality_report.json": "{}"})
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "manifest.json").write_text(" ")
+    artifacts = contract.packages_of(spark, str(tmp_path))
+    found = contract.breaches(artifacts)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["package"], []).append((r["code"], r["detail"]))
+    assert "good" not in got
+    assert sorted(got["holes"]) == sorted([("file_missing", "README.md"), ("directory_missing", "xbrl"), ("directory_missing", "raw"), ("local_source_missing", "raw/filing.htm"), ("artifact_missing", "README.md"), ("artifact_missing", "xbrl/x.json"), ("artifact_missing", "raw/filing.htm")])
+    assert sorted(got["wrong"]) == sorted([("schema_version", "v0"), ("market", ""), ("manifest_field_blank", "market"), ("manifest_field_blank", "ticker"), ("artifact_hash_mismatch", "README.md")])
+    cites = [x for x in got["cites"] if x[0] != "quality_field_missing"]
+    assert sorted(cites) == sorted([("item_without_evidence", "users:Q1"), ("item_without_evidence", "unknown"), ("evidence_unresolved", "mau:gone"), ("evidence_without_id", "t"), ("evidence_without_target", ""), ("evidence_without_target", "e")][:4] + [("evidence_without_target", "e")])
+    assert len(got["cites"]) - len(cites) == len(contract.QUALITY_FIELDS) and {c for c, _ in got["empty"]} >= {"manifest_empty", "artifact_hashes_empty", "schema_version"}
+    assert {r["package"]: r["ok"] for r in contract.kept(artifacts, found).collect()} == {"good": True, "holes": False, "wrong": False, "cites": False, "empty": False}
+
+
+def test_relational_scan_in_ranges(spark, tmp_path):
+    from ledgerlake.sources import relational
+
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    spark.range(100).selectExpr("id AS ID", "cast(id % 7 AS string) AS NAME").write.jdbc(url, "ITEMS", properties={"driver": driver})
+    df = relational.scanned(spark, url, "ITEMS", "ID", 4, driver=driver)
+    assert df.rdd.getNumPartitions() == 4 and sorted(r["ID"] for r in df.collect()) == list(range(100))
+    plan = df.filter("ID > 90").select("NAME")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(ID,90)" in plan and "ReadSchema: struct<NAME" in plan
+    assert relational.scanned(spark, url, "ITEMS", driver=driver).count() == 100
+    spark.range(0).selectExpr("id AS ID").write.jdbc(url, "NOTHING", properties={"driver": driver})
+    assert relational.scanned(spark, url, "NOTHING", "ID", driver=driver).count() == 0
