@@ -5,12 +5,13 @@ The tables given have no filings; texts, labels and instances are made of their
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerlake.operators import labels, markets
+from ledgerlake.operators import alignment, labels, markets, tables
 from ledgerlake.operators.peers import peers
 from ledgerlake.plans.governed import governed_sql
-from ledgerlake.sources import contract, documents, dom, packages, xbrl
+from ledgerlake.sources import contract, documents, dom, layout, packages, sinks, xbrl
 from ledgerlake.sources.shared import scratch, stored
 from ledgerlake.sources.versions import VersionedRuns
 
@@ -257,3 +258,88 @@ def fact_projection(t: Tables):
     heads = t.orders.select(F.col("o_orderkey").alias("artifact_id"), F.when(F.col("o_orderstatus") == "O", "KR").otherwise("JP").alias("market"))
     items = t.lineitem.select(F.col("l_orderkey").alias("artifact_id"), kind.alias("kind"), "l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lit("part"), F.col("l_partkey").cast("string")).alias("canonical_name"), F.col("l_quantity").cast("double").alias("value"))
     return documents.fact_projection(heads, items, "kind", ["l_linenumber", "l_partkey", "l_suppkey"], ["income", "balance"], "operating")
+
+
+LINE_NUMBER = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)"
+
+
+def numbered_lines(t: Tables):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return t.lineitem.withColumn("n", F.row_number().over(w))
+
+
+@query(f"""WITH l AS (SELECT l_orderkey, {LINE_NUMBER} AS n, l_partkey, CAST(l_quantity AS DECIMAL(18,2)) AS q, CAST(l_extendedprice AS DECIMAL(18,2)) AS p FROM lineitem)
+SELECT l_orderkey, 'Part ' || l_partkey AS label, '2023' AS period, CAST(q * 1000000 AS DOUBLE) AS value, 'HKD' AS currency FROM l UNION ALL SELECT l_orderkey, 'Part ' || l_partkey, '2024', CAST(-p * 1000000 AS DOUBLE), 'HKD' FROM l WHERE n % 4 > 0""")
+def table_extraction(t: Tables):
+    """Facts from printed tables: period columns, row labels, brackets and dashes, the unit of the head. A table an order."""
+    cell = lambda row, col, text: F.struct(F.lit(row).cast("int").alias("row") if isinstance(row, int) else row.cast("int").alias("row"), F.lit(col).alias("col"), text.alias("text"))
+    heads = t.orders.join(t.lineitem.select("l_orderkey").distinct(), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(F.col("o_orderkey").alias("l_orderkey"), F.explode(F.array(cell(0, 0, F.lit("In HK$ million")), cell(1, 1, F.lit("Year 2023")), cell(1, 2, F.lit("Year 2024")))).alias("c"))
+    price, at = F.col("l_extendedprice").cast("decimal(18,2)"), F.col("n") + 3
+    second = F.when(F.col("n") % 4 == 0, F.lit("—")).otherwise(F.concat(F.lit("("), F.format_number(price, 2), F.lit(")")))
+    body = numbered_lines(t).select("l_orderkey", F.explode(F.array(cell(at, 0, F.concat(F.lit("Part "), F.col("l_partkey").cast("string"))), cell(at, 1, F.format_number("l_quantity", 2)), cell(at, 2, second))).alias("c"))
+    found = tables.table_facts(heads.unionByName(body).select("l_orderkey", "c.*"), ["l_orderkey"])
+    return found.select("l_orderkey", "label", "period", F.col("value").cast("double").alias("value"), "currency")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS status, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS day FROM orders""")
+def json_lines_sink(t: Tables):
+    """Rows written as lines of JSON, nulls and all, and read again."""
+    path = scratch(t.spark, "lines")
+    sinks.write_json_lines(t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus")).alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")), path)
+    return t.spark.read.schema("o_orderkey long, status string, day string").json(path)
+
+
+def text_lengths(texts: list[str]) -> list[list[float]]:
+    """Stands in for an embedding model."""
+    return [[float(len(x)), 1.0] for x in texts]
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CAST(length(text) AS DOUBLE) ELSE CAST(n_chars AS DOUBLE) END AS first FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 <> 0""")
+def embedding_sink(t: Tables):
+    """Changed texts are embedded in batches and replace what is stored under their keys."""
+    kept = t.documents.filter("doc_id % 3 <> 0").select("doc_id", F.array(F.col("n_chars").cast("float"), F.lit(0.0).cast("float")).alias("embedding"))
+    new = sinks.embedded(t.documents.filter("doc_id % 2 = 0").select("doc_id", "text"), text_lengths).drop("text")
+    return sinks.upserted(kept, new, ["doc_id"]).select("doc_id", F.get("embedding", F.lit(0)).cast("double").alias("first"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_custkey AS BIGINT) END AS customer FROM orders""")
+def fenced_evidence(t: Tables):
+    """The first block of JSON in Markdown notes; a note may have none."""
+    k = F.col("o_orderkey")
+    block = F.concat(F.lit('```json\n{"customer": '), F.col("o_custkey").cast("string"), F.lit('}\n```\n```json\n{"customer": 0}\n```'))
+    note = F.concat(F.lit("# Note\n```yaml\nx: 1\n```\n"), F.when(k % 4 > 0, block).otherwise("no evidence"), F.lit("\nend"))
+    return t.orders.select("o_orderkey", F.from_json(documents.fenced_json(note), "customer long")["customer"].alias("customer"))
+
+
+@query(f"""SELECT l_orderkey, CAST(n - 1 AS INT) AS ordinal, CASE WHEN l_returnflag = 'A' THEN 'table' ELSE 'text' END AS kind, CAST(l_partkey AS VARCHAR) AS text, CAST(n % 3 + 1 AS INT) AS page_number, CASE WHEN n % 2 = 0 THEN 4 END AS sides FROM (SELECT *, {LINE_NUMBER} AS n FROM lineitem)""")
+def layout_items(t: Tables):
+    """Content lists of parsed pages as blocks in reading order; a box that isn't four numbers is none."""
+    n = F.col("n")
+    kind = F.when(F.col("l_returnflag") == "A", "table").otherwise("title")
+    box = F.when(n % 2 == 0, F.array(*[F.lit(float(x)) for x in range(4)])).otherwise(F.array(F.lit(1.0)))
+    item = F.struct(n, kind.alias("type"), F.col("l_partkey").cast("string").alias("text"), (n % 3).alias("page_idx"), box.alias("bbox"))
+    docs = numbered_lines(t).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    found = layout.layout_blocks(docs, "l_orderkey", "items")
+    return found.select("l_orderkey", F.col("ordinal").cast("int").alias("ordinal"), "kind", "text", F.col("page_number").cast("int").alias("page_number"), F.when(F.col("bbox").isNotNull(), F.size("bbox")).alias("sides"))
+
+
+@query("""WITH o AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders) SELECT o_custkey, CAST(sum(CASE WHEN i % 4 = 0 THEN 6 ELSE 2 END) AS DOUBLE) AS missed, CAST(sum(CASE WHEN i % 4 = 0 THEN 0 ELSE 3 END) AS DOUBLE) AS false_alarm, CAST(6 * count(*) AS DOUBLE) AS total FROM o GROUP BY 1""")
+def diarisation_totals(t: Tables):
+    """Missed and false speech of recordings. A recording a customer, a turn an order; what is heard comes two seconds
+    late and ends three late, and every fourth turn isn't heard."""
+    i = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    turns = t.orders.select(F.col("o_custkey").cast("string").alias("recording"), i.alias("i"))
+    side = lambda name, rows, lo, hi: rows.select("recording", F.lit(name).alias("side"), F.lit(f"{name} speaker").alias("speaker"), (F.col("i") * 10.0 + lo).alias("lo"), (F.col("i") * 10.0 + hi).alias("hi"))
+    scored = alignment.diarisation_errors(side("ref", turns, 0.0, 6.0).unionByName(side("hyp", turns.filter("i % 4 > 0"), 2.0, 9.0)))
+    return scored.select(F.col("recording").cast("long").alias("o_custkey"), "missed", "false_alarm", "total")
+
+
+CONCEPTS = ("us-gaap:Assets", "us-gaap:LiabilitiesAndStockholdersEquity", "us-gaap:Revenues", "us-gaap:NetIncomeLoss", "us-gaap:CashAndCashEquivalents", "us-gaap:PaymentsForProperty", "dei:EntityName")
+PLACES = ("balance_sheet", "balance_sheet", "income_statement", "income_statement", "cash_flow_statement", "cash_flow_statement", "notes")
+
+
+@query(f"""SELECT p_partkey, {sql_list(PLACES)}[CAST(p_partkey % {len(PLACES)} AS INT) + 1] AS statement FROM part""")
+def us_statements(t: Tables):
+    """The statement of a US concept by its letters; the one it has where none fits."""
+    concept = F.element_at(F.array(*map(F.lit, CONCEPTS)), (F.col("p_partkey") % len(CONCEPTS)).cast("int") + 1)
+    return t.part.select("p_partkey", markets.us_statement(concept, F.lit("notes")).alias("statement"))

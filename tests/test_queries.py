@@ -1,13 +1,14 @@
 """Every registered query against its SQL oracle in DuckDB."""
 
 import decimal
+import os
 
 import duckdb
 import pytest
 
 from ledgerlake.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
