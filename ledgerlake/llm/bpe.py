@@ -15,7 +15,7 @@ Words that were encoded before come from a bounded per-worker table, which is on
 
 Edge cases. Null text is empty: no ids, and the hashes of nothing. Strings of special tokens in a text become their
 ids, as in the tokenizers library. A text may be of any length and have no spaces at all. Each input row gives one
-row, whatever its id. An empty table gives no rows.
+row, whatever its id. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
