@@ -250,21 +250,21 @@ def package_contract(t: Tables):
 
 @query("""WITH h AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'O' THEN 'KR' ELSE 'JP' END AS market FROM orders), l AS (SELECT l_orderkey AS k, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp, l_quantity AS x, CASE l_returnflag WHEN 'A' THEN 'income' WHEN 'R' THEN 'balance' WHEN 'N' THEN CASE WHEN l_linenumber % 2 = 0 THEN 'key' ELSE 'operating' END END AS kind FROM lineitem)
 SELECT 'financial_statements' AS target, k AS artifact_id, market, kind AS statement, NULL::BIGINT AS item_index, NULL AS canonical_name, NULL::DOUBLE AS value FROM (SELECT DISTINCT k, market, kind FROM h JOIN l USING (k) WHERE kind IN ('income', 'balance'))
-UNION ALL SELECT CASE WHEN kind = 'operating' THEN 'operating_metric_facts' ELSE 'financial_facts' END, k, market, CASE WHEN kind IN ('income', 'balance') THEN kind END, row_number() OVER (PARTITION BY k, kind ORDER BY line, part, supp), 'part' || part, CAST(x AS DOUBLE) FROM h JOIN l USING (k)""")
+UNION ALL SELECT CASE WHEN kind = 'operating' THEN 'operating_metric_facts' ELSE 'financial_facts' END, k, market, CASE WHEN kind IN ('income', 'balance') THEN kind END, row_number() OVER (PARTITION BY k, kind ORDER BY line, part, supp, x), 'part' || part, CAST(x AS DOUBLE) FROM h JOIN l USING (k)""")
 def fact_projection(t: Tables):
     """What a load writes: a row a statement, its facts numbered in it, key metrics among the facts and operating
     metrics in a table of their own."""
     kind = F.when(F.col("l_returnflag") == "A", "income").when(F.col("l_returnflag") == "R", "balance").when(F.col("l_linenumber") % 2 == 0, "key").otherwise("operating")
     heads = t.orders.select(F.col("o_orderkey").alias("artifact_id"), F.when(F.col("o_orderstatus") == "O", "KR").otherwise("JP").alias("market"))
     items = t.lineitem.select(F.col("l_orderkey").alias("artifact_id"), kind.alias("kind"), "l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lit("part"), F.col("l_partkey").cast("string")).alias("canonical_name"), F.col("l_quantity").cast("double").alias("value"))
-    return documents.fact_projection(heads, items, "kind", ["l_linenumber", "l_partkey", "l_suppkey"], ["income", "balance"], "operating")
+    return documents.fact_projection(heads, items, "kind", ["l_linenumber", "l_partkey", "l_suppkey", "value"], ["income", "balance"], "operating")
 
 
-LINE_NUMBER = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)"
+LINE_NUMBER = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag)"
 
 
 def numbered_lines(t: Tables):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
     return t.lineitem.withColumn("n", F.row_number().over(w))
 
 

@@ -44,7 +44,7 @@ class VersionedRuns:
     def replace(self, tables: Mapping[str, DataFrame], runs: DataFrame | None = None) -> int:
         """Commit new rows of the runs that `tables` name, and of `runs`: what these wrote before is gone in every table,
         those left out too. A run without rows is deleted. Returns the version."""
-        commit = uuid.uuid4().hex
+        commit = f"c{uuid.uuid4().hex}"  # no text that reads as a number
         for name, rows in tables.items():
             rows.write.parquet(f"{self.root}/data/{name}/_commit={commit}")
         written = [self.spark.read.schema(rows.schema).parquet(f"{self.root}/data/{name}/_commit={commit}") for name, rows in tables.items()]
