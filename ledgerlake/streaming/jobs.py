@@ -3,12 +3,13 @@ keep state of their own. Every job takes and gives a streaming DataFrame.
 
 Rules judge rows in event time: a row is held until the watermark has passed it, when no earlier one can come any more, and
 then judged after all that are before it. So neither the order of files nor where a trigger ends changes a result. Held rows
-are in the state store (RocksDB, on disk), by key and slice of time, and come back a slice at a time. The last rows of a
-stream wait for a later event or the end mark that its source sends. A key's rows are one task's work, as the rules ask for."""
+are in the state store (RocksDB, on disk), by groups of keys and runs of time, and come back a run at a time. The last rows of
+a stream wait for a later event or the end mark that its source sends. A key's rows are one task's work, as the rules ask for."""
 
 from __future__ import annotations
 
 import pickle
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -18,9 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerlake.sources.shared import stored
+
 PROVIDER, ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Seconds of one slice of held rows.
-SLICE = 3600
+#: Seconds of the shortest run of held rows, and the rows that a run has on average at least.
+SLICE, RUN = 3600, 200
+#: Keys are dealt to so many groups by hash, whose state is kept together. A checkpoint holds for one number only.
+GROUPS = 1024
 #: One state column for rules whose state is a small Python value.
 STATE = "held binary"
 
@@ -81,61 +86,114 @@ class Rule:
 
 
 class _InOrder(StatefulProcessor):
-    """Holds rows (micros, columns) in slices of time until the watermark has passed them."""
+    """Holds rows (micros, key, columns) of a group of keys, in runs of time, until the watermark has passed them. A run is as
+    long as it takes to have some rows, so what is asked of the state store grows with the rows by far less than one a row."""
 
-    def __init__(self, rule: Rule, columns: Sequence[str], out: Sequence[str], slice_seconds: int):
-        self.rule, self.columns, self.out, self.width = rule, ["micros", *columns], list(out), slice_seconds * 1_000_000
+    def __init__(self, rule: Rule, key: str, columns: Sequence[str], out: Sequence[str], slice_seconds: int):
+        self.rule, self.columns, self.out, self.width = rule, ["micros", key, *columns], list(out), slice_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "slice long", "rows binary")
-        self.state = handle.getValueState("state", "value binary")
+        self.held = handle.getMapState("held", "start long, number long", "rows binary")
+        self.states = handle.getValueState("states", "value binary")
+        #: How many runs there were, and the one timer that is set (0: none).
+        self.progress = handle.getValueState("progress", "runs long, timer long")
+
+    def _runs(self, rows: list[tuple]) -> dict[int, list[tuple]]:
+        """Rows by the start of their run."""
+        width = self.width
+        while True:
+            runs: dict[int, list[tuple]] = {}
+            for row in rows:
+                runs.setdefault(row[0] // width * width, []).append(row)
+            if len(runs) <= 2 or len(rows) >= RUN * len(runs):
+                return runs
+            width *= 6
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        number, timer = self.progress.get() if self.progress.exists() else (0, 0)
+        first = None
         for batch in rows:
-            columns = [batch[c].astype(object).where(batch[c].notna(), None).tolist() for c in self.columns]
-            slices: dict[int, list[tuple]] = {}
-            for row in zip(*columns):
-                slices.setdefault(int(row[0]) // self.width, []).append((int(row[0]), *row[1:]))
-            for at, new in slices.items():
-                kept = pickle.loads(self.held.getValue((at,))[0]) if self.held.containsKey((at,)) else []
-                self.held.updateValue((at,), (pickle.dumps(kept + new),))
-                # When the watermark has passed the last row of a slice, it has passed all of them.
-                self.handle.registerTimer(max(r[0] for r in new) // 1000)
+            columns = [batch[c].tolist() if c == "micros" else batch[c].astype(object).where(batch[c].notna(), None).tolist() for c in self.columns]
+            for start, run in self._runs(list(zip(*columns))).items():
+                number += 1
+                self.held.updateValue((start, number), (pickle.dumps(run),))
+                low = min(r[0] for r in run)
+                first = low if first is None else min(first, low)
+        if first is not None:
+            self.progress.update((number, self._timer(timer, first)))
         return iter(())
 
+    def _timer(self, timer: int, micros: int) -> int:
+        """The timer that is set once a row of that time waits."""
+        wanted = micros // 1000 + 1
+        if timer and timer <= wanted:
+            return timer
+        if timer:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(wanted)
+        return wanted
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        state = pickle.loads(self.state.get()[0]) if self.state.exists() else self.rule.fresh()
+        starts: dict[int, list[tuple]] = {}
+        for at in self.held.keys():
+            starts.setdefault(at[0], []).append(tuple(at))
+        order = sorted(starts)
+        passed = [start for start in order if start < watermark]
+        first = order[len(passed)] if len(passed) < len(order) else None
+        states = pickle.loads(self.states.get()[0]) if self.states.exists() else {}
+        waiting: list[tuple] = []
+        given: list[tuple] = []
         changed = False
-        for (at,) in sorted(tuple(k) for k in self.held.keys()):
-            if at * self.width >= watermark:
-                break
-            rows = pickle.loads(self.held.getValue((at,))[0])
-            due, rest = [r for r in rows if r[0] < watermark], [r for r in rows if r[0] >= watermark]
-            given = []
-            for row in sorted(due, key=lambda r: tuple((x is not None, x) for x in r)):
-                state, found = self.rule.step(state, row[0], row[1:])
-                given += found
-            changed |= bool(due)
-            self.held.updateValue((at,), (pickle.dumps(rest),)) if rest else self.held.removeKey((at,))
-            if given:
-                yield pd.DataFrame([(key[0], *g) for g in given], columns=self.out)
+        for i, start in enumerate(passed):
+            # Rows of runs that start later are none of those before that start.
+            until = passed[i + 1] if i + 1 < len(passed) else watermark
+            for at in starts[start]:
+                rows = pickle.loads(self.held.getValue(at)[0])
+                due, rest = [r for r in rows if r[0] < watermark], [r for r in rows if r[0] >= watermark]
+                waiting += due
+                if not rest:
+                    self.held.removeKey(at)
+                    continue
+                low = min(r[0] for r in rest)
+                first = low if first is None else min(first, low)
+                if due:
+                    self.held.updateValue(at, (pickle.dumps(rest),))
+            waiting.sort(key=_place)
+            cut = bisect_left(waiting, until, key=lambda r: r[0])
+            for micros, k, *row in waiting[:cut]:
+                states[k], found = self.rule.step(states[k] if k in states else self.rule.fresh(), micros, row)
+                given += [(k, *g) for g in found]
+            waiting, changed = waiting[cut:], changed or cut > 0
+            if len(given) >= 10_000:
+                yield pd.DataFrame(given, columns=self.out)
+                given = []
+        if given:
+            yield pd.DataFrame(given, columns=self.out)
         if changed:
-            self.state.update((pickle.dumps(state),))
+            self.states.update((pickle.dumps(states),))
+        self.progress.update((self.progress.get()[0], 0 if first is None else self._timer(0, first)))
 
     def close(self) -> None:
         pass
 
 
+def _place(row: tuple) -> tuple:
+    """Rows in order of time, then of their columns; nulls first."""
+    return row[0], *[(x is not None, x) for x in row[2:]]
+
+
 def in_order(stream: DataFrame, key: str, columns: Sequence[str], rule: Rule, out: str, late: str = "1 hour", slice_seconds: int = SLICE) -> DataFrame:
     """The rule's rows (`out`, after the key) for each key's rows in order of ts, then of `columns`. Rows that come `late`
-    after a newer one are dropped, as everywhere in streams; rows without a time or key take no part."""
+    after a newer one are dropped, as everywhere in streams; rows without a time or key take no part. State is kept by GROUPS
+    groups of keys: a call of the store for each key and row would take longer than all else."""
     rows = stream.withWatermark("ts", late).filter(F.col("ts").isNotNull() & F.col(key).isNotNull())
-    rows = rows.select(key, "ts", F.unix_micros("ts").alias("micros"), *[c for c in dict.fromkeys(columns) if c != key])
+    group = F.pmod(F.xxhash64(key), F.lit(GROUPS)).cast("int").alias("_group")
+    rows = rows.select(group, key, "ts", F.unix_micros("ts").alias("micros"), *[c for c in dict.fromkeys(columns) if c != key])
     schema = f"{key} {stream.schema[key].dataType.simpleString()}, {out}"
     names = [key, *[part.split()[0] for part in out.split(", ")]]
-    return rows.groupBy(key).transformWithStateInPandas(_InOrder(rule, columns, names, slice_seconds), schema, "Append", "EventTime")
+    return rows.groupBy("_group").transformWithStateInPandas(_InOrder(rule, key, columns, names, slice_seconds), schema, "Append", "EventTime")
 
 
 @dataclass
@@ -242,7 +300,7 @@ def lockouts(failures: DataFrame, key: str, id_col: str, most: int = 5, window:
 def staged(rows: DataFrame, path: str, parts: int, jitter: int = 6 * 3600) -> str:
     """Write `rows` as a stream would bring them: in `parts` steps of time, each row up to `jitter` seconds early, and an end
     mark, a row so late that the watermark passes all others. Returns the delay that no row exceeds."""
-    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = stored(rows.withColumn("ts", F.col("ts").cast("timestamp")), "staged")
     low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     if low is None:
         rows.write.parquet(path)
