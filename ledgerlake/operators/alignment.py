@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from itertools import permutations
 
@@ -35,24 +36,46 @@ def matched_speakers(shared: dict[tuple[str, str], float]) -> dict[str, str]:
     return out
 
 
-def diarisation_errors(turns: DataFrame) -> DataFrame:
-    """turns: recording, side ('ref' or 'hyp'), speaker, lo, hi. missed, false alarm, confusion and total speech of each
-    recording; a recording's turns are one task's work."""
-
-    def score(rows: pd.DataFrame) -> pd.DataFrame:
-        edges = sorted({*rows["lo"], *rows["hi"]})
-        slices, shared = [], {}
-        for a, b in zip(edges, edges[1:]):
-            now = rows[(rows["lo"] < b) & (rows["hi"] > a)]
-            ref, hyp = set(now.loc[now["side"] == "ref", "speaker"]), set(now.loc[now["side"] == "hyp", "speaker"])
-            slices.append((b - a, ref, hyp))
+def speech_errors(turns: Iterable[tuple[str, str | None, float, float]]) -> tuple[float, float, float, float]:
+    """Missed, false alarm, confusion and total speech of one recording's turns (side, speaker, lo, hi), by one sweep over
+    their ends. A turn that doesn't end after it starts has no speech."""
+    steps: dict[float, list[tuple[str, str | None, int]]] = {}
+    for side, speaker, lo, hi in turns:
+        if lo < hi:
+            steps.setdefault(lo, []).append((side, speaker, 1))
+            steps.setdefault(hi, []).append((side, speaker, -1))
+    open_turns: dict[str, dict[str | None, int]] = {"ref": {}, "hyp": {}}
+    slices, shared, before = [], {}, None
+    for at in sorted(steps):
+        ref, hyp = open_turns["ref"], open_turns["hyp"]
+        if ref or hyp:
+            slices.append((at - before, set(ref), set(hyp)))
             for r in ref:
                 for h in hyp:
-                    shared[r, h] = shared.get((r, h), 0.0) + b - a
-        mapping = matched_speakers(shared)
-        missed = sum(d * max(0, len(r) - len(h)) for d, r, h in slices)
-        false = sum(d * max(0, len(h) - len(r)) for d, r, h in slices)
-        wrong = sum(d * (min(len(r), len(h)) - len(r & {mapping.get(x) for x in h})) for d, r, h in slices)
-        return pd.DataFrame([(rows["recording"].iloc[0], float(missed), float(false), float(wrong), float(sum(d * len(r) for d, r, _ in slices)))], columns=["recording", "missed", "false_alarm", "confusion", "total"])
-
-    return turns.groupBy("recording").applyInPandas(score, "recording string, missed double, false_alarm double, confusion double, total double")
+                    shared[r, h] = shared.get((r, h), 0.0) + at - before
+        for side, speaker, change in steps[at]:
+            now = open_turns.setdefault(side, {})
+            now[speaker] = now.get(speaker, 0) + change
+            if not now[speaker]:
+                del now[speaker]
+        before = at
+    mapping = matched_speakers(shared)
+    missed = sum(d * max(0, len(r) - len(h)) for d, r, h in slices)
+    false = sum(d * max(0, len(h) - len(r)) for d, r, h in slices)
+    wrong = sum(d * (min(len(r), len(h)) - len(r & {mapping.get(x) for x in h})) for d, r, h in slices)
+    return float(missed), float(false), float(wrong), float(sum(d * len(r) for d, r, _ in slices))
+
+
+def diarisation_errors(turns: DataFrame) -> DataFrame:
+    """turns: recording, side ('ref' or 'hyp'), speaker, lo, hi. missed, false alarm, confusion and total speech of each
+    recording; a recording's turns are one task's work, those of many recordings come in one batch."""
+    parts = ["side", "speaker", "lo", "hi"]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(i, *speech_errors(zip(*(x.tolist() for x in columns)))) for i, *columns in zip(batch["recording"], *(batch[c] for c in parts))]
+            yield pd.DataFrame(found, columns=["recording", "missed", "false_alarm", "confusion", "total"])
+
+    whole = turns.groupBy("recording").agg(F.collect_list(F.struct("side", "speaker", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"))).alias("t"))
+    whole = whole.select(F.col("recording").cast("string").alias("recording"), *[F.col(f"t.{c}").alias(c) for c in parts])
+    return whole.mapInPandas(score, "recording string, missed double, false_alarm double, confusion double, total double")
