@@ -4,10 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import batched
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of one frame that a task gives, and rows that one partition of a spread table has.
+FRAME, PART = 5000, 400_000
+#: Bytes of texts that a task takes at once.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
 
 @cache
 def _own_dir() -> str:
@@ -30,3 +38,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """`df`, in a session that hands texts to Python a few megabytes at a time, unless it has a size of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY, None) is None:
+        conf.set(BATCH_KEY, BATCH_BYTES)
+    return df
+
+
+def in_frames(rows: Iterable[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as frames of FRAME rows, made one after the other: a task never holds all that a batch of texts gives."""
+    for part in batched(rows, FRAME):
+        yield pd.DataFrame(part, columns=columns)
+
+
+def partitions_for(df: DataFrame) -> int:
+    """How many partitions the rows of a table should be dealt to: a task's share stays the same when the table grows."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PART))

@@ -5,6 +5,7 @@ import random
 import pandas as pd
 
 from ledgerlake.operators import alignment
+from ledgerlake.sources import dom, shared
 from ledgerlake.streaming import jobs
 
 
@@ -116,3 +117,18 @@ def test_speech_of_a_long_recording_is_one_sweep(spark):
     odd = [("q", "ref", "a", 0.0, 4.0), ("q", "ref", "a", 2.0, 6.0), ("q", "ref", "b", 5.0, 5.0), ("q", "hyp", "x", 1.0, 3.0), ("q", "hyp", "y", 3.0, 7.0), ("q", "hyp", "y", 9.0, 8.0)]
     found = alignment.diarisation_errors(spark.createDataFrame(odd + turns[:8], "recording string, side string, speaker string, lo double, hi double"))
     assert {r.recording: tuple(r)[1:] for r in found.collect()}["q"] == (1.0, 1.0, 2.0, 6.0)
+
+
+def test_references_without_an_end_stay_text():
+    """A heading cut within a reference, an unknown name, a query string; whole references are read."""
+    nodes = dom.tree_of('<h1 id="a&copy=1">x &amp; y &lt;b&gt; &#65;&#x42; &notit; &amp</h1><p>R&D &copy 2020 &am</p>')
+    assert [n[7] for n in nodes if n[7]] == ["x & y <b> AB &notit; &amp", "R&D &copy 2020 &am"] and nodes[0][5] == "a&copy=1"
+
+
+def test_a_batch_of_pages_gives_frames_of_bounded_size():
+    """The rows of many texts are made one frame after the other."""
+    made = []
+    rows = (made.append(i) or (i,) for i in range(3 * shared.FRAME))
+    frames = shared.in_frames(rows, ["i"])
+    first = next(frames)
+    assert len(first) == shared.FRAME == len(made) and sum(map(len, frames)) == 2 * shared.FRAME
