@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_frames, in_small_batches
+
 ROWS = "filing_id string, kind string, ref string, concept string, value string, context_ref string, unit_ref string, decimals string, instant string, start string, end string, dims map<string,string>, unit string"
 
 
@@ -44,10 +46,10 @@ def facts(instances: DataFrame, id_col: str = "filing_id", xml_col: str = "xml")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [row for i, text in zip(batch["id"], batch["xml"]) for row in instance_rows(i, text)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ROWS.split(", ")])
+            rows = (row for i, text in zip(batch["id"], batch["xml"]) for row in instance_rows(i, text))
+            yield from in_frames(rows, [c.split()[0] for c in ROWS.split(", ")])
 
-    rows = instances.select(F.col(id_col).cast("string").alias("id"), F.col(xml_col).alias("xml")).mapInPandas(run, ROWS)
+    rows = in_small_batches(instances).select(F.col(id_col).cast("string").alias("id"), F.col(xml_col).alias("xml")).mapInPandas(run, ROWS)
     contexts = rows.filter("kind = 'context'").select("filing_id", F.col("ref").alias("context_ref"), "instant", "start", "end", "dims")
     units = rows.filter("kind = 'unit'").select("filing_id", F.col("ref").alias("unit_ref"), "unit")
     found = rows.filter("kind = 'fact'").select("filing_id", "concept", F.col("value").try_cast("decimal(38,6)").alias("value"), "context_ref", "unit_ref", "decimals")
