@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import partitions_for
+
 
 def json_documents(spark: SparkSession, root: str, schema: T.StructType, name: str = "document_full.json") -> DataFrame:
     """Every document of that name under a folder, one row a file, with its path."""
@@ -56,7 +58,8 @@ def fact_projection(heads: DataFrame, items: DataFrame, kind: str, order: list[s
 
     heads: artifact_id, market; items: artifact_id, `kind`, canonical_name, value. A kind of `statements` gives a row of its
     own a filing, and its items are numbered in it; items of kind `operating` go to their own table, all others are facts."""
-    placed = items.join(heads, "artifact_id")
+    n = partitions_for(items)
+    placed = items.repartition(n, "artifact_id").join(heads.repartition(n, "artifact_id"), "artifact_id")
     is_statement, none = F.col(kind).isin(*statements), lambda c: F.lit(None).cast(c)
     one = placed.filter(is_statement).select("artifact_id", "market", kind).distinct()
     rows = one.select(F.lit("financial_statements").alias("target"), "artifact_id", "market", F.col(kind).alias("statement"), none("long").alias("item_index"), none("string").alias("canonical_name"), none("double").alias("value"))
