@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_frames, in_small_batches
+from .shared import in_frames, in_small_batches, stored
 
 ROWS = "filing_id string, kind string, ref string, concept string, value string, context_ref string, unit_ref string, decimals string, instant string, start string, end string, dims map<string,string>, unit string"
 
@@ -50,6 +50,7 @@ def facts(instances: DataFrame, id_col: str = "filing_id", xml_col: str = "xml")
             yield from in_frames(rows, [c.split()[0] for c in ROWS.split(", ")])
 
     rows = in_small_batches(instances).select(F.col(id_col).cast("string").alias("id"), F.col(xml_col).alias("xml")).mapInPandas(run, ROWS)
+    rows = stored(rows, "instances")  # contexts, units and facts are read apart; an instance is parsed once
     contexts = rows.filter("kind = 'context'").select("filing_id", F.col("ref").alias("context_ref"), "instant", "start", "end", "dims")
     units = rows.filter("kind = 'unit'").select("filing_id", F.col("ref").alias("unit_ref"), "unit")
     found = rows.filter("kind = 'fact'").select("filing_id", "concept", F.col("value").try_cast("decimal(38,6)").alias("value"), "context_ref", "unit_ref", "decimals")
