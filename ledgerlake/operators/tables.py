@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.money import currency_of, scale_of
 from ledgerlake.functions.numeric import parse_printed
+from ledgerlake.sources.shared import stored
 
 PERIOD = r"(?:19|20)\d{2}(?:[-/.年]\d{1,2}(?:[-/.月]\d{1,2}日?)?)?"
 
@@ -14,6 +15,7 @@ PERIOD = r"(?:19|20)\d{2}(?:[-/.年]\d{1,2}(?:[-/.月]\d{1,2}日?)?)?"
 def table_facts(cells: DataFrame, keys: list[str]) -> DataFrame:
     """cells: keys, row, col, text. Columns whose head names a period give a fact for each row with a label; a unit named
     anywhere in the table's first three rows scales its amounts. keys, label, period, value, unit, currency."""
+    cells = stored(cells.select(*keys, "row", "col", "text"), "cells")  # heads, units, labels and body are read apart
     period = F.regexp_extract("text", PERIOD, 0)
     heads = cells.filter(F.col("row") <= 2).select(*keys, "col", "row", period.alias("period")).filter("period != '' AND col > 0")
     heads = heads.groupBy(*keys, "col").agg(F.max_by("period", "row").alias("period"), F.max("row").alias("head_row"))
