@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 #: Fixed values of the contract.
 SCHEMA_VERSION = "market_evidence_package_v1"
 MARKETS = ("US", "HK", "JP", "KR", "EU")
@@ -58,6 +60,7 @@ def breaches(artifacts: DataFrame, strict_hashes: bool = True) -> DataFrame:
 
     # The manifest: a map of its fields as they stand, and of the hashes that it lists.
     manifest = parsed("manifest.json", "map<string, string>").select("package", F.coalesce("j", F.create_map().cast("map<string, string>")).alias("m"))
+    manifest = stored(manifest, "manifests")  # what several rules read is parsed once
     breach(manifest.filter(F.size("m") == 0), "manifest_empty", "manifest.json")
     fields = manifest.select("package", "m", F.explode(F.array(*map(F.lit, MANIFEST_FIELDS))).alias("field"))
     value = F.element_at("m", F.col("field"))
@@ -80,11 +83,13 @@ def breaches(artifacts: DataFrame, strict_hashes: bool = True) -> DataFrame:
     none = F.array().cast(f"array<{_ITEM}>")
     all_items = F.concat(F.coalesce(F.flatten(F.transform("j.statements", lambda s: F.coalesce(s["items"], none))), none), F.coalesce("j.key_metrics", none), F.coalesce("j.operating_metrics", none))
     items = data.select("package", F.explode(all_items).alias("i")).select("package", F.coalesce("i.canonical_name", "i.name", F.lit("unknown")).alias("item"), "i.sources")
+    items = stored(items, "items")
     breach(items.filter(F.coalesce(F.size("sources"), F.lit(-1)) <= 0), "item_without_evidence", F.col("item"))
     cited = items.select("package", "item", F.explode("sources").alias("period", "evidence"))
     breach(cited.filter(F.coalesce(F.size("evidence"), F.lit(-1)) <= 0), "item_without_evidence", F.concat_ws(":", "item", "period"))
     source_map = parsed("qa/source_map.json", _SOURCES)
     entries = source_map.select("package", F.explode("j.entries").alias("e")).select("package", "e.*")
+    entries = stored(entries, "entries")
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     breach(entries.filter(blank("evidence_id")), "evidence_without_id", F.coalesce("target", "local_path", "source_url", F.lit("")))
     breach(entries.filter(blank("target") & blank("local_path") & blank("source_url")), "evidence_without_target", F.coalesce("evidence_id", F.lit("")))
