@@ -9,7 +9,8 @@ a sibling: the sibling's place is i XOR 1 for two to a run, else the run's start
 That adds to each node what stands left and right of it in its run; the nodes of slot zero then emit the parents. Keys are
 (group, place), so a group of any size spreads evenly, and levels shrink `arity` times. Bottom-up every level is written:
 it is read for the join, for the parents and for the proofs. Top-down the proofs are one join a level, each of a node's own
-siblings with the proof of its parent, all in one plan.
+siblings with the proof of its parent, all in one plan; it starts from a written table of the groups' last nodes and what
+comes after them, so it holds one join a level and no more: the driver plans all of it anew as each is done.
 
 Leaves find their places without a sort of one group in one task: ranges of (group, id, leaf), sorted within (ordering.py);
 a window over one row a (range, group) gives where each group goes on.
@@ -99,7 +100,9 @@ class Tree:
         comes after a group's own levels, and any columns that go with it."""
         none = F.array().cast(PATH)
         tops = self.tops.select("g", F.lit(0).cast("long").alias("i"), "level")
-        tops = tops.join(above, "g") if above is not None else tops.withColumn("path", none)
+        # Written: each level that a group ends on reads it, and would plan all of `above` again.
+        tops = written(tops.join(above, "g"), "merkle-starts") if above is not None else tops.withColumn("path", none)
+        ends = {r["level"] for r in self.tops.select("level").distinct().collect()}
         more = [c for c in tops.columns if c not in ("g", "i", "level")]
         at = lambda level: tops.filter(F.col("level") == level).select("g", "i", *more)
         here = at(len(self.levels))
@@ -108,7 +111,8 @@ class Tree:
             own = self.levels[level].select("g", "i", F.array(F.struct("l", "r")).alias("_own"))
             met = own.join(up, (F.col("g") == F.col("_g")) & (F.floor(F.col("i") / self.arity).cast("long") == F.col("_i")))
             path = F.concat("_own", "path").alias("path")
-            here = met.select("g", "i", *[path if c == "path" else c for c in more]).unionByName(at(level))
+            here = met.select("g", "i", *[path if c == "path" else c for c in more])
+            here = here.unionByName(at(level)) if level in ends else here
         return here
 
 

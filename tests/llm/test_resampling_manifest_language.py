@@ -223,6 +223,16 @@ def test_manifest_of_other_arities(spark, arity):
     assert len(out) == 61 and all(r["a"] == made.root != r["b"] for r in out)
 
 
+def test_plan_of_the_proofs_has_one_join_a_level(spark):
+    """Groups that end on different levels: the driver holds no plan of the upper tree once more for each level."""
+    rows = spark.createDataFrame([(i, f"s{s}", f"text {i}") for s in range(5) for i in range(1 + 4**s)], "doc_id long, source string, text string")
+    made = merkle.manifest(rows.withColumn("h", merkle.leaf(rows, ("doc_id", "text"))), keep=("doc_id",))
+    out = made.proofs()
+    assert out.filter(merkle.shown(merkle.folded(F.col("path"), F.col("h"))) == made.root).count() == rows.count()
+    # One more for the leaves' own columns.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == len(made.own.levels) + 1
+
+
 # 13
 
 
