@@ -1,9 +1,11 @@
 """Filings of several markets as one table of facts: spark.read.format("filing_facts").load(root).
 
 A filing is a folder root/<market>/<filing_id>/ of files: XBRL instances (.xbrl, .xml), inline XBRL (.xhtml, .htm), JSON facts or
-account rows (.json), or a .zip of them. The files are listed once and dealt into partitions by their bytes, a file whole; each
-task reads its own. Files come through pyarrow.fs, so the root may be on any store it knows. A file that can't be read as what it
-should be gives no facts.
+account rows (.json), or a .zip of them. Many filings are better kept in bulk archives, root/<market>/<any name>.zip, whose
+members are <filing_id>/<file>: files of their own are each listed by the driver and opened by a task. What is listed is dealt
+into partitions by bytes: a file whole, a bulk archive by ranges of bytes that its members start in; each task reads its own.
+Files come through pyarrow.fs, so the root may be on any store it knows. A file that can't be read as what it should be gives
+no facts.
 """
 
 from __future__ import annotations
@@ -13,13 +15,18 @@ import json
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
+from contextlib import ExitStack
 from dataclasses import dataclass
 from decimal import Decimal, InvalidOperation
 
-from pyspark.sql import SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .shared import in_small_batches
+
 FACTS = "market string, filing_id string, source_file string, source_type string, concept string, label string, value_text string, value decimal(38,6), unit string, context_ref string, period_start string, period_end string, instant string, dims map<string,string>"
 #: Bytes of a partition.
 SPLIT = 32 << 20
@@ -120,9 +127,52 @@ def facts_of(market: str, name: str, data: bytes) -> Iterator[tuple]:
         return
 
 
+def archive_facts(market: str, file, low: int, high: int) -> Iterator[tuple]:
+    """market, filing and the fact's columns, of the members of a bulk archive that start in a range of its bytes."""
+    try:
+        archive = zipfile.ZipFile(file)
+    except (zipfile.BadZipFile, ValueError):  # the latter where a file is shorter than an archive's end
+        return
+    with archive:
+        for member in archive.infolist():
+            filing, _, inner = member.filename.partition("/")
+            if not low <= member.header_offset < high or not inner or member.is_dir() or any(p.startswith((".", "_")) for p in member.filename.split("/")):
+                continue
+            try:
+                data = archive.read(member)
+            except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):  # broken, packed otherwise or encrypted
+                continue
+            for fact in facts_of(market, inner.rpartition("/")[2], data):
+                yield market, filing, *fact
+
+
+def written_archives(rows: DataFrame, root: str) -> None:
+    """Write filings (market, filing, name, text) as bulk archives, one a task and market. A task that runs again leaves the
+    same archives: each is moved to its name once it is whole."""
+    from pyarrow import fs
+
+    def run(batches):
+        store, base = fs.FileSystem.from_uri(root)
+        task, made = TaskContext.get(), {}
+        name, waiting = f"part-{task.partitionId():05d}.zip", f".part-{task.partitionId():05d}-{task.taskAttemptId()}"
+        with ExitStack() as opened:
+            for batch in batches:
+                for market, filing, file, text in zip(batch["market"], batch["filing"], batch["name"], batch["text"]):
+                    if market not in made:
+                        store.create_dir(f"{base}/{market}")
+                        stream = opened.enter_context(store.open_output_stream(f"{base}/{market}/{waiting}"))
+                        made[market] = opened.enter_context(zipfile.ZipFile(stream, "w"))
+                    made[market].writestr(f"{filing}/{file}", text.encode())
+                yield batch[["filing"]]
+        for market in made:
+            store.move(f"{base}/{market}/{waiting}", f"{base}/{market}/{name}")
+
+    in_small_batches(rows).select("market", "filing", "name", "text").mapInPandas(run, "filing string").count()
+
+
 @dataclass
 class _Files(InputPartition):
-    paths: list[tuple[str, str, str]]  # market, filing, path within the file system
+    paths: list[tuple[str, str | None, str, int, int]]  # market, filing, path within the file system, range of bytes; no filing: a bulk archive
 
 
 class _Reader(DataSourceReader):
@@ -141,18 +191,25 @@ class _Reader(DataSourceReader):
         out, now, size = [], [], 0
         for info in sorted(store.get_file_info(fs.FileSelector(base, recursive=True)), key=lambda f: f.path):
             parts = info.path[len(base.rstrip("/")) + 1 :].split("/")
-            if not info.is_file or len(parts) < 3 or any(p.startswith((".", "_")) for p in parts):
+            bulk = len(parts) == 2 and parts[1].lower().endswith(".zip")
+            if not info.is_file or (len(parts) < 3 and not bulk) or any(p.startswith((".", "_")) for p in parts):
                 continue
-            if now and size + info.size > self.split:
-                out.append(_Files(now))
-                now, size = [], 0
-            now.append((parts[0], parts[1], info.path))
-            size += info.size
+            for low in range(0, info.size, self.split) if bulk else (0,):
+                high = min(low + self.split, info.size) if bulk else info.size
+                if now and size + high - low > self.split:
+                    out.append(_Files(now))
+                    now, size = [], 0
+                now.append((parts[0], None if bulk else parts[1], info.path, low, high))
+                size += high - low
         return [*out, _Files(now)]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
         store, _ = self._open()
-        for market, filing, path in partition.paths:
+        for market, filing, path, low, high in partition.paths:
+            if filing is None:
+                with store.open_input_file(path) as f:
+                    yield from archive_facts(market, f, low, high)
+                continue
             with store.open_input_stream(path) as f:
                 data = f.read()
             for fact in facts_of(market, path.rpartition("/")[2], data):

@@ -111,6 +111,45 @@ def test_filing_facts_of_every_format(spark, tmp_path):
         assert (row["value"], row["unit"], row["source_type"]) == (7, "KRW", "account_row") and (fact["value"], fact["dims"]) == (5, {"a": "1"})
 
 
+def test_many_filings_take_few_files(spark, tmp_path, monkeypatch):
+    """filing_imports of 2,000 customers: archives by tasks and markets, not a file a filing."""
+    from ledgerlake.plans import filings, registry
+
+    path = tmp_path / "filings"
+    monkeypatch.setattr(filings, "scratch", lambda spark, label: f"file://{path}")
+    orders = spark.range(4000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 2000).alias("o_custkey"), (F.col("id") + 0.25).alias("o_totalprice"), F.lit("2024-03-31").cast("timestamp").alias("o_orderdate"))
+    orders.write.parquet(str(tmp_path / "in" / "orders.parquet"))
+    got = registry.queries()["filing_imports"](spark, str(tmp_path / "in")).collect()
+    assert len(got) == 4000 == len({(r["filing_id"], r["concept"]) for r in got}) and {r["market"] for r in got} == {"US", "JP", "KR", "EU"}
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = [p for p in path.rglob("*") if p.is_file() and not p.name.endswith(".crc")]
+    assert 4 <= len(found) <= 4 * parts and all(p.suffix == ".zip" for p in found)
+
+
+def test_bulk_archives_are_read_by_ranges(spark, tmp_path):
+    """Members of an archive are read once each, however it is cut; hidden, stray and broken ones give no facts."""
+    import zipfile
+
+    from ledgerlake.sources import packages
+
+    (tmp_path / "US").mkdir()
+    with zipfile.ZipFile(tmp_path / "US" / "all.ZIP", "w") as z:
+        for i in range(40):
+            z.writestr(f"f{i}/facts.json", '{"facts": [{"concept": "us-gaap:Cash", "value": %d}]}' % i)
+        z.writestr("f40/broken.json", '{"facts": [{"concept": "kaput", "value": 1}]}')
+        for name in ("stray.json", "_f/a.json", "f1/.a.json", "f2/readme.txt"):
+            z.writestr(name, '{"facts": [{"concept": "c", "value": 1}]}')
+    data = (tmp_path / "US" / "all.ZIP").read_bytes()
+    (tmp_path / "US" / "all.ZIP").write_bytes(data.replace(b"kaput", b"other", 1))  # another checksum
+    (tmp_path / "US" / ".part-1").write_bytes(data)
+    (tmp_path / "US" / "none.zip").write_bytes(b"PK")
+    (tmp_path / "US" / "f41").mkdir()
+    (tmp_path / "US" / "f41" / "facts.json").write_text('{"facts": [{"concept": "us-gaap:Cash", "value": 41}]}')
+    for split in (100, 1000, 1 << 20):
+        got = packages.filing_facts(spark, str(tmp_path), split).collect()
+        assert sorted((int(r["filing_id"][1:]), int(r["value"]), r["source_file"]) for r in got) == [(i, i, "facts.json") for i in [*range(40), 41]]
+
+
 def test_contract_of_packages_in_files(spark, tmp_path):
     import hashlib
     import json
