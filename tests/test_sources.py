@@ -189,6 +189,51 @@ def test_contract_of_packages_in_files(spark, tmp_path):
     assert {r["package"]: r["ok"] for r in contract.kept(artifacts, found).collect()} == {"good": True, "holes": False, "wrong": False, "cites": False, "empty": False}
 
 
+def test_contract_is_judged_within_packages(spark, tmp_path):
+    """package_contract shuffles keys and line numbers, once each, and writes nothing; loose artefacts are shuffled once."""
+    from ledgerlake.plans import registry
+    from ledgerlake.sources import contract
+
+    spark.range(600).select(F.col("id").alias("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(1800).select((F.col("id") % 300).alias("l_orderkey"), F.expr("cast(id div 300 % 4 + 1 as int)").alias("l_linenumber")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = registry.queries()["package_contract"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("FileScan") == 2
+    got = {r["code"]: r["count"] for r in found.groupBy("code").count().collect()}
+    lines = [(i % 300 % 6, i // 300 % 4 + 1) for i in range(1800)]
+    assert got.pop("item_without_evidence") == sum(f == 4 and n % 2 == 0 for f, n in lines) and got.pop("evidence_without_target") == sum(f == 4 and n == 3 for f, n in lines)
+    assert got.pop("evidence_unresolved") == sum(f == 5 and n == 1 for f, n in lines)
+    assert got == dict.fromkeys(("artifact_hash_mismatch", "file_missing", "artifact_missing", "manifest_field_blank", "market", "quality_field_missing"), 100)
+    loose = spark.createDataFrame([("p", "manifest.json", "00", "{}")], "package string, rel string, sha256 string, text string")
+    assert contract.breaches(loose)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_contract_of_odd_packages(spark):
+    """Nulls, broken texts, repeated items; a package of 10,000 listed files of which half are others and a fifth is missing."""
+    import json
+
+    from ledgerlake.sources import contract
+
+    many = {f"raw/{i}": f"{i:064x}" for i in range(10_000)}
+    manifest = dict.fromkeys(contract.MANIFEST_FIELDS, "x") | {"schema_version": contract.SCHEMA_VERSION, "market": "EU", "local_source_path": "raw/0"}
+    rows = [("many", "manifest.json", "0", json.dumps(manifest | {"artifact_hashes": many | {"manifest.json": "1", "raw/null": "2", "xbrl/any": None}}))]
+    rows += [("many", rel, sha256 if i % 2 else "other", None) for i, (rel, sha256) in enumerate(many.items()) if i % 5] + [("many", "raw/null", None, None), ("many", "xbrl/any", "3", None), ("many", "raw/unlisted", "4", None)]
+    item = {"name": "twice", "sources": {"FY": {"evidence_id": "gone"}}}
+    rows += [("odd", contract.DATA, "0", json.dumps({"statements": [None, {"items": [item, item]}, {"items": None}], "key_metrics": [None, {"name": "n", "sources": {"Q1": None, "Q2": {"evidence_id": "e"}}}]}))]
+    rows += [("odd", contract.SOURCE_MAP, "0", json.dumps({"entries": [None, {"evidence_id": "e", "target": "t"}]})), ("odd", contract.QUALITY, "0", "["), ("odd", "manifest.json", "0", None), ("odd", None, None, None)]
+    artifacts = spark.createDataFrame(rows, "package string, rel string, sha256 string, text string")
+    got = {}
+    for r in contract.breaches(artifacts).collect():
+        got.setdefault((r["package"], r["code"]), []).append(r["detail"])
+    assert sorted(got["many", "artifact_missing"]) == sorted(["raw/null", *(f"raw/{i}" for i in range(0, 10_000, 5))])
+    assert sorted(got["many", "artifact_hash_mismatch"]) == sorted(f"raw/{i}" for i in range(0, 10_000, 2) if i % 5)
+    assert got["many", "local_source_missing"] == ["raw/0"] and ("many", "artifact_hashes_empty") not in got
+    assert sorted(got["odd", "evidence_unresolved"]) == ["twice:gone"] * 2 and sorted(got["odd", "item_without_evidence"]) == ["n:Q1", "unknown"]
+    assert got["odd", "evidence_without_id"] == [""] == got["odd", "evidence_without_target"] and ("odd", "quality_field_missing") not in got
+    assert got["odd", "manifest_empty"] == ["manifest.json"] == got["odd", "artifact_hashes_empty"] and len(got["odd", "manifest_field_missing"]) == len(contract.MANIFEST_FIELDS)
+    assert "artifact_hash_mismatch" not in {r["code"] for r in contract.breaches(artifacts, strict_hashes=False).collect()}
+
+
 def test_relational_scan_in_ranges(spark, tmp_path):
     from ledgerlake.sources import relational
 
