@@ -20,6 +20,7 @@ MANIFEST_FIELDS = (
 )
 DIRECTORIES = ("raw", "sections", "tables", "xbrl", "metrics", "qa")
 DATA, SOURCE_MAP, QUALITY = "metrics/financial_data.json", "qa/source_map.json", "qa/quality_report.json"
+READ = ("manifest.json", DATA, SOURCE_MAP, QUALITY)
 FILES = ("manifest.json", "README.md", DATA, "metrics/financial_checks.json", QUALITY, SOURCE_MAP)
 QUALITY_FIELDS = ("overall_status", "section_count", "table_count", "raw_fact_count", "normalized_metric_count", "evidence_coverage_ratio", "required_statement_status", "critical_warnings", "parser_warnings", "rule_warnings")
 
@@ -41,7 +42,7 @@ def packages_of(spark: SparkSession, root: str) -> DataFrame:
 
 def bundled(artifacts: DataFrame) -> DataFrame:
     """package, files (rel, sha256, text): artefacts that lie as rows anywhere, by one shuffle. Texts that no rule reads stay behind."""
-    text = F.when(F.col("rel").isin("manifest.json", DATA, SOURCE_MAP, QUALITY), F.col("text"))
+    text = F.when(F.col("rel").isin(*READ), F.col("text"))
     return artifacts.groupBy("package").agg(F.collect_list(F.struct("rel", "sha256", text.alias("text"))).alias("files"))
 
 
@@ -65,36 +66,35 @@ def breaches_within(packages: DataFrame, strict_hashes: bool = True) -> DataFram
     empty = lambda c: F.coalesce(F.size(c), F.lit(-1)) <= 0
 
     # What several rules read is made once: the texts are parsed in one step, references taken from them in the next.
-    parsed = lambda rel, schema: F.transform(F.filter("files", lambda f: f["rel"] == rel), lambda f: F.from_json(f["text"], schema))
+    parsed = lambda rel, schema: F.transform(F.filter("texts", lambda f: f["rel"] == rel), lambda f: F.from_json(f["text"], schema))
     statement_items = lambda j: F.coalesce(F.flatten(F.transform(j["statements"], lambda s: F.coalesce(s["items"], no_items))), no_items)
     all_items = lambda j: F.concat(statement_items(j), F.coalesce(j["key_metrics"], no_items), F.coalesce(j["operating_metrics"], no_items))
     named = lambda i: F.struct(F.coalesce(i["canonical_name"], i["name"], F.lit("unknown")).alias("item"), i["sources"].alias("sources"))
     pair = lambda sha256, rel: F.concat(F.hex(sha256), F.lit("/"), rel)  # noqa: E731 - hex digits have no slash
-    read = packages.select(
-        "package",
-        F.array_compact(F.transform("files", lambda f: f["rel"])).alias("rels"),
-        F.array_compact(F.transform("files", lambda f: F.when(f["sha256"].isNotNull(), f["rel"]))).alias("hashed"),
-        F.array_compact(F.transform("files", lambda f: pair(f["sha256"], f["rel"]))).alias("found"),
+    slim = packages.select("package", F.transform("files", lambda f: F.struct(f["rel"].alias("rel"), f["sha256"].alias("sha256"))).alias("files"), F.filter("files", lambda f: f["rel"].isin(*READ)).alias("texts"))
+    read = slim.select(
+        "package", "files",
         F.transform(parsed("manifest.json", fields), lambda j: F.coalesce(j, no_fields)).alias("manifests"),
         parsed(DATA, _DATA).alias("data"),
         parsed(SOURCE_MAP, _SOURCES).alias("maps"),
         F.array_compact(parsed(QUALITY, fields)).alias("qualities"),
-    )
+    )
     of = lambda m, name: F.coalesce(F.element_at(m, F.lit(name)), F.lit(""))
     read = read.select(
-        "package", "rels", "hashed", "found", "manifests", "qualities",
+        "package", "files", "manifests", "qualities",
         F.transform("manifests", lambda m: F.from_json(of(m, "artifact_hashes"), fields)).alias("lists"),
         F.transform(F.flatten(F.transform("data", all_items)), named).alias("items"),
         F.flatten(F.transform("maps", lambda j: F.coalesce(j["entries"], no_entries))).alias("entries"),
     )
     cite = lambda i: F.transform(F.map_entries(i["sources"]), lambda s: F.struct(i["item"].alias("item"), s["key"].alias("period"), s["value"].alias("evidence"), F.element_at(s["value"], F.lit("evidence_id")).alias("evidence_id")))
     listed = lambda h: F.map_filter(F.coalesce(h, no_fields), lambda rel, _: rel != "manifest.json")
-    read = read.withColumns({"listed": F.transform("lists", listed), "cited": F.flatten(F.array_compact(F.transform("items", cite)))})
+    read = read.withColumn("cited", F.flatten(F.array_compact(F.transform("items", cite))))
     # Evidence that is cited and not in the source map.
     read = read.withColumn("unknown", F.array_except(F.array_compact(F.transform("cited", lambda c: c["evidence_id"])), F.transform("entries", lambda e: e["evidence_id"])))
 
-    directories = F.transform(F.filter("rels", lambda r: F.contains(r, F.lit("/"))), lambda r: F.substring_index(r, "/", 1))
-    out = [each(F.array_except(words(FILES), "rels"), "file_missing"), each(F.array_except(words(DIRECTORIES), directories), "directory_missing")]
+    rels = F.col("files")["rel"]
+    directories = F.transform(rels, lambda r: F.when(F.contains(r, F.lit("/")), F.substring_index(r, "/", 1)))
+    out = [each(F.array_except(words(FILES), rels), "file_missing"), each(F.array_except(words(DIRECTORIES), directories), "directory_missing")]
 
     # The manifest: a map of its fields as they stand, and of the hashes that it lists.
     def of_manifest(m: Column) -> Column:
@@ -106,18 +106,22 @@ def breaches_within(packages: DataFrame, strict_hashes: bool = True) -> DataFram
             each(F.filter(there, lambda f: blank(F.element_at(m, f))), "manifest_field_blank"),
             once(version != SCHEMA_VERSION, "schema_version", version),
             once(~market.isin(*MARKETS), "market", market),
-            once((source != "") & ~F.array_contains("rels", source), "local_source_missing", source),
+            once((source != "") & ~F.coalesce(F.array_contains(rels, source), F.lit(False)), "local_source_missing", source),
         )
 
+    # A file that can't be read has no hash: it counts as missing.
+    hashed = F.transform("files", lambda f: F.when(f["sha256"].isNotNull(), f["rel"]))
+    found = F.transform("files", lambda f: pair(f["sha256"], f["rel"]))
+
     def mismatches(h: Column) -> Column:
         stated = F.map_filter(h, lambda _, sha256: sha256.isNotNull())
-        others = F.array_except("found", F.transform(F.map_entries(stated), lambda e: pair(e["value"], e["key"])))
+        others = F.array_except(found, F.transform(F.map_entries(stated), lambda e: pair(e["value"], e["key"])))
         return each(F.array_intersect(F.map_keys(stated), F.transform(others, lambda p: F.substr(p, F.instr(p, "/") + 1))), "artifact_hash_mismatch")
 
     out += [F.flatten(F.transform("manifests", of_manifest)), F.flatten(F.transform("lists", lambda h: once(empty(h), "artifact_hashes_empty", F.lit("manifest.json"))))]
-    out.append(F.flatten(F.transform("listed", lambda h: each(F.array_except(F.map_keys(h), "hashed"), "artifact_missing"))))
+    out.append(F.flatten(F.transform("lists", lambda h: each(F.array_except(F.map_keys(listed(h)), hashed), "artifact_missing"))))
     if strict_hashes:
-        out.append(F.flatten(F.transform("listed", mismatches)))
+        out.append(F.flatten(F.transform("lists", lambda h: mismatches(listed(h)))))
 
     # Items cite evidence, which the source map holds.
     out.append(each(F.filter("items", lambda i: empty(i["sources"])), "item_without_evidence", lambda i: i["item"]))
@@ -127,7 +131,7 @@ def breaches_within(packages: DataFrame, strict_hashes: bool = True) -> DataFram
     out.append(each(F.filter("cited", lambda c: F.array_contains("unknown", c["evidence_id"])), "evidence_unresolved", lambda c: F.concat_ws(":", c["item"], c["evidence_id"])))
     out.append(F.flatten(F.transform("qualities", lambda m: each(F.array_except(words(QUALITY_FIELDS), F.map_keys(m)), "quality_field_missing", severity="warning"))))
     # The outer form, as Spark would else work the whole list out once more to see if it is empty.
-    return read.select("package", F.inline_outer(F.concat(*out))).filter("code IS NOT NULL")
+    return read.select("package", F.concat(*out).alias("out")).select("package", F.inline_outer("out")).filter("code IS NOT NULL")
 
 
 def kept(artifacts: DataFrame, found: DataFrame) -> DataFrame:
